@@ -45,12 +45,21 @@ def join_members(scores: DataFrame, models: list[str], key: str = "id", check: b
     return wide
 
 
-def blend(scores: DataFrame, weights: DataFrame, key: str = "id", rerank: bool = False) -> DataFrame:
-    """Weighted sum of member percentile ranks per (key, split); ``rerank`` ranks the blend again."""
-    ranked = rank_members(scores, key)
-    # The weight table has one row per member model: broadcast by construction.
-    j = ranked.join(F.broadcast(weights), "model")
-    out = j.groupBy(key, "split").agg(F.sum(F.col("weight") * F.col("pct")).alias("score"))
+def blend(scores: DataFrame, weights: Mapping[str, float], key: str = "id", rerank: bool = False) -> DataFrame:
+    """Weighted sum of member percentile ranks per (key, split); ``rerank`` ranks the blend again.
+
+    Ranks are pivoted to one column per member (one shuffle on (key, split)) and summed
+    in the fixed member order of ``weights``, so every row's blend is the same
+    floating-point expression and tied rank tuples give bit-identical scores.
+    """
+    models = list(weights)
+    ranked = rank_members(scores.where(F.col("model").isin(models)), key)
+    wide = ranked.groupBy(key, "split").pivot("model", models).agg(F.first("pct"))
+    total = None
+    for m in models:
+        term = F.lit(float(weights[m])) * F.col(f"`{m}`")
+        total = term if total is None else total + term
+    out = wide.select(key, "split", total.alias("score"))
     if rerank:
         out = pct_rank(out, "score", by=["split"], out="target").drop("score")
     return out
@@ -58,6 +67,4 @@ def blend(scores: DataFrame, weights: DataFrame, key: str = "id", rerank: bool =
 
 def blend_equal(scores: DataFrame, model_a: str, model_b: str, key: str = "id") -> DataFrame:
     """0.5/0.5 mean of two members' percentile ranks."""
-    spark = scores.sparkSession
-    w = weights_frame(spark, {model_a: 0.5, model_b: 0.5})
-    return blend(scores.where(F.col("model").isin(model_a, model_b)), w, key)
+    return blend(scores, {model_a: 0.5, model_b: 0.5}, key)

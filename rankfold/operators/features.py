@@ -47,12 +47,13 @@ def composite_counts(df: DataFrame, cols: Sequence[str], name: str) -> DataFrame
     """
     cols = list(cols)
     counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
+    counts = counts.select(*[F.col(c).alias(f"_ck_{c}") for c in cols], name)
     cond = None
     for c in cols:
-        e = df[c].eqNullSafe(counts[c])
+        e = F.col(c).eqNullSafe(F.col(f"_ck_{c}"))
         cond = e if cond is None else cond & e
     j = df.join(counts, cond, "left")
-    return j.select(*[df[c] for c in df.columns], F.coalesce(counts[name], F.lit(0)).alias(name))
+    return j.select(*df.columns, F.coalesce(F.col(name), F.lit(0)).alias(name))
 
 
 def cat_size(df: DataFrame, cats: Sequence[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Query catalog: one entry per operator of the inventory, each a (Spark job, SQL oracle) pair.
 
 Every Spark job reads the driver's tables (through ``rankfold.sources.fixtures.base``)
-and runs the library's operator over all rows. Computed doubles are rounded to six
-decimals on both sides so the engines' different summation orders do not matter.
+and runs the library's operator over all rows. Doubles that come out of aggregations
+(whose summation order differs between engines) are rounded to six decimals on both
+sides; exact-arithmetic outputs (percentile ranks, fixed-order blends) are returned
+unrounded because both engines produce the same bits.
 Entries whose semantics SQL cannot state (model training) have no oracle.
 """
 
@@ -40,8 +42,9 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def r6(c) -> "F.Column":
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+def r6(c, digits: int = 6) -> "F.Column":
+    """Round to ``digits`` decimals (the oracle rounds the same way)."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
 
 
 def round_doubles(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -126,27 +129,27 @@ def q_src_glob_columns(spark, sf_dir):
 
 
 def _blend_sql_ctes(rerank: bool) -> list[str]:
-    ws = " union all ".join(f"select '{m}' as model, {w} as weight" for m, w in BLEND_W.items())
+    wide = ", ".join(f"max(case when model = '{m}' then pct end) as p_{m}" for m in BLEND_W)
+    total = " + ".join(f"{w} * p_{m}" for m, w in BLEND_W.items())
     ctes = [f"sc as ({_PSEUDO_SQL})",
             f"rk as (select id, model, split, {O.pct_rank_sql('score', ['model', 'split'])} as pct from sc "
             f"where score is not null)",
-            f"w as ({ws})",
-            "bl as (select rk.id, rk.split, sum(w.weight * rk.pct) as score from rk join w on rk.model = w.model "
-            "group by rk.id, rk.split)"]
+            f"wd as (select id, split, {wide} from rk group by id, split)",
+            f"bl as (select id, split, {total} as score from wd)"]
     if rerank:
         ctes.append(f"rr as (select id, split, {O.pct_rank_sql('score', ['split'])} as target from bl)")
     return ctes
 
 
-@query("snk_csv", O.with_ctes("select id, round(target, 6) as target from rr where split = 'test'",
+@query("snk_csv", O.with_ctes("select id, target from rr where split = 'test'",
                               *_blend_sql_ctes(True)))
 def q_snk_csv(spark, sf_dir):
     """Write the re-ranked blend of the test rows as an ``id,target`` CSV and read it back."""
     sc = pseudo_scores(base(spark, sf_dir))
-    sub = BL.blend(sc, BL.weights_frame(spark, BLEND_W), rerank=True).where(F.col("split") == "test")
+    sub = BL.blend(sc, BLEND_W, rerank=True).where(F.col("split") == "test")
     path = scratch_dir(spark, "submission")
     IO.write_csv(sub.select("id", "target"), path)
-    return round_doubles(IO.read_csv(spark, path, schema="id bigint, target double"))
+    return IO.read_csv(spark, path, schema="id bigint, target double")
 
 
 def _stat_sql_select(t: str, g: str, src: str = "base") -> str:
@@ -203,8 +206,8 @@ _SEEDS = [0, 1, 2]
 
 
 @query("snk_checkpoint_pred", O.with_ctes(
-    "select id, seed, round(avg(sc) over (partition by id order by seed rows between unbounded preceding "
-    "and current row), 6) as score from (" + " union all ".join(
+    "select id, seed, " + O.r6("avg(sc) over (partition by id order by seed rows between unbounded preceding "
+                               "and current row)") + " as score from (" + " union all ".join(
         f"select t.id, {s} as seed, avg(m.a + m.b * t.f_reg_03) as sc from planted t, m{s} m "
         f"where t.split = 'test' group by t.id" for s in _SEEDS) + ") x",
     O.PLANTED_CTE, *_bag_models_sql(_SEEDS)))
@@ -569,29 +572,29 @@ def q_agg_mean_median_std(spark, sf_dir):
 
 # ============================================================ 2.6 windows, ranking, order
 
-@query("win_rank_pct", O.with_ctes(f"select id, {O.r6(O.pct_rank_sql('f_reg_03'))} as pct from base"))
+@query("win_rank_pct", O.with_ctes(f"select id, {O.pct_rank_sql('f_reg_03')} as pct from base"))
 def q_win_rank_pct(spark, sf_dir):
     """Average-tie percentile rank of f_reg_03 over all rows."""
     b = base(spark, sf_dir).select("id", "f_reg_03")
-    return round_doubles(OR.pct_rank(b, "f_reg_03", out="pct").select("id", "pct"))
+    return OR.pct_rank(b, "f_reg_03", out="pct").select("id", "pct")
 
 
 @query("win_rank_pct_by_fold", O.with_ctes(
-    f"select id, fold, {O.r6(O.pct_rank_sql('f_car_15', ['fold']))} as pct from "
+    f"select id, fold, {O.pct_rank_sql('f_car_15', ['fold'])} as pct from "
     f"(select id, f_car_15, {O.fold_sql('target')} as fold from base where split = 'train') x"))
 def q_win_rank_pct_by_fold(spark, sf_dir):
     """Percentile rank of a score within each validation fold."""
     tr = CF.stratified_folds(train_of(base(spark, sf_dir)))
-    return round_doubles(OR.pct_rank(tr.select("id", "fold", "f_car_15"), "f_car_15", by=["fold"], out="pct")
-                         .select("id", "fold", "pct"))
+    return OR.pct_rank(tr.select("id", "fold", "f_car_15"), "f_car_15", by=["fold"], out="pct").select(
+        "id", "fold", "pct")
 
 
-@query("win_rank_column", O.with_ctes(f"select id, {O.r6(O.pct_rank_sql('f_ind_15'))} as f_ind_15 from base"))
+@query("win_rank_column", O.with_ctes(f"select id, {O.pct_rank_sql('f_ind_15')} as f_ind_15 from base"))
 def q_win_rank_column(spark, sf_dir):
     """Replace a heavily tied column by its percentile rank, in place."""
     b = base(spark, sf_dir).select("id", "f_ind_15")
     r = OR.pct_rank(b, "f_ind_15", out="_r")
-    return round_doubles(r.select("id", F.col("_r").alias("f_ind_15")))
+    return r.select("id", F.col("_r").alias("f_ind_15"))
 
 
 @query("win_lorenz", O.with_ctes(
@@ -720,7 +723,7 @@ def _fclassif_sql() -> str:
             f"count(*) k from (select target, count(*) nk, avg({x}) mk, var_pop({x}) * count(*) wk from base "
             f"where split = 'train' group by target) a, (select avg({x}) mt from base where split = 'train') t) q")
     return O.with_ctes(
-        "select feature, round(f_value, 4) as f_value, row_number() over (order by "
+        "select feature, " + O.r6("f_value", 4) + " as f_value, row_number() over (order by "
         "case when f_value is null or isnan(f_value) then 1 else 0 end, f_value desc, pos) <= "
         f"{int(len(NUM) * 0.75)} as keep from (" + " union all ".join(rows) + ") f")
 
@@ -730,7 +733,7 @@ def q_sel_f_classif(spark, sf_dir):
     """ANOVA F of every numeric feature against the label (train rows); keep the top 75 %."""
     tr = train_of(base(spark, sf_dir))
     sc = EN.select_percentile(EN.f_classif(tr, "target", NUM), 75.0)
-    return sc.select("feature", F.round("f_value", 4).alias("f_value"), "keep")
+    return sc.select("feature", r6("f_value", 4).alias("f_value"), "keep")
 
 
 @query("sta_spearman", O.with_ctes(

@@ -124,7 +124,7 @@ def q_bag_seeds(spark, sf_dir):
 
 
 @query("bag_running_score", O.with_ctes(
-    "select seed, round(gini, 6) as gini from g",
+    "select seed, " + O.r6("gini") + " as gini from g",
     O.PLANTED_CTE, *_bag_models_sql(_SEEDS),
     f"sx as (select id, seed, sc from ({_BAG_SQL_SCORES}) x where split = 'train')",
     "rs as (select sx.id, sx.seed, avg(sx.sc) over (partition by sx.id order by sx.seed rows between unbounded "
@@ -141,33 +141,33 @@ def q_bag_running_score(spark, sf_dir):
 # ============================================================ blending
 
 @query("blend_rank_equal", O.with_ctes(
-    "select id, split, " + O.r6("0.5 * pa + 0.5 * pb") + " as score from (select id, split, " +
+    "select id, split, 0.5 * pa + 0.5 * pb as score from (select id, split, " +
     O.pct_rank_sql("f_reg_03", ["split"]) + " as pa, " + O.pct_rank_sql("f_car_15", ["split"]) + " as pb from base) x"))
 def q_blend_rank_equal(spark, sf_dir):
     """0.5/0.5 mean of two members' percentile ranks."""
     sc = pseudo_scores(base(spark, sf_dir))
-    return round_doubles(BL.blend_equal(sc, "m_reg03", "m_car15"))
+    return BL.blend_equal(sc, "m_reg03", "m_car15")
 
 
-@query("blend_rank_weighted", O.with_ctes("select id, split, round(score, 6) as score from bl",
+@query("blend_rank_weighted", O.with_ctes("select id, split, score from bl",
                                           *_blend_sql_ctes(False)))
 def q_blend_rank_weighted(spark, sf_dir):
     """Weighted sum (negative weights allowed) of four members' percentile ranks per split."""
     sc = pseudo_scores(base(spark, sf_dir))
-    return round_doubles(BL.blend(sc, BL.weights_frame(spark, BLEND_W)))
+    return BL.blend(sc, BLEND_W)
 
 
-@query("blend_rerank_submit", O.with_ctes("select id, split, round(target, 6) as target from rr",
+@query("blend_rerank_submit", O.with_ctes("select id, split, target from rr",
                                           *_blend_sql_ctes(True)))
 def q_blend_rerank_submit(spark, sf_dir):
     """Percentile rank of the blended score: the submitted target."""
     sc = pseudo_scores(base(spark, sf_dir))
-    return round_doubles(BL.blend(sc, BL.weights_frame(spark, BLEND_W), rerank=True))
+    return BL.blend(sc, BLEND_W, rerank=True)
 
 
 # ============================================================ 2.10 evaluation
 
-@query("eval_gini", O.with_ctes("select round(gini, 6) as gini, n from g", O.PLANTED_CTE,
+@query("eval_gini", O.with_ctes("select " + O.r6("gini") + " as gini, n from g", O.PLANTED_CTE,
                                 "tr as (select * from planted where split = 'train')",
                                 *O.gini_ctes("g", "tr", "target", "f_reg_03")))
 def q_eval_gini(spark, sf_dir):
@@ -176,7 +176,7 @@ def q_eval_gini(spark, sf_dir):
     return OR.gini(tr, "target", "f_reg_03").select(r6("gini").alias("gini"), "n")
 
 
-@query("eval_gini_by_fold", O.with_ctes("select fold, round(gini, 6) as gini, n from g", *_OLS_CTES,
+@query("eval_gini_by_fold", O.with_ctes("select fold, " + O.r6("gini") + " as gini, n from g", *_OLS_CTES,
                                         "sc as (select fo.fold, fo.target, m.a + m.b * fo.f_reg_03 as s "
                                         "from fo join m on m.k = fo.fold)",
                                         *O.gini_ctes("g", "sc", "target", "s", ["fold"])))

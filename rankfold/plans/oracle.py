@@ -7,7 +7,6 @@ and theta joins where that is the most direct statement of the semantics.
 
 from __future__ import annotations
 
-from itertools import combinations
 from typing import Sequence
 
 BASE_CTE = """li as (
@@ -58,8 +57,9 @@ def with_ctes(body: str, *ctes: str) -> str:
     return f"with {BASE_CTE}{extra}\n{body}"
 
 
-def r6(expr: str) -> str:
-    return f"round({expr}, 6)"
+def r6(expr: str, digits: int = 6) -> str:
+    """Round to ``digits`` decimals; ``+ 0.0`` turns a rounded -0.0 into 0.0 (Spark never yields -0.0 here)."""
+    return f"(round({expr}, {digits}) + 0.0)"
 
 
 def sentinel(c: str) -> str:
@@ -78,14 +78,6 @@ def nonfinite0(e: str) -> str:
     return f"(case when {e} is null or isnan({e}) or isinf({e}) then 0.0 else {e} end)"
 
 
-def interactions_sql(cols: Sequence[str]) -> list[str]:
-    out = []
-    for e, (x, y) in enumerate(combinations(cols, 2)):
-        out.append(f'cast({x} as double) * cast({y} as double) as "inter_{e}*"')
-        out.append(f'{div(x, y)} as "inter_{e}/"')
-    return out
-
-
 def pct_rank_sql(s: str, part: Sequence[str] = ()) -> str:
     """Average-tie rank / non-null count over the partition (pandas ``rank(pct=True)``)."""
     p = ", ".join(part)
