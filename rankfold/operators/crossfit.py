@@ -72,7 +72,11 @@ def ols_crossfit(train: DataFrame, x: str, y: str, fold: str = "fold", test: Dat
     """
     use = subsample_flag(subsample, seed, key)
     fit_rows = train.where(use & F.col(x).isNotNull() & F.col(y).isNotNull())
-    xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
+    # Shift by the training means (two numbers read on the driver) so the sums of squares
+    # and products below do not cancel; the slope is shift-invariant.
+    c = fit_rows.agg(F.avg(F.col(x).cast("double")).alias("cx"), F.avg(F.col(y).cast("double")).alias("cy")).first()
+    cx, cy = (c["cx"] or 0.0), (c["cy"] or 0.0)
+    xd, yd = F.col(x).cast("double") - F.lit(cx), F.col(y).cast("double") - F.lit(cy)
     per = fit_rows.groupBy(fold).agg(
         F.count(F.lit(1)).alias("n"), F.sum(xd).alias("sx"), F.sum(yd).alias("sy"),
         F.sum(xd * yd).alias("sxy"), F.sum(xd * xd).alias("sxx"))
@@ -88,7 +92,8 @@ def ols_crossfit(train: DataFrame, x: str, y: str, fold: str = "fold", test: Dat
     cov = sxy - sx * sy / n
     var = sxx - sx * sx / n
     slope = F.try_divide(cov, var)
-    intercept = sy / n - slope * sx / n
+    # Intercept in the original units: y = cy + sy/n + b * (x - cx - sx/n).
+    intercept = F.lit(cy) + sy / n - slope * (F.lit(cx) + sx / n)
     model = m.select(fold, slope.alias("_b"), intercept.alias("_a"))
     oof = train.join(F.broadcast(model), fold).select(
         key, F.lit("train").alias("split"), F.col(fold).cast("int").alias("fold"),

@@ -86,7 +86,25 @@ def _numeric_aggs(ts: Sequence[str], g: str) -> list[Column]:
     return aggs
 
 
-def exact_group_medians(df: DataFrame, g: str, targets: Sequence[str], num_buckets: int | None = None) -> DataFrame:
+def target_splits(src: DataFrame, targets: Sequence[str], num_buckets: int | None = None) -> dict[str, list[float]]:
+    """Quantile split points of every target from ONE ``approxQuantile`` pass over ``src``.
+
+    The lists are bounded by ``num_buckets`` per target. Any split points give exact
+    results downstream; quantiles only spread a hot group over many window partitions.
+    """
+    from rankfold.operators.order import default_buckets
+
+    ts = list(dict.fromkeys(targets))
+    k = num_buckets or default_buckets(src.sparkSession)
+    probs = [i / k for i in range(1, k)]
+    rel = max(1e-4, 1.0 / (4 * k))
+    dbl = src.select(*[F.col(t).cast("double").alias(f"_v{i}") for i, t in enumerate(ts)])
+    qs = dbl.approxQuantile([f"_v{i}" for i in range(len(ts))], probs, rel)
+    return {t: [float("-inf")] + sorted(set(q for q in qq if q == q)) + [float("inf")] for t, qq in zip(ts, qs)}
+
+
+def exact_group_medians(df: DataFrame, g: str, targets: Sequence[str], num_buckets: int | None = None,
+                        splits: dict[str, list[float]] | None = None) -> DataFrame:
     """Exact interpolated median of every target per value of group column ``g``.
 
     Skew-safe: no group's values are ever gathered in one buffer. Rows are turned
@@ -94,21 +112,15 @@ def exact_group_medians(df: DataFrame, g: str, targets: Sequence[str], num_bucke
     the prefix-sum plan of ``rankfold.operators.order`` gives each distinct value
     its position range inside its group; the median picks the values at positions
     floor((n-1)/2) and ceil((n-1)/2). Buckets come from per-target quantile split
-    points (one ``approxQuantile`` pass for all targets), so a hot group is spread
-    over many window partitions.
+    points (``target_splits``; pass them in to share one pass between group keys),
+    so a hot group is spread over many window partitions.
     """
     ts = list(targets)
-    from rankfold.operators.order import default_buckets
-
-    k = num_buckets or default_buckets(df.sparkSession)
-    probs = [i / k for i in range(1, k)]
-    rel = max(1e-4, 1.0 / (10 * k))
-    dbl = df.select(g, *[F.col(t).cast("double").alias(f"_v{i}") for i, t in enumerate(ts)])
+    splits = splits or target_splits(df, ts, num_buckets)
     vcols = [f"_v{i}" for i in range(len(ts))]
-    qs = dbl.approxQuantile(vcols, probs, rel)
-    splits = [[float("-inf")] + sorted(set(q for q in qq if q == q)) + [float("inf")] for qq in qs]
-    bz = Bucketizer(splitsArray=splits, inputCols=vcols, outputCols=[f"_b{i}" for i in range(len(ts))],
-                    handleInvalid="keep")
+    dbl = df.select(g, *[F.col(t).cast("double").alias(v) for t, v in zip(ts, vcols)])
+    bz = Bucketizer(splitsArray=[splits[t] for t in ts], inputCols=vcols,
+                    outputCols=[f"_b{i}" for i in range(len(ts))], handleInvalid="keep")
     wide = bz.transform(dbl)
     long = wide.select(g, F.inline(F.array(*[
         F.struct(F.lit(t).alias("_t"), F.col(f"_v{i}").alias("_v"), F.col(f"_b{i}").alias("_bk"))
@@ -132,19 +144,18 @@ def exact_group_medians(df: DataFrame, g: str, targets: Sequence[str], num_bucke
 
 
 def group_stats_table(df: DataFrame, g: str, targets: Sequence[str], median: str = "exact",
-                      num_buckets: int | None = None) -> DataFrame:
-    """One row per value of ``g`` with size, mean, std (sample, 0 for one row), median, max, min
-    of every target. Statistics of all targets sharing the group key come from one aggregation."""
+                      num_buckets: int | None = None, materialize_input: bool = False) -> DataFrame:
+    """One row per (non-NULL) value of ``g`` with size, mean, std (sample, 0 for one row), median,
+    max, min of every target.
+
+    ``median='approx'`` swaps the exact median for ``percentile_approx`` (bounded memory,
+    one pass, approximate)."""
     ts = [t for t in targets if t != g]
-    size = F.count(F.lit(1))
-    cols = [size.alias(stat_name(t, g, "size")) for t in ts]
-    if median == "approx":
-        meds = [F.percentile_approx(F.col(t).cast("double"), 0.5).cast("double").alias(stat_name(t, g, "median"))
-                for t in ts]
-        return df.groupBy(g).agg(*cols, *_numeric_aggs(ts, g), *meds).where(F.col(g).isNotNull())
-    stats = df.groupBy(g).agg(*cols, *_numeric_aggs(ts, g)).where(F.col(g).isNotNull())
-    meds = exact_group_medians(df, g, ts, num_buckets=num_buckets)
-    return stats.join(meds, g, "left")
+    src = df.select(g, *ts)
+    long = group_stats_long(src, {g: ts}, median=median, num_buckets=num_buckets)
+    cols = [F.max(F.when(F.col("_t") == t, F.col(st))).alias(stat_name(t, g, st)) for t in ts for st in STATS]
+    wide = long.groupBy("_gk").agg(*cols)
+    return wide.select(F.col("_gk").cast(df.schema[g].dataType).alias(g), *[c for c in wide.columns if c != "_gk"])
 
 
 def ordered_stat_columns(ts: Sequence[str], g: str) -> list[str]:
@@ -156,20 +167,126 @@ def group_stats(df: DataFrame, target: str, group: str, **kw) -> DataFrame:
     return group_stats_grid(df, [target], [group], **kw)
 
 
-def group_stats_grid(df: DataFrame, targets: Sequence[str], groups: Sequence[str], **kw) -> DataFrame:
-    """All (target, group) pairs with target != group, fused by group key: one aggregation and one
-    left join per group column instead of one per pair. Groups are de-duplicated in order."""
-    seen: list[str] = []
-    for g in groups:
-        if g not in seen:
-            seen.append(g)
+def _group_key(df: DataFrame, g: str) -> Column:
+    """Group value as text (one key column for groups of any type); ``+ 0.0`` folds -0.0 into 0.0
+    for fractional keys, as Spark's own grouping does."""
+    from pyspark.sql import types as T
+
+    dt = df.schema[g].dataType
+    c = F.col(g) + F.lit(0.0) if isinstance(dt, (T.DoubleType, T.FloatType)) else F.col(g)
+    return c.cast("string")
+
+
+def group_stats_long(src: DataFrame, pairs: dict[str, list[str]], median: str = "exact",
+                     num_buckets: int | None = None) -> DataFrame:
+    """Statistics of every (group column, target) pair in one pass.
+
+    Every row is exploded into one (_g, _gk, _t, _v) record per pair, so a single
+    aggregation (map-side combined) yields size, mean, std, max, min for all pairs, and
+    a single prefix-sum pipeline yields all exact medians. Output: one row per
+    (_g = group column, _gk = group value as text, _t = target) with columns
+    size, mean, std, median, max, min.
+    """
+    from pyspark.ml.feature import Bucketizer as _Bz
+
+    targets = list(dict.fromkeys(t for ts in pairs.values() for t in ts))
+    tidx = {t: i for i, t in enumerate(targets)}
+    wide = src.select(*[_group_key(src, g).alias(f"_k{j}") for j, g in enumerate(pairs)],
+                      *[F.col(t).cast("double").alias(f"_v{i}") for i, t in enumerate(targets)])
+    if median == "exact":
+        splits = target_splits(src, targets, num_buckets)
+        wide = _Bz(splitsArray=[splits[t] for t in targets], inputCols=[f"_v{i}" for i in range(len(targets))],
+                   outputCols=[f"_b{i}" for i in range(len(targets))], handleInvalid="keep").transform(wide)
+    recs = []
+    gnames = list(pairs)
+    for j, (g, ts) in enumerate(pairs.items()):
+        for t in ts:
+            i = tidx[t]
+            # Small integer codes for the group column and target keep the exploded keys cheap to hash.
+            recs.append(F.struct(F.lit(j).alias("_g"), F.col(f"_k{j}").alias("_gk"), F.lit(i).alias("_t"),
+                                 F.col(f"_v{i}").alias("_v"),
+                                 (F.col(f"_b{i}") if median == "exact" else F.lit(0.0)).alias("_bk")))
+    long = wide.select(F.inline(F.array(*recs))).where(F.col("_gk").isNotNull())
+    keys = ["_g", "_gk", "_t"]
+    names = _code_names(gnames, targets)
+    x = F.col("_v")
+    if median == "approx":
+        aggs = [F.count(F.lit(1)).alias("size"), F.avg(x).alias("mean"),
+                F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.max(x).alias("max"), F.min(x).alias("min"),
+                F.percentile_approx(x, 0.5).cast("double").alias("median")]
+        return names(long.groupBy(*keys).agg(*aggs))
+    # One pass over the exploded rows: collapse to distinct values with multiplicities
+    # (map-side combined, so a hot group or value shrinks before the shuffle).
+    d = long.groupBy(*keys, "_v", "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    has = x.isNotNull()
+    first = d.groupBy(*keys).agg(
+        F.sum("_n").alias("size"), F.sum(F.when(has, F.col("_n"))).alias("_cnt"),
+        F.sum(F.col("_n") * x).alias("_s"), F.max(x).alias("max"), F.min(x).alias("min"))
+    first = first.withColumn("mean", F.col("_s") / F.col("_cnt"))
+    # Two-pass sample variance (stable): sum n * (v - mean)^2 over the distinct values.
+    dev = d.join(first.select(*keys, "mean"), keys).groupBy(*keys).agg(
+        F.sum(F.when(has, F.col("_n") * (x - F.col("mean")) * (x - F.col("mean")))).alias("_ss"))
+    stats = first.join(dev, keys, "left").select(
+        *keys, "size", "mean", F.coalesce(F.sqrt(F.try_divide(F.col("_ss"), F.col("_cnt") - 1)), F.lit(0.0)).alias("std"),
+        "max", "min")
+    # NULL and NaN values weigh 0: they take no position in the order (the median skips them).
+    weighted = d.withColumn("_w", F.when(has & ~F.isnan(x), F.col("_n")).otherwise(F.lit(0)).cast("long"))
+    rt = running_totals(weighted, ["_v"], by=keys, bucket=F.col("_bk"), counted="_w")
+    lo = F.floor((F.col("n_total") - 1) / 2)
+    hi = F.ceil((F.col("n_total") - 1) / 2)
+    start, end = F.col("n_before"), F.col("n_before") + F.col("n") - 1
+    in_lo, in_hi = (lo >= start) & (lo <= end), (hi >= start) & (hi <= end)
+    med = rt.where(in_lo | in_hi).groupBy(*keys).agg(
+        F.max(F.when(in_lo, F.col("_v"))).alias("_lo"), F.max(F.when(in_hi, F.col("_v"))).alias("_hi"))
+    med = med.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)).alias("median"))
+    return names(stats.join(med, keys, "left"))
+
+
+def _code_names(gnames: list[str], targets: list[str]):
+    """Map the integer codes back to column names (two literal lookups, no join)."""
+    gmap = F.create_map(*[x for j, g in enumerate(gnames) for x in (F.lit(j), F.lit(g))])
+    tmap = F.create_map(*[x for i, t in enumerate(targets) for x in (F.lit(i), F.lit(t))])
+
+    def apply(df: DataFrame) -> DataFrame:
+        return df.withColumn("_g", gmap[F.col("_g")]).withColumn("_t", tmap[F.col("_t")])
+    return apply
+
+
+def group_stats_grid(df: DataFrame, targets: Sequence[str], groups: Sequence[str], median: str = "exact",
+                     num_buckets: int | None = None, materialize_input: bool = True) -> DataFrame:
+    """All (target, group) pairs with target != group, joined back to every row of ``df``.
+
+    All pairs are computed together by ``group_stats_long`` (one aggregation, one
+    median pipeline); the per-pair rows are then pivoted into one small table per
+    group column (size x mean x ... per target) and left-joined back on that column.
+    The statistics read a narrow projection written once to the shared checkpoint
+    folder (``materialize_input``), so the quantile pass and the exploded pass rescan a
+    small table instead of re-running ``df``'s plan. Groups are de-duplicated in order;
+    NULL group values get NULL statistics.
+    """
+    from rankfold.session import materialize
+
+    seen = list(dict.fromkeys(groups))
+    pairs = {g: [t for t in targets if t != g] for g in seen}
+    pairs = {g: ts for g, ts in pairs.items() if ts}
+    need = list(dict.fromkeys([*pairs, *[t for ts in pairs.values() for t in ts]]))
+    src = df.select(*need)
+    if materialize_input:
+        src = materialize(src, "stats_src")
+    long = group_stats_long(src, pairs, median=median, num_buckets=num_buckets)
+    if materialize_input:
+        # groups x targets rows: small; written so every per-group pivot below rescans it.
+        long = materialize(long, "stats_long")
     out = df
     new_cols: list[str] = []
-    for g in seen:
-        ts = [t for t in targets if t != g]
-        if not ts:
-            continue
-        stats = group_stats_table(df, g, ts, **kw)
-        out = out.join(stats, g, "left")
+    for g, ts in pairs.items():
+        part = long.where(F.col("_g") == g)
+        cols = []
+        for t in ts:
+            for st in STATS:
+                cols.append(F.max(F.when(F.col("_t") == t, F.col(st))).alias(stat_name(t, g, st)))
+        wide = part.groupBy("_gk").agg(*cols)
+        wide = wide.select(F.col("_gk").cast(df.schema[g].dataType).alias(g), *[c for c in wide.columns if c != "_gk"])
+        out = out.join(wide, g, "left")
         new_cols += ordered_stat_columns(ts, g)
     return out.select(*df.columns, *new_cols)

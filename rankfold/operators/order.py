@@ -40,7 +40,7 @@ def quantile_bucket(df: DataFrame, value: str, num_buckets: int) -> DataFrame:
     assignment itself is a JVM binary search per row.
     """
     probs = [i / num_buckets for i in range(1, num_buckets)]
-    rel = max(1e-4, 1.0 / (10 * num_buckets))
+    rel = max(1e-4, 1.0 / (4 * num_buckets))
     tmp = "_qv"
     vals = df.select(F.col(value).cast("double").alias(tmp)).where(~F.isnan(tmp))
     qs = vals.approxQuantile(tmp, probs, rel) if probs else []
@@ -58,24 +58,31 @@ def running_totals(
     bucket: Column | None = None,
     distinct: bool = True,
     num_buckets: int | None = None,
+    counted: str | None = None,
 ) -> DataFrame:
     """Per distinct ``(by, order)`` value: ``n`` rows, ``n_before`` rows ordered strictly before it
     within its ``by`` group, ``n_total`` rows of the group, and the same for every column in ``sums``
     (``<s>``, ``<s>_before``, ``<s>_total``).
 
     ``distinct=False`` declares that ``order`` is unique per row (ids, hashes): the
-    collapse is skipped and every input column is kept.
-    Rows whose ``order`` columns are NULL are left out.
+    collapse is skipped and every input column is kept. ``counted`` names a column of an
+    input that is already collapsed (one row per distinct value) holding each value's
+    multiplicity; such input is not filtered (give NULL values multiplicity 0).
+    Otherwise rows whose ``order`` columns are NULL are left out.
     """
     by, order, sums = list(by), list(order), list(sums)
     if descending and bucket is not None:
         raise ValueError("descending order with a caller bucket: negate the bucket instead")
-    rows = df.where(_all_not_null(order))
+    # A pre-collapsed input carries weight 0 for values it wants ignored; filtering it here
+    # would change its plan and stop Spark from reusing the shared collapse exchange.
+    rows = df if counted is not None else df.where(_all_not_null(order))
     if bucket is not None:
         # A caller bucket must be a function of the order value (hash prefix, per-column quantile bucket).
         rows = rows.withColumn(_B, bucket)
     keys = [*by, *order] + ([_B] if bucket is not None else [])
-    if distinct:
+    if counted is not None:
+        base = rows.withColumnRenamed(counted, "n") if counted != "n" else rows
+    elif distinct:
         aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(s).alias(s) for s in sums]
         base = rows.groupBy(*keys).agg(*aggs)
     else:

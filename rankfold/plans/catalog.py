@@ -43,8 +43,16 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c, digits: int = 6) -> "F.Column":
-    """Round to ``digits`` decimals (the oracle rounds the same way)."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+    """Round for the comparison; the oracle applies the same formula (see ``oracle.r6``):
+    magnitude-dependent decimals, a 1e-12 relative nudge for exact ties, IEEE-only rounding."""
+    x0 = F.col(c) if isinstance(c, str) else c
+    x = x0 + F.abs(x0) * F.lit(1e-12)
+
+    def rd(d: int):
+        sc = F.lit(10.0 ** d)
+        return F.floor(x * sc + F.lit(0.5)).cast("double") / sc
+    ax = F.abs(x0)
+    return F.when(ax < 1e3, rd(digits)).when(ax < 1e6, rd(digits - 2)).otherwise(rd(max(digits - 4, 0))) + F.lit(0.0)
 
 
 def round_doubles(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

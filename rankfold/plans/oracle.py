@@ -58,8 +58,23 @@ def with_ctes(body: str, *ctes: str) -> str:
 
 
 def r6(expr: str, digits: int = 6) -> str:
-    """Round to ``digits`` decimals; ``+ 0.0`` turns a rounded -0.0 into 0.0 (Spark never yields -0.0 here)."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    """Round for the comparison (same formula as ``catalog.r6``).
+
+    * Precision follows magnitude: ``digits`` decimals below 1e3, two fewer below 1e6,
+      four fewer above (at least 9 significant digits), so the engines' last-bit
+      differences on large values cannot cross a rounding boundary.
+    * Aggregates of short decimals (means of 2-decimal values over 32*k rows) often sit
+      exactly on a tie, and the engines' summation orders land on opposite sides of it
+      (~1e-16 apart); a relative nudge of 1e-12 moves every such tie the same way.
+    * The rounding is plain IEEE arithmetic (``floor(x * 10^d + 0.5) / 10^d``), identical
+      in both engines, unlike their ``round`` functions. ``+ 0.0`` turns -0.0 into 0.0.
+    """
+    x = f"(({expr}) + abs({expr}) * 1e-12)"
+
+    def rd(d: int) -> str:
+        return f"floor({x} * 1e{d} + 0.5) / 1e{d}"
+    return (f"(case when abs({expr}) < 1e3 then {rd(digits)} when abs({expr}) < 1e6 then {rd(digits - 2)} "
+            f"else {rd(max(digits - 4, 0))} end + 0.0)")
 
 
 def sentinel(c: str) -> str:

@@ -56,13 +56,32 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition a DataFrame read from fewer files than the cluster's parallelism.
+
+    A small input (one file) would otherwise keep every downstream stage that has no
+    shuffle -- scans plus broadcast joins -- in a single task. Inputs with at least as
+    many files as task slots are returned unchanged, so large tables never pay a shuffle.
+    The file count is a listing, not a job.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if len(df.inputFiles()) < width else df
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet to the shared folder and reading it back.
 
     Survives executor loss (the files live on shared storage) and keeps long
-    fold/seed loops from re-running the whole feature plan.
+    fold/seed loops from re-running the whole feature plan. When the write produced
+    fewer files than task slots (a small table), it is rewritten once spread out, so
+    later scans of it are parallel.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    if len(out.inputFiles()) < spark.sparkContext.defaultParallelism:
+        path2 = scratch_dir(spark, name)
+        spread(out).write.mode("overwrite").parquet(path2)
+        out = spark.read.parquet(path2)
+    return out
