@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankfold.operators.order import pct_rank, running_totals
+from rankfold.operators.order import N_BEFORE, pct_rank, running_totals
 
 
 def _string_bucket(c: str) -> Column:
@@ -31,7 +31,7 @@ def label_codes(fit_df: DataFrame, c: str) -> DataFrame:
     d = fit_df.select(c).where(F.col(c).isNotNull()).distinct()
     is_str = isinstance(fit_df.schema[c].dataType, T.StringType)
     rt = running_totals(d, [c], distinct=False, bucket=_string_bucket(c) if is_str else None)
-    return rt.select(c, F.col("n_before").cast("int").alias(f"{c}__code"))
+    return rt.select(c, F.col(N_BEFORE).cast("int").alias(f"{c}__code"))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None = None,

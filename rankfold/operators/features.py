@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.operators.order import running_totals
+from rankfold.operators.order import N, N_BEFORE, N_TOTAL, running_totals
 
 STATS = ("size", "mean", "std", "median", "max", "min")
 
@@ -127,9 +127,9 @@ def exact_group_medians(df: DataFrame, g: str, targets: Sequence[str], num_bucke
         for i, t in enumerate(ts)])))
     long = long.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     rt = running_totals(long, ["_v"], by=[g, "_t"], bucket=F.col("_bk"))
-    lo = F.floor((F.col("n_total") - 1) / 2)
-    hi = F.ceil((F.col("n_total") - 1) / 2)
-    start, end = F.col("n_before"), F.col("n_before") + F.col("n") - 1
+    lo = F.floor((F.col(N_TOTAL) - 1) / 2)
+    hi = F.ceil((F.col(N_TOTAL) - 1) / 2)
+    start, end = F.col(N_BEFORE), F.col(N_BEFORE) + F.col(N) - 1
     picked = rt.where(((lo >= start) & (lo <= end)) | ((hi >= start) & (hi <= end))).select(
         g, "_t",
         F.when((lo >= start) & (lo <= end), F.col("_v")).alias("_lo"),
@@ -232,9 +232,9 @@ def group_stats_long(src: DataFrame, pairs: dict[str, list[str]], median: str =
     # NULL and NaN values weigh 0: they take no position in the order (the median skips them).
     weighted = d.withColumn("_w", F.when(has & ~F.isnan(x), F.col("_n")).otherwise(F.lit(0)).cast("long"))
     rt = running_totals(weighted, ["_v"], by=keys, bucket=F.col("_bk"), counted="_w")
-    lo = F.floor((F.col("n_total") - 1) / 2)
-    hi = F.ceil((F.col("n_total") - 1) / 2)
-    start, end = F.col("n_before"), F.col("n_before") + F.col("n") - 1
+    lo = F.floor((F.col(N_TOTAL) - 1) / 2)
+    hi = F.ceil((F.col(N_TOTAL) - 1) / 2)
+    start, end = F.col(N_BEFORE), F.col(N_BEFORE) + F.col(N) - 1
     in_lo, in_hi = (lo >= start) & (lo <= end), (hi >= start) & (hi <= end)
     med = rt.where(in_lo | in_hi).groupBy(*keys).agg(
         F.max(F.when(in_lo, F.col("_v"))).alias("_lo"), F.max(F.when(in_hi, F.col("_v"))).alias("_hi"))

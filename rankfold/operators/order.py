@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _B = "_bucket"
+# Private names of the multiplicity column and its prefix totals (never clash with user columns).
+N, N_BEFORE, N_TOTAL = "_rt_n", "_rt_n_before", "_rt_n_total"
 
 
 def default_buckets(spark) -> int:
@@ -60,9 +62,9 @@ def running_totals(
     num_buckets: int | None = None,
     counted: str | None = None,
 ) -> DataFrame:
-    """Per distinct ``(by, order)`` value: ``n`` rows, ``n_before`` rows ordered strictly before it
-    within its ``by`` group, ``n_total`` rows of the group, and the same for every column in ``sums``
-    (``<s>``, ``<s>_before``, ``<s>_total``).
+    """Per distinct ``(by, order)`` value: ``N`` rows, ``N_BEFORE`` rows ordered strictly before it
+    within its ``by`` group, ``N_TOTAL`` rows of the group (module constants), and the same for
+    every column in ``sums`` (``<s>``, ``<s>_before``, ``<s>_total``).
 
     ``distinct=False`` declares that ``order`` is unique per row (ids, hashes): the
     collapse is skipped and every input column is kept. ``counted`` names a column of an
@@ -81,12 +83,12 @@ def running_totals(
         rows = rows.withColumn(_B, bucket)
     keys = [*by, *order] + ([_B] if bucket is not None else [])
     if counted is not None:
-        base = rows.withColumnRenamed(counted, "n") if counted != "n" else rows
+        base = rows.withColumnRenamed(counted, N)
     elif distinct:
-        aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(s).alias(s) for s in sums]
+        aggs = [F.count(F.lit(1)).alias(N)] + [F.sum(s).alias(s) for s in sums]
         base = rows.groupBy(*keys).agg(*aggs)
     else:
-        base = rows.withColumn("n", F.lit(1).cast("long"))
+        base = rows.withColumn(N, F.lit(1).cast("long"))
     if bucket is None:
         if len(order) != 1:
             raise ValueError("quantile buckets need exactly one numeric order column")
@@ -95,7 +97,7 @@ def running_totals(
         if descending:
             base = base.withColumn(_B, -F.col(_B))
     # Offsets: one row per (group, bucket) -> running sum over buckets; bounded by groups x buckets.
-    measure = ["n"] + sums
+    measure = [N] + sums
     bt = base.groupBy(*by, _B).agg(*[F.sum(m).alias(f"_bt_{m}") for m in measure])
     wb = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     wg = Window.partitionBy(*by)
@@ -123,7 +125,7 @@ def _all_not_null(cols: Sequence[str]) -> Column:
 
 def avg_rank_expr() -> Column:
     """1-based average rank of a tie group from the prefix totals."""
-    return F.col("n_before") + (F.col("n") + F.lit(1)) / F.lit(2.0)
+    return F.col(N_BEFORE) + (F.col(N) + F.lit(1)) / F.lit(2.0)
 
 
 def pct_rank(df: DataFrame, score: str, by: Sequence[str] = (), out: str = "pct_rank",
@@ -136,7 +138,7 @@ def pct_rank(df: DataFrame, score: str, by: Sequence[str] = (), out: str = "pct_
     """
     by = list(by)
     t = running_totals(df, [score], by=by, num_buckets=num_buckets)
-    t = t.select(*by, score, (avg_rank_expr() / F.col("n_total")).alias(out))
+    t = t.select(*by, score, (avg_rank_expr() / F.col(N_TOTAL)).alias(out))
     return df.join(t, [*by, score], "left")
 
 
@@ -144,7 +146,7 @@ def row_number_by(df: DataFrame, key: str, out: str = "row_id", by: Sequence[str
                   num_buckets: int | None = None) -> DataFrame:
     """0-based position of each row in ``key`` order (``key`` unique within ``by``)."""
     t = running_totals(df, [key], by=by, distinct=False, num_buckets=num_buckets)
-    return t.withColumn(out, F.col("n_before")).drop("n", "n_before", "n_total")
+    return t.withColumn(out, F.col(N_BEFORE)).drop(N, N_BEFORE, N_TOTAL)
 
 
 def hash_order_position(df: DataFrame, hash_col: str, tie: str, by: Sequence[str] = (),
@@ -153,7 +155,7 @@ def hash_order_position(df: DataFrame, hash_col: str, tie: str, by: Sequence[str
     ``prefix_len`` hex digits of the hash (16**prefix_len buckets per group)."""
     bucket = F.substring(F.col(hash_col), 1, prefix_len)
     t = running_totals(df, [hash_col, tie], by=by, bucket=bucket, distinct=False)
-    return t.withColumn(out, F.col("n_before")).drop("n", "n_before", "n_total")
+    return t.withColumn(out, F.col(N_BEFORE)).drop(N, N_BEFORE, N_TOTAL)
 
 
 def lorenz(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
@@ -167,7 +169,7 @@ def lorenz(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
     by = list(by)
     t = running_totals(df.where(F.col(label).isNotNull()), [score], by=by, sums=[label], descending=True,
                        num_buckets=num_buckets)
-    rows = (F.col("n_before") + F.col("n")) / F.col("n_total")
+    rows = (F.col(N_BEFORE) + F.col(N)) / F.col(N_TOTAL)
     lab = (F.col(f"{label}_before") + F.col(label)) / F.col(f"{label}_total")
     return t.select(*by, score, rows.alias("cum_share_rows"), lab.alias("cum_share_label"),
                     (rows - lab).alias("diag_gap"))
@@ -178,10 +180,10 @@ def _gini_area(t: DataFrame, label: str, by: list[str]) -> DataFrame:
 
     G = (n+1)/2 - (1/T) * sum_v [ c_v * S_before(v) + y_v * (c_v + 1) / 2 ]
     """
-    term = F.col("n") * F.col(f"{label}_before") + F.col(label) * (F.col("n") + 1) / F.lit(2.0)
+    term = F.col(N) * F.col(f"{label}_before") + F.col(label) * (F.col(N) + 1) / F.lit(2.0)
     return t.groupBy(*by).agg(
-        ((F.first("n_total") + 1) / F.lit(2.0) - F.sum(term) / F.first(f"{label}_total")).alias("_g"),
-        F.first("n_total").alias("n"),
+        ((F.first(N_TOTAL) + 1) / F.lit(2.0) - F.sum(term) / F.first(f"{label}_total")).alias("_g"),
+        F.first(N_TOTAL).alias("n"),
     )
 
 
