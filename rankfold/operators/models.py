@@ -25,7 +25,10 @@ def gbt_binary(features: str = "features", label: str = "target", max_iter: int
               maxBins=256, featureSubsetStrategy=str(feature_fraction), subsamplingRate=subsample,
               minInstancesPerNode=min_instances, seed=seed)
     if validation:
+        # Spark stops on relative loss improvement below validationTol (default 0.01, which halts
+        # after a round or two); a fine tolerance keeps boosting while validation loss still falls.
         kw["validationIndicatorCol"] = validation
+        kw["validationTol"] = 1e-5
     return GBTClassifier(**kw)
 
 
@@ -37,6 +40,7 @@ def gbt_regressor(features: str = "features", label: str = "y", max_iter: int =
               subsamplingRate=subsample, featureSubsetStrategy=str(feature_fraction), lossType=loss, seed=seed)
     if validation:
         kw["validationIndicatorCol"] = validation
+        kw["validationTol"] = 1e-5
     return GBTRegressor(**kw)
 
 
