@@ -33,9 +33,12 @@ def q_fold_kfold(spark, sf_dir):
     return CF.kfold(base(spark, sf_dir)).select("id", "fold")
 
 
-def _planted_folds(spark, sf_dir):
+def _planted_folds(spark, sf_dir, test: bool = True):
+    """Train rows with folds (and test rows), written once before the fold/seed loops."""
     b = planted_label(base(spark, sf_dir))
-    return CF.stratified_folds(train_of(b)), b.where(F.col("split") == "test")
+    tr = materialize(CF.stratified_folds(train_of(b)), "cv_train")
+    te = materialize(b.where(F.col("split") == "test"), "cv_test") if test else None
+    return tr, te
 
 
 _OLS_CTES = [O.PLANTED_CTE, "pl as (select * from planted where split = 'train')",
@@ -48,7 +51,7 @@ _OLS_CTES = [O.PLANTED_CTE, "pl as (select * from planted where split = 'train')
     *_OLS_CTES))
 def q_cv_oof_predict(spark, sf_dir):
     """Out-of-fold scores: per fold, least squares of the label on f_reg_03 fitted on the other folds."""
-    tr, _ = _planted_folds(spark, sf_dir)
+    tr, _ = _planted_folds(spark, sf_dir, test=False)
     oof = CF.ols_crossfit(tr, "f_reg_03", "target")
     return oof.select("id", "fold", r6("score").alias("score"))
 
@@ -89,7 +92,7 @@ def _oof_targets_sql() -> str:
 def q_feat_oof_targets(spark, sf_dir):
     """OOF features: every numeric car column regressed on a column outside the family (f_calc_01) with
     5-fold cross-fitting over train+test; the held-out prediction becomes the feature."""
-    b = CF.kfold(base(spark, sf_dir))
+    b = materialize(CF.kfold(base(spark, sf_dir)), "oof_input")
     out = b.select("id", "split")
     for t in CAR_NUM:
         oof = CF.ols_crossfit(b, "f_calc_01", t).select("id", r6("score").alias(f"oof_{t}"))
@@ -133,7 +136,7 @@ def q_bag_seeds(spark, sf_dir):
 def q_bag_running_score(spark, sf_dir):
     """Gini of the running mean of the OOF scores after each seed."""
     sc = _bag_scores(spark, sf_dir).where(F.col("split") == "train")
-    tr, _ = _planted_folds(spark, sf_dir)
+    tr, _ = _planted_folds(spark, sf_dir, test=False)
     g = CF.running_seed_gini(sc, tr)
     return g.select("seed", r6("gini").alias("gini"))
 
@@ -182,7 +185,7 @@ def q_eval_gini(spark, sf_dir):
                                         *O.gini_ctes("g", "sc", "target", "s", ["fold"])))
 def q_eval_gini_by_fold(spark, sf_dir):
     """Gini of the out-of-fold scores inside every validation fold."""
-    tr, _ = _planted_folds(spark, sf_dir)
+    tr, _ = _planted_folds(spark, sf_dir, test=False)
     oof = CF.ols_crossfit(tr, "f_reg_03", "target").join(tr.select("id", "target"), "id")
     return OR.gini(oof, "target", "score", by=["fold"]).select("fold", r6("gini").alias("gini"), "n")
 
@@ -350,7 +353,7 @@ def q_eval_best_rounds(spark, sf_dir):
 def q_udf_metric_hook(spark, sf_dir):
     """Gini evaluator (DataFrame-computed metric) applied to each fold's OOF boosted-tree scores."""
     sc = _cv_query(spark, sf_dir, lambda tr: MD.gbt_binary(max_iter=_MODEL_ROUNDS))
-    tr, _ = _planted_folds(spark, sf_dir)
+    tr, _ = _planted_folds(spark, sf_dir, test=False)
     oof = sc.where(F.col("split") == "train").join(tr.select("id", "target"), "id")
     ev = MD.GiniEvaluator("target", "score")
     rows = [(int(f), ev.evaluate(oof.where(F.col("fold") == f))) for f in range(_MODEL_K)]
