@@ -7,6 +7,7 @@ Paths are folders on shared storage; scratch output goes under the cluster's
 from __future__ import annotations
 
 import os
+import re
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,7 +75,9 @@ def read_feature_files(spark: SparkSession, folder: str, contains: Sequence[str]
     """Pick every ``<name>.parquet`` in ``folder`` whose name contains one of ``contains`` and attach
     each as a column named after the file: one read of all picked files and one pivot on ``key``."""
     pattern = os.path.join(folder, "*{" + ",".join(contains) + "}*.parquet")
-    df = spark.read.parquet(pattern).select(
-        key, "value", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.parquet/[^/]+$", 1).alias("_name"))
-    names = sorted(r[0] for r in df.select("_name").distinct().collect())
+    raw = spark.read.parquet(pattern)
+    # Column names come from the file listing (metadata only), not from a scan of the rows.
+    names = sorted({re.search(r"/([^/]+)\.parquet/[^/]+$", f).group(1) for f in raw.inputFiles()})
+    df = raw.select(key, "value",
+                    F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.parquet/[^/]+$", 1).alias("_name"))
     return df.groupBy(key).pivot("_name", names).agg(F.first("value"))
