@@ -201,9 +201,11 @@ def gini(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
     # The perfect order only has as many distinct values as the label: a handful for 0/1 labels.
     true = running_totals(clean.withColumn("_s2", F.col("_y")), ["_s2"], by=by, sums=["_y"], descending=True,
                           num_buckets=num_buckets)
-    keys = by or ["_k"]
-    gp = _gini_area(pred, "_y", by).withColumnRenamed("_g", "_gp").withColumn("_k", F.lit(0))
-    gt = _gini_area(true, "_y", by).withColumnRenamed("_g", "_gt").drop("n").withColumn("_k", F.lit(0))
-    # One row per group on each side (the perfect-order side is tiny): an equi join on the group key.
-    j = gp.join(F.broadcast(gt), keys) if not by else gp.join(gt, keys)
-    return j.select(*by, (F.col("_gp") / F.col("_gt")).alias(out), F.col("n"))
+    # One row per group on each side: tag, union and aggregate per group (no join needed).
+    gp = _gini_area(pred, "_y", by).withColumn("_side", F.lit("p"))
+    gt = _gini_area(true, "_y", by).withColumn("_side", F.lit("t"))
+    both = gp.unionByName(gt)
+    g_pred = F.max(F.when(F.col("_side") == "p", F.col("_g")))
+    g_true = F.max(F.when(F.col("_side") == "t", F.col("_g")))
+    n = F.max(F.when(F.col("_side") == "p", F.col("n")))
+    return both.groupBy(*by).agg((g_pred / g_true).alias(out), n.alias("n"))

@@ -547,14 +547,8 @@ def q_agg_group_stats_wide_grid(spark, sf_dir):
 def q_agg_nunique(spark, sf_dir):
     """Distinct count of the ind composite key and of every categorical."""
     b = base(spark, sf_dir)
-    comp = b.agg(F.countDistinct(*IND).alias("new_ind_nunique"))
-    per = FE.nunique(b, CATS)
-    return _one_row_join(comp, per)
-
-
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Side-by-side of two one-row aggregates (equi join on a constant key)."""
-    return a.withColumn("_k", F.lit(0)).join(b.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return b.agg(F.countDistinct(*IND).alias("new_ind_nunique"), *[F.countDistinct(c).alias(f"{c}_nunique")
+                                                                   for c in CATS])
 
 
 @query("agg_label_max", O.with_ctes(
