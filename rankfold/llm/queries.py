@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankfold.llm import packing
+from rankfold.llm import bpe_codec, packing, sharding
 from rankfold.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -19,3 +19,16 @@ def query(fn, sql: str | None = None):
 def op1_best_two_fit_packing(spark, sf_dir):
     """All documents, cut and packed into sequences of 2048 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), 2048)
+
+
+@query
+def op3_two_pass_shuffle(spark, sf_dir):
+    """All documents dealt to 24 shards from a global random order."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 24).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query
+def op10_bpe_round_trip(spark, sf_dir):
+    """Ids and decoded text of every document, as digests."""
+    return bpe_codec.encode_and_decode(table(spark, sf_dir, "documents"))
