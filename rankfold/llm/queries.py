@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankfold.llm import bpe_codec, packing, sharding
+from rankfold.llm import bpe_codec, packing, quality, sharding
 from rankfold.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -32,3 +32,9 @@ def op3_two_pass_shuffle(spark, sf_dir):
 def op10_bpe_round_trip(spark, sf_dir):
     """Ids and decoded text of every document, as digests."""
     return bpe_codec.encode_and_decode(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_classifier(spark, sf_dir):
+    """Quality score of every document."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
