@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankfold.llm import bpe_codec, packing, quality, sharding
+from rankfold.llm import bpe_codec, packing, quality, sharding, warc
 from rankfold.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -38,3 +38,23 @@ def op10_bpe_round_trip(spark, sf_dir):
 def op4_quality_classifier(spark, sf_dir):
     """Quality score of every document."""
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_transaction_assembly(spark, sf_dir):
+    """All pages written as WARC records, read back and assembled."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op2_transaction_assembly"] = """
+with p as (
+    select page_id, coalesce(html, '') as h from pages),
+d as (
+    select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest from p),
+m as (
+    select payload_digest, min(page_id) as first_page from d where payload_bytes >= 100 group by payload_digest)
+select d.page_id, cast(d.payload_bytes as bigint) as payload_bytes, d.payload_digest,
+    case when m.first_page is not null and d.page_id is distinct from m.first_page then 'revisit' else 'response' end as record_type,
+    case when m.first_page is not null and d.page_id is distinct from m.first_page then m.first_page end as refers_to
+from d left join m using (payload_digest)
+"""
