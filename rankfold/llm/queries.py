@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankfold.llm import bpe_codec, packing, quality, sharding, warc
+from rankfold.llm import bpe_codec, packing, quality, secrets, sharding, warc
 from rankfold.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -58,3 +58,9 @@ select d.page_id, cast(d.payload_bytes as bigint) as payload_bytes, d.payload_di
     case when m.first_page is not null and d.page_id is distinct from m.first_page then m.first_page end as refers_to
 from d left join m using (payload_digest)
 """
+
+
+@query
+def op5_credential_linking(spark, sf_dir):
+    """Secrets and linked credentials of every document."""
+    return secrets.scan(table(spark, sf_dir, "documents"))

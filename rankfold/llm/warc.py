@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
