@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankfold.llm import bpe_codec, packing, quality, secrets, sharding, warc
+from rankfold.llm import ann, bpe_codec, packing, quality, secrets, sharding, topk, warc
 from rankfold.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -64,3 +64,31 @@ from d left join m using (payload_digest)
 def op5_credential_linking(spark, sf_dir):
     """Secrets and linked credentials of every document."""
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_histogram_selection(spark, sf_dir):
+    """The ten highest integer inner products of every hundredth vector against all others."""
+    rows = topk.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return topk.top_k(rows.where("id % 100 = 0"), rows, 10)
+
+
+ORACLE["op7_histogram_selection"] = """
+with v as (
+    select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as w
+    from embeddings
+    where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+    select q.vec_id as query_id, c.vec_id,
+        cast(list_sum([q.w[i] * c.w[i] for i in range(1, len(q.w) + 1)]) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query
+def op9_projection_forest(spark, sf_dir):
+    """The twenty nearest found by inner product for every twentieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
