@@ -39,7 +39,7 @@ from rankfold.llm.common import buckets_for, extended, stage, total_bytes
 def pack_numbers(values: np.ndarray) -> bytes:
     """Whole numbers as compressed byte planes (low bytes first)."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack_numbers(blob: bytes) -> np.ndarray:
@@ -49,7 +49,7 @@ def unpack_numbers(blob: bytes) -> np.ndarray:
 
 def pack_words(words: list[bytes]) -> bytes:
     lengths = np.array([len(w) for w in words], np.uint32)
-    return zstandard.ZstdCompressor(level=1).compress(np.uint32(len(words)).tobytes() + lengths.tobytes() + b"".join(words))
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(words)).tobytes() + lengths.tobytes() + b"".join(words))
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
@@ -69,13 +69,17 @@ def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int)
         """One row per text with its word numbers, then the chunk's words, one row per bucket."""
         chunk, numbers, rows = uuid.uuid4().hex, {}, []
         for text in texts:
-            rows.append([numbers.setdefault(w, len(numbers)) for w in bpe.split_words(text, path)])
+            rows.append(np.array([numbers.setdefault(w, len(numbers)) for w in bpe.split_words(text, path)], np.uint32))
         counts = np.array([len(r) for r in rows], np.uint32)
-        # Frequent words come early, so most numbers are small; all texts of a chunk share one blob.
-        flat = np.fromiter((n for r in rows for n in r), np.uint32, int(counts.sum()))
+        flat = np.concatenate(rows)
+        # Renumber by frequency: most numbers are small and compress well.
+        by_use = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+        rank = np.empty(len(numbers), np.uint32)
+        rank[by_use] = np.arange(len(numbers))
+        flat, named = rank[flat], list(numbers)
         by_bucket: dict[int, list[tuple[bytes, int]]] = {}
-        for word, n in numbers.items():
-            raw = word.encode()
+        for n, at in enumerate(by_use.tolist()):
+            raw = named[at].encode()
             by_bucket.setdefault(zlib.crc32(raw) % word_buckets, []).append((raw, n))
         return chunk, doc_ids, counts, flat, by_bucket
 
@@ -107,7 +111,7 @@ def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int)
         buckets = sorted(by_bucket)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(buckets), kind), pa.array([chunk] * len(buckets)), pa.array(buckets, pa.int32()),
-             pa.array([pack_numbers(np.array([i for _, i in by_bucket[b]])) for b in buckets], pa.binary()),
+             pa.array([pack_numbers(np.diff([i for _, i in by_bucket[b]], prepend=0)) for b in buckets], pa.binary()),
              pa.array([pack_words([w for w, _ in by_bucket[b]]) for b in buckets], pa.binary())], names=out.names)
 
     return docs.select("doc_id", "text").mapInArrow(cut, out)
@@ -150,7 +154,7 @@ def assemble(rows: DataFrame, path: str, keep_ids: bool) -> DataFrame:
         total = 0
         parts = []
         for counts, blob in zip(answers.column("counts"), answers.column("body")):
-            which, blob = unpack_numbers(counts.as_py()), blob.as_py()
+            which, blob = np.cumsum(unpack_numbers(counts.as_py()), dtype=np.int64), blob.as_py()
             n = int(np.frombuffer(blob, np.uint32, 1)[0])
             flat = unpack_numbers(blob[4:])
             parts.append((which, flat[:n].astype(np.int64), flat[n:]))
@@ -185,7 +189,7 @@ def assemble(rows: DataFrame, path: str, keep_ids: bool) -> DataFrame:
     return rows.groupBy("chunk").applyInArrow(join, out)
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = False, chunk_bytes: int = 32 << 20,
+def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = False, chunk_bytes: int = 48 << 20,
                       bucket_bytes: int = 32 << 20) -> DataFrame:
     """Every text's token count and the digests of its ids and of its decoded text (with ``keep_ids`` both themselves)."""
     path = vocabulary or bpe.default_vocabulary()
