@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankfold.llm import ann, bpe_codec, packing, quality, secrets, sharding, topk, warc
+from rankfold.llm import ann, bpe_codec, jaccard, packing, quality, secrets, sharding, topk, warc
 from rankfold.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -92,3 +92,9 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 def op9_projection_forest(spark, sf_dir):
     """The twenty nearest found by inner product for every twentieth vector."""
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_prefix_filter_join(spark, sf_dir):
+    """Shingle counts and near-duplicate components of all documents."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
