@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankfold.llm import ann, bpe_codec, jaccard, packing, quality, secrets, sharding, topk, warc
+from rankfold.llm import ann, bpe_codec, jaccard, packing, quality, secrets, sharding, suffix_dedup, topk, warc
 from rankfold.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -98,3 +98,9 @@ def op9_projection_forest(spark, sf_dir):
 def op6_prefix_filter_join(spark, sf_dir):
     """Shingle counts and near-duplicate components of all documents."""
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_difference_cover_dedup(spark, sf_dir):
+    """Bytes of every document that belong to strings of 100 bytes which also start earlier."""
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
