@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankfold.llm.common import extended
+from rankfold.llm.common import extended, stage
 from rankfold.session import scratch_dir
 
 SALTS = 16
@@ -230,7 +230,7 @@ def archive_round_trip(pages: DataFrame, archive_bytes: int = 16 << 20, compress
     write_archives(pages, path, archive_bytes, compression)
     if not list_archives(spark, path):
         return spark.createDataFrame([], page_schema(pages))
-    rows = assemble(read_archives(spark, path))
+    rows = assemble(stage(read_archives(spark, path), "records"))
     told = F.col("metadata.fields")
     revisit = F.col("response.warc_type") == "revisit"
     return rows.select(
