@@ -130,7 +130,8 @@ def slots_of(patterns: list[tuple[list[int], int]], capacity: int) -> dict[str,
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to a table of pieces with a column ``length``."""
+    """Add (or replace) ``sequence_id`` and ``offset`` in a table of pieces with a column ``length``."""
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
     numbered = extended(pieces.schema, "__part int, __rank long")
 

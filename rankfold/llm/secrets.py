@@ -140,6 +140,7 @@ def without_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     m = m.withColumn("__base", holds(0, 1, 2)).withColumn("__weak", holds(3) & holds(4))
     clean = m.where("not __base and not __weak").select(*names)
-    open_ = stage(m.where("not __base and __weak").withColumn("uid", F.monotonically_increasing_id()), "undecided")
+    open_ = m.where("not __base and __weak").select(F.struct(*names).alias("row"), "__m", F.monotonically_increasing_id().alias("uid"))
+    open_ = stage(open_, "undecided")
     bad = linked(spans(open_.select("uid", F.explode("__m").alias("m"))), scope).select("uid").distinct()
-    return clean.unionByName(open_.join(bad, "uid", "left_anti").select(*names))
+    return clean.unionByName(open_.join(bad, "uid", "left_anti").select("row.*"))
