@@ -214,7 +214,10 @@ def prefixes(table: pa.Table, percent: int) -> pa.Table:
     kinds = table.column("kind").to_numpy()
     docs = table.filter(pa.array(kinds == DOC))
     at, ids, n = (docs.column(c).to_numpy(zero_copy_only=False) for c in ("at", "doc_id", "n"))
-    parts = [unsqueeze(b.as_py()) for b in table.filter(pa.array(kinds == SHARED)).column("body")]
+    of = lambda kind: [unsqueeze(b.as_py()) for b in table.filter(pa.array(kinds == kind)).column("body")]
+    parts, told = of(SHARED), of(COUNT)
+    for token, owner in of(LISTED):
+        parts.append([token, owner, told[0][1][np.searchsorted(told[0][0], token)]])
     if len(at) and parts:
         value, owner, df = (np.concatenate([p[i] for p in parts]).astype(t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
         where = np.full(int(max(at.max(), owner.max())) + 1, -1)
@@ -303,12 +306,12 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     classes = stage(classes, "classes")
     stands = rows.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select("chunk", "at", "doc_id", "n")
-    # Frequent tokens get their global counts; a count is one row, the lists are salted by chunk.
-    counts = _exploded(held.where(F.col("kind") == COUNT).select("body"), ["token", "df"])
-    listed = _exploded(held.where(F.col("kind") == LISTED).select("body", "chunk"), ["token", "at"])
-    listed = listed.join(counts, "token").groupBy("chunk").applyInArrow(_listed, CHUNK_FIELDS)
-    shared = held.where(F.col("kind") == SHARED).select("kind", "chunk", "at", "doc_id", "n", "body")
-    parts = shared.unionByName(listed.select(shared.columns)).unionByName(
+    # A chunk that lists texts for frequent tokens gets those tokens' global counts, once each.
+    counts = _counts(held.where(F.col("kind") == COUNT).select("body"))
+    listing = _counts(held.where(F.col("kind") == LISTED).select("body", "chunk"))
+    told = listing.select("chunk", "token").join(counts, "token").groupBy("chunk").applyInArrow(_told, CHUNK_FIELDS)
+    shared = held.where(F.col("kind").isin(SHARED, LISTED)).select("kind", "chunk", "at", "doc_id", "n", "body")
+    parts = shared.unionByName(told.select(shared.columns)).unionByName(
         stands.select(F.lit(DOC).alias("kind"), "chunk", "at", "doc_id", "n", F.lit(None).cast("binary").alias("body")))
     kept = stage(parts.groupBy("chunk").applyInArrow(
         lambda t: prefixes(t, percent), "kind int, doc_id long, n int, token long, place int, tokens binary, bits array<long>"), "prefixes", "kind")
@@ -330,23 +333,25 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
                       F.least(F.coalesce("component", "of_class", "doc_id"), F.coalesce("of_class", "component", "doc_id")).alias("component_id"))
 
 
-def _exploded(blobs: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of squeezed columns; a further column of ``blobs`` is repeated."""
-    more = [c for c in blobs.columns if c != "body"]
+def _counts(blobs: DataFrame) -> DataFrame:
+    """The distinct tokens of squeezed columns with their first number; a column chunk is kept."""
+    named = "chunk" in blobs.columns
 
     def rows(batches):
         for batch in batches:
             for i, body in enumerate(batch.column("body")):
-                columns = unsqueeze(body.as_py())
-                arrays = [pa.array(columns[0].view(np.int64)), pa.array(columns[1].astype(np.int64))]
-                arrays += [pa.array([batch.column(c)[i].as_py()] * len(columns[0]), pa.string()) for c in more]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *more])
+                token, df = unsqueeze(body.as_py())[:2]
+                token, first = np.unique(token, return_index=True)
+                arrays = [pa.array(token.view(np.int64)), pa.array(df[first].astype(np.int64))]
+                if named:
+                    arrays.append(pa.array([batch.column("chunk")[i].as_py()] * len(token), pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "df", "chunk"][: 2 + named])
 
-    return blobs.mapInArrow(rows, ", ".join([f"{n} long" for n in names] + [f"{c} string" for c in more]))
+    return blobs.mapInArrow(rows, "token long, df long" + ", chunk string" * named)
 
 
-def _listed(table: pa.Table) -> pa.Table:
-    token, at, df = (table.column(c).to_numpy() for c in ("token", "at", "df"))
-    turn = np.argsort(token.view(np.uint64), kind="stable")
-    return table_of(kind=[SHARED], chunk=[table.column("chunk")[0].as_py()],
-                    body=[squeeze(token[turn].view(np.uint64), at[turn], np.minimum(df[turn], 0xFFFFFFFF))])
+def _told(table: pa.Table) -> pa.Table:
+    """A chunk's frequent tokens and their counts as one row."""
+    token, df = table.column("token").to_numpy().view(np.uint64), table.column("df").to_numpy()
+    turn = np.argsort(token, kind="stable")
+    return table_of(kind=[COUNT], chunk=[table.column("chunk")[0].as_py()], body=[squeeze(token[turn], np.minimum(df[turn], 0xFFFFFFFF))])
