@@ -1,19 +1,19 @@
 """Percentile-rank blending of member scores.
 
 Member scores live in one long table ``(id, model, split, score)``. Ranking is
-per (model, split) with the exact average-tie percentile rank; weights are a
-small table (one row per model) joined by broadcast; the blend is one
-``groupBy(id, split)``.
+per (model, split) with the exact average-tie percentile rank; weights are literals; the
+blend is one ``groupBy(id, split)``.
 """
 
 from __future__ import annotations
 
 from typing import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.operators.order import pct_rank
+from rankfold.session import materialize
 
 # Member weights of the reference's 13-member blend (sum 1.75).
 REFERENCE_WEIGHTS = {
@@ -22,46 +22,50 @@ REFERENCE_WEIGHTS = {
 }
 
 
-def weights_frame(spark: SparkSession, weights: Mapping[str, float]) -> DataFrame:
-    return spark.createDataFrame([(m, float(w)) for m, w in weights.items()], "model string, weight double")
-
-
 def rank_members(scores: DataFrame, key: str = "id") -> DataFrame:
     """Add ``pct`` = percentile rank of the score within its (model, split)."""
     return pct_rank(scores, "score", by=["model", "split"], out="pct")
 
 
-def join_members(scores: DataFrame, models: list[str], key: str = "id", check: bool = True) -> DataFrame:
-    """Wide (key, split, <model>...) table of member scores; ``check`` fails the job when a
-    model misses an id another model has."""
-    wide = scores.groupBy(key, "split").pivot("model", models).agg(F.first("score"))
-    if check:
-        missing = None
-        for m in models:
-            e = F.col(m).isNull()
-            missing = e if missing is None else missing | e
-        wide = wide.withColumn("_chk", F.when(missing, F.raise_error(F.lit("a member has no score for some id"))))
-        wide = wide.where(F.col("_chk").isNull()).drop("_chk")
-    return wide
+def _covered(wide: DataFrame, models: list[str], missing: str) -> DataFrame:
+    """Apply the coverage policy to a wide member table: ``error`` fails the job when a member lacks
+    an id that another one has, ``drop`` leaves such ids out, ``null`` keeps them."""
+    if missing not in ("error", "drop", "null"):
+        raise ValueError(f"unknown coverage policy {missing!r}")
+    if missing == "null":
+        return wide
+    lacks = F.lit(False)
+    for m in models:
+        lacks = lacks | F.col(f"`{m}`").isNull()
+    if missing == "drop":
+        return wide.where(~lacks)
+    return wide.where(F.when(lacks, F.raise_error(F.lit("a member has no score for some id")).cast("boolean")).otherwise(F.lit(True)))
+
+
+def join_members(scores: DataFrame, models: list[str], key: str = "id", missing: str = "error") -> DataFrame:
+    """Wide (key, split, <model>...) table of member scores under a coverage policy (``_covered``)."""
+    return _covered(scores.groupBy(key, "split").pivot("model", models).agg(F.first("score")), models, missing)
 
 
-def blend(scores: DataFrame, weights: Mapping[str, float], key: str = "id", rerank: bool = False) -> DataFrame:
+def blend(scores: DataFrame, weights: Mapping[str, float] = REFERENCE_WEIGHTS, key: str = "id", rerank: bool = False,
+          missing: str = "error") -> DataFrame:
     """Weighted sum of member percentile ranks per (key, split); ``rerank`` ranks the blend again.
 
     Ranks are pivoted to one column per member (one shuffle on (key, split)) and summed
     in the fixed member order of ``weights``, so every row's blend is the same
-    floating-point expression and tied rank tuples give bit-identical scores.
+    floating-point expression and tied rank tuples give bit-identical scores. ``missing`` is the
+    coverage policy for ids that a member lacks.
     """
     models = list(weights)
     ranked = rank_members(scores.where(F.col("model").isin(models)), key)
-    wide = ranked.groupBy(key, "split").pivot("model", models).agg(F.first("pct"))
+    wide = _covered(ranked.groupBy(key, "split").pivot("model", models).agg(F.first("pct")), models, missing)
     total = None
     for m in models:
         term = F.lit(float(weights[m])) * F.col(f"`{m}`")
         total = term if total is None else total + term
     out = wide.select(key, "split", total.alias("score"))
     if rerank:
-        out = pct_rank(out, "score", by=["split"], out="target").drop("score")
+        out = pct_rank(materialize(out, "blend"), "score", by=["split"], out="target").drop("score")
     return out
 
 

@@ -29,10 +29,10 @@ def fold_hash(key: str = "id", seed: int = FOLD_SEED) -> Column:
 
 
 def assign_folds(df: DataFrame, k: int = 5, seed: int = FOLD_SEED, by: Sequence[str] = (), key: str = "id",
-                 out: str = "fold") -> DataFrame:
+                 out: str = "fold", prefix_len: int | None = None) -> DataFrame:
     """``fold = position in (md5(key:seed), key) order within ``by`` mod k``."""
     h = df.withColumn("_h", fold_hash(key, seed))
-    pos = hash_order_position(h, "_h", key, by=by, out="_pos")
+    pos = hash_order_position(h, "_h", key, by=by, prefix_len=prefix_len, out="_pos")
     return pos.withColumn(out, (F.col("_pos") % k).cast("int")).drop("_h", "_pos")
 
 
@@ -50,11 +50,11 @@ def kfold(df: DataFrame, k: int = 5, seed: int = FOLD_SEED, key: str = "id") ->
 # ---------------------------------------------------------------- deterministic subsampling
 
 def subsample_flag(frac: float | None, seed: int, key: str = "id") -> Column:
-    """Row-level bagging mask: the first two hex digits of ``md5(key:bag:seed)`` below ``frac*256``."""
+    """Row-level bagging mask: the first eight hex digits of ``md5(key:bag:seed)`` below ``frac * 16**8``."""
     if frac is None or frac >= 1.0:
         return F.lit(True)
-    cut = f"{int(frac * 256):02x}"
-    return F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":bag:{seed}"))), 1, 2) < F.lit(cut)
+    cut = f"{int(frac * 16 ** 8):08x}"
+    return F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":bag:{seed}"))), 1, 8) < F.lit(cut)
 
 
 # ---------------------------------------------------------------- OLS learner, fused cross-fit

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankfold.operators.order import N_BEFORE, pct_rank, running_totals
+from rankfold.operators.order import N_BEFORE, N_TOTAL, as_double, avg_rank_expr, running_totals
+from rankfold.session import materialize
 
 
 def _string_bucket(c: str) -> Column:
@@ -122,23 +123,26 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None
 def f_classif(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
     """One-way ANOVA F value of every feature against the class label: (feature, pos, f_value).
 
-    One aggregation per class (n, sum x, sum x^2 per feature); a constant feature
-    gives 0/0 = NULL.
+    One aggregation per class: count, mean and population variance, whose merges are stable for
+    large means. A feature without variance between and within classes gives NULL. NaN is missing.
     """
     cols = list(cols)
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.sum(x).alias(f"_s{i}"), F.sum(x * x).alias(f"_q{i}")]
+        x = as_double(df, c)
+        aggs += [F.count(x).cast("double").alias(f"_n{i}"), F.avg(x).alias(f"_m{i}"), F.var_pop(x).alias(f"_v{i}"),
+                 (F.min(x) == F.max(x)).alias(f"_c{i}")]
     per_class = df.where(F.col(label).isNotNull()).groupBy(label).agg(*aggs)
-    stack = ", ".join(f"'{c}', {i}, _s{i}, _q{i}" for i, c in enumerate(cols))
-    long = per_class.selectExpr("_n", f"stack({len(cols)}, {stack}) as (feature, pos, s, q)")
-    g = long.groupBy("feature", "pos").agg(
-        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-        F.sum(F.col("s") * F.col("s") / F.col("_n")).alias("ss_class"))
-    ss_between = F.col("ss_class") - F.col("s") * F.col("s") / F.col("n")
-    ss_within = F.col("q") - F.col("ss_class")
-    fval = F.try_divide(ss_between / (F.col("k") - 1), ss_within / (F.col("n") - F.col("k")))
+    stack = ", ".join(f"'{c}', {i}, _n{i}, _m{i}, _v{i}, _c{i}" for i, c in enumerate(cols))
+    long = per_class.selectExpr(f"stack({len(cols)}, {stack}) as (feature, pos, n, m, v, flat)").where("n > 0")
+    total = Window.partitionBy("feature")
+    mean = F.sum(F.col("n") * F.col("m")).over(total) / F.sum("n").over(total)
+    # A class of one value has no variance, whatever its mean rounds to.
+    inside = F.when(F.col("flat"), F.lit(0.0)).otherwise(F.col("n") * F.col("v"))
+    g = long.withColumn("_mean", mean).groupBy("feature", "pos").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(inside).alias("ss_within"),
+        F.sum(F.col("n") * (F.col("m") - F.col("_mean")) * (F.col("m") - F.col("_mean"))).alias("ss_between"))
+    fval = F.try_divide(F.try_divide(F.col("ss_between"), F.col("k") - 1), F.try_divide(F.col("ss_within"), F.col("n") - F.col("k")))
     return g.select("feature", "pos", fval.alias("f_value"))
 
 
@@ -157,14 +161,24 @@ def select_percentile(scores: DataFrame, percentile: float = 75.0) -> DataFrame:
 
 
 def spearman_with_label(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
-    """Spearman correlation of ``label`` with every column: Pearson correlation of average ranks."""
-    base = df.where(F.col(label).isNotNull()).select("id", label, *cols)
-    ranked = pct_rank(base, label, out="_r_label")
-    outs = []
-    for c in cols:
-        rc = pct_rank(ranked.select("id", "_r_label", c), c, out="_r")
-        outs.append(rc.agg(F.corr("_r_label", "_r").alias("spearman")).select(F.lit(c).alias("feature"), "spearman"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+    """Spearman correlation of ``label`` with every column: Pearson correlation of average ranks.
+
+    All ranks come from one (feature, value, label) count table: values and labels are ranked
+    on it, and the correlation is weighted by the counts; no rank is joined back to rows.
+    """
+    x = [F.struct(F.lit(c).alias("feature"), as_double(df, c).alias("_x")) for c in cols]
+    rows = df.where(F.col(label).isNotNull()).select(as_double(df, label).alias("_y"), F.inline(F.array(*x)))
+    table = materialize(rows.where("_x is not null and _y is not null").groupBy("feature", "_x", "_y").agg(
+        F.count(F.lit(1)).cast("double").alias("_w")), "rank_counts")
+    ranked = table
+    for value, name in (("_x", "_rx"), ("_y", "_ry")):
+        counts = materialize(table.groupBy("feature", value).agg(F.sum("_w").alias("_c")), "rank_values")
+        t = running_totals(counts, [value], by=["feature"], counted="_c")
+        ranked = ranked.join(t.select("feature", value, avg_rank_expr().alias(name)), ["feature", value])
+    w, rx, ry = F.col("_w"), F.col("_rx"), F.col("_ry")
+    # Ranks run from 1 to n, so their mean is exactly (n + 1) / 2: sums are taken around it.
+    mid = (F.sum("_w").over(Window.partitionBy("feature")) + 1) / 2
+    ranked = ranked.withColumn("_dx", rx - mid).withColumn("_dy", ry - mid)
+    dx, dy = F.col("_dx"), F.col("_dy")
+    cov, vx, vy = F.sum(w * dx * dy), F.sum(w * dx * dx), F.sum(w * dy * dy)
+    return ranked.groupBy("feature").agg(F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)).alias("spearman"))

@@ -10,19 +10,23 @@ numbers, hash-ordered folds) share one exact, deterministic prefix-sum plan:
 2. give every value a bucket: split points from ``approxQuantile`` (any split
    points give an exact answer; quantiles only balance the work) or a caller
    supplied bucket column such as a hash prefix;
-3. per-bucket totals (``groups x buckets`` rows, a bound fixed by the bucket count)
-   get a running sum over buckets and are broadcast back as offsets;
+3. per-bucket totals (``groups x buckets`` rows) get a running sum over buckets and are joined
+   back as offsets (AQE broadcasts them when they are few);
 4. a running sum inside ``(group, bucket)`` window partitions plus the offset is
    the exact number (and label mass) of rows ordered before each value.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rankfold.session import materialize
 
 _B = "_bucket"
 # Private names of the multiplicity column and its prefix totals (never clash with user columns).
@@ -35,20 +39,34 @@ def default_buckets(spark) -> int:
     return max(64, 4 * n)
 
 
+def as_double(df: DataFrame, value: str) -> Column:
+    """``value`` as a double that keeps its order (dates as days); NaN becomes NULL, that is missing."""
+    kind = df.schema[value].dataType
+    x = (F.unix_date(value) if isinstance(kind, T.DateType) else F.col(value)).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def inner_splits(quantiles: Sequence[float]) -> list[float]:
+    """Finite split points in ascending order, closed by the infinities."""
+    return [float("-inf"), *sorted({q for q in quantiles if math.isfinite(q)}), float("inf")]
+
+
 def quantile_bucket(df: DataFrame, value: str, num_buckets: int) -> DataFrame:
-    """Add ``_bucket`` (0..k) from approximate quantile split points of numeric column ``value``.
+    """Add ``_bucket`` (0..k) from approximate quantile split points of column ``value``.
 
     The split points are a driver-side list bounded by ``num_buckets``; the
-    assignment itself is a JVM binary search per row.
+    assignment itself is a JVM binary search per row. Without a finite split point (an empty
+    or constant-infinite column) all rows share one bucket.
     """
     probs = [i / num_buckets for i in range(1, num_buckets)]
     rel = max(1e-4, 1.0 / (4 * num_buckets))
     tmp = "_qv"
-    vals = df.select(F.col(value).cast("double").alias(tmp)).where(~F.isnan(tmp))
-    qs = vals.approxQuantile(tmp, probs, rel) if probs else []
-    splits = [float("-inf")] + sorted(set(q for q in qs if q == q)) + [float("inf")]
+    vals = df.select(as_double(df, value).alias(tmp)).where(F.col(tmp).isNotNull())
+    splits = inner_splits(vals.approxQuantile(tmp, probs, rel) if probs else [])
+    if len(splits) < 3:
+        return df.withColumn(_B, F.lit(0.0))
     bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=_B, handleInvalid="keep")
-    return bz.transform(df.withColumn(tmp, F.col(value).cast("double"))).drop(tmp)
+    return bz.transform(df.withColumn(tmp, as_double(df, value))).drop(tmp)
 
 
 def running_totals(
@@ -70,14 +88,14 @@ def running_totals(
     collapse is skipped and every input column is kept. ``counted`` names a column of an
     input that is already collapsed (one row per distinct value) holding each value's
     multiplicity; such input is not filtered (give NULL values multiplicity 0).
-    Otherwise rows whose ``order`` columns are NULL are left out.
+    Otherwise rows whose ``order`` columns are NULL or NaN are left out.
     """
     by, order, sums = list(by), list(order), list(sums)
     if descending and bucket is not None:
         raise ValueError("descending order with a caller bucket: negate the bucket instead")
     # A pre-collapsed input carries weight 0 for values it wants ignored; filtering it here
     # would change its plan and stop Spark from reusing the shared collapse exchange.
-    rows = df if counted is not None else df.where(_all_not_null(order))
+    rows = df if counted is not None else df.where(_all_present(df, order))
     if bucket is not None:
         # A caller bucket must be a function of the order value (hash prefix, per-column quantile bucket).
         rows = rows.withColumn(_B, bucket)
@@ -87,6 +105,9 @@ def running_totals(
     elif distinct:
         aggs = [F.count(F.lit(1)).alias(N)] + [F.sum(s).alias(s) for s in sums]
         base = rows.groupBy(*keys).agg(*aggs)
+        if bucket is None:
+            # Read three times (quantiles, totals, running sums): written once, one row per distinct value.
+            base = materialize(base, "collapsed")
     else:
         base = rows.withColumn(N, F.lit(1).cast("long"))
     if bucket is None:
@@ -116,10 +137,12 @@ def running_totals(
     )
 
 
-def _all_not_null(cols: Sequence[str]) -> Column:
+def _all_present(df: DataFrame, cols: Sequence[str]) -> Column:
     cond = F.lit(True)
     for c in cols:
         cond = cond & F.col(c).isNotNull()
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            cond = cond & ~F.isnan(c)
     return cond
 
 
@@ -134,7 +157,7 @@ def pct_rank(df: DataFrame, score: str, by: Sequence[str] = (), out: str = "pct_
 
     Exact at any scale. The distinct-value table is joined back on ``(by, score)``;
     AQE turns that join into a broadcast when the distinct table is small and splits
-    skewed partitions when one value is hot. NULL scores get a NULL rank.
+    skewed partitions when one value is hot. NULL and NaN scores get a NULL rank and do not count.
     """
     by = list(by)
     t = running_totals(df, [score], by=by, num_buckets=num_buckets)
@@ -150,9 +173,12 @@ def row_number_by(df: DataFrame, key: str, out: str = "row_id", by: Sequence[str
 
 
 def hash_order_position(df: DataFrame, hash_col: str, tie: str, by: Sequence[str] = (),
-                        prefix_len: int = 4, out: str = "pos") -> DataFrame:
+                        prefix_len: int | None = None, out: str = "pos") -> DataFrame:
     """0-based position in ``(hash_col, tie)`` order within ``by``; buckets are the first
-    ``prefix_len`` hex digits of the hash (16**prefix_len buckets per group)."""
+    ``prefix_len`` hex digits of the hash (16**prefix_len buckets per group). By default there are at least
+    sixteen times as many as ``default_buckets``, so they follow the cluster's shuffle width."""
+    if prefix_len is None:
+        prefix_len = math.ceil(math.log(16 * default_buckets(df.sparkSession), 16))
     bucket = F.substring(F.col(hash_col), 1, prefix_len)
     t = running_totals(df, [hash_col, tie], by=by, bucket=bucket, distinct=False)
     return t.withColumn(out, F.col(N_BEFORE)).drop(N, N_BEFORE, N_TOTAL)
@@ -170,7 +196,8 @@ def lorenz(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
     t = running_totals(df.where(F.col(label).isNotNull()), [score], by=by, sums=[label], descending=True,
                        num_buckets=num_buckets)
     rows = (F.col(N_BEFORE) + F.col(N)) / F.col(N_TOTAL)
-    lab = (F.col(f"{label}_before") + F.col(label)) / F.col(f"{label}_total")
+    # A group without label mass has no Lorenz curve: NULL.
+    lab = F.try_divide((F.col(f"{label}_before") + F.col(label)).cast("double"), F.col(f"{label}_total"))
     return t.select(*by, score, rows.alias("cum_share_rows"), lab.alias("cum_share_label"),
                     (rows - lab).alias("diag_gap"))
 
@@ -182,7 +209,7 @@ def _gini_area(t: DataFrame, label: str, by: list[str]) -> DataFrame:
     """
     term = F.col(N) * F.col(f"{label}_before") + F.col(label) * (F.col(N) + 1) / F.lit(2.0)
     return t.groupBy(*by).agg(
-        ((F.first(N_TOTAL) + 1) / F.lit(2.0) - F.sum(term) / F.first(f"{label}_total")).alias("_g"),
+        ((F.first(N_TOTAL) + 1) / F.lit(2.0) - F.try_divide(F.sum(term), F.first(f"{label}_total"))).alias("_g"),
         F.first(N_TOTAL).alias("n"),
     )
 
@@ -192,15 +219,19 @@ def gini(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
     """Normalized Gini: area(score order) / area(label order), one row per ``by`` group.
 
     Equals 2*AUC-1 for 0/1 labels with tied scores counted as half; rows with a NULL
-    label or score are left out.
+    label or score (NaN scores too) are left out. A group whose labels are all equal or sum to 0 has
+    no order to compare with: NULL.
     """
     by = list(by)
-    clean = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(
+    clean = df.where(_all_present(df, [label, score])).select(
         *by, F.col(label).cast("double").alias("_y"), F.col(score).alias("_s"))
     pred = running_totals(clean, ["_s"], by=by, sums=["_y"], descending=True, num_buckets=num_buckets)
-    # The perfect order only has as many distinct values as the label: a handful for 0/1 labels.
-    true = running_totals(clean.withColumn("_s2", F.col("_y")), ["_s2"], by=by, sums=["_y"], descending=True,
-                          num_buckets=num_buckets)
+    # The perfect order needs the label's counts only: labels are classes, a handful of rows per group.
+    counts = clean.groupBy(*by, F.col("_y").alias("_s2")).agg(F.count(F.lit(1)).alias(N), F.sum("_y").alias("_y"))
+    before = Window.partitionBy(*by).orderBy(F.col("_s2").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    true = counts.select("*", F.coalesce(F.sum("_y").over(before), F.lit(0.0)).alias("_y_before"),
+                         F.sum("_y").over(whole).alias("_y_total"), F.sum(N).over(whole).alias(N_TOTAL))
     # One row per group on each side: tag, union and aggregate per group (no join needed).
     gp = _gini_area(pred, "_y", by).withColumn("_side", F.lit("p"))
     gt = _gini_area(true, "_y", by).withColumn("_side", F.lit("t"))
@@ -208,4 +239,4 @@ def gini(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
     g_pred = F.max(F.when(F.col("_side") == "p", F.col("_g")))
     g_true = F.max(F.when(F.col("_side") == "t", F.col("_g")))
     n = F.max(F.when(F.col("_side") == "p", F.col("n")))
-    return both.groupBy(*by).agg((g_pred / g_true).alias(out), n.alias("n"))
+    return both.groupBy(*by).agg(F.try_divide(g_pred, g_true).alias(out), n.alias("n"))

@@ -136,8 +136,8 @@ def ols_fold_models(name: str, src: str, x: str, y: str, fold: str = "fold", sub
     """Per held-out fold f: least squares fitted on the rows of all other folds (theta join)."""
     cond = ""
     if frac is not None and frac < 1.0:
-        cut = f"{int(frac * 256):02x}"
-        cond = f" and substr(md5(cast(t.id as varchar) || ':bag:{sub_seed}'), 1, 2) < '{cut}'"
+        share = f"cast(('0x' || substr(md5(cast(t.id as varchar) || ':bag:{sub_seed}'), 1, 8)) as bigint) / 4294967296.0"
+        cond = f" and {share} < {frac}"
     return (f"{name} as (select f.{fold} as k, regr_slope(cast(t.{y} as double), cast(t.{x} as double)) b, "
             f"regr_intercept(cast(t.{y} as double), cast(t.{x} as double)) a "
             f"from (select distinct {fold} from {src}) f join {src} t on t.{fold} <> f.{fold}"

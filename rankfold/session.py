@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_WRITTEN: dict[str, list[str]] = {}  # scratch tables by application
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "rankfold") -> SparkSession:
@@ -28,7 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -39,10 +40,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a private one only when unset (tests)."""
+    """Return the cluster's checkpoint folder. Only a local session without one gets a private folder;
+    elsewhere executors could not read a folder of the driver's machine, so the setting is required."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="rankfold-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)
     if not sc.getCheckpointDir():
@@ -52,36 +56,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder for written tables."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition a DataFrame read from fewer files than the cluster's parallelism.
-
-    A small input (one file) would otherwise keep every downstream stage that has no
-    shuffle -- scans plus broadcast joins -- in a single task. Inputs with at least as
-    many files as task slots are returned unchanged, so large tables never pay a shuffle.
-    The file count is a listing, not a job.
-    """
-    width = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(width) if len(df.inputFiles()) < width else df
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this session has written; call it when their results are saved."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet to the shared folder and reading it back.
 
     Survives executor loss (the files live on shared storage) and keeps long
-    fold/seed loops from re-running the whole feature plan. When the write produced
-    fewer files than task slots (a small table), it is rewritten once spread out, so
-    later scans of it are parallel.
+    fold/seed loops from re-running the whole feature plan. Parallelism is left to the
+    plan that produced ``df`` and to ``spark.sql.files.*``.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
-    if len(out.inputFiles()) < spark.sparkContext.defaultParallelism:
-        path2 = scratch_dir(spark, name)
-        spread(out).write.mode("overwrite").parquet(path2)
-        out = spark.read.parquet(path2)
-    return out
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

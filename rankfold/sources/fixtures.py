@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.session import spread
 from rankfold.sources.tables import read_table
 
 # Statistic targets / interaction columns and the extra group column of the fixture grid.
@@ -41,11 +40,12 @@ def is_train(key: Column) -> Column:
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide table: id, split, target (NULL on test) and 16 features with -1 as missing."""
-    o = spread(read_table(spark, sf_dir, "orders")).select(
+    o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    li = _line_summary(spark, sf_dir)
+    # The line summary is as long as the orders: a shuffled join on the order key at every size.
+    li = _line_summary(spark, sf_dir).hint("merge")
     j = (o.join(c, o.o_custkey == c.c_custkey)
          .join(n, c.c_nationkey == n.n_nationkey)
          .join(li, li.l_orderkey == o.o_orderkey, "left"))
