@@ -260,7 +260,7 @@ def names_of(*columns: np.ndarray) -> np.ndarray:
     name = columns[0]
     for i, column in enumerate(columns):
         key = column.astype(np.uint64) if i == 0 else name.astype(np.uint64) << U64(32) | column.astype(np.uint64)
-        name = np.unique(key, return_inverse=True)[1]
+        name = np.unique(key, return_inverse=True)[1].astype(np.uint32)
     return name
 
 
@@ -277,11 +277,12 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     word = np.zeros(size + 3 * length, np.uint64)
     for i in range(8):
         word |= padded[i: i + len(word)].astype(np.uint64) << U64(56 - 8 * i)
-    letter = np.unique(word, return_inverse=True)[1].astype(np.int64)
+    letter = np.unique(word, return_inverse=True)[1].astype(np.uint32)
+    del word
     # Names are kept for sample positions; others stay 0 and are never looked at.
-    sample = np.arange(size)
+    sample = np.arange(size, dtype=np.int32)
     sample = sample[sample % 3 != 0]
-    name, depth = np.zeros(len(letter), np.int64), 24
+    name, depth = np.zeros(len(letter), np.uint32), 24
     name[sample] = names_of(letter[sample], letter[sample + 8], letter[sample + 16])
     while 3 * depth <= length - 2:
         further = np.zeros_like(name)
@@ -403,7 +404,8 @@ def contexts(asked: DataFrame, buckets: int, length: int) -> DataFrame:
     return asked.mapInArrow(cut, "bucket int, doc_id long, tag long, s int, body binary")
 
 
-def covered_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = 16 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def covered_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = 16 << 20, bucket_bytes: int = 16 << 20,
+                  sort_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` (doc_id, text, tag) with the array ``spans`` of the byte spans to remove (null: none)."""
     total = total_bytes(docs, "text")
     buckets = buckets_for(total, bucket_bytes, docs.sparkSession)
@@ -415,7 +417,8 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = 16 <
     asked = (settled.where(F.col("kind") == ASKED).select("chunk", "at", "s", "e", "h", "hot").join(rows, ["chunk", "at"])
              .groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e", "h", "hot")).alias("asks")))
     # A left join here and below, so that both use the same shuffled texts.
-    bytes_asked = contexts(docs.join(asked, ["doc_id", "tag"], "left").select("doc_id", "text", "tag", "asks"), buckets, length)
+    bytes_asked = contexts(docs.join(asked, ["doc_id", "tag"], "left").select("doc_id", "text", "tag", "asks"),
+                           buckets_for(total, sort_bytes, docs.sparkSession), length)
     found = bytes_asked.groupBy("bucket").applyInArrow(lambda t: repeated_windows(t, length), "doc_id long, tag long, s int, e int")
     known = settled.where(F.col("kind") == COVERED).select("chunk", "at", "s", "e").join(rows, ["chunk", "at"]).select("doc_id", "tag", "s", "e")
     spans = known.unionByName(found).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
