@@ -23,13 +23,14 @@ MASK = (1 << 64) - 1
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and bound the bytes of one Arrow batch."""
+    """Let Python workers import this package and give memory back, and bound the bytes of one Arrow batch."""
     env = spark.sparkContext.environment
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"),
-                       ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"),
+                       ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
         spark.conf.set(key, value)
 
 

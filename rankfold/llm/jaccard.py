@@ -210,7 +210,6 @@ def bitmap(tokens: np.ndarray) -> list[int]:
 
 def prefixes(table: pa.Table, percent: int) -> pa.Table:
     """Of a chunk's classes: the rare-first prefix tokens, and the shared tokens for verification."""
-    out = {"kind": [], "doc_id": [], "n": [], "token": [], "place": [], "tokens": [], "bits": []}
     kinds = table.column("kind").to_numpy()
     docs = table.filter(pa.array(kinds == DOC))
     at, ids, n = (docs.column(c).to_numpy(zero_copy_only=False) for c in ("at", "doc_id", "n"))
@@ -218,31 +217,42 @@ def prefixes(table: pa.Table, percent: int) -> pa.Table:
     parts, told = of(SHARED), of(COUNT)
     for token, owner in of(LISTED):
         parts.append([token, owner, told[0][1][np.searchsorted(told[0][0], token)]])
-    if len(at) and parts:
-        value, owner, df = (np.concatenate([p[i] for p in parts]).astype(t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
-        where = np.full(int(max(at.max(), owner.max())) + 1, -1)
-        where[at] = np.arange(len(at))
-        mine = where[owner] >= 0
-        value, owner, df = value[mine], where[owner[mine]], df[mine]
-        turn = np.lexsort((value, df, owner))
-        value, owner = value[turn], owner[turn]
-        shared = np.bincount(owner, minlength=len(at))
-        begin = np.cumsum(shared) - shared
-        keeps = shared - (percent * n + 99) // 100 + 1
-        for i in np.flatnonzero(keeps > 0).tolist():
-            tokens = value[begin[i]: begin[i] + shared[i]]
-            k = int(keeps[i])
-            out["kind"] += [0] * k + [1]
-            out["doc_id"] += [int(ids[i])] * (k + 1)
-            out["n"] += [int(n[i])] * (k + 1)
-            out["token"] += tokens[:k].view(np.int64).tolist() + [None]
-            # Tokens of no other class come first in the order.
-            out["place"] += list(range(int(n[i] - shared[i]) + 1, int(n[i] - shared[i]) + k + 1)) + [None]
-            out["tokens"] += [None] * k + [np.sort(tokens).tobytes()]
-            out["bits"] += [None] * k + [bitmap(tokens)]
-    kinds = {"kind": pa.int32(), "doc_id": pa.int64(), "n": pa.int32(), "token": pa.int64(), "place": pa.int32(), "tokens": pa.binary(),
-             "bits": pa.list_(pa.int64())}
-    return pa.table({c: pa.array(out[c], t) for c, t in kinds.items()})
+    if not len(at) or not parts:
+        return prefix_rows(ids[:0], n[:0], np.empty(0, np.uint64), n[:0])
+    value, owner, df = (np.concatenate([p[i] for p in parts]).astype(t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
+    del parts
+    where = np.full(int(max(at.max(), owner.max())) + 1, -1)
+    where[at] = np.arange(len(at))
+    owner = where[owner]
+    shared = np.bincount(owner[owner >= 0], minlength=len(at))
+    keeps = np.maximum(shared - (percent * n + 99) // 100 + 1, 0)
+    # Only classes that can have a partner are sorted.
+    live = owner >= 0
+    live[live] = keeps[owner[live]] > 0
+    value, owner, df = value[live], owner[live], df[live]
+    turn = np.lexsort((value, df, owner))
+    value, owner = value[turn], owner[turn]
+    shared = np.where(keeps > 0, shared, 0)
+    begin = np.cumsum(shared) - shared
+    order = np.arange(len(value)) - begin[owner]
+    first = order < keeps[owner]
+    mine = np.flatnonzero(keeps > 0)
+    # Tokens of no other class come first in the order.
+    alone = n[owner[first]] - shared[owner[first]]
+    sets = [value[begin[i]: begin[i] + shared[i]] for i in mine.tolist()]
+    return pa.concat_tables([
+        prefix_rows(ids[owner[first]], n[owner[first]], value[first], alone + order[first] + 1),
+        pa.table({"kind": pa.array(np.ones(len(mine), np.int32)), "doc_id": pa.array(ids[mine], pa.int64()), "n": pa.array(n[mine], pa.int32()),
+                  "token": pa.nulls(len(mine), pa.int64()), "place": pa.nulls(len(mine), pa.int32()),
+                  "tokens": pa.array([np.sort(t).tobytes() for t in sets], pa.binary()),
+                  "bits": pa.array([bitmap(t) for t in sets], pa.list_(pa.int64()))})])
+
+
+def prefix_rows(ids: np.ndarray, n: np.ndarray, tokens: np.ndarray, places: np.ndarray) -> pa.Table:
+    size = len(ids)
+    return pa.table({"kind": pa.array(np.zeros(size, np.int32)), "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int32()),
+                     "token": pa.array(tokens.view(np.int64)), "place": pa.array(places, pa.int32()),
+                     "tokens": pa.nulls(size, pa.binary()), "bits": pa.nulls(size, pa.list_(pa.int64()))})
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -292,8 +302,8 @@ def class_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(found.unionByName(verified(again, sets, percent)), "links")
 
 
-def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = 16 << 20,
-                      bucket_bytes: int = 16 << 20) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_bytes: int = 8 << 20,
+                      bucket_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     total = total_bytes(docs, "text")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rankfold.llm.common import GOLDEN, U64, extended, mixed, prefix_hash, span_hash, utf8, words
 
 SHAPE_BINS = 24
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def held_out(doc_id: str) -> Column:
@@ -150,11 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int =
     return weights, found[0]["bias"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = 20, order: int = 2) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (score >= 0.5) for every whole text."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = 20, order: int = 2, only_good: bool = False) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (score >= 0.5) for every whole text.
+
+    ``only_good`` returns the rows predicted to be of quality, with the columns of ``docs`` alone.
+    """
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = extended(docs.schema, "score double, predicted int")
+    out = docs.schema if only_good else extended(docs.schema, "score double, predicted int")
 
     def dot(batches):
         weights, bias = shared.value
@@ -167,8 +170,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = 20, orde
                 begins = np.concatenate([[0], ends[:-1]])
                 z = bias + (total[ends] - total[begins]) / np.sqrt(np.maximum(ends - begins, 1))
                 scores[a:b] = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
-                                             names=out.names)
+            if only_good:
+                yield batch.filter(pa.array(scores >= 0.5))
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
+                                                 names=out.names)
 
     return docs.mapInArrow(dot, out)
 

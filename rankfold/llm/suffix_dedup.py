@@ -41,6 +41,7 @@ from rankfold.llm.quality import blocks
 
 LENGTH = 100
 GRAM = 32
+BLOCK = 1 << 19  # bytes of text hashed at once
 HOT = 64  # runs of one anchor in a chunk, above which they are split
 DOC, RUNS, LISTED, COVERED, ASKED = 0, 1, 2, 3, 4
 FIELDS = {"bucket": pa.int32(), "kind": pa.int32(), "chunk": pa.string(), "at": pa.int32(), "doc_id": pa.int64(), "tag": pa.int64(),
@@ -156,7 +157,7 @@ def chunk_runs(docs: DataFrame, buckets: int, chunk_bytes: int, length: int) ->
         ids, tags, parts, held = [], [], [], 0
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, BLOCK):
                 runs = anchored_runs(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a], length)
                 runs["at"] = runs["at"] + len(ids)
                 parts.append(runs)
@@ -187,11 +188,14 @@ def covered_rows(bucket, chunks, source, runs, covered, length):
 
 def merged(owner: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Union of the spans of each owner."""
+    if not len(owner):
+        return owner, s, e
     turn = np.lexsort((s, owner))
     owner, s, e = owner[turn], s[turn], e[turn]
-    begins = np.concatenate([[True], owner[1:] != owner[:-1]])
+    begins = np.ones(len(owner), bool)
+    begins[1:] = owner[1:] != owner[:-1]
     # Running end within an owner: owners are lifted apart, so one running maximum does.
-    base = np.cumsum(begins) * (int(e.max(initial=0)) + 1)
+    base = np.cumsum(begins) * (int(e.max()) + 1)
     reach = np.maximum.accumulate(e + base)
     opens = begins.copy()
     opens[1:] |= s[1:] + base[1:] > reach[:-1]
@@ -264,6 +268,16 @@ def names_of(*columns: np.ndarray) -> np.ndarray:
     return name
 
 
+def words_at(data: np.ndarray, extra: int) -> np.ndarray:
+    """Big-endian words of 8 bytes at every place of the data and of ``extra`` zero bytes behind it."""
+    padded = np.concatenate([data, np.zeros(extra + 8, np.uint8)])
+    word = np.zeros(len(data) + extra, np.uint64)
+    for i in range(8):
+        word <<= U64(8)
+        word |= padded[i: i + len(word)]
+    return word
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """``starts`` in the lexicographic order of the ``length`` bytes behind them.
 
@@ -274,9 +288,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
         return starts
     size = len(data)
     padded = np.concatenate([data, np.zeros(4 * length, np.uint8)])
-    word = np.zeros(size + 3 * length, np.uint64)
-    for i in range(8):
-        word |= padded[i: i + len(word)].astype(np.uint64) << U64(56 - 8 * i)
+    word = words_at(data, 3 * length)
     letter = np.unique(word, return_inverse=True)[1].astype(np.uint32)
     del word
     # Names are kept for sample positions; others stay 0 and are never looked at.
@@ -327,8 +339,12 @@ def equal_neighbours(data: np.ndarray, order: np.ndarray, length: int = LENGTH)
     """Whether each suffix of the order begins with the same ``length`` bytes as the one before it."""
     same = np.zeros(len(order), bool)
     live = np.arange(1, len(order))
-    for i in range(length):
-        live = live[data[order[live] + i] == data[order[live - 1] + i]]
+    word, short = words_at(data, 8), length % 8
+    for i in range(0, length - short, 8):
+        live = live[word[order[live] + i] == word[order[live - 1] + i]]
+    if short:
+        at = length - short
+        live = live[word[order[live] + at] >> U64(64 - 8 * short) == word[order[live - 1] + at] >> U64(64 - 8 * short)]
     same[live] = True
     return same
 
@@ -337,33 +353,44 @@ def repeated_windows(table: pa.Table, length: int) -> pa.Table:
     """Covered spans of a bucket's byte strings: windows that equal an earlier window."""
     bodies = table.column("body").to_pylist()
     doc, tag, at = (table.column(c).to_numpy() for c in ("doc_id", "tag", "s"))
+    # Rows of the strings, numbered in (doc, tag) order; ``docs`` numbers their documents.
+    turn = np.lexsort((tag, doc))
+    new_doc = np.concatenate([[True], doc[turn][1:] != doc[turn][:-1]])
+    new_row = new_doc | np.concatenate([[True], tag[turn][1:] != tag[turn][:-1]])
+    row = np.empty(len(doc), np.int64)
+    row[turn] = np.cumsum(new_row) - 1
+    docs = (np.cumsum(new_doc) - 1)[new_row]
+    first = turn[new_row]
+
     sizes = np.array([len(b) for b in bodies], np.int64)
     data = np.frombuffer(b"".join(bodies), np.uint8)
+    del bodies
     begin = np.cumsum(sizes) - sizes
     n = sizes - length + 1
-    owner = np.repeat(np.arange(len(bodies)), n)
-    starts = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + begin[owner]
+    starts = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - begin, n)
     order = suffix_order(data, starts, length)
     same = equal_neighbours(data, order, length)
+    # Only windows that equal another one go on.
+    several = same.copy()
+    several[:-1] |= same[1:]
+    group, order = np.cumsum(~same)[several], order[several]
     owner = np.searchsorted(begin, order, "right") - 1
-    group = np.cumsum(~same)
-    doc, tag, place = doc[owner], tag[owner], at[owner] + order - begin[owner]
-    turn = np.lexsort((place, tag, doc, group))
-    group, doc, tag, place = group[turn], doc[turn], tag[turn], place[turn]
-    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    earliest = np.repeat(doc[begins], np.diff(np.append(begins, len(group))))
+    place = at[owner] + order - begin[owner]
+    key = group << 32 | row[owner]
+    turn = np.lexsort((place, key))
+    key, place = key[turn], place[turn].astype(np.int64)
+    group, owner = key >> 32, key & 0xFFFFFFFF
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
+    earliest = np.repeat(docs[owner[begins]], np.diff(np.append(begins, len(group))))
     again = np.zeros(len(group), bool)
-    same_row = (group[1:] == group[:-1]) & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1])
+    same_row = key[1:] == key[:-1]
     again[1:] = same_row & (place[1:] > place[:-1])
     # Copies of a row repeat its places; each copy of a covered place is covered.
     for i in np.flatnonzero(same_row & (place[1:] == place[:-1])).tolist():
         again[i + 1] |= again[i]
-    hit = (doc > earliest) | again
-    rows, which = np.unique(np.stack([doc[hit], tag[hit]], 1), axis=0, return_inverse=True)
-    which, s, e = merged(which.ravel(), place[hit].astype(np.int64), place[hit].astype(np.int64) + length) if hit.any() \
-        else (np.empty(0, np.int64),) * 3
-    return pa.table({"doc_id": pa.array(rows[which, 0] if len(which) else which), "tag": pa.array(rows[which, 1] if len(which) else which),
-                     "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
+    hit = (docs[owner] > earliest) | again
+    which, s, e = merged(owner[hit], place[hit], place[hit] + length)
+    return pa.table({"doc_id": pa.array(doc[first[which]]), "tag": pa.array(tag[first[which]]), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
 
 
 def contexts(asked: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -404,7 +431,7 @@ def contexts(asked: DataFrame, buckets: int, length: int) -> DataFrame:
     return asked.mapInArrow(cut, "bucket int, doc_id long, tag long, s int, body binary")
 
 
-def covered_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = 16 << 20, bucket_bytes: int = 16 << 20,
+def covered_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20,
                   sort_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` (doc_id, text, tag) with the array ``spans`` of the byte spans to remove (null: none)."""
     total = total_bytes(docs, "text")
