@@ -16,10 +16,7 @@ from rankfold.llm.common import prepare, stage, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the labelled documents, keep those predicted to be of quality."""
     prepare(spark)
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    scored = quality.score(docs.select(F.struct(*names).alias("row"), "text"), model)
-    return scored.where("predicted = 1").select("row.*")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), only_good=True)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
