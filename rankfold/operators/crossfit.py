@@ -12,14 +12,18 @@ Scores leave every cross-fit in one long layout:
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Estimator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.operators.order import gini, hash_order_position
+from rankfold.session import materialize
 
 FOLD_SEED = 218
 
@@ -127,32 +131,96 @@ def positive_probability(col: str = "probability") -> Column:
     return vector_to_array(col)[1]
 
 
-def ml_crossfit(train: DataFrame, estimator: Estimator, fold: str = "fold", k: int | None = None,
+def ml_crossfit(train: DataFrame, estimator: Estimator | Callable[[DataFrame], Estimator], fold: str = "fold", k: int | None = None,
                 test: DataFrame | None = None, key: str = "id", seed: int = 0,
-                score: Callable[[], Column] | None = None) -> DataFrame:
+                score: Callable[[], Column] | None = None, parallelism: int = 4) -> DataFrame:
     """Fit ``estimator`` on all folds but f, predict fold f and the test rows, for every fold.
 
-    The k fits run sequentially from the driver (each fit is a distributed job);
+    Each fit is a distributed job; a small driver pool submits ``parallelism`` of them at a time.
+    ``estimator`` may be a function of the fitting rows, for settings that depend on them.
     ``train``/``test`` should be materialised (``rankfold.session.materialize``) first
     so every fit rescans a written table instead of the whole feature plan.
     Output: key, split, fold, seed, score.
     """
     score = score or (lambda: positive_probability())
     folds = list(range(k)) if k is not None else sorted(r[0] for r in train.select(fold).distinct().collect())
-    parts = []
-    for f in folds:
-        model = estimator.fit(train.where(F.col(fold) != f))
-        oof = model.transform(train.where(F.col(fold) == f))
-        parts.append(oof.select(key, F.lit("train").alias("split"), F.lit(f).alias("fold"), score().alias("score")))
+
+    def one(f: int) -> list[DataFrame]:
+        rows = train.where(F.col(fold) != f)
+        model = (estimator(rows) if callable(estimator) else estimator).fit(rows)
+        parts = [model.transform(train.where(F.col(fold) == f)).select(key, F.lit("train").alias("split"), F.lit(f).alias("fold"),
+                                                                       score().alias("score"))]
         if test is not None:
-            tp = model.transform(test)
-            parts.append(tp.select(key, F.lit("test").alias("split"), F.lit(f).alias("fold"), score().alias("score")))
+            parts.append(model.transform(test).select(key, F.lit("test").alias("split"), F.lit(f).alias("fold"), score().alias("score")))
+        return parts
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts = [p for found in pool.map(one, folds) for p in found]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("seed", F.lit(seed))
 
 
+# ---------------------------------------------------------------- out-of-fold target features
+
+def oof_target_features(df: DataFrame, predictors: dict[str, Sequence[str]], fold: str = "fold", key: str = "id",
+                        fmt: str = "oof_{}") -> DataFrame:
+    """Every target regressed on its predictors by least squares, cross-fitted; the held-out prediction is the feature.
+
+    ``predictors`` maps each target column to its predictor columns. All sums of products of all folds
+    come from one aggregation (a row per fold); the small normal equations are solved on the driver
+    from those rows, and all predictions are one projection. Rows with a missing target or
+    predictor are left out of that target's fit; a missing predictor gives NULL. Adds one column per target.
+    """
+    columns = list(dict.fromkeys([*predictors, *[x for xs in predictors.values() for x in xs]]))
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    shifted = {c: F.col(c).cast("double") - F.lit(means[c] or 0.0) for c in columns}
+    aggs = []
+    for t, (y, xs) in enumerate(predictors.items()):
+        whole = F.lit(True)
+        for c in (y, *xs):
+            whole = whole & F.col(c).isNotNull()
+        terms = [F.lit(1.0), *[shifted[x] for x in xs], shifted[y]]
+        for i in range(len(terms)):
+            aggs += [F.coalesce(F.sum(F.when(whole, terms[i] * terms[j])), F.lit(0.0)).alias(f"s{t}_{i}_{j}") for j in range(i, len(terms))]
+    per_fold = {r[fold]: r for r in df.groupBy(fold).agg(*aggs).collect()}
+    new = []
+    for t, (y, xs) in enumerate(predictors.items()):
+        size = len(xs) + 2
+
+        def products(r, t=t, size=size):
+            m = np.zeros((size, size))
+            for i in range(size):
+                for j in range(i, size):
+                    m[i, j] = m[j, i] = r[f"s{t}_{i}_{j}"]
+            return m
+
+        total = sum(products(r) for r in per_fold.values())
+        value = None
+        for f, r in per_fold.items():
+            m = total - products(r)
+            b = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=1e-12)[0]
+            guess = F.lit(float(b[0]) + (means[y] or 0.0))
+            for x, w in zip(xs, b[1:]):
+                guess = guess + F.lit(float(w)) * shifted[x]
+            value = F.when(F.col(fold) == f, guess) if value is None else value.when(F.col(fold) == f, guess)
+        new.append((value if value is not None else F.lit(None).cast("double")).alias(fmt.format(y)))
+    return df.select("*", *new)
+
+
+def oof_learned_features(df: DataFrame, predictors: dict[str, Sequence[str]], learner: Callable[[str, str], Estimator], k: int = 5,
+                         fold: str = "fold", key: str = "id", fmt: str = "oof_{}") -> DataFrame:
+    """The same with any ``pyspark.ml`` regressor: ``learner(features, label)`` makes one per target."""
+    out = df.select(key, fold)
+    for y, xs in predictors.items():
+        rows = VectorAssembler(inputCols=list(xs), outputCol="_x").transform(df.select(key, fold, y, *xs)).select(key, fold, y, "_x")
+        rows = materialize(rows, "oof_rows")
+        got = ml_crossfit(rows, learner("_x", y), fold=fold, k=k, key=key, score=lambda: F.col("prediction").cast("double"))
+        out = out.join(materialize(got.select(key, F.col("score").alias(fmt.format(y))), "oof_scores"), key)
+    return out
+
+
 # ---------------------------------------------------------------- combining fold / seed scores
 
 def test_average(scores: DataFrame, key: str = "id") -> DataFrame:
@@ -160,6 +228,13 @@ def test_average(scores: DataFrame, key: str = "id") -> DataFrame:
     return scores.where(F.col("split") == "test").groupBy(key, "seed").agg(F.avg("score").alias("score"))
 
 
+def add_scores(total: DataFrame | None, part: DataFrame, key: str = "id") -> DataFrame:
+    """Running sum of (key, score) tables, written once per step so no step repeats its predecessors."""
+    if total is not None:
+        part = total.unionByName(part).groupBy(key).agg(F.sum("score").alias("score"))
+    return materialize(part, "running_scores")
+
+
 def seed_average(scores: DataFrame, key: str = "id") -> DataFrame:
     """Mean over seeds per (key, split) (test scores first averaged over folds)."""
     oof = scores.where(F.col("split") == "train").select(key, "split", "seed", "score")

@@ -1,92 +1,41 @@
 """Fit/transform encoders, scaling and univariate statistics.
 
-Fitted state is always small and bounded by the schema or the category set: a
-code table per categorical column (joined back, broadcast by AQE when small), one
-row of means/stds per numeric column, one F value per feature.
+Fitted state is bounded by the schema or the category set: categories
+(``operators.categories``), one row of means/stds per numeric column, one F value per feature.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rankfold.operators.order import N_BEFORE, N_TOTAL, as_double, avg_rank_expr, running_totals
+from rankfold.operators.categories import fit_categories
+from rankfold.operators.order import as_double, avg_rank_expr, running_totals
 from rankfold.session import materialize
 
 
-def _string_bucket(c: str) -> Column:
-    return F.substring(F.col(c), 1, 3)
-
-
-def label_codes(fit_df: DataFrame, c: str) -> DataFrame:
-    """Code table (value, code) with codes 0..k-1 in sorted value order (numeric order for numbers).
-
-    The distinct set is ordered with the bucketed prefix-sum plan, so a large
-    category set is never ranked in one task.
-    """
-    d = fit_df.select(c).where(F.col(c).isNotNull()).distinct()
-    is_str = isinstance(fit_df.schema[c].dataType, T.StringType)
-    rt = running_totals(d, [c], distinct=False, bucket=_string_bucket(c) if is_str else None)
-    return rt.select(c, F.col(N_BEFORE).cast("int").alias(f"{c}__code"))
-
-
 def label_encode(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None = None,
                  unseen: str = "keep", suffix: str = "") -> DataFrame:
-    """Replace each column by its label code. ``fit_df`` defaults to ``df`` (fit on train+test).
+    """Replace each column by its label code, fitted on ``fit_df`` (default: ``df``, train+test).
 
     ``unseen``: ``'keep'`` gives values missing from the fit set the code k (one past
-    the last), ``'error'`` fails the job when such a value occurs.
+    the last), ``'error'`` fails the job when such a value occurs. Fit once with
+    ``fit_categories`` to apply the codes to several tables.
     """
-    fit_df = fit_df if fit_df is not None else df
-    out = df
-    for c in cols:
-        codes = label_codes(fit_df, c)
-        k = codes.agg(F.count(F.lit(1)).alias("k"))
-        out = out.join(codes, c, "left")
-        code = F.col(f"{c}__code")
-        if unseen == "error":
-            code = F.when(code.isNull() & F.col(c).isNotNull(),
-                          F.raise_error(F.concat(F.lit(f"unseen value in {c}: "), F.col(c).cast("string")))
-                          ).otherwise(code).cast("int")
-        elif unseen == "keep":
-            code = F.coalesce(code, _k_literal(k))
-        out = out.withColumn(f"{c}{suffix}", code).drop(f"{c}__code")
-    return out
-
-
-def _k_literal(k: DataFrame) -> Column:
-    """Number of fitted categories as a literal (a one-row, one-number aggregate read on the driver)."""
-    return F.lit(int(k.first()["k"]))
-
-
-def max_code(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Largest label code per categorical column (one row): the cardinality minus one."""
-    return df.agg(*[F.max(c).alias(f"{c}_max") for c in cols])
+    return fit_categories(fit_df if fit_df is not None else df, cols).encode(df, cols, unseen, suffix)
 
 
 def onehot(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None = None, out: str = "onehot",
            unseen: str = "keep") -> DataFrame:
-    """Sparse one-hot vector of the label codes of ``cols`` (``dropLast=False``).
+    """Sparse one-hot vector of the label codes of ``cols``, fitted on ``fit_df`` (train only) or ``df``.
 
-    Fit on ``fit_df`` (train only) or on ``df`` (train+test). With a train-only fit an
-    unseen test value gets its own extra slot per column (``handleInvalid='keep'``).
+    With ``keep`` an unseen value gets its own extra slot per column.
     """
-    fit_df = fit_df if fit_df is not None else df
-    coded = label_encode(df, cols, fit_df=fit_df, unseen=unseen, suffix="__idx")
-    fit_coded = label_encode(fit_df, cols, fit_df=fit_df, unseen=unseen, suffix="__idx")
-    idx = [f"{c}__idx" for c in cols]
-    ohe = OneHotEncoder(inputCols=idx, outputCols=[f"{c}__oh" for c in cols], dropLast=False,
-                        handleInvalid="keep" if unseen == "keep" else "error")
-    model = ohe.fit(fit_coded.select(*idx))
-    enc = model.transform(coded)
-    va = VectorAssembler(inputCols=[f"{c}__oh" for c in cols], outputCol=out)
-    res = va.transform(enc)
-    return res.drop(*idx, *[f"{c}__oh" for c in cols])
+    return fit_categories(fit_df if fit_df is not None else df, cols).onehot(df, cols, out, unseen)
 
 
 def vector_slots(df: DataFrame, vec: str, key: str = "id") -> DataFrame:
@@ -97,25 +46,31 @@ def vector_slots(df: DataFrame, vec: str, key: str = "id") -> DataFrame:
 
 # ---------------------------------------------------------------- scaling
 
-def standard_scale(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None = None) -> DataFrame:
-    """(x - mean) / population std, fitted on ``fit_df`` (default: ``df`` = train+test).
+@dataclass
+class Scaler:
+    """Mean and population standard deviation of every column (two numbers each)."""
 
-    A zero-variance column is divided by 1. Fitting is one aggregation whose single
-    row (two numbers per column) is read on the driver and applied as literals, so
-    the transform stays a row-local projection inside whole-stage codegen.
-    """
-    fit_df = fit_df if fit_df is not None else df
+    means: dict[str, float]
+    stds: dict[str, float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """(x - mean) / std as a row-local projection with literals."""
+        exprs = [((F.col(c).cast("double") - F.lit(m)) / F.lit(self.stds[c])).alias(c) for c, m in self.means.items()]
+        return df.select(*[F.col(c) for c in df.columns if c not in self.means], *exprs)
+
+
+def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
+    """One aggregation; a column without variance or values is divided by 1."""
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.avg(F.col(c).cast("double")).alias(f"m{i}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}")]
-    row = fit_df.agg(*aggs).first()
-    exprs = []
-    for i, c in enumerate(cols):
-        m, s = row[f"m{i}"], row[f"s{i}"]
-        s = 1.0 if (s is None or s == 0.0) else s
-        m = 0.0 if m is None else m
-        exprs.append(((F.col(c).cast("double") - F.lit(m)) / F.lit(s)).alias(c))
-    return df.select(*[F.col(c) for c in df.columns if c not in cols], *exprs)
+    row = df.agg(*aggs).first()
+    return Scaler({c: row[f"m{i}"] or 0.0 for i, c in enumerate(cols)}, {c: row[f"s{i}"] or 1.0 for i, c in enumerate(cols)})
+
+
+def standard_scale(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None = None) -> DataFrame:
+    """(x - mean) / population std, fitted on ``fit_df`` (default: ``df`` = train+test)."""
+    return fit_scaler(fit_df if fit_df is not None else df, cols).transform(df)
 
 
 # ---------------------------------------------------------------- univariate selection

@@ -1,23 +1,32 @@
 """Frequency and group-statistic features, joined back to every row.
 
-Every statistic is a ``groupBy`` (map-side partial aggregation, so a hot key is
-combined before the shuffle) followed by an equi left join back on the group key.
-No broadcast hint is forced: AQE measures the statistic table at runtime and
-broadcasts it when small, otherwise it stays a sort-merge join whose skewed
-partitions AQE splits.
+Counts come from ``operators.categories`` (one fit for all columns). Group statistics are
+fitted once for a whole grid of (target, group) pairs and applied with one join per group column:
+
+* one grouping-sets aggregation over all group columns yields size, mean, sample std, max
+  and min of all targets, with map-side combining and every key in its own type;
+* the same pass brackets every median with two approximate percentiles; a second pass counts
+  the values below the bracket and collapses the few inside it, from which the exact
+  interpolated median is picked. No group's values are gathered, whatever its size.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.operators.order import N, N_BEFORE, N_TOTAL, running_totals
+from rankfold.operators.categories import distinct_counts, fit_categories, lookup
+from rankfold.operators.order import as_double
+from rankfold.session import materialize
 
 STATS = ("size", "mean", "std", "median", "max", "min")
+# The sketch's rank error is n / ACCURACY; the bracket reaches five times as far around the middle.
+ACCURACY = 10_000
+BRACKET = 5 / ACCURACY
 
 
 def stat_name(t: str, g: str, stat: str) -> str:
@@ -26,27 +35,24 @@ def stat_name(t: str, g: str, stat: str) -> str:
 
 # ---------------------------------------------------------------- counts
 
-def value_counts(df: DataFrame, cols: Sequence[str], fmt: str = "{}_count") -> DataFrame:
-    """``{c}_count`` = frequency of the row's value of ``c`` over all rows of ``df`` (train+test).
+def value_counts(df: DataFrame, cols: Sequence[str], fmt: str = "{}_count", fit_df: DataFrame | None = None) -> DataFrame:
+    """``{c}_count`` = frequency of the row's value of ``c`` over all rows of ``fit_df`` (default: ``df``).
 
-    A NULL value finds no entry and gets 0, like a dictionary lookup with default 0.
+    A NULL or unseen value finds no entry and gets 0, like a dictionary lookup with default 0.
     """
-    out = df
-    for c in cols:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias(fmt.format(c))).where(F.col(c).isNotNull())
-        out = out.join(counts, c, "left").withColumn(fmt.format(c), F.coalesce(F.col(fmt.format(c)), F.lit(0)))
-    return out.select(*df.columns, *[fmt.format(c) for c in cols])
+    counted = fit_categories(fit_df if fit_df is not None else df, cols).count(df, cols, fmt)
+    return counted.select(*df.columns, *[fmt.format(c) for c in cols])
 
 
-def composite_counts(df: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
-    """Frequency of the combination of ``cols`` (a composite key), grouped on the columns themselves.
+def composite_counts(df: DataFrame, cols: Sequence[str], name: str, fit_df: DataFrame | None = None) -> DataFrame:
+    """Frequency of the combination of ``cols`` (a composite key) over ``fit_df`` (default: ``df``), grouped on the columns.
 
     Grouping on the column list instead of a concatenated string keeps doubles exact
     (their text forms differ between engines) and treats NULL as a value, as the
     string key would. Joined back null-safely.
     """
     cols = list(cols)
-    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
+    counts = (fit_df if fit_df is not None else df).groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
     counts = counts.select(*[F.col(c).alias(f"_ck_{c}") for c in cols], name)
     cond = None
     for c in cols:
@@ -57,105 +63,132 @@ def composite_counts(df: DataFrame, cols: Sequence[str], name: str) -> DataFrame
 
 
 def cat_size(df: DataFrame, cats: Sequence[str]) -> DataFrame:
-    """``{cat}_size``: group size per value via groupby-size + left join (NULL key -> NULL size)."""
-    out = df
-    for c in cats:
-        sizes = df.groupBy(c).agg(F.count(F.lit(1)).alias(f"{c}_size")).where(F.col(c).isNotNull())
-        out = out.join(sizes, c, "left")
-    return out.select(*df.columns, *[f"{c}_size" for c in cats])
+    """``{cat}_size``: group size per value, joined back (NULL key -> NULL size)."""
+    sized = fit_categories(df, cats).count(df, cats, "{}_size", default=None)
+    return sized.select(*df.columns, *[f"{c}_size" for c in cats])
+
 
+def overlay_column(df: DataFrame, repaired: DataFrame, column: str, key: str = "id") -> DataFrame:
+    """``column`` replaced by its version in ``repaired`` (key, column) where that has one, in place."""
+    new = repaired.select(key, F.col(column).alias("__new"))
+    return df.join(new, key, "left").select(*[F.coalesce("__new", c).alias(c) if c == column else F.col(c) for c in df.columns])
 
-def nunique(df: DataFrame, cols: Sequence[str], approx: bool = False, rsd: float = 0.01) -> DataFrame:
-    """Number of distinct values of each column (one row)."""
-    f = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.countDistinct
-    return df.agg(*[f(c).alias(f"{c}_nunique") for c in cols])
+
+def nunique(df: DataFrame, cols: Sequence[str], composites: dict[str, Sequence[str]] | None = None, approx: bool = False) -> DataFrame:
+    """``{c}_nunique`` of each column and of each named composite key (one row)."""
+    parts = [distinct_counts(df, cols, approx)]
+    for name, members in (composites or {}).items():
+        keys = df.select(*members).distinct()
+        parts.append(keys.agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(name).alias("column"), "n_distinct"))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    return long.agg(*[F.max(F.when(F.col("column") == c, F.col("n_distinct"))).alias(f"{c}_nunique") for c in [*(composites or {}), *cols]])
 
 
 # ---------------------------------------------------------------- group statistics
 
-def _numeric_aggs(ts: Sequence[str], g: str) -> list[Column]:
-    aggs: list[Column] = []
-    for t in ts:
-        x = F.col(t).cast("double")
-        aggs += [
-            F.avg(x).alias(stat_name(t, g, "mean")),
-            F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(stat_name(t, g, "std")),
-            F.max(x).alias(stat_name(t, g, "max")),
-            F.min(x).alias(stat_name(t, g, "min")),
-        ]
-    return aggs
+@dataclass
+class GroupStats:
+    """Fitted statistics: per group column a table with one row per value, and its row count."""
+
+    tables: dict[str, DataFrame]
+    rows: dict[str, int]
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Join every table to ``df``; NULL and unseen group values get NULL statistics."""
+        out, new = df, []
+        for g, t in self.tables.items():
+            out = lookup(out, t, g, self.rows[g])
+            new += [c for c in t.columns if c != g]
+        return out.select(*df.columns, *new)
 
-def target_splits(src: DataFrame, targets: Sequence[str], num_buckets: int | None = None) -> dict[str, list[float]]:
-    """Quantile split points of every target from ONE ``approxQuantile`` pass over ``src``.
 
-    The lists are bounded by ``num_buckets`` per target. Any split points give exact
-    results downstream; quantiles only spread a hot group over many window partitions.
+def _median_table(src: DataFrame, fitted: DataFrame, g: str, targets: Sequence[str], rows: int) -> DataFrame:
+    """Exact interpolated medians of every target per value of ``g``.
+
+    ``fitted`` has, per value, each target's count ``_c<i>`` and bracket ``_lo<i>``, ``_hi<i>``.
     """
-    from rankfold.operators.order import default_buckets
-
-    ts = list(dict.fromkeys(targets))
-    k = num_buckets or default_buckets(src.sparkSession)
-    probs = [i / k for i in range(1, k)]
-    rel = max(1e-4, 1.0 / (4 * k))
-    dbl = src.select(*[F.col(t).cast("double").alias(f"_v{i}") for i, t in enumerate(ts)])
-    qs = dbl.approxQuantile([f"_v{i}" for i in range(len(ts))], probs, rel)
-    return {t: [float("-inf")] + sorted(set(q for q in qq if q == q)) + [float("inf")] for t, qq in zip(ts, qs)}
-
-
-def exact_group_medians(df: DataFrame, g: str, targets: Sequence[str], num_buckets: int | None = None,
-                        splits: dict[str, list[float]] | None = None) -> DataFrame:
-    """Exact interpolated median of every target per value of group column ``g``.
-
-    Skew-safe: no group's values are ever gathered in one buffer. Rows are turned
-    into (g, target, value, bucket), collapsed to distinct values with counts, and
-    the prefix-sum plan of ``rankfold.operators.order`` gives each distinct value
-    its position range inside its group; the median picks the values at positions
-    floor((n-1)/2) and ceil((n-1)/2). Buckets come from per-target quantile split
-    points (``target_splits``; pass them in to share one pass between group keys),
-    so a hot group is spread over many window partitions.
+    joined = lookup(src, fitted, g, rows)
+    x = [F.col(f"_v{i}") for i in range(len(targets))]
+    below = joined.groupBy(g).agg(*[F.sum((x[i] < F.col(f"_lo{i}")).cast("long")).alias(f"_b{i}") for i in range(len(targets))])
+    inside = joined.select(g, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_t"), F.when(x[i].between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), x[i]).alias("_v"), F.col(f"_c{i}").alias("_c"))
+        for i in range(len(targets))]))).where("_v is not null")
+    # A bracket holds about BRACKET * 2 of a group's values, repeats counted once.
+    values = inside.groupBy(g, "_t", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_c").alias("_c"))
+    start = below.select(g, F.inline(F.array(*[F.struct(F.lit(i).alias("_t"), F.coalesce(f"_b{i}", F.lit(0)).alias("_b"))
+                                               for i in range(len(targets))])))
+    before = Window.partitionBy(g, "_t").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_b") + F.coalesce(F.sum("_n").over(before), F.lit(0))
+    placed = values.join(start, [g, "_t"]).withColumn("_first", first).withColumn("_last", F.col("_first") + F.col("_n") - 1)
+    lo, hi = F.floor((F.col("_c") - 1) / 2), F.ceil((F.col("_c") - 1) / 2)
+    picked = placed.groupBy(g, "_t").agg(F.max(F.when(lo.between(F.col("_first"), F.col("_last")), F.col("_v"))).alias("_l"),
+                                         F.max(F.when(hi.between(F.col("_first"), F.col("_last")), F.col("_v"))).alias("_h"))
+    half = F.col("_l") + (F.col("_h") - F.col("_l")) * F.lit(0.5)
+    # Two equal infinities have no difference; their middle is they themselves.
+    half = F.when(F.col("_l") == F.col("_h"), F.col("_l")).otherwise(half)
+    return picked.groupBy(g).agg(*[F.max(F.when(F.col("_t") == i, half)).alias(stat_name(t, g, "median")) for i, t in enumerate(targets)])
+
+
+def fit_group_stats(df: DataFrame, pairs: dict[str, Sequence[str]], median: str = "exact") -> GroupStats:
+    """Statistics of every (group column, targets) pair over all rows of ``df``.
+
+    NULL and NaN target values are missing in all statistics but ``size``; a group without values has
+    NULL statistics and std 0; the std of one value is 0. ``median='approx'`` keeps
+    the sketch's value and saves the second pass.
     """
-    ts = list(targets)
-    splits = splits or target_splits(df, ts, num_buckets)
-    vcols = [f"_v{i}" for i in range(len(ts))]
-    dbl = df.select(g, *[F.col(t).cast("double").alias(v) for t, v in zip(ts, vcols)])
-    bz = Bucketizer(splitsArray=[splits[t] for t in ts], inputCols=vcols,
-                    outputCols=[f"_b{i}" for i in range(len(ts))], handleInvalid="keep")
-    wide = bz.transform(dbl)
-    long = wide.select(g, F.inline(F.array(*[
-        F.struct(F.lit(t).alias("_t"), F.col(f"_v{i}").alias("_v"), F.col(f"_b{i}").alias("_bk"))
-        for i, t in enumerate(ts)])))
-    long = long.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    rt = running_totals(long, ["_v"], by=[g, "_t"], bucket=F.col("_bk"))
-    lo = F.floor((F.col(N_TOTAL) - 1) / 2)
-    hi = F.ceil((F.col(N_TOTAL) - 1) / 2)
-    start, end = F.col(N_BEFORE), F.col(N_BEFORE) + F.col(N) - 1
-    picked = rt.where(((lo >= start) & (lo <= end)) | ((hi >= start) & (hi <= end))).select(
-        g, "_t",
-        F.when((lo >= start) & (lo <= end), F.col("_v")).alias("_lo"),
-        F.when((hi >= start) & (hi <= end), F.col("_v")).alias("_hi"))
-    # At most two rows per (group, target) survive; the pivot back to columns is a tiny aggregation.
-    aggs = []
-    for t in ts:
-        lo_v = F.max(F.when(F.col("_t") == t, F.col("_lo")))
-        hi_v = F.max(F.when(F.col("_t") == t, F.col("_hi")))
-        aggs.append((lo_v + (hi_v - lo_v) * F.lit(0.5)).alias(stat_name(t, g, "median")))
-    return picked.groupBy(g).agg(*aggs)
-
-
-def group_stats_table(df: DataFrame, g: str, targets: Sequence[str], median: str = "exact",
-                      num_buckets: int | None = None, materialize_input: bool = False) -> DataFrame:
+    if median not in ("exact", "approx"):
+        raise ValueError(f"unknown median {median!r}")
+    groups = list(pairs)
+    targets = list(dict.fromkeys(t for ts in pairs.values() for t in ts))
+    src = materialize(df.select(*[F.col(g).alias(f"_g{j}") for j, g in enumerate(groups)],
+                                *[as_double(df, t).alias(f"_v{i}") for i, t in enumerate(targets)]), "stats_src")
+    keys = [f"_g{j}" for j in range(len(groups))]
+    aggs = [F.count(F.lit(1)).alias("_size"), F.grouping_id(*keys).alias("_set")]
+    for i in range(len(targets)):
+        x = F.col(f"_v{i}")
+        aggs += [F.count(x).alias(f"_c{i}"), F.avg(x).alias(f"_mean{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"_std{i}"),
+                 F.max(x).alias(f"_max{i}"), F.min(x).alias(f"_min{i}"),
+                 F.percentile_approx(x, F.array(*[F.lit(0.5 + d) for d in (-BRACKET, 0.0, BRACKET)]), F.lit(ACCURACY)).alias(f"_q{i}")]
+    every = materialize(src.groupingSets([[k] for k in keys], *keys).agg(*aggs), "stats")
+    # grouping_id has a bit per key, the first key highest, set where the key is not grouped.
+    full = (1 << len(keys)) - 1
+    sets = {full ^ (1 << (len(keys) - 1 - j)): j for j in range(len(keys))}
+    rows = {sets[r[0]]: int(r[1]) for r in every.groupBy("_set").count().collect()}
+
+    def table(j: int) -> DataFrame:
+        g = groups[j]
+        mine = [targets.index(t) for t in pairs[g]]
+        own = every.where((F.col("_set") == (full ^ (1 << (len(keys) - 1 - j)))) & F.col(keys[j]).isNotNull()).withColumnRenamed(keys[j], g)
+        if median == "exact":
+            bracket = own.select(g, *[c for n, i in enumerate(mine) for c in (
+                F.col(f"_c{i}").alias(f"_c{n}"), F.col(f"_q{i}")[0].alias(f"_lo{n}"), F.col(f"_q{i}")[2].alias(f"_hi{n}"))])
+            values = src.select(F.col(keys[j]).alias(g), *[F.col(f"_v{i}").alias(f"_v{n}") for n, i in enumerate(mine)]).where(F.col(g).isNotNull())
+            own = own.join(_median_table(values, bracket, g, pairs[g], rows.get(j, 0)), g, "left")
+        else:
+            own = own.select("*", *[F.col(f"_q{i}")[1].alias(stat_name(targets[i], g, "median")) for i in mine])
+        columns = []
+        for i in mine:
+            source = {s: f"_{s}{i}" for s in STATS} | {"size": "_size", "median": stat_name(targets[i], g, "median")}
+            columns += [F.col(source[s]).alias(stat_name(targets[i], g, s)) for s in STATS]
+        return materialize(own.select(g, *columns), "stats_table")
+
+    # Independent small jobs; the pool only submits them.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        tables = list(pool.map(table, range(len(groups))))
+    return GroupStats(dict(zip(groups, tables)), {g: rows.get(j, 0) for j, g in enumerate(groups)})
+
+
+def group_stats_table(df: DataFrame, g: str, targets: Sequence[str], median: str = "exact") -> DataFrame:
     """One row per (non-NULL) value of ``g`` with size, mean, std (sample, 0 for one row), median,
-    max, min of every target.
+    max, min of every target."""
+    return fit_group_stats(df, {g: [t for t in targets if t != g]}, median).tables[g]
+
 
-    ``median='approx'`` swaps the exact median for ``percentile_approx`` (bounded memory,
-    one pass, approximate)."""
-    ts = [t for t in targets if t != g]
-    src = df.select(g, *ts)
-    long = group_stats_long(src, {g: ts}, median=median, num_buckets=num_buckets)
-    cols = [F.max(F.when(F.col("_t") == t, F.col(st))).alias(stat_name(t, g, st)) for t in ts for st in STATS]
-    wide = long.groupBy("_gk").agg(*cols)
-    return wide.select(F.col("_gk").cast(df.schema[g].dataType).alias(g), *[c for c in wide.columns if c != "_gk"])
+def exact_group_medians(df: DataFrame, g: str, targets: Sequence[str]) -> DataFrame:
+    """Exact interpolated median of every target per value of group column ``g``."""
+    return group_stats_table(df, g, targets).select(g, *[stat_name(t, g, "median") for t in targets])
 
 
 def ordered_stat_columns(ts: Sequence[str], g: str) -> list[str]:
@@ -167,126 +200,12 @@ def group_stats(df: DataFrame, target: str, group: str, **kw) -> DataFrame:
     return group_stats_grid(df, [target], [group], **kw)
 
 
-def _group_key(df: DataFrame, g: str) -> Column:
-    """Group value as text (one key column for groups of any type); ``+ 0.0`` folds -0.0 into 0.0
-    for fractional keys, as Spark's own grouping does."""
-    from pyspark.sql import types as T
+def grid_pairs(targets: Sequence[str], groups: Sequence[str]) -> dict[str, list[str]]:
+    """All (group, targets) pairs with target != group; groups de-duplicated in order."""
+    pairs = {g: [t for t in targets if t != g] for g in dict.fromkeys(groups)}
+    return {g: ts for g, ts in pairs.items() if ts}
 
-    dt = df.schema[g].dataType
-    c = F.col(g) + F.lit(0.0) if isinstance(dt, (T.DoubleType, T.FloatType)) else F.col(g)
-    return c.cast("string")
 
-
-def group_stats_long(src: DataFrame, pairs: dict[str, list[str]], median: str = "exact",
-                     num_buckets: int | None = None) -> DataFrame:
-    """Statistics of every (group column, target) pair in one pass.
-
-    Every row is exploded into one (_g, _gk, _t, _v) record per pair, so a single
-    aggregation (map-side combined) yields size, mean, std, max, min for all pairs, and
-    a single prefix-sum pipeline yields all exact medians. Output: one row per
-    (_g = group column, _gk = group value as text, _t = target) with columns
-    size, mean, std, median, max, min.
-    """
-    from pyspark.ml.feature import Bucketizer as _Bz
-
-    targets = list(dict.fromkeys(t for ts in pairs.values() for t in ts))
-    tidx = {t: i for i, t in enumerate(targets)}
-    wide = src.select(*[_group_key(src, g).alias(f"_k{j}") for j, g in enumerate(pairs)],
-                      *[F.col(t).cast("double").alias(f"_v{i}") for i, t in enumerate(targets)])
-    if median == "exact":
-        splits = target_splits(src, targets, num_buckets)
-        wide = _Bz(splitsArray=[splits[t] for t in targets], inputCols=[f"_v{i}" for i in range(len(targets))],
-                   outputCols=[f"_b{i}" for i in range(len(targets))], handleInvalid="keep").transform(wide)
-    recs = []
-    gnames = list(pairs)
-    for j, (g, ts) in enumerate(pairs.items()):
-        for t in ts:
-            i = tidx[t]
-            # Small integer codes for the group column and target keep the exploded keys cheap to hash.
-            recs.append(F.struct(F.lit(j).alias("_g"), F.col(f"_k{j}").alias("_gk"), F.lit(i).alias("_t"),
-                                 F.col(f"_v{i}").alias("_v"),
-                                 (F.col(f"_b{i}") if median == "exact" else F.lit(0.0)).alias("_bk")))
-    long = wide.select(F.inline(F.array(*recs))).where(F.col("_gk").isNotNull())
-    keys = ["_g", "_gk", "_t"]
-    names = _code_names(gnames, targets)
-    x = F.col("_v")
-    if median == "approx":
-        aggs = [F.count(F.lit(1)).alias("size"), F.avg(x).alias("mean"),
-                F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.max(x).alias("max"), F.min(x).alias("min"),
-                F.percentile_approx(x, 0.5).cast("double").alias("median")]
-        return names(long.groupBy(*keys).agg(*aggs))
-    # One pass over the exploded rows: collapse to distinct values with multiplicities
-    # (map-side combined, so a hot group or value shrinks before the shuffle).
-    d = long.groupBy(*keys, "_v", "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    has = x.isNotNull()
-    first = d.groupBy(*keys).agg(
-        F.sum("_n").alias("size"), F.sum(F.when(has, F.col("_n"))).alias("_cnt"),
-        F.sum(F.col("_n") * x).alias("_s"), F.max(x).alias("max"), F.min(x).alias("min"))
-    first = first.withColumn("mean", F.col("_s") / F.col("_cnt"))
-    # Two-pass sample variance (stable): sum n * (v - mean)^2 over the distinct values.
-    dev = d.join(first.select(*keys, "mean"), keys).groupBy(*keys).agg(
-        F.sum(F.when(has, F.col("_n") * (x - F.col("mean")) * (x - F.col("mean")))).alias("_ss"))
-    stats = first.join(dev, keys, "left").select(
-        *keys, "size", "mean", F.coalesce(F.sqrt(F.try_divide(F.col("_ss"), F.col("_cnt") - 1)), F.lit(0.0)).alias("std"),
-        "max", "min")
-    # NULL and NaN values weigh 0: they take no position in the order (the median skips them).
-    weighted = d.withColumn("_w", F.when(has & ~F.isnan(x), F.col("_n")).otherwise(F.lit(0)).cast("long"))
-    rt = running_totals(weighted, ["_v"], by=keys, bucket=F.col("_bk"), counted="_w")
-    lo = F.floor((F.col(N_TOTAL) - 1) / 2)
-    hi = F.ceil((F.col(N_TOTAL) - 1) / 2)
-    start, end = F.col(N_BEFORE), F.col(N_BEFORE) + F.col(N) - 1
-    in_lo, in_hi = (lo >= start) & (lo <= end), (hi >= start) & (hi <= end)
-    med = rt.where(in_lo | in_hi).groupBy(*keys).agg(
-        F.max(F.when(in_lo, F.col("_v"))).alias("_lo"), F.max(F.when(in_hi, F.col("_v"))).alias("_hi"))
-    med = med.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)).alias("median"))
-    return names(stats.join(med, keys, "left"))
-
-
-def _code_names(gnames: list[str], targets: list[str]):
-    """Map the integer codes back to column names (two literal lookups, no join)."""
-    gmap = F.create_map(*[x for j, g in enumerate(gnames) for x in (F.lit(j), F.lit(g))])
-    tmap = F.create_map(*[x for i, t in enumerate(targets) for x in (F.lit(i), F.lit(t))])
-
-    def apply(df: DataFrame) -> DataFrame:
-        return df.withColumn("_g", gmap[F.col("_g")]).withColumn("_t", tmap[F.col("_t")])
-    return apply
-
-
-def group_stats_grid(df: DataFrame, targets: Sequence[str], groups: Sequence[str], median: str = "exact",
-                     num_buckets: int | None = None, materialize_input: bool = True) -> DataFrame:
-    """All (target, group) pairs with target != group, joined back to every row of ``df``.
-
-    All pairs are computed together by ``group_stats_long`` (one aggregation, one
-    median pipeline); the per-pair rows are then pivoted into one small table per
-    group column (size x mean x ... per target) and left-joined back on that column.
-    The statistics read a narrow projection written once to the shared checkpoint
-    folder (``materialize_input``), so the quantile pass and the exploded pass rescan a
-    small table instead of re-running ``df``'s plan. Groups are de-duplicated in order;
-    NULL group values get NULL statistics.
-    """
-    from rankfold.session import materialize
-
-    seen = list(dict.fromkeys(groups))
-    pairs = {g: [t for t in targets if t != g] for g in seen}
-    pairs = {g: ts for g, ts in pairs.items() if ts}
-    need = list(dict.fromkeys([*pairs, *[t for ts in pairs.values() for t in ts]]))
-    src = df.select(*need)
-    if materialize_input:
-        src = materialize(src, "stats_src")
-    long = group_stats_long(src, pairs, median=median, num_buckets=num_buckets)
-    if materialize_input:
-        # groups x targets rows: small; written so every per-group pivot below rescans it.
-        long = materialize(long, "stats_long")
-    out = df
-    new_cols: list[str] = []
-    for g, ts in pairs.items():
-        part = long.where(F.col("_g") == g)
-        cols = []
-        for t in ts:
-            for st in STATS:
-                cols.append(F.max(F.when(F.col("_t") == t, F.col(st))).alias(stat_name(t, g, st)))
-        wide = part.groupBy("_gk").agg(*cols)
-        wide = wide.select(F.col("_gk").cast(df.schema[g].dataType).alias(g), *[c for c in wide.columns if c != "_gk"])
-        out = out.join(wide, g, "left")
-        new_cols += ordered_stat_columns(ts, g)
-    return out.select(*df.columns, *new_cols)
+def group_stats_grid(df: DataFrame, targets: Sequence[str], groups: Sequence[str], median: str = "exact") -> DataFrame:
+    """All (target, group) pairs with target != group, fitted on ``df`` and joined back to its every row."""
+    return fit_group_stats(df, grid_pairs(targets, groups), median).transform(df)

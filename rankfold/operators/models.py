@@ -19,29 +19,19 @@ from rankfold.operators.order import gini
 
 def gbt_binary(features: str = "features", label: str = "target", max_iter: int = 100, step: float = 0.1,
                max_depth: int = 4, feature_fraction: float = 0.6, subsample: float = 0.9,
-               min_instances: int = 1, seed: int = 0, validation: str | None = None) -> GBTClassifier:
+               min_instances: int = 1, seed: int = 0) -> GBTClassifier:
     """Boosted trees with logistic loss (lgbm3 / lgbm1 / lgbm8 / xgb0 members)."""
-    kw = dict(featuresCol=features, labelCol=label, maxIter=max_iter, stepSize=step, maxDepth=max_depth,
-              maxBins=256, featureSubsetStrategy=str(feature_fraction), subsamplingRate=subsample,
-              minInstancesPerNode=min_instances, seed=seed)
-    if validation:
-        # Spark stops on relative loss improvement below validationTol (default 0.01, which halts
-        # after a round or two); a fine tolerance keeps boosting while validation loss still falls.
-        kw["validationIndicatorCol"] = validation
-        kw["validationTol"] = 1e-5
-    return GBTClassifier(**kw)
+    return GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, stepSize=step, maxDepth=max_depth,
+                         maxBins=256, featureSubsetStrategy=str(feature_fraction), subsamplingRate=subsample,
+                         minInstancesPerNode=min_instances, seed=seed)
 
 
 def gbt_regressor(features: str = "features", label: str = "y", max_iter: int = 500, step: float = 0.1,
                   max_depth: int = 6, subsample: float = 0.9, feature_fraction: float = 0.85,
-                  loss: str = "squared", seed: int = 0, validation: str | None = None) -> GBTRegressor:
+                  loss: str = "squared", seed: int = 0) -> GBTRegressor:
     """Squared-error boosted trees (OOF feature targets); ``loss='absolute'`` is the robust member."""
-    kw = dict(featuresCol=features, labelCol=label, maxIter=max_iter, stepSize=step, maxDepth=max_depth,
-              subsamplingRate=subsample, featureSubsetStrategy=str(feature_fraction), lossType=loss, seed=seed)
-    if validation:
-        kw["validationIndicatorCol"] = validation
-        kw["validationTol"] = 1e-5
-    return GBTRegressor(**kw)
+    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=max_iter, stepSize=step, maxDepth=max_depth,
+                        subsamplingRate=subsample, featureSubsetStrategy=str(feature_fraction), lossType=loss, seed=seed)
 
 
 def count_loss(features: str = "features", label: str = "target", max_iter: int = 25) -> GeneralizedLinearRegression:
@@ -99,7 +89,45 @@ class GiniEvaluator(Evaluator):
         return True
 
 
-def best_round(model, valid: DataFrame) -> int:
-    """1-based boosting round with the lowest validation loss (``evaluateEachIteration``)."""
-    losses = model.evaluateEachIteration(valid)
-    return int(min(range(len(losses)), key=lambda i: losses[i])) + 1
+def staged_scores(model, df: DataFrame, key: str = "id", keep=("fold",)) -> DataFrame:
+    """(key, keep..., round, score): the margin of every prefix of a boosted model's trees, in one pass over ``df``."""
+    columns = [c for c in keep if c in df.columns]
+    staged, prefix = df, []
+    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
+        tree = tree.copy()
+        tree.setPredictionCol(f"_t{i}")
+        staged = tree.transform(staged)
+        step = F.lit(float(weight)) * F.col(f"_t{i}")
+        prefix.append(step if i == 0 else F.col(f"_m{i - 1}") + step)
+        staged = staged.withColumn(f"_m{i}", prefix[-1])
+    rounds = F.array(*[F.struct(F.lit(i + 1).alias("round"), F.col(f"_m{i}").alias("score")) for i in range(len(prefix))])
+    return staged.select(key, *columns, F.inline(rounds))
+
+
+def stop_with_patience(ginis: list[float | None], patience: int) -> tuple[int, int]:
+    """(best round, round at which training would stop): stop once ``patience`` rounds bring no better Gini. 1-based."""
+    best, top = 1, None
+    for i, g in enumerate(ginis, 1):
+        if g is not None and (top is None or g > top):
+            best, top = i, g
+        elif i - best >= patience:
+            return best, i
+    return best, len(ginis)
+
+
+def early_stopped(rows: DataFrame, valid: DataFrame, estimator, label: str = "target", patience: int = 10, key: str = "id"):
+    """Fit all allowed rounds, score ``valid`` after each, keep the best prefix under the patience rule.
+
+    Returns (model, best round, stop round, Gini by round). The allowed rounds bound what reaches the driver.
+    """
+    model = estimator.fit(rows)
+    staged = staged_scores(model, valid, key, keep=()).join(valid.select(key, label), key)
+    by_round = {r["round"]: r["gini"] for r in gini(staged, label, "score", by=["round"]).collect()}
+    ginis = [by_round.get(i + 1) for i in range(len(model.trees))]
+    return (model, *stop_with_patience(ginis, patience), ginis)
+
+
+def predict_prefix(model, df: DataFrame, rounds: int, key: str = "id") -> DataFrame:
+    """(key, score) of the first ``rounds`` trees: the probability of class 1 under the logistic loss."""
+    staged = staged_scores(model, df, key, keep=()).where(F.col("round") == rounds)
+    return staged.select(key, (1 / (1 + F.exp(-2 * F.col("score")))).alias("score"))

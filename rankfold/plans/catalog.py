@@ -22,21 +22,23 @@ from rankfold.operators import crossfit as CF
 from rankfold.operators import encode as EN
 from rankfold.operators import features as FE
 from rankfold.operators import order as OR
+from rankfold.operators.categories import distinct_counts, fit_categories
 from rankfold.plans import oracle as O
 from rankfold.roles import FeatureRoles
-from rankfold.session import scratch_dir
+from rankfold.session import materialize, scratch_dir
 from rankfold.sources import files as IO
-from rankfold.sources.fixtures import GRID_GROUPS, GRID_TARGETS, base, planted_label, pseudo_scores
+from rankfold.sources.fixtures import GRID_GROUPS, GRID_TARGETS, PSEUDO_MODELS, base, planted_label, pseudo_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql=None):
+    """Register a job under ``name`` with its SQL (text, or a function that makes it)."""
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = sql() if callable(sql) else sql
         fn.__name__ = name
         return fn
     return deco
@@ -68,9 +70,16 @@ ROLES = FeatureRoles(tuple(["id", "split", "target"] + O.FEATURES))
 CATS = ROLES.cat                      # 5 categoricals (2 int, 3 string)
 NUM = ROLES.num                       # numeric block without calc
 IND = ROLES.family("ind")
+FAMILIES = {fam: ROLES.family(fam) for fam in ("ind", "reg", "car")}
 CAR_NUM = [c for c in ROLES.family("car") if c not in CATS]
-PSEUDO = ["m_reg03", "m_calc01", "m_car15", "m_ind15"]
-BLEND_W = {"m_reg03": 0.5, "m_calc01": 0.25, "m_car15": -0.1, "m_ind15": 0.35}
+PSEUDO = list(PSEUDO_MODELS)
+BLEND_W = BL.REFERENCE_WEIGHTS
+
+_DTYPES = {"f_ind_01": "int", "f_ind_02_cat": "int", "f_ind_03": "int", "f_ind_04_cat": "string",
+           "f_ind_06_bin": "int", "f_ind_15": "int", "f_reg_01": "double", "f_reg_02_cat": "int",
+           "f_reg_03": "double", "f_car_01_cat": "string", "f_car_02_cat": "string", "f_car_11": "double",
+           "f_car_12": "double", "f_car_13": "double", "f_car_15": "double", "f_calc_01": "double",
+           "id": "bigint", "target": "int"}
 
 
 def _cols(cs) -> str:
@@ -103,9 +112,7 @@ def q_src_csv_pruned(spark, sf_dir):
     return _csv_roundtrip(spark, sf_dir, columns=["id", "target"])
 
 
-_PSEUDO_SQL = " union all ".join(
-    f"select id, '{m}' as model, split, cast({c} as double) as score from base"
-    for m, c in {"m_reg03": "f_reg_03", "m_calc01": "f_calc_01", "m_car15": "f_car_15", "m_ind15": "f_ind_15"}.items())
+_PSEUDO_SQL = " union all ".join(f"select id, '{m}' as model, split, cast({c} as double) as score from base" for m, c in PSEUDO_MODELS.items())
 
 
 @query("src_predictions", O.with_ctes(f"select * from ({_PSEUDO_SQL}) s"))
@@ -117,13 +124,13 @@ def q_src_predictions(spark, sf_dir):
 
 
 @query("src_feature_block", O.with_ctes(
-    f"select id, split, target, {O.missing_sql()} as missing from base where split = 'train'"))
+    f"select id, split, target, {O.missing_sql()} as missing from base"))
 def q_src_feature_block(spark, sf_dir):
-    """Persist a feature block partitioned by split, load its train part, join the label back on id."""
+    """Persist a feature block partitioned by split, load its train and test parts, join the label back on id."""
     b = base(spark, sf_dir)
     path = scratch_dir(spark, "block")
     IO.write_feature_block(b.select("id", "split", RW.missing_count(b, O.FEATURES).alias("missing")), path)
-    blk = IO.read_feature_block(spark, path, split="train")
+    blk = IO.read_feature_block(spark, path, split="train").unionByName(IO.read_feature_block(spark, path, split="test"))
     return blk.join(b.select("id", "target"), "id").select("id", "split", "target", "missing")
 
 
@@ -210,29 +217,34 @@ def _bag_models_sql(seeds, frac=0.9) -> list[str]:
     return ctes
 
 
-_SEEDS = [0, 1, 2]
+CHECKPOINT_SEEDS = list(range(8))
 
 
 @query("snk_checkpoint_pred", O.with_ctes(
-    "select id, seed, " + O.r6("avg(sc) over (partition by id order by seed rows between unbounded preceding "
-                               "and current row)") + " as score from (" + " union all ".join(
-        f"select t.id, {s} as seed, avg(m.a + m.b * t.f_reg_03) as sc from planted t, m{s} m "
-        f"where t.split = 'test' group by t.id" for s in _SEEDS) + ") x",
-    O.PLANTED_CTE, *_bag_models_sql(_SEEDS)))
+    "select id, split, seed, " + O.pct_rank_sql("sc", ["split", "seed"]) + " as score from (select id, split, seed, " +
+    O.r6("avg(sc) over (partition by id order by seed rows between unbounded preceding and current row)") + " as sc from (" +
+    " union all ".join(
+        f"select t.id, 'test' as split, {s} as seed, avg(m.a + m.b * t.f_reg_03) as sc from planted t, m{s} m where t.split = 'test' "
+        f"group by t.id union all select fo.id, 'train' as split, {s} as seed, m.a + m.b * fo.f_reg_03 as sc from fo join m{s} m "
+        f"on m.k = fo.fold" for s in CHECKPOINT_SEEDS) + ") x) y",
+    O.PLANTED_CTE, *_bag_models_sql(CHECKPOINT_SEEDS)))
 def q_snk_checkpoint_pred(spark, sf_dir):
-    """After each seed overwrite only partition seed=s with the running mean of the test predictions."""
+    """After each seed overwrite only partition seed=s of the out-of-fold and the test file with the ranked running mean."""
     b = planted_label(base(spark, sf_dir))
-    tr = CF.stratified_folds(train_of(b))
-    te = b.where(F.col("split") == "test")
-    path = scratch_dir(spark, "interim")
-    running = None
-    for s in _SEEDS:
-        sc = CF.test_average(CF.ols_crossfit(tr, "f_reg_03", "target", test=te, subsample=0.9, seed=s))
-        cur = sc.select("id", F.col("score").alias(f"s{s}"))
-        running = cur if running is None else running.join(cur, "id")
-        mean = sum(F.col(f"s{i}") for i in _SEEDS[: s + 1]) / F.lit(float(s + 1))
-        IO.write_checkpoint_scores(running.select("id", r6(mean).alias("score")), path, s)
-    return spark.read.parquet(path).select("id", "seed", "score")
+    tr = materialize(CF.stratified_folds(train_of(b)), "cv_train")
+    te = materialize(b.where(F.col("split") == "test"), "cv_test")
+    paths = {split: scratch_dir(spark, f"interim_{split}") for split in ("train", "test")}
+    totals: dict[str, DataFrame] = {}
+    for s in CHECKPOINT_SEEDS:
+        sc = CF.ols_crossfit(tr, "f_reg_03", "target", test=te, subsample=0.9, seed=s)
+        parts = {"train": sc.where(F.col("split") == "train").select("id", "score"), "test": CF.test_average(sc).select("id", "score")}
+        for split, path in paths.items():
+            totals[split] = CF.add_scores(totals.get(split), parts[split])
+            mean = totals[split].select("id", r6(F.col("score") / F.lit(float(s + 1))).alias("mean"))
+            ranked = OR.pct_rank(mean, "mean", out="score").select("id", "score")
+            IO.write_checkpoint_scores(ranked, path, s)
+    both = [spark.read.parquet(path).select("id", F.lit(split).alias("split"), "seed", "score") for split, path in paths.items()]
+    return both[0].unionByName(both[1])
 
 
 # ============================================================ 2.2 projections and filters
@@ -250,13 +262,6 @@ def q_proj_select_roles(spark, sf_dir):
     return b.select("id", *FeatureRoles.of(b).num)
 
 
-_DTYPES = {"f_ind_01": "int", "f_ind_02_cat": "int", "f_ind_03": "int", "f_ind_04_cat": "string",
-           "f_ind_06_bin": "int", "f_ind_15": "int", "f_reg_01": "double", "f_reg_02_cat": "int",
-           "f_reg_03": "double", "f_car_01_cat": "string", "f_car_02_cat": "string", "f_car_11": "double",
-           "f_car_12": "double", "f_car_13": "double", "f_car_15": "double", "f_calc_01": "double",
-           "id": "bigint", "target": "int"}
-
-
 def _level(c):
     roles = FeatureRoles(tuple(_DTYPES), {k: T.DoubleType() if v == "double" else T.IntegerType()
                                           for k, v in _DTYPES.items()})
@@ -268,16 +273,15 @@ def _level(c):
     f"cast(sum(case when {O.sentinel(c)} then 1 else 0 end) as bigint) as n_missing, "
     f"count(distinct {c}) as n_distinct from base" for c in ["id", "target"] + O.FEATURES)))
 def q_meta_feature_profile(spark, sf_dir):
-    """Variable metadata (level, keep, dtype) plus missing and distinct counts, from one aggregation."""
+    """Variable metadata (level, keep, dtype) plus missing and distinct counts; distinct values are
+    counted per unpivoted column."""
     b = base(spark, sf_dir).drop("split")
     roles = FeatureRoles.of(b, keys=())
     cols = b.columns
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.sum(RW.is_sentinel(b, c).cast("long")).alias(f"m{i}"), F.countDistinct(c).alias(f"d{i}")]
-    one = b.agg(*aggs)
-    stack = ", ".join(f"'{c}', m{i}, d{i}" for i, c in enumerate(cols))
-    long = one.selectExpr(f"stack({len(cols)}, {stack}) as (varname, n_missing, n_distinct)")
+    one = b.agg(*[F.sum(RW.is_sentinel(b, c).cast("long")).alias(f"m{i}") for i, c in enumerate(cols)])
+    stack = ", ".join(f"'{c}', m{i}" for i, c in enumerate(cols))
+    missing = one.selectExpr(f"stack({len(cols)}, {stack}) as (varname, n_missing)")
+    long = missing.join(distinct_counts(b, cols).withColumnRenamed("column", "varname"), "varname")
     meta = spark.createDataFrame(
         [(c, roles.level(c), c != "id", b.schema[c].dataType.simpleString()) for c in cols],
         "varname string, level string, keep boolean, dtype string")
@@ -359,8 +363,8 @@ def q_proj_recode_negative(spark, sf_dir):
 def q_proj_overlay_column(spark, sf_dir):
     """Overlay f_reg_03 with an externally repaired version that covers the train rows only."""
     b = base(spark, sf_dir)
-    repaired = train_of(b).select("id", F.abs("f_reg_03").alias("_new"))
-    return b.join(repaired, "id", "left").select("id", F.coalesce("_new", "f_reg_03").alias("f_reg_03"))
+    repaired = train_of(b).select("id", F.abs("f_reg_03").alias("f_reg_03"))
+    return FE.overlay_column(b.select("id", "f_reg_03"), repaired, "f_reg_03")
 
 
 _HSTACK_COLS = NUM + [f"{c}_count" for c in CATS]
@@ -425,12 +429,23 @@ def q_interact_all_pairs(spark, sf_dir):
     return round_doubles(b.select("id", *_spark_interactions(b)))
 
 
-@query("composite_key", O.with_ctes(
-    "select id, " + " || '_' || ".join(f"cast({c} as varchar)" for c in IND) + " as new_ind from base"))
+# Decimal texts of doubles differ between engines, so the key of a family is compared with whole-number
+# members as text and fractional ones as hundredths.
+def _key_form(c: str) -> str:
+    return f"cast(cast(floor({c} * 100 + 0.5) as bigint) as string)" if _DTYPES[c] == "double" else c
+
+
+def _key_sql(cols) -> str:
+    return " || '_' || ".join(f"cast({_key_form(c).replace('as string', 'as varchar')} as varchar)" for c in cols)
+
+
+@query("composite_key", lambda: O.with_ctes(
+    "select id, " + ", ".join(f"{_key_sql(cs)} as new_{f}" for f, cs in FAMILIES.items()) + " from base"))
 def q_composite_key(spark, sf_dir):
-    """String forms of the ind family joined with '_'."""
+    """String forms of every family's members joined with '_' (doubles in hundredths)."""
     b = base(spark, sf_dir)
-    return b.select("id", RW.composite_key(FeatureRoles.of(b).family("ind")).alias("new_ind"))
+    x = b.select("id", *[F.expr(_key_form(c)).alias(c) for c in O.FEATURES])
+    return x.select("id", *[RW.composite_key(cs).alias(f"new_{f}") for f, cs in FAMILIES.items()])
 
 
 # ============================================================ 2.4 joins
@@ -439,16 +454,15 @@ _LS = ("f_reg_03", "f_reg_02_cat")
 
 
 @query("join_left_stats", O.with_ctes(
-    "select b.id, b.f_reg_02_cat, s._n as n_train, " + O.r6("s._m") + " as mean_train from base b left join "
-    "(select f_reg_02_cat, count(*) _n, avg(f_reg_03) _m from base where split = 'train' group by f_reg_02_cat) s "
-    "on s.f_reg_02_cat = b.f_reg_02_cat"))
+    "select b.id, b.f_reg_02_cat, " + ", ".join(
+        (f's."{FE.stat_name(*_LS, k)}"' if k == "size" else O.r6(f's."{FE.stat_name(*_LS, k)}"')) + f' as "{FE.stat_name(*_LS, k)}"'
+        for k in FE.STATS) + " from base b left join s on s.f_reg_02_cat = b.f_reg_02_cat",
+    "tr as (select * from base where split = 'train')", "s as (" + _stat_sql_select(*_LS, src="tr") + ")"))
 def q_join_left_stats(spark, sf_dir):
-    """Left join of every row with statistics computed on the train rows per group."""
+    """Six statistics fitted per group on the train rows, applied to every row."""
     b = base(spark, sf_dir)
-    st = train_of(b).groupBy("f_reg_02_cat").agg(F.count(F.lit(1)).alias("n_train"),
-                                                 F.avg("f_reg_03").alias("mean_train"))
-    return b.select("id", "f_reg_02_cat").join(st, "f_reg_02_cat", "left").select(
-        "id", "f_reg_02_cat", "n_train", r6("mean_train").alias("mean_train"))
+    fitted = FE.fit_group_stats(train_of(b), FE.grid_pairs(_LS[:1], _LS[1:]))
+    return round_doubles(fitted.transform(b.select("id", "f_reg_02_cat")))
 
 
 @query("join_inner_stats", O.with_ctes(
@@ -470,14 +484,11 @@ def q_join_inner_stats(spark, sf_dir):
 def q_join_map_lookup(spark, sf_dir):
     """Dictionary lookup with default 0: counts fitted on train rows, looked up for all rows."""
     b = base(spark, sf_dir)
-    d = train_of(b).groupBy("f_car_01_cat").agg(F.count(F.lit(1)).alias("f_car_01_cat_count"))
-    return b.select("id", "f_car_01_cat").join(d, "f_car_01_cat", "left").select(
-        "id", "f_car_01_cat", F.coalesce("f_car_01_cat_count", F.lit(0)).alias("f_car_01_cat_count"))
+    return FE.value_counts(b.select("id", "f_car_01_cat"), ["f_car_01_cat"], fit_df=train_of(b))
 
 
 @query("join_predictions", O.with_ctes(
-    "select b.id, b.split, " + ", ".join(f"cast({c} as double) as {m}" for m, c in zip(
-        PSEUDO, ["f_reg_03", "f_calc_01", "f_car_15", "f_ind_15"])) + " from base b"))
+    "select b.id, b.split, " + ", ".join(f"cast({c} as double) as {m}" for m, c in PSEUDO_MODELS.items()) + " from base b"))
 def q_join_predictions(spark, sf_dir):
     """Member scores side by side on id; the job fails if a member misses an id."""
     return BL.join_members(pseudo_scores(base(spark, sf_dir)), PSEUDO)
@@ -495,13 +506,23 @@ def q_agg_value_counts(spark, sf_dir):
     return FE.value_counts(b, CATS).select("id", *[f"{c}_count" for c in CATS])
 
 
+def _composite_sql() -> list[str]:
+    return [f"k_{f} as (select {_cols(cs)}, count(*) n from base group by {_cols(cs)})" for f, cs in FAMILIES.items()]
+
+
+def _composite_joins() -> str:
+    return " ".join(f"join k_{f} on " + " and ".join(f"k_{f}.{c} = b.{c}" for c in cs) for f, cs in FAMILIES.items())
+
+
 @query("agg_composite_counts", O.with_ctes(
-    f"select b.id, k.n as new_ind_count from base b join (select {_cols(IND)}, count(*) n from base "
-    f"group by {_cols(IND)}) k on " + " and ".join(f"k.{c} = b.{c}" for c in IND)))
+    "select b.id, " + ", ".join(f"k_{f}.n as new_{f}_count" for f in FAMILIES) + f" from base b {_composite_joins()}", *_composite_sql()))
 def q_agg_composite_counts(spark, sf_dir):
-    """Frequency of the ind-family combination, grouped on the columns (null-safe join back)."""
-    b = base(spark, sf_dir)
-    return FE.composite_counts(b, IND, "new_ind_count").select("id", "new_ind_count")
+    """Frequency of each family's combination, grouped on the columns (null-safe join back)."""
+    b = materialize(base(spark, sf_dir), "wide")
+    out = b
+    for f, cs in FAMILIES.items():
+        out = FE.composite_counts(out, cs, f"new_{f}_count")
+    return out.select("id", *[f"new_{f}_count" for f in FAMILIES])
 
 
 @query("agg_cat_size", O.with_ctes(
@@ -542,22 +563,19 @@ def q_agg_group_stats_wide_grid(spark, sf_dir):
 
 
 @query("agg_nunique", O.with_ctes(
-    f"select (select count(*) from (select distinct {_cols(IND)} from base) d) as new_ind_nunique, " +
+    "select " + ", ".join(f"(select count(*) from (select distinct {_cols(cs)} from base) d) as new_{f}_nunique"
+                          for f, cs in FAMILIES.items()) + ", " +
     ", ".join(f"(select count(distinct {c}) from base) as {c}_nunique" for c in CATS)))
 def q_agg_nunique(spark, sf_dir):
-    """Distinct count of the ind composite key and of every categorical."""
-    b = base(spark, sf_dir)
-    return b.agg(F.countDistinct(*IND).alias("new_ind_nunique"), *[F.countDistinct(c).alias(f"{c}_nunique")
-                                                                   for c in CATS])
+    """Distinct count of every family's composite key and of every categorical."""
+    return FE.nunique(base(spark, sf_dir), CATS, {f"new_{f}": cs for f, cs in FAMILIES.items()})
 
 
 @query("agg_label_max", O.with_ctes(
     "select " + ", ".join(f"cast(count(distinct {c}) - 1 as int) as {c}_max" for c in CATS) + " from base"))
 def q_agg_label_max(spark, sf_dir):
-    """Largest label code per categorical (codes fitted on train+test)."""
-    b = base(spark, sf_dir)
-    enc = EN.label_encode(b, CATS)
-    return EN.max_code(enc, CATS)
+    """Largest label code per categorical, read from the fitted categories (train+test)."""
+    return fit_categories(base(spark, sf_dir), CATS).largest_codes()
 
 
 @query("agg_mean_median_std", O.with_ctes(
@@ -738,13 +756,42 @@ def q_sel_f_classif(spark, sf_dir):
     return sc.select("feature", r6("f_value", 4).alias("f_value"), "keep")
 
 
+_SPEARMAN = [f"{c}_count" for c in CATS] + ["new_ind_count"]
+
+
 @query("sta_spearman", O.with_ctes(
     " union all ".join(
-        f"select '{c}_count' as feature, {O.r6('corr(rl, rc)')} as spearman from (select "
-        f"{O.pct_rank_sql('target')} as rl, {O.pct_rank_sql('n')} as rc from (select b.target, k.n from base b "
-        f"join (select {c}, count(*) n from base group by {c}) k on k.{c} = b.{c} where b.split = 'train') x) y"
-        for c in CATS)))
+        f"select '{c}' as feature, {O.r6('corr(rl, rc)')} as spearman from (select {O.pct_rank_sql('target')} as rl, "
+        f"{O.pct_rank_sql(c)} as rc from cn) y" for c in _SPEARMAN),
+    "cn as (select b.target, " + ", ".join(f"k{i}.n as {c}_count" for i, c in enumerate(CATS)) + ", k_ind.n as new_ind_count from base b " +
+    " ".join(f"join (select {c}, count(*) n from base group by {c}) k{i} on k{i}.{c} = b.{c}" for i, c in enumerate(CATS)) +
+    f" join (select {_cols(IND)}, count(*) n from base group by {_cols(IND)}) k_ind on " + " and ".join(f"k_ind.{c} = b.{c}" for c in IND) +
+    " where b.split = 'train')"))
 def q_sta_spearman(spark, sf_dir):
-    """Spearman correlation of the label with every count feature (train rows)."""
-    b = FE.value_counts(base(spark, sf_dir), CATS)
-    return round_doubles(EN.spearman_with_label(train_of(b), "target", [f"{c}_count" for c in CATS]))
+    """Spearman correlation of the label with every count feature, the composite's included (train rows)."""
+    b = FE.value_counts(materialize(base(spark, sf_dir), "wide"), CATS)
+    b = FE.composite_counts(b, IND, "new_ind_count")
+    return round_doubles(EN.spearman_with_label(train_of(b), "target", _SPEARMAN))
+
+
+# ============================================================ flagship
+
+def _flagship_sql() -> str:
+    codes = [_code_sql(c, "true", True) for c in CATS]
+    grid = _grid_sql(GRID_TARGETS, GRID_GROUPS)
+    body = grid[grid.rindex("\nselect b.id"):]
+    ctes = grid[len(O.with_ctes("")) - 1: grid.rindex("\nselect b.id")].strip().lstrip(",")
+    new = [f"{O.r6(O.missing_sql().replace('f_', 'b.f_'))} as missing", *[e.replace("cast(f_", "cast(b.f_") for e in _sql_interactions(O.nonfinite0)],
+           *[f"{e} as {c}__code" for (_, e), c in zip(codes, CATS)], *[f"kc{i}.n as {c}_count" for i, c in enumerate(CATS)],
+           *[f"k_{f}.n as new_{f}_count" for f in FAMILIES]]
+    joins = " ".join(f"join (select {c}, count(*) n from base group by {c}) kc{i} on kc{i}.{c} = b.{c}" for i, c in enumerate(CATS))
+    body = body.replace("select b.id, b.split, ", "select b.id, b.split, " + ", ".join(new) + ", ", 1)
+    return O.with_ctes(body + f" {joins} {_composite_joins()}", ctes, *[c for c, _ in codes], *_composite_sql())
+
+
+@query("flagship_feature_matrix", _flagship_sql)
+def q_flagship_feature_matrix(spark, sf_dir):
+    """The whole feature matrix of the neural-net member (all columns that it adds to the wide table)."""
+    from rankfold.plans.flagship import feature_matrix
+    out = feature_matrix(spark, sf_dir)
+    return round_doubles(out.select("id", "split", *[c for c in out.columns if c not in ("id", "split", "target", *O.FEATURES)]))

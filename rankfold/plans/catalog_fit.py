@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +14,12 @@ from rankfold.operators import encode as EN
 from rankfold.operators import features as FE
 from rankfold.operators import models as MD
 from rankfold.operators import order as OR
+from rankfold.functions import rowwise as RW
+from rankfold.operators.categories import fit_categories
 from rankfold.plans import oracle as O
-from rankfold.plans.catalog import (BLEND_W, CAR_NUM, CATS, NUM, PSEUDO, _blend_sql_ctes, _bag_models_sql,
-                                    query, r6, round_doubles, train_of)
+from rankfold.plans.catalog import BLEND_W, CATS, FAMILIES, NUM, _bag_models_sql, _blend_sql_ctes, query, r6, train_of
 from rankfold.session import materialize
-from rankfold.sources.fixtures import base, planted_label, pseudo_scores
+from rankfold.sources.fixtures import GRID_TARGETS, base, planted_label, pseudo_scores
 
 # ============================================================ 2.9 folds and cross-fitting
 
@@ -78,33 +81,55 @@ def q_cv_test_rank_sum(spark, sf_dir):
     return rk.groupBy("id").agg(r6(F.sum("p")).alias("score"))
 
 
+# Each family's numeric columns and the two predictors outside the family that the registered job uses.
+_OOF = {fam: [c for c in cols if c not in CATS and not c.endswith("_bin")] for fam, cols in FAMILIES.items()}
+_OOF_X = {"ind": ["f_reg_03", "f_calc_01"], "reg": ["f_car_15", "f_calc_01"], "car": ["f_reg_03", "f_calc_01"]}
+_OOF_PAIRS = {y: _OOF_X[fam] for fam, ys in _OOF.items() for y in ys}
+
+
 def _oof_targets_sql() -> str:
-    ctes = [f"fa as (select *, {O.fold_sql(None)} as fold from base)"]
-    sels, joins = [], []
-    for i, t in enumerate(CAR_NUM):
-        ctes.append(O.ols_fold_models(f"t{i}", "fa", "f_calc_01", t))
+    ctes, sels, joins = [f"fa as (select *, {O.fold_sql(None)} as fold from base)"], [], []
+    for i, (y, (a, b)) in enumerate(_OOF_PAIRS.items()):
+        d = lambda c: f"cast(t.{c} as double)"
+        ctes.append(
+            f"q{i} as (select f.fold as k, var_pop({d(a)}) saa, var_pop({d(b)}) sbb, covar_pop({d(a)}, {d(b)}) sab, covar_pop({d(a)}, {d(y)}) say, "
+            f"covar_pop({d(b)}, {d(y)}) sby, avg({d(a)}) ma, avg({d(b)}) mb, avg({d(y)}) my from (select distinct fold from fa) f "
+            f"join fa t on t.fold <> f.fold group by f.fold)")
+        ctes.append(f"t{i} as (select k, (say * sbb - sby * sab) / (saa * sbb - sab * sab) wa, (sby * saa - say * sab) / (saa * sbb - sab * sab) wb, "
+                    f"ma, mb, my from q{i})")
         joins.append(f"join t{i} on t{i}.k = fa.fold")
-        sels.append(O.r6(f"t{i}.a + t{i}.b * fa.f_calc_01") + f" as oof_{t}")
+        sels.append(O.r6(f"(t{i}.my + t{i}.wa * (fa.{a} - t{i}.ma) + t{i}.wb * (fa.{b} - t{i}.mb))", 4) + f" as oof_{y}")
     return O.with_ctes("select fa.id, fa.split, " + ", ".join(sels) + " from fa " + " ".join(joins), *ctes)
 
 
-@query("feat_oof_targets", _oof_targets_sql())
+@query("feat_oof_targets", _oof_targets_sql)
 def q_feat_oof_targets(spark, sf_dir):
-    """OOF features: every numeric car column regressed on a column outside the family (f_calc_01) with
+    """OOF features: every numeric column of each family regressed on two columns outside it with
     5-fold cross-fitting over train+test; the held-out prediction becomes the feature."""
     b = materialize(CF.kfold(base(spark, sf_dir)), "oof_input")
-    out = b.select("id", "split")
-    for t in CAR_NUM:
-        oof = CF.ols_crossfit(b, "f_calc_01", t).select("id", r6("score").alias(f"oof_{t}"))
-        out = out.join(oof, "id")
-    return out
+    out = CF.oof_target_features(b, _OOF_PAIRS)
+    return out.select("id", "split", *[r6(f"oof_{y}", 4).alias(f"oof_{y}") for y in _OOF_PAIRS])
 
 
-_SEEDS = [0, 1, 2]
+@query("feat_oof_boosted", O.with_ctes(
+    "select fold, count(*) as n_rows, count(*) as n_ids, count(*) as n_finite, true as follows from "
+    f"(select id, {O.fold_sql(None)} as fold from base) x group by fold"))
+def q_feat_oof_boosted(spark, sf_dir):
+    """The boosted form of the same feature for f_car_11 from all numeric columns outside its family:
+    rows, ids and finite scores of every fold, and whether the score follows the target."""
+    b = materialize(CF.kfold(base(spark, sf_dir)), "oof_input")
+    xs = [c for c in NUM if c not in FAMILIES["car"]] + ["f_calc_01"]
+    got = CF.oof_learned_features(b, {"f_car_11": xs}, lambda x, y: MD.gbt_regressor(x, y, max_iter=ROUNDS))
+    j = got.join(b.select("id", "f_car_11"), "id")
+    return j.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.count(F.when(F.abs("oof_f_car_11") < 1e9, 1)).alias("n_finite"),
+        (F.corr("oof_f_car_11", "f_car_11") > 0).alias("follows"))
 
 
-def _bag_scores(spark, sf_dir) -> DataFrame:
-    tr, te = _planted_folds(spark, sf_dir)
+_SEEDS = list(range(16))
+
+
+def _bag_scores(tr: DataFrame, te: DataFrame) -> DataFrame:
     parts = [CF.ols_crossfit(tr, "f_reg_03", "target", test=te, subsample=0.9, seed=s) for s in _SEEDS]
     out = parts[0]
     for p in parts[1:]:
@@ -122,8 +147,8 @@ _BAG_SQL_SCORES = " union all ".join(
     f"select id, split, {O.r6('avg(sc)')} as score from ({_BAG_SQL_SCORES}) x group by id, split",
     O.PLANTED_CTE, *_bag_models_sql(_SEEDS)))
 def q_bag_seeds(spark, sf_dir):
-    """Whole cross-fit repeated with seeds 0..2 (seeded 90 % row subsample per fit), scores averaged."""
-    return CF.seed_average(_bag_scores(spark, sf_dir)).select("id", "split", r6("score").alias("score"))
+    """Whole cross-fit repeated with seeds 0..15 (seeded 90 % row subsample per fit), scores averaged."""
+    return CF.seed_average(_bag_scores(*_planted_folds(spark, sf_dir))).select("id", "split", r6("score").alias("score"))
 
 
 @query("bag_running_score", O.with_ctes(
@@ -135,8 +160,8 @@ def q_bag_seeds(spark, sf_dir):
     *O.gini_ctes("g", "rs", "target", "rsc", ["seed"])))
 def q_bag_running_score(spark, sf_dir):
     """Gini of the running mean of the OOF scores after each seed."""
-    sc = _bag_scores(spark, sf_dir).where(F.col("split") == "train")
-    tr, _ = _planted_folds(spark, sf_dir, test=False)
+    tr, te = _planted_folds(spark, sf_dir)
+    sc = _bag_scores(tr, te).where(F.col("split") == "train")
     g = CF.running_seed_gini(sc, tr)
     return g.select("seed", r6("gini").alias("gini"))
 
@@ -149,13 +174,13 @@ def q_bag_running_score(spark, sf_dir):
 def q_blend_rank_equal(spark, sf_dir):
     """0.5/0.5 mean of two members' percentile ranks."""
     sc = pseudo_scores(base(spark, sf_dir))
-    return BL.blend_equal(sc, "m_reg03", "m_car15")
+    return BL.blend_equal(sc, "keras5", "xgb0")
 
 
 @query("blend_rank_weighted", O.with_ctes("select id, split, score from bl",
                                           *_blend_sql_ctes(False)))
 def q_blend_rank_weighted(spark, sf_dir):
-    """Weighted sum (negative weights allowed) of four members' percentile ranks per split."""
+    """Weighted sum (negative weights allowed) of thirteen members' percentile ranks per split."""
     sc = pseudo_scores(base(spark, sf_dir))
     return BL.blend(sc, BLEND_W)
 
@@ -190,171 +215,203 @@ def q_eval_gini_by_fold(spark, sf_dir):
     return OR.gini(oof, "target", "score", by=["fold"]).select("fold", r6("gini").alias("gini"), "n")
 
 
-# ============================================================ 2.11 models (no SQL oracle)
-
-_MODEL_K = 2        # folds used by the registered model queries (the library default is 5)
-_MODEL_ROUNDS = 5   # boosting rounds / epochs used by the registered model queries
-
-
-def _model_frame(spark, sf_dir, scale: bool = False):
-    """Numeric block + count features + one-hot categoricals as one vector, planted label, folds.
-
-    Written to the shared checkpoint folder before the fold loop so each fit rescans it.
-    """
-    b = planted_label(base(spark, sf_dir))
-    b = FE.value_counts(b, CATS)
-    cnt = [f"{c}_count" for c in CATS]
+# ============================================================ 2.11 models
+
+FOLDS = 5
+ROUNDS = 10      # boosting rounds, epochs and solver steps of the registered jobs; the recipes' defaults are the reference's
+FIT_SEEDS = (0, 1, 2, 3)
+PATIENCE = 3     # rounds without a better Gini before a fit stops
+
+# Blocks of every member's input and whether it is standard-scaled.
+RECIPES = {
+    "gbt_binary": (("num", "counts", "onehot", "missing", "inter"), False),
+    "gbt_regressor": (("num", "counts"), False),
+    "count_loss": (("num", "counts", "onehot"), True),
+    "robust_loss": (("num", "counts", "composite"), False),
+    "gbt_sampled": (("num", "counts", "onehot", "composite", "missing"), False),
+    "gbt_scaled": (("num", "counts", "inter", "stats"), True),
+    "logistic": (("num", "onehot", "inter", "counts"), True),
+    "mlp": (("num", "counts", "missing", "inter"), True),
+    "mlp_categorical": (("num", "onehot"), True),
+}
+
+
+def member_frame(spark, sf_dir, member: str) -> tuple[DataFrame, DataFrame]:
+    """(train with folds, test) of a member: its blocks as one vector, written once before the fold loop."""
+    blocks, scale = RECIPES[member]
+    b = materialize(planted_label(base(spark, sf_dir)), "member_base")
+    x, dense = b.select("*", RW.missing_count(b, O.FEATURES).alias("missing")), list(NUM)
+    if "missing" in blocks:
+        dense.append("missing")
+    if "inter" in blocks:
+        names = [f"inter_{i}_{op}" for i in range(15) for op in ("mul", "div")]
+        x = x.select("*", *RW.all_pair_interactions(GRID_TARGETS))
+        x = x.select(*[c for c in x.columns if c not in names], *[RW.nonfinite_to_zero(c).alias(c) for c in names])
+        dense += names
+    fitted = fit_categories(b, CATS)
+    if "counts" in blocks:
+        x = fitted.count(x)
+        dense += [f"{c}_count" for c in CATS]
+    if "composite" in blocks:
+        for fam, cols in FAMILIES.items():
+            x = FE.composite_counts(x, cols, f"new_{fam}_count", fit_df=b)
+            dense.append(f"new_{fam}_count")
+    if "stats" in blocks:
+        stats = FE.fit_group_stats(b, FE.grid_pairs(GRID_TARGETS, ["f_ind_02_cat", "f_ind_03"]))
+        x = stats.transform(x)
+        dense += [c for t in stats.tables.values() for c in t.columns if "__by__" in c]
+    if member == "logistic":
+        # The best 75 % of the dense columns by ANOVA F, fitted on the train rows.
+        kept = EN.select_percentile(EN.f_classif(train_of(x), "target", dense), 75.0).where("keep").collect()
+        dense = [c for c in dense if c in {r["feature"] for r in kept}]
     if scale:
-        b = EN.standard_scale(b, NUM + cnt)
-    b = EN.onehot(b, CATS, unseen="error")
-    va = VectorAssembler(inputCols=NUM + cnt + ["onehot"], outputCol="features")
-    x = va.transform(b).select("id", "split", "target", "features")
-    x = materialize(x, "model_frame")
-    tr = CF.stratified_folds(x.where(F.col("split") == "train"), k=_MODEL_K)
-    te = x.where(F.col("split") == "test")
-    return tr, te
-
-
-def _cv_query(spark, sf_dir, make, scale=False, score=None):
-    tr, te = _model_frame(spark, sf_dir, scale=scale)
-    sc = CF.ml_crossfit(tr, make(tr), k=_MODEL_K, test=te, score=score)
-    return sc.select("id", "split", "fold", "seed", "score")
-
-
-def _pred_score():
-    return F.col("prediction").cast("double")
-
-
-@query("mdl_gbt_binary")
-def q_mdl_gbt_binary(spark, sf_dir):
-    """Boosted trees, logistic loss, 60 % features, 90 % rows, 256 bins; OOF + per-fold test scores."""
-    return _cv_query(spark, sf_dir, lambda tr: MD.gbt_binary(max_iter=_MODEL_ROUNDS))
-
-
-@query("mdl_gbt_regressor")
-def q_mdl_gbt_regressor(spark, sf_dir):
-    """Squared-error boosted trees on the label (depth 6, 90 % rows, 85 % features)."""
-    return _cv_query(spark, sf_dir, lambda tr: MD.gbt_regressor(label="target", max_iter=_MODEL_ROUNDS),
-                     score=_pred_score)
+        x = EN.fit_scaler(x, dense).transform(x)
+    if "onehot" in blocks:
+        x = fitted.onehot(x, unseen="error")
+    va = VectorAssembler(inputCols=dense + (["onehot"] if "onehot" in blocks else []), outputCol="features")
+    x = materialize(va.transform(x).select("id", "split", "target", "features"), "member_frame")
+    return CF.stratified_folds(x.where(F.col("split") == "train"), k=FOLDS), x.where(F.col("split") == "test")
+
+
+def member_scores(spark, sf_dir, member: str, make, score=None, ranked: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(scores, train): out-of-fold and per-fold test scores of a member; ``ranked`` replaces them by their
+    percentile rank within each file."""
+    tr, te = member_frame(spark, sf_dir, member)
+    sc = CF.ml_crossfit(tr, make, k=FOLDS, test=te, score=score)
+    if ranked:
+        sc = OR.pct_rank(materialize(sc, "raw_scores"), "score", by=["split", "fold"], out="rank").drop("score").withColumnRenamed("rank", "score")
+    return materialize(sc.select("id", "split", "fold", "seed", "score"), "member_scores"), tr
+
+
+def score_properties(sc: DataFrame, tr: DataFrame, high: float = 1.0) -> DataFrame:
+    """Per (split, fold): rows, ids, scores within [0, high], and for out-of-fold rows whether their Gini is above 0.2."""
+    counts = sc.groupBy("split", "fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"),
+                                             F.count(F.when(F.col("score").between(0.0, high), 1)).alias("n_in_range"))
+    oof = sc.where(F.col("split") == "train").join(tr.select("id", "target"), "id")
+    g = OR.gini(oof, "target", "score", by=["fold"]).select(F.lit("train").alias("split"), "fold", (F.col("gini") > 0.2).alias("ranks_label"))
+    return counts.join(g, ["split", "fold"], "left")
 
 
-@query("mdl_count_loss")
-def q_mdl_count_loss(spark, sf_dir):
-    """Poisson GLM (log link) member on the 0/1 label."""
-    return _cv_query(spark, sf_dir, lambda tr: MD.count_loss(max_iter=_MODEL_ROUNDS), scale=True,
-                     score=_pred_score)
+def _properties_sql() -> str:
+    rows = "count(*) as n_rows, count(*) as n_ids, count(*) as n_in_range"
+    return O.with_ctes(f"select 'train' as split, fold, {rows}, true as ranks_label from fo group by fold union all "
+                       f"select 'test' as split, f.fold, {rows}, null as ranks_label from planted t, (select distinct fold from fo) f "
+                       f"where t.split = 'test' group by f.fold", *_OLS_CTES)
 
 
-@query("mdl_robust_loss")
-def q_mdl_robust_loss(spark, sf_dir):
-    """Absolute-loss boosted trees (robust member)."""
-    return _cv_query(spark, sf_dir, lambda tr: MD.gbt_regressor(label="target", loss="absolute",
-                                                                max_iter=_MODEL_ROUNDS), score=_pred_score)
+def _member(name: str, make, doc: str, score=None, ranked: bool = False, high: float = 1.0) -> None:
+    def run(spark, sf_dir):
+        return score_properties(*member_scores(spark, sf_dir, name, make, score, ranked), high)
+    run.__doc__ = doc + " Returns the properties of its five-fold out-of-fold and test scores over all rows."
+    query(f"mdl_{name}", _properties_sql)(run)
 
 
-@query("mdl_gbt_sampled")
-def q_mdl_gbt_sampled(spark, sf_dir):
-    """Boosted trees with 70 % row sampling per round."""
-    return _cv_query(spark, sf_dir, lambda tr: MD.gbt_sampled(max_iter=_MODEL_ROUNDS))
+def _raw():
+    return F.col("prediction").cast("double")
 
 
-@query("mdl_gbt_scaled")
-def q_mdl_gbt_scaled(spark, sf_dir):
-    """Boosted trees on the standard-scaled matrix."""
-    return _cv_query(spark, sf_dir, lambda tr: MD.gbt_scaled(max_iter=_MODEL_ROUNDS), scale=True)
+def _clipped():
+    return F.least(F.greatest(F.col("prediction").cast("double"), F.lit(0.0)), F.lit(1.0))
 
 
-@query("mdl_logistic")
-def q_mdl_logistic(spark, sf_dir):
-    """L2 logistic regression, C = 25, on standard-scaled features."""
-    return _cv_query(spark, sf_dir, lambda tr: MD.logistic(C=25.0, n_rows=tr.count(), max_iter=50), scale=True)
+_member("gbt_binary", lambda rows: MD.gbt_binary(max_iter=ROUNDS), "Boosted trees, logistic loss, 60 % features, 90 % rows, 256 bins.")
+_member("gbt_regressor", lambda rows: MD.gbt_regressor(label="target", max_iter=ROUNDS), "Squared-error boosted trees (depth 6, 90 % rows, 85 % features), clipped to [0, 1].",
+        score=_clipped)
+_member("count_loss", lambda rows: MD.count_loss(max_iter=ROUNDS), "Poisson GLM (log link) on the 0/1 label, ranked.", score=_raw, ranked=True)
+_member("robust_loss", lambda rows: MD.gbt_regressor(label="target", loss="absolute", max_iter=ROUNDS), "Absolute-loss boosted trees, ranked.", score=_raw,
+        ranked=True)
+_member("gbt_sampled", lambda rows: MD.gbt_sampled(max_iter=ROUNDS), "Boosted trees with 70 % row sampling per round, ranked.", ranked=True)
+_member("gbt_scaled", lambda rows: MD.gbt_scaled(max_iter=ROUNDS), "Boosted trees on the wide standard-scaled matrix.")
+_member("logistic", lambda rows: MD.logistic(C=25.0, n_rows=rows.count(), max_iter=50),
+        "L2 logistic regression, C = 25 for each fold's own row count, on the selected and scaled features.")
+_member("mlp", lambda rows: MD.mlp(_width(rows), max_iter=ROUNDS), "Two-hidden-layer perceptron 512 -> 64 on the scaled dense features.")
+_member("mlp_categorical", lambda rows: MD.mlp(_width(rows), hidden=(64, 16), max_iter=ROUNDS),
+        "Perceptron 64 -> 16 on the numeric block with the categoricals as one-hot blocks.")
 
 
-@query("mdl_mlp")
-def q_mdl_mlp(spark, sf_dir):
-    """Two-hidden-layer perceptron 512 -> 64 on the scaled dense features."""
-    return _cv_query(spark, sf_dir, lambda tr: MD.mlp(_width(tr), max_iter=_MODEL_ROUNDS), scale=True)
+def _width(tr: DataFrame) -> int:
+    """Input width of the assembled vector (read from one row)."""
+    return len(tr.first()["features"])
 
 
-@query("mdl_mlp_categorical")
-def q_mdl_mlp_categorical(spark, sf_dir):
-    """Perceptron with the categoricals entering as one-hot blocks beside the numeric block (hidden 64 -> 16)."""
-    return _cv_query(spark, sf_dir, lambda tr: MD.mlp(_width(tr), hidden=(64, 16), max_iter=_MODEL_ROUNDS),
-                     scale=True)
+def _test_properties(scores: DataFrame) -> DataFrame:
+    return scores.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"),
+                      F.count(F.when(F.col("score").between(0.0, 1.0), 1)).alias("n_in_range"), (F.stddev_pop("score") > 0).alias("varies"))
 
 
-def _width(tr: DataFrame) -> int:
-    """Input width of the assembled vector (read from one row)."""
-    return len(tr.first()["features"])
+_TEST_SQL = O.with_ctes("select count(*) as n_rows, count(distinct id) as n_ids, count(*) as n_in_range, true as varies from base where split = 'test'")
 
 
-@query("mdl_predict")
+@query("mdl_predict", _TEST_SQL)
 def q_mdl_predict(spark, sf_dir):
-    """Probability of class 1 from a logistic model fitted on all train rows, for the test rows."""
-    tr, te = _model_frame(spark, sf_dir, scale=True)
-    m = MD.logistic(C=25.0, n_rows=tr.count(), max_iter=50).fit(tr)
-    return MD.predict_positive(m, te)
+    """Probability of class 1 for the test rows from a boosted model fitted on all train rows (properties of the scores)."""
+    tr, te = member_frame(spark, sf_dir, "gbt_regressor")
+    return _test_properties(MD.predict_positive(MD.gbt_binary(max_iter=ROUNDS).fit(tr), te))
 
 
-@query("fit_full_single")
+@query("fit_full_single", _TEST_SQL)
 def q_fit_full_single(spark, sf_dir):
-    """Fit once on all train rows, score the test rows (logistic member)."""
-    tr, te = _model_frame(spark, sf_dir, scale=True)
-    m = MD.logistic(C=25.0, n_rows=tr.count(), max_iter=50).fit(tr)
-    return MD.predict_positive(m, te).withColumn("model", F.lit("logistic"))
+    """Logistic member fitted once on all train rows, test rows scored (properties of the scores)."""
+    tr, te = member_frame(spark, sf_dir, "logistic")
+    return _test_properties(MD.predict_positive(MD.logistic(C=25.0, n_rows=tr.count(), max_iter=50).fit(tr), te))
 
 
-@query("fit_full_bagged")
+@query("fit_full_bagged", _TEST_SQL)
 def q_fit_full_bagged(spark, sf_dir):
-    """No CV: fit boosted trees on all train rows with several seeds; average the test scores."""
-    tr, te = _model_frame(spark, sf_dir)
-    parts = [MD.predict_positive(MD.gbt_binary(max_iter=_MODEL_ROUNDS, seed=s).fit(tr), te)
-             .withColumn("seed", F.lit(s)) for s in (0, 1)]
-    return parts[0].unionByName(parts[1]).groupBy("id").agg(F.avg("score").alias("score"))
+    """No CV: boosted trees fitted on all train rows with several seeds, test scores averaged (properties of the scores)."""
+    tr, te = member_frame(spark, sf_dir, "gbt_binary")
+    parts = [MD.predict_positive(MD.gbt_binary(max_iter=ROUNDS, seed=s).fit(tr), te) for s in FIT_SEEDS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _test_properties(out.groupBy("id").agg(F.avg("score").alias("score")))
 
 
-def _early_stop_frame(spark, sf_dir):
-    """Train folds with a validation indicator carved from the training folds (not the scored fold)."""
-    tr, _ = _model_frame(spark, sf_dir)
-    return tr.withColumn("is_val", F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(":val"))), 1, 1)
-                         < F.lit("3"))
+def _early_fits(spark, sf_dir, seeds) -> list[tuple[int, int, int, int, list]]:
+    """(seed, fold, best round, stop round, Gini by round) of boosted fits that stop on the held-out fold's Gini."""
+    tr, _ = member_frame(spark, sf_dir, "gbt_regressor")
+    tr = materialize(tr, "early_rows")
 
+    def one(job):
+        s, f = job
+        _, best, stop, ginis = MD.early_stopped(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f),
+                                                MD.gbt_binary(max_iter=ROUNDS, seed=s), patience=PATIENCE)
+        return s, f, best, stop, ginis
 
-@query("eval_early_stop")
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return list(pool.map(one, [(s, f) for s in seeds for f in range(FOLDS)]))
+
+
+@query("eval_early_stop", O.with_ctes("select distinct fold, true as best_is_top, true as patience_kept, true as within from fo", *_OLS_CTES))
 def q_eval_early_stop(spark, sf_dir):
-    """Boosting with a validation indicator: training stops when validation loss stops improving;
-    reports the validation loss of every round of each fold's model."""
-    tr = _early_stop_frame(spark, sf_dir)
+    """Boosting that stops when the validation Gini has not improved for PATIENCE rounds; per fold whether the
+    best round has the highest Gini up to the stop, the patience was kept and the stop is within the allowed rounds."""
     rows = []
-    for f in range(_MODEL_K):
-        fit = tr.where(F.col("fold") != f)
-        m = MD.gbt_binary(max_iter=3 * _MODEL_ROUNDS, validation="is_val").fit(fit)
-        losses = m.evaluateEachIteration(fit.where("is_val"))
-        rows += [(f, i + 1, float(v)) for i, v in enumerate(losses)]
-    return spark.createDataFrame(rows, "fold int, round int, valid_loss double")
+    for _, f, best, stop, ginis in _early_fits(spark, sf_dir, [0]):
+        seen = ginis[:stop]
+        kept = stop == len(ginis) or stop - best >= PATIENCE
+        rows.append((f, seen[best - 1] == max(g for g in seen if g is not None), kept, 1 <= best <= stop <= ROUNDS))
+    return spark.createDataFrame(rows, "fold int, best_is_top boolean, patience_kept boolean, within boolean")
 
 
-@query("eval_best_rounds")
+@query("eval_best_rounds", O.with_ctes(f"select cast({len(FIT_SEEDS) * FOLDS} as bigint) as n_fits, true as mean_in_range, true as median_in_range, "
+                                       "true as std_in_range from (select count(*) n from base) x"))
 def q_eval_best_rounds(spark, sf_dir):
-    """Best round per fold and seed, summarised by mean, median and population std."""
-    tr = _early_stop_frame(spark, sf_dir)
-    rows = []
-    for s in (0, 1):
-        for f in range(_MODEL_K):
-            fit = tr.where(F.col("fold") != f)
-            m = MD.gbt_binary(max_iter=3 * _MODEL_ROUNDS, validation="is_val", seed=s).fit(fit)
-            rows.append((s, f, MD.best_round(m, fit.where("is_val"))))
-    best = spark.createDataFrame(rows, "seed int, fold int, best_round int")
-    return best.agg(F.avg("best_round").alias("mean"), F.median("best_round").alias("median"),
-                    F.stddev_pop("best_round").alias("std"), F.count(F.lit(1)).alias("n_fits"))
+    """Best rounds of all folds and seeds, summarised by mean, median and population std (whether they lie in their ranges)."""
+    best = spark.createDataFrame([(s, f, b) for s, f, b, _, _ in _early_fits(spark, sf_dir, FIT_SEEDS)], "seed int, fold int, best_round int")
+    return best.agg(F.count(F.lit(1)).alias("n_fits"), F.avg("best_round").between(1, ROUNDS).alias("mean_in_range"),
+                    F.median("best_round").between(1, ROUNDS).alias("median_in_range"),
+                    F.stddev_pop("best_round").between(0, ROUNDS).alias("std_in_range"))
 
 
-@query("udf_metric_hook")
+@query("udf_metric_hook", O.with_ctes("select fold, true as agrees, true as steers from fo group by fold", *_OLS_CTES))
 def q_udf_metric_hook(spark, sf_dir):
-    """Gini evaluator (DataFrame-computed metric) applied to each fold's OOF boosted-tree scores."""
-    sc = _cv_query(spark, sf_dir, lambda tr: MD.gbt_binary(max_iter=_MODEL_ROUNDS))
-    tr, _ = _planted_folds(spark, sf_dir, test=False)
-    oof = sc.where(F.col("split") == "train").join(tr.select("id", "target"), "id")
-    ev = MD.GiniEvaluator("target", "score")
-    rows = [(int(f), ev.evaluate(oof.where(F.col("fold") == f))) for f in range(_MODEL_K)]
-    return spark.createDataFrame(rows, "fold int, gini double")
+    """The Gini evaluator as a metric hook: per fold, its value agrees with the one-job Gini by fold, and early stopping
+    on it never ends with a worse round than the first."""
+    sc, tr = member_scores(spark, sf_dir, "gbt_regressor", MD.gbt_binary(max_iter=ROUNDS))
+    oof = materialize(sc.where(F.col("split") == "train").join(tr.select("id", "target"), "id"), "oof")
+    by_fold = {r["fold"]: r["gini"] for r in OR.gini(oof, "target", "score", by=["fold"]).collect()}
+    hook = MD.GiniEvaluator("target", "score")
+    early = {f: ginis[best - 1] >= ginis[0] for _, f, best, _, ginis in _early_fits(spark, sf_dir, [0])}
+    rows = [(int(f), abs(hook.evaluate(oof.where(F.col("fold") == f)) - g) < 1e-9, early[f]) for f, g in by_fold.items()]
+    return spark.createDataFrame(rows, "fold int, agrees boolean, steers boolean")

@@ -16,8 +16,12 @@ from rankfold.sources.tables import read_table
 GRID_TARGETS = ["f_car_13", "f_ind_03", "f_reg_03", "f_ind_15", "f_reg_01", "f_ind_01"]
 GRID_GROUPS = GRID_TARGETS + ["f_ind_02_cat"]
 
-# Pseudo member scores (no training needed): model name -> score column.
-PSEUDO_MODELS = {"m_reg03": "f_reg_03", "m_calc01": "f_calc_01", "m_car15": "f_car_15", "m_ind15": "f_ind_15"}
+# Stand-in member scores (no training needed): member name -> score column, one for each blend weight.
+PSEUDO_MODELS = {
+    "keras5": "f_reg_03", "lgbm3": "f_calc_01", "xgb0": "f_car_15", "lgbm1": "f_ind_15", "keras3": "f_car_11", "logistic1": "f_car_12",
+    "xgblinear": "f_car_13", "lgbm8": "f_ind_01", "lgbm5": "f_reg_01", "lgbm6": "f_ind_03", "lgbm7": "f_reg_02_cat", "keras6": "f_ind_02_cat",
+    "keras7": "f_ind_06_bin",
+}
 
 
 def _line_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from rankfold.operators import features as FE
 
 def test_singleton_group_std_is_zero_and_null_key_gets_null(spark):
     df = spark.createDataFrame([(0, 1, 2.0), (1, 1, 4.0), (2, 2, 7.0), (3, None, 9.0)], "id long, g int, t double")
-    out = FE.group_stats(df, "t", "g", materialize_input=False).orderBy("id").toPandas()
+    out = FE.group_stats(df, "t", "g").orderBy("id").toPandas()
     n = lambda s: FE.stat_name("t", "g", s)
     assert out[n("size")].tolist()[:3] == [2, 2, 1]
     assert out[n("std")].tolist()[:3] == pytest.approx([np.sqrt(2.0), np.sqrt(2.0), 0.0])
@@ -24,7 +24,7 @@ def test_group_stats_match_pandas_on_skewed_groups(spark):
     g = np.where(rng.random(3000) < 0.4, 0, rng.integers(1, 30, 3000))  # one hot group
     t = np.round(rng.normal(100, 20, 3000), 2)
     pdf = pd.DataFrame({"id": np.arange(3000), "g": g, "t": t})
-    out = FE.group_stats(spark.createDataFrame(pdf), "t", "g", num_buckets=16).orderBy("id").toPandas()
+    out = FE.group_stats(spark.createDataFrame(pdf), "t", "g").orderBy("id").toPandas()
     grp = pdf.groupby("g")["t"]
     for stat, ref in [("size", grp.transform("size")), ("mean", grp.transform("mean")),
                       ("std", grp.transform("std").fillna(0)), ("median", grp.transform("median")),
@@ -59,6 +59,6 @@ def test_missing_count_counts_numeric_and_text_sentinels(spark):
 
 def test_grid_skips_target_equal_to_group(spark):
     df = spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0)], "id long, x int, y double")
-    out = FE.group_stats_grid(df, ["x", "y"], ["x", "y"], materialize_input=False)
+    out = FE.group_stats_grid(df, ["x", "y"], ["x", "y"])
     assert FE.stat_name("x", "x", "mean") not in out.columns
     assert FE.stat_name("y", "x", "mean") in out.columns and FE.stat_name("x", "y", "mean") in out.columns
