@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rankfold.llm.common import GOLDEN, U64, buckets_for, mixed, prefix_hash, span_hash, stage, total_bytes, utf8
+from rankfold.llm.common import GOLDEN, MASK, U64, buckets_for, mixed, prefix_hash, span_hash, stage, total_bytes, utf8
 from rankfold.llm.quality import blocks
 
 LENGTH = 100
@@ -147,7 +147,10 @@ def chunk_runs(docs: DataFrame, buckets: int, chunk_bytes: int, length: int) ->
             runs = {k: np.concatenate([v[~many].astype(marks[k].dtype), marks[k]]) for k, v in runs.items()}
             turn = np.argsort(runs["h"], kind="stable")
             runs = {k: v[turn] for k, v in runs.items()}
-        place = ((runs["h"] >> U64(32)).astype(np.int64) * buckets) >> 32
+        # Anchors are minima, so small hashes abound: buckets go by the hash of the hash.
+        place = ((mixed(runs["h"]) >> U64(32)).astype(np.int64) * buckets) >> 32
+        turn = np.argsort(place, kind="stable")
+        runs, place = {k: v[turn] for k, v in runs.items()}, place[turn]
         cuts = np.searchsorted(place, np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cuts))
         yield rows_of(bucket=used.tolist(), kind=[RUNS] * len(used), chunk=[chunk] * len(used),
@@ -409,7 +412,7 @@ def contexts(asked: DataFrame, buckets: int, length: int) -> DataFrame:
                             body = raw[s: s + length]
                             add(out, int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little"), doc, tag, s, body)
                     else:
-                        add(out, r["h"] & 0xFFFFFFFFFFFFFFFF, doc, tag, r["s"], raw[r["s"]: r["s"] + r["e"] + length - 1])
+                        add(out, r["h"] * GOLDEN & MASK, doc, tag, r["s"], raw[r["s"]: r["s"] + r["e"] + length - 1])
                 held += len(raw)
                 if len(out["s"]) >= 20000:
                     yield made(out)
