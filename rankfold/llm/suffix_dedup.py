@@ -16,7 +16,7 @@ sorted that can have an equal prefix at all:
    letter and the rank behind it, and merged. Adjacent suffixes are then compared
    byte by byte over ``length`` bytes: of a group of equal windows, all but the earliest are covered.
 
-An anchor with many distinct runs in one chunk (the edge of a passage that many texts share)
+An anchor with many distinct runs in one chunk or in all (the edge of a passage that many texts share)
 is split: its runs are compared by bucket of their content, and its windows are sorted in
 buckets of their own content. So no group outgrows a task.
 
@@ -43,6 +43,7 @@ LENGTH = 100
 GRAM = 32
 BLOCK = 1 << 19  # bytes of text hashed at once
 HOT = 64  # runs of one anchor in a chunk, above which they are split
+SPLIT = 512  # runs of one anchor in all chunks, above which they are split
 DOC, RUNS, LISTED, COVERED, ASKED = 0, 1, 2, 3, 4
 FIELDS = {"bucket": pa.int32(), "kind": pa.int32(), "chunk": pa.string(), "at": pa.int32(), "doc_id": pa.int64(), "tag": pa.int64(),
           "s": pa.int32(), "e": pa.int32(), "h": pa.int64(), "hot": pa.int32(), "body": pa.binary()}
@@ -223,7 +224,7 @@ def settle_bucket(table: pa.Table, length: int) -> pa.Table:
     runs = {k: np.concatenate([p[k] for p in parts]) for k, _ in RUN}
     runs, row, covered = settle(runs, source << 32 | runs["at"].astype(np.int64))
     source, mark = row >> 32, runs["n"] == 0
-    split = per_anchor(runs["h"], mark.astype(np.int64)) > 0
+    split = (per_anchor(runs["h"], mark.astype(np.int64)) > 0) | (per_anchor(runs["h"], (~covered & ~mark).astype(np.int64)) > SPLIT)
     out = list(covered_rows(None, chunks, source, runs, covered & ~mark, length))
     left = ~covered & ~mark
     several = per_anchor(runs["h"], left.astype(np.int64)) > 1

@@ -87,9 +87,10 @@ def brute_removals(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 0])
-def test_suffix_dedup(docs, rows, no_docs, hot, monkeypatch):
+@pytest.mark.parametrize("hot, split", [(64, 512), (0, 512), (64, 1)])
+def test_suffix_dedup(docs, rows, no_docs, hot, split, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
     got = Counter(tuple(r) for r in suffix_dedup.removals(docs).collect())
     assert got == brute_removals(rows, 100)
     assert suffix_dedup.removals(no_docs).count() == 0
