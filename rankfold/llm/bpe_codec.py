@@ -23,7 +23,6 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 
 import numpy as np
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from rankfold.llm import bpe
-from rankfold.llm.common import buckets_for, extended, stage, total_bytes
+from rankfold.llm.common import buckets_for, chunk_name, extended, stage, total_bytes
 
 
 def pack_numbers(values: np.ndarray) -> bytes:
@@ -65,9 +64,9 @@ def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int)
     ids = docs.select("doc_id").schema
     out = extended(ids, "chunk string, bucket int, counts binary, body binary")
 
-    def emit(doc_ids, texts):
+    def emit(number, doc_ids, texts):
         """One row per text with its word numbers, then the chunk's words, one row per bucket."""
-        chunk, numbers, rows = uuid.uuid4().hex, {}, []
+        chunk, numbers, rows = chunk_name(number), {}, []
         for text in texts:
             rows.append(np.array([numbers.setdefault(w, len(numbers)) for w in bpe.split_words(text, path)], np.uint32))
         counts = np.array([len(r) for r in rows], np.uint32)
@@ -84,19 +83,19 @@ def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int)
         return chunk, doc_ids, counts, flat, by_bucket
 
     def cut(batches):
-        held_ids, held, size, kind = [], [], 0, None
+        held_ids, held, size, kind, number = [], [], 0, None, 0
         for batch in batches:
             kind = batch.column(0).type
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
                 if held and size + len(text) > chunk_bytes:
-                    yield from rows_of(emit(held_ids, held), kind)
-                    held_ids, held, size = [], [], 0
+                    yield from rows_of(emit(number, held_ids, held), kind)
+                    held_ids, held, size, number = [], [], 0, number + 1
                 held_ids.append(doc_id.as_py())
                 held.append(text)
                 size += len(text)
         if held:
-            yield from rows_of(emit(held_ids, held), kind)
+            yield from rows_of(emit(number, held_ids, held), kind)
 
     def rows_of(made, kind):
         chunk, doc_ids, counts, flat, by_bucket = made

@@ -12,6 +12,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rankfold.session import scratch_dir
@@ -58,6 +59,12 @@ def buckets_for(total: int, per_bucket: int, spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // per_bucket), 1)
 
 
+def chunk_name(number: int) -> str:
+    """Name of a task's chunk. A task that runs again over the same table's files names its chunks alike, so
+    results of other tasks that refer to them stay valid when an executor is lost."""
+    return f"{TaskContext.get().partitionId():08d}-{number:06d}"
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 

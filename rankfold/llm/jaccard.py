@@ -29,14 +29,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rankfold.llm.common import GOLDEN, U64, buckets_for, mixed, prefix_hash, span_hash, stage, total_bytes, utf8, words
+from rankfold.llm.common import GOLDEN, U64, buckets_for, chunk_name, mixed, prefix_hash, span_hash, stage, total_bytes, utf8, words
 from rankfold.llm.components import connected_components
 from rankfold.llm.quality import blocks
 
@@ -115,9 +115,9 @@ def table_of(**columns) -> pa.Table:
 
 def chunk_tokens(docs: DataFrame, bits: int, buckets: int, chunk_bytes: int, size: int) -> DataFrame:
     """Per chunk of texts: a row per document, its tokens by bucket, and the texts of its frequent tokens."""
-    def close(ids, sets):
-        chunk, digests = uuid.uuid4().hex, [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        aside = buckets + int(chunk[:8], 16) % buckets  # rows that no bucket needs, spread over tasks
+    def close(number, ids, sets):
+        chunk, digests = chunk_name(number), [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        aside = buckets + zlib.crc32(chunk.encode()) % buckets  # rows that no bucket needs, spread over tasks
         n = len(ids)
         yield table_of(bucket=[aside] * n, kind=[DOC] * n, chunk=[chunk] * n, at=list(range(n)), doc_id=ids,
                        n=[len(s) for s in sets], digest=digests)
@@ -151,7 +151,7 @@ def chunk_tokens(docs: DataFrame, bits: int, buckets: int, chunk_bytes: int, siz
                        body=[squeeze(value[a:b], owner[a:b], weight[a:b]) for a, b in zip(cuts[used], cuts[used + 1])])
 
     def cut(batches):
-        ids, sets, held = [], [], 0
+        ids, sets, held, number = [], [], 0, 0
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in blocks(offsets):
@@ -160,11 +160,11 @@ def chunk_tokens(docs: DataFrame, bits: int, buckets: int, chunk_bytes: int, siz
                 ids += batch.column(0).slice(a, b - a).to_pylist()
                 held += int(offsets[b] - offsets[a])
                 if held >= chunk_bytes:
-                    for t in close(ids, sets):
+                    for t in close(number, ids, sets):
                         yield from t.to_batches()
-                    ids, sets, held = [], [], 0
+                    ids, sets, held, number = [], [], 0, number + 1
         if ids:
-            for t in close(ids, sets):
+            for t in close(number, ids, sets):
                 yield from t.to_batches()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, CHUNK_FIELDS)

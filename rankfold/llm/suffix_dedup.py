@@ -29,14 +29,14 @@ result; other columns are carried by ``deduplicate`` and ignored by ``removals``
 from __future__ import annotations
 
 import hashlib
-import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rankfold.llm.common import GOLDEN, MASK, U64, buckets_for, mixed, prefix_hash, span_hash, stage, total_bytes, utf8
+from rankfold.llm.common import GOLDEN, MASK, U64, buckets_for, chunk_name, mixed, prefix_hash, span_hash, stage, total_bytes, utf8
 from rankfold.llm.quality import blocks
 
 LENGTH = 100
@@ -126,9 +126,9 @@ def per_anchor(h: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def chunk_runs(docs: DataFrame, buckets: int, chunk_bytes: int, length: int) -> DataFrame:
     """Per chunk of texts: a row per document, its covered runs, and its other runs by bucket."""
-    def close(ids, tags, parts):
-        chunk, n = uuid.uuid4().hex, len(ids)
-        aside = buckets + int(chunk[:8], 16) % buckets  # rows that no bucket needs, spread over tasks
+    def close(number, ids, tags, parts):
+        chunk, n = chunk_name(number), len(ids)
+        aside = buckets + zlib.crc32(chunk.encode()) % buckets  # rows that no bucket needs, spread over tasks
         yield rows_of(bucket=[aside] * n, kind=[DOC] * n, chunk=[chunk] * n, at=list(range(n)), doc_id=ids, tag=tags)
         runs = {k: np.concatenate([p[k] for p in parts]) for k in ("h", "name", "at", "s", "n")}
         known = np.array([i is not None for i in ids])[runs["at"].astype(np.int64)]
@@ -158,7 +158,7 @@ def chunk_runs(docs: DataFrame, buckets: int, chunk_bytes: int, length: int) ->
                       body=[squeeze({k: v[a:b] for k, v in runs.items()}) for a, b in zip(cuts[used], cuts[used + 1])])
 
     def cut(batches):
-        ids, tags, parts, held = [], [], [], 0
+        ids, tags, parts, held, number = [], [], [], 0, 0
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in blocks(offsets, BLOCK):
@@ -169,11 +169,11 @@ def chunk_runs(docs: DataFrame, buckets: int, chunk_bytes: int, length: int) ->
                 tags += batch.column(2).slice(a, b - a).to_pylist()
                 held += int(offsets[b] - offsets[a])
                 if held >= chunk_bytes:
-                    for t in close(ids, tags, parts):
+                    for t in close(number, ids, tags, parts):
                         yield from t.to_batches()
-                    ids, tags, parts, held = [], [], [], 0
+                    ids, tags, parts, held, number = [], [], [], 0, number + 1
         if ids:
-            for t in close(ids, tags, parts):
+            for t in close(number, ids, tags, parts):
                 yield from t.to_batches()
 
     return docs.select("doc_id", "text", "tag").mapInArrow(cut, DDL)
