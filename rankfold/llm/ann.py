@@ -34,6 +34,7 @@ from rankfold.llm.common import stage
 
 LEAST_SAMPLE = 8  # sample rows in a leaf
 DIRECTIONS = 8  # random directions tried per node
+QUERY_BLOCK = 20_000  # queries that meet a leaf in one task
 FIRST_SHARE = 8  # the first round asks the leaves that hold this part of search_k
 ENTRY = "h binary, vec binary, ids array<long>, asks boolean"
 
@@ -267,12 +268,17 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", qu
         return pa.table({"qh": pa.array(out["qh"], pa.binary()), "ch": pa.array(out["ch"], pa.binary()),
                          "ids": pa.array(out["ids"], pa.list_(pa.int64())), "score": pa.array(out["score"], pa.float64())})
 
+    asking = index.where("asks").select("h", "vec")
+    # A leaf meets its queries in blocks, as any share of all queries may ask the same leaf.
+    parts = -(-asking.count() // QUERY_BLOCK) or 1
+    cell = ["tree", "leaf", "part"]
+    blocks = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
     def answers(queries: DataFrame, first: bool) -> DataFrame:
         asked = queries.mapInArrow(asker(first), "tree int, leaf int, h binary, vec binary, floor double")
-        return asked.groupBy("tree", "leaf").cogroup(placed.groupBy("tree", "leaf")).applyInArrow(
-            rerank, "qh binary, ch binary, ids array<long>, score double")
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
+        return asked.groupBy(*cell).cogroup(blocks.groupBy(*cell)).applyInArrow(rerank, "qh binary, ch binary, ids array<long>, score double")
 
-    asking = index.where("asks").select("h", "vec")
     early = stage(answers(asking.withColumn("floor", F.lit(float("-inf"))), True), "early")
     kth = Window.partitionBy("qh").orderBy(F.col("score").desc(), "ch")
     floors = (early.dropDuplicates(["qh", "ch"]).withColumn("n", F.row_number().over(kth)).where(F.col("n") == k + 1)

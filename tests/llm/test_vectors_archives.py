@@ -50,7 +50,8 @@ def test_products_beyond_double_precision():
     assert topk.products(q, c).tolist() == [[2 ** 60 + 1, (1 << 63) - 1]]
 
 
-def test_nearest_neighbours(spark):
+def test_nearest_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
     rows = vector_rows(3000, 8, 4, unit=True)
     df = spark.createDataFrame(rows + ODD + [(70000, [0.0] * 8), (70020, [1.0])], "vec_id long, embedding array<float>").repartition(5)
     got = ann.search(df, k=10, leaf_rows=64, sample_rows=1000).collect()
