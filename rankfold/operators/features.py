@@ -191,10 +191,6 @@ def exact_group_medians(df: DataFrame, g: str, targets: Sequence[str]) -> DataFr
     return group_stats_table(df, g, targets).select(g, *[stat_name(t, g, "median") for t in targets])
 
 
-def ordered_stat_columns(ts: Sequence[str], g: str) -> list[str]:
-    return [stat_name(t, g, s) for t in ts if t != g for s in STATS]
-
-
 def group_stats(df: DataFrame, target: str, group: str, **kw) -> DataFrame:
     """``proj_num_on_cat``: six statistics of ``target`` per ``group`` joined back to every row."""
     return group_stats_grid(df, [target], [group], **kw)
