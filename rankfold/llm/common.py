@@ -7,6 +7,8 @@ lost executor costs only the tasks it was running.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 
 import numpy as np
@@ -59,6 +61,13 @@ def buckets_for(total: int, per_bucket: int, spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // per_bucket), 1)
 
 
+def give_back() -> None:
+    """Return freed memory to the system after a large step; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunk_name(number: int) -> str:
     """Name of a task's chunk. A task that runs again over the same table's files names its chunks alike, so
     results of other tasks that refer to them stay valid when an executor is lost."""

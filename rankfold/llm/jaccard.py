@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rankfold.llm.common import GOLDEN, U64, buckets_for, chunk_name, mixed, prefix_hash, span_hash, stage, total_bytes, utf8, words
+from rankfold.llm.common import GOLDEN, U64, buckets_for, chunk_name, give_back, mixed, prefix_hash, span_hash, stage, total_bytes, utf8, words
 from rankfold.llm.components import connected_components
 from rankfold.llm.quality import blocks
 
@@ -162,6 +162,7 @@ def chunk_tokens(docs: DataFrame, bits: int, buckets: int, chunk_bytes: int, siz
                 if held >= chunk_bytes:
                     for t in close(number, ids, sets):
                         yield from t.to_batches()
+                    give_back()
                     ids, sets, held, number = [], [], 0, number + 1
         if ids:
             for t in close(number, ids, sets):
@@ -199,6 +200,8 @@ def shared_tokens(table: pa.Table) -> pa.Table:
         if len(mine):
             out.append(table_of(kind=[SHARED], chunk=[chunks[i]],
                                 body=[squeeze(value[mine], owner[mine] - 1, np.minimum(df[mine], 0xFFFFFFFF))]))
+    del parts, value, owner, weight, source, df
+    give_back()
     return pa.concat_tables(out) if out else table_of(kind=[]).slice(0, 0)
 
 

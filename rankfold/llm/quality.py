@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankfold.llm.common import GOLDEN, U64, extended, mixed, prefix_hash, span_hash, utf8, words
+from rankfold.llm.common import GOLDEN, U64, extended, give_back, mixed, prefix_hash, span_hash, utf8, words
 
 SHAPE_BINS = 24
 BLOCK_BYTES = 1 << 19
@@ -140,6 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int =
         frame = frame.sort_values(["doc_id", "__label"])
         w, bias = ftrl([np.frombuffer(x, np.int32) for x in frame["slots"]], frame["__label"].to_numpy(float), bits, epochs, seed)
         used = np.flatnonzero(w)
+        del frame
+        give_back()
         return pd.DataFrame({"slots": [used.astype(np.int32).tobytes()], "weights": [w[used].tobytes()], "bias": [bias]})
 
     found = hashed_rows.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "slots binary, weights binary, bias double").collect()

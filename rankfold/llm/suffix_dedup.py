@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rankfold.llm.common import GOLDEN, MASK, U64, buckets_for, chunk_name, mixed, prefix_hash, span_hash, stage, total_bytes, utf8
+from rankfold.llm.common import GOLDEN, MASK, U64, buckets_for, chunk_name, give_back, mixed, prefix_hash, span_hash, stage, total_bytes, utf8
 from rankfold.llm.quality import blocks
 
 LENGTH = 100
@@ -171,6 +171,7 @@ def chunk_runs(docs: DataFrame, buckets: int, chunk_bytes: int, length: int) ->
                 if held >= chunk_bytes:
                     for t in close(number, ids, tags, parts):
                         yield from t.to_batches()
+                    give_back()
                     ids, tags, parts, held, number = [], [], [], 0, number + 1
         if ids:
             for t in close(number, ids, tags, parts):
@@ -234,6 +235,8 @@ def settle_bucket(table: pa.Table, length: int) -> pa.Table:
     for i in np.unique(source[left & split]).tolist():
         mine = left & split & (source == i)
         out.append(rows_of(kind=[LISTED], chunk=[chunks[i]], body=[squeeze({k: v[mine] for k, v in runs.items()})]))
+    del parts, runs
+    give_back()
     return pa.concat_tables(out) if out else rows_of(kind=[]).slice(0, 0)
 
 
@@ -394,6 +397,8 @@ def repeated_windows(table: pa.Table, length: int) -> pa.Table:
         again[i + 1] |= again[i]
     hit = (docs[owner] > earliest) | again
     which, s, e = merged(owner[hit], place[hit], place[hit] + length)
+    del data, starts, order, key, turn
+    give_back()
     return pa.table({"doc_id": pa.array(doc[first[which]]), "tag": pa.array(tag[first[which]]), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
 
 
