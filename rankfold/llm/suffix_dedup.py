@@ -17,8 +17,9 @@ sorted that can have an equal prefix at all:
    byte by byte over ``length`` bytes: of a group of equal windows, all but the earliest are covered.
 
 An anchor with many distinct runs in one chunk or in all (the edge of a passage that many texts share)
-is split: its runs are compared by bucket of their content, and its windows are sorted in
-buckets of their own content. So no group outgrows a task.
+is split: its runs are compared by bucket of their content. A window of such a run is as long as the sort would compare,
+so it goes by its whole content instead (``earlier_copies``): the smallest id of each content is combined before the
+shuffle and joined back by content and salt. So copies of a window never meet in one task.
 
 Earlier means a smaller doc_id, or the same row and a smaller start. Defined cases: null and
 short texts keep all bytes; rows with a null id are left as they are and remove nothing
@@ -29,6 +30,7 @@ result; other columns are carried by ``deduplicate`` and ignored by ``removals``
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -45,6 +47,8 @@ BLOCK = 1 << 19  # bytes of text hashed at once
 HOT = 64  # runs of one anchor in a chunk, above which they are split
 SPLIT = 512  # runs of one anchor in all chunks, above which they are split
 DOC, RUNS, LISTED, COVERED, ASKED = 0, 1, 2, 3, 4
+PLAIN, WINDOW, AGAIN = 0, 1, 2  # bytes to sort, a window of a split anchor, a window that its own row holds earlier
+SALTS = 256  # parts of the copies of a window, at least
 FIELDS = {"bucket": pa.int32(), "kind": pa.int32(), "chunk": pa.string(), "at": pa.int32(), "doc_id": pa.int64(), "tag": pa.int64(),
           "s": pa.int32(), "e": pa.int32(), "h": pa.int64(), "hot": pa.int32(), "body": pa.binary()}
 DDL = "bucket int, kind int, chunk string, at int, doc_id long, tag long, s int, e int, h long, hot int, body binary"
@@ -403,41 +407,49 @@ def repeated_windows(table: pa.Table, length: int) -> pa.Table:
 
 
 def contexts(asked: DataFrame, buckets: int, length: int) -> DataFrame:
-    """The requested byte strings, by bucket of their anchor; of split anchors window by window, by content."""
+    """The requested byte strings, by bucket of their anchor; of split anchors the digest of every window."""
     def cut(batches):
         for batch in batches:
-            out = {"bucket": [], "doc_id": [], "tag": [], "s": [], "body": []}
-            held = 0
+            out = {c: [] for c in KINDS}
             for doc, text, tag, asks in zip(*batch.columns):
                 if not asks.is_valid or asks.as_py() is None:
                     continue
-                raw = text.as_py().encode()
-                for r in asks.as_py():
+                raw, seen = text.as_py().encode(), set()
+                for r in sorted(asks.as_py(), key=lambda r: r["s"]):
                     if r["hot"]:
                         for s in range(r["s"], r["s"] + r["e"]):
-                            body = raw[s: s + length]
-                            add(out, int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little"), doc, tag, s, body)
+                            content = hashlib.blake2b(raw[s: s + length], digest_size=16).digest()
+                            add(out, AGAIN if content in seen else WINDOW, None, doc, tag, s, content, None)
+                            seen.add(content)
                     else:
-                        add(out, r["h"] * GOLDEN & MASK, doc, tag, r["s"], raw[r["s"]: r["s"] + r["e"] + length - 1])
-                held += len(raw)
+                        place = ((r["h"] * GOLDEN & MASK) >> 32) * buckets >> 32
+                        add(out, PLAIN, place, doc, tag, r["s"], None, raw[r["s"]: r["s"] + r["e"] + length - 1])
                 if len(out["s"]) >= 20000:
                     yield made(out)
-                    out = {k: [] for k in out}
+                    out = {c: [] for c in out}
             if out["s"]:
                 yield made(out)
 
-    def add(out, h, doc, tag, s, body):
-        out["bucket"].append((h >> 32) * buckets >> 32)
-        out["doc_id"].append(doc.as_py())
-        out["tag"].append(tag.as_py())
-        out["s"].append(s)
-        out["body"].append(body)
+    def add(out, what, place, doc, tag, s, content, body):
+        for c, value in zip(out, (what, place, doc.as_py(), tag.as_py(), s, content, body)):
+            out[c].append(value)
 
     def made(out):
-        kinds = {"bucket": pa.int32(), "doc_id": pa.int64(), "tag": pa.int64(), "s": pa.int32(), "body": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in kinds.items()], names=list(kinds))
+        return pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in KINDS.items()], names=list(KINDS))
 
-    return asked.mapInArrow(cut, "bucket int, doc_id long, tag long, s int, body binary")
+    KINDS = {"what": pa.int32(), "bucket": pa.int32(), "doc_id": pa.int64(), "tag": pa.int64(), "s": pa.int32(), "content": pa.binary(),
+             "body": pa.binary()}
+    return asked.mapInArrow(cut, "what int, bucket int, doc_id long, tag long, s int, content binary, body binary")
+
+
+def earlier_copies(windows: DataFrame, salts: int) -> DataFrame:
+    """(doc_id, tag, s) of the windows (doc_id, tag, s, content) whose content a smaller doc_id also holds."""
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(salts)).cast("int"))
+    part = salted.groupBy("content", "salt").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    first = part.groupBy("content").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("content", "first")
+    first = part.join(first, "content").where("hi > first").select("content", "salt", "first")
+    # A left join: as many rows as windows, whatever the windows hold.
+    return salted.join(first, ["content", "salt"], "left").where("doc_id > coalesce(first, doc_id)").select("doc_id", "tag", "s")
 
 
 def covered_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20,
@@ -453,9 +465,14 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = 8 <<
     asked = (settled.where(F.col("kind") == ASKED).select("chunk", "at", "s", "e", "h", "hot").join(rows, ["chunk", "at"])
              .groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e", "h", "hot")).alias("asks")))
     # A left join here and below, so that both use the same shuffled texts.
-    bytes_asked = contexts(docs.join(asked, ["doc_id", "tag"], "left").select("doc_id", "text", "tag", "asks"),
-                           buckets_for(total, sort_bytes, docs.sparkSession), length)
-    found = bytes_asked.groupBy("bucket").applyInArrow(lambda t: repeated_windows(t, length), "doc_id long, tag long, s int, e int")
+    cut = stage(contexts(docs.join(asked, ["doc_id", "tag"], "left").select("doc_id", "text", "tag", "asks"),
+                         buckets_for(total, sort_bytes, docs.sparkSession), length), "windows", "what")
+    plain = cut.where(F.col("what") == PLAIN).select("bucket", "doc_id", "tag", "s", "body")
+    found = plain.groupBy("bucket").applyInArrow(lambda t: repeated_windows(t, length), "doc_id long, tag long, s int, e int")
+    # About the root of the number of texts, so that neither the salts of a content nor the copies of a salt are many.
+    copies = earlier_copies(cut.where(F.col("what") == WINDOW).select("doc_id", "tag", "s", "content"), max(SALTS, math.isqrt(total // 1000)))
+    copies = copies.unionByName(cut.where(F.col("what") == AGAIN).select("doc_id", "tag", "s"))
+    found = found.unionByName(copies.select("doc_id", "tag", "s", (F.col("s") + F.lit(length)).alias("e")))
     known = settled.where(F.col("kind") == COVERED).select("chunk", "at", "s", "e").join(rows, ["chunk", "at"]).select("doc_id", "tag", "s", "e")
     spans = known.unionByName(found).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return docs.join(spans, ["doc_id", "tag"], "left")

@@ -1,6 +1,7 @@
 """Jaccard join, suffix dedup, secrets against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -96,6 +97,23 @@ def test_suffix_dedup(docs, rows, no_docs, hot, split, monkeypatch):
     assert suffix_dedup.removals(no_docs).count() == 0
 
 
+def test_copies_of_a_window_do_not_meet_in_one_sort(spark, monkeypatch):
+    """A passage that many texts share in different contexts: no sort gets its windows once per text."""
+    from rankfold.llm.common import prepare
+
+    prepare(spark)
+    rng, real, sorted_rows = random.Random(3), suffix_dedup.contexts, []
+    some = lambda n: " ".join(rng.choice("aeiou") + rng.choice("bcdfgkl") + str(rng.randrange(999)) for _ in range(n))
+    passage = some(60)
+    rows = [(i, f"{some(30)} {passage} {some(30)} {passage if i % 7 == 0 else ''}") for i in range(200)] + [(3, passage), (3, passage), (None, passage)]
+    monkeypatch.setattr(suffix_dedup, "contexts", lambda *a: sorted_rows.append(real(*a)) or sorted_rows[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in suffix_dedup.removals(docs).collect())
+    assert got == brute_removals(rows, 100)
+    most = sorted_rows[0].where("body is not null").groupBy("body").count().agg({"count": "max"}).first()[0] or 0
+    assert most <= suffix_dedup.HOT
+
+
 def test_deduplicate_keeps_columns_and_cuts_texts(docs, rows):
     got = suffix_dedup.deduplicate(docs)
     assert got.columns == docs.columns
