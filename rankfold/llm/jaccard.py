@@ -1,7 +1,7 @@
 """N-gram Jaccard join: all links between texts whose shingle sets are similar enough, exactly.
 
 A document's set holds its distinct shingles of five words; texts with equal sets are one
-class, standing for them is the smallest id. Between classes the join is a rare-first prefix filter:
+class, named by the digest of the set; standing for them is the smallest id, which may stand for several classes. Between classes the join is a rare-first prefix filter:
 
 * Tokens are shingle hashes whose width follows the number of words (``TOKEN_SPARE`` bits more than needed to count
   them), ordered by document frequency, rarest first. Each task sorts the tokens of a chunk of texts and
@@ -216,12 +216,13 @@ def prefixes(table: pa.Table, percent: int) -> pa.Table:
     kinds = table.column("kind").to_numpy()
     docs = table.filter(pa.array(kinds == DOC))
     at, ids, n = (docs.column(c).to_numpy(zero_copy_only=False) for c in ("at", "doc_id", "n"))
+    keys = docs.column("digest").combine_chunks()
     of = lambda kind: [unsqueeze(b.as_py()) for b in table.filter(pa.array(kinds == kind)).column("body")]
     parts, told = of(SHARED), of(COUNT)
     for token, owner in of(LISTED):
         parts.append([token, owner, told[0][1][np.searchsorted(told[0][0], token)]])
     if not len(at) or not parts:
-        return prefix_rows(ids[:0], n[:0], np.empty(0, np.uint64), n[:0])
+        return prefix_rows(keys[:0], ids[:0], n[:0], np.empty(0, np.uint64), n[:0])
     value, owner, df = (np.concatenate([p[i] for p in parts]).astype(t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
     del parts
     where = np.full(int(max(at.max(), owner.max())) + 1, -1)
@@ -244,30 +245,31 @@ def prefixes(table: pa.Table, percent: int) -> pa.Table:
     alone = n[owner[first]] - shared[owner[first]]
     sets = [value[begin[i]: begin[i] + shared[i]] for i in mine.tolist()]
     return pa.concat_tables([
-        prefix_rows(ids[owner[first]], n[owner[first]], value[first], alone + order[first] + 1),
-        pa.table({"kind": pa.array(np.ones(len(mine), np.int32)), "doc_id": pa.array(ids[mine], pa.int64()), "n": pa.array(n[mine], pa.int32()),
+        prefix_rows(keys.take(pa.array(owner[first])), ids[owner[first]], n[owner[first]], value[first], alone + order[first] + 1),
+        pa.table({"kind": pa.array(np.ones(len(mine), np.int32)), "key": keys.take(pa.array(mine)), "doc_id": pa.array(ids[mine], pa.int64()), "n": pa.array(n[mine], pa.int32()),
                   "token": pa.nulls(len(mine), pa.int64()), "place": pa.nulls(len(mine), pa.int32()),
                   "tokens": pa.array([np.sort(t).tobytes() for t in sets], pa.binary()),
                   "bits": pa.array([bitmap(t) for t in sets], pa.list_(pa.int64()))})])
 
 
-def prefix_rows(ids: np.ndarray, n: np.ndarray, tokens: np.ndarray, places: np.ndarray) -> pa.Table:
+def prefix_rows(keys: pa.Array, ids: np.ndarray, n: np.ndarray, tokens: np.ndarray, places: np.ndarray) -> pa.Table:
     size = len(ids)
-    return pa.table({"kind": pa.array(np.zeros(size, np.int32)), "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int32()),
+    return pa.table({"kind": pa.array(np.zeros(size, np.int32)), "key": keys, "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int32()),
                      "token": pa.array(tokens.view(np.int64)), "place": pa.array(places, pa.int32()),
                      "tokens": pa.nulls(size, pa.binary()), "bits": pa.nulls(size, pa.list_(pa.int64()))})
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct candidate pairs (a, b) those that link: suffix filter, then one exact comparison."""
+    """The ids (a, b) of those of distinct candidate pairs of classes (a, b) that link: suffix filter, then one exact comparison."""
     def side(name, *columns):
-        return sets.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+        return sets.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    narrow = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    narrow = pairs.join(side("a", "doc_id", "n", "bits"), "a").join(side("b", "doc_id", "n", "bits"), "b")
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     # |A ^ B| is at least the bitmaps' distance and, for a link, at most n_a + n_b - 2 * overlap.
-    room = narrow.where((F.col("n_a") + F.col("n_b")) * (100 - percent) >= apart * (100 + percent)).select("a", "b", "n_a", "n_b")
-    both = room.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
+    room = narrow.where((F.col("n_a") + F.col("n_b")) * (100 - percent) >= apart * (100 + percent)).select("a", "b", "doc_id_a", "doc_id_b", "n_a", "n_b")
+    both = room.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b") \
+               .select("doc_id_a", "doc_id_b", "n_a", "n_b", "tokens_a", "tokens_b")
 
     def compare(batches):
         for batch in batches:
@@ -281,17 +283,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def class_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) edges whose components are those of all links between classes."""
-    columns = ["doc_id", "n", "place"]
+def can_link(percent: int):
+    """Length and positional filter of the classes x and y at their places of a shared token."""
     n_a, n_b = F.col("x.n"), F.col("y.n")
     length = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
     left = F.least(n_a - F.col("x.place"), n_b - F.col("y.place")) + 1
-    fits = length & (left * (100 + percent) >= (n_a + n_b) * percent)
+    return length & (left * (100 + percent) >= (n_a + n_b) * percent)
+
 
+def class_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) edges between ids whose components, joined over the texts of an id, are those of all links between classes."""
+    columns = ["doc_id", "key", "n", "place"]
     centre = prefix.groupBy("token").agg(F.min(F.struct(*columns)).alias("y"), F.count("*").alias("c")).where("c > 1").select("token", "y.*")
-    star = prefix.alias("x").join(centre.alias("y"), "token").where((F.col("x.doc_id") > F.col("y.doc_id")) & fits)
-    tried = stage(star.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "tried")
+    star = prefix.alias("x").join(centre.alias("y"), "token").where((F.col("x.doc_id") > F.col("y.doc_id")) & can_link(percent))
+    tried = stage(star.select(F.col("y.key").alias("a"), F.col("x.key").alias("b")).distinct(), "tried")
     found = stage(verified(tried, sets, percent), "links")
     label = connected_components(found)
     named = prefix.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left") \
@@ -300,8 +305,8 @@ def class_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mixed_tokens = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     rest = stage(named.join(mixed_tokens, "token", "left_semi"), "rest")
     open_pairs = rest.alias("x").join(rest.alias("y"), "token").where(
-        (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & fits)
-    again = open_pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & can_link(percent))
+    again = open_pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return stage(found.unionByName(verified(again, sets, percent)), "links")
 
 
@@ -318,18 +323,19 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     rows = held.where(F.col("kind") == DOC).select("chunk", "at", "doc_id", "n", "digest")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     classes = stage(classes, "classes")
-    stands = rows.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select("chunk", "at", "doc_id", "n")
+    stands = rows.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select("chunk", "at", "doc_id", "n", "digest")
     # A chunk that lists texts for frequent tokens gets those tokens' global counts, once each.
     counts = _counts(held.where(F.col("kind") == COUNT).select("body"))
     listing = _counts(held.where(F.col("kind") == LISTED).select("body", "chunk"))
     told = listing.select("chunk", "token").join(counts, "token").groupBy("chunk").applyInArrow(_told, CHUNK_FIELDS)
-    shared = held.where(F.col("kind").isin(SHARED, LISTED)).select("kind", "chunk", "at", "doc_id", "n", "body")
+    shared = held.where(F.col("kind").isin(SHARED, LISTED)).select("kind", "chunk", "at", "doc_id", "n", "digest", "body")
     parts = shared.unionByName(told.select(shared.columns)).unionByName(
-        stands.select(F.lit(DOC).alias("kind"), "chunk", "at", "doc_id", "n", F.lit(None).cast("binary").alias("body")))
+        stands.select(F.lit(DOC).alias("kind"), "chunk", "at", "doc_id", "n", "digest", F.lit(None).cast("binary").alias("body")))
     kept = stage(parts.groupBy("chunk").applyInArrow(
-        lambda t: prefixes(t, percent), "kind int, doc_id long, n int, token long, place int, tokens binary, bits array<long>"), "prefixes", "kind")
-    prefix = kept.where("kind = 0").select("doc_id", "n", "token", "place").distinct()
-    sets = kept.where("kind = 1").select("doc_id", "n", "tokens", "bits").dropDuplicates(["doc_id"])
+        lambda t: prefixes(t, percent), "kind int, key binary, doc_id long, n int, token long, place int, tokens binary, bits array<long>"),
+        "prefixes", "kind")
+    prefix = kept.where("kind = 0").select("key", "doc_id", "n", "token", "place").distinct()
+    sets = kept.where("kind = 1").select("key", "doc_id", "n", "tokens", "bits").dropDuplicates(["key"])
     links = class_links(prefix, sets, percent)
     # An id with several texts joins their classes.
     named = rows.where("n > 0 and doc_id is not null").join(classes.where("rows > 1").select("digest", "rep"), "digest", "left")

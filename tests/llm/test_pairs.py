@@ -61,6 +61,16 @@ def test_jaccard_links_at_the_threshold(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_join_id_with_two_texts(spark):
+    """An id that stands for two classes keeps the links of both texts."""
+    one, two = ([f"{c}{i}" for i in range(120)] for c in "pq")
+    near = lambda w, i: " ".join([*w[:60], f"x{i}", *w[61:]])
+    rows = [(700, " ".join(one)), (700, " ".join(two)), (701, near(one, 1)), (702, near(two, 2)), (703, near(one, 3)), (704, "else " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(docs, chunk_bytes=500).collect()}
+    assert got == set(brute_components(rows).items()) == {(700, 700), (701, 700), (702, 700), (703, 700), (704, 704)}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20), (None, 4), (3, 1), (3, 1)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
