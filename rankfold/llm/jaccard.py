@@ -291,6 +291,23 @@ def can_link(percent: int):
     return length & (left * (100 + percent) >= (n_a + n_b) * percent)
 
 
+def across(rest: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs (a, b) of classes of different components; ``a`` has the smaller id.
+
+    Classes of a token that agree in all that the filters look at are one group; only groups that fit are spelled out.
+    """
+    alike = ["token", "component", "n", "place"]
+    groups = rest.select(*alike).distinct()
+    fit = groups.alias("x").join(groups.alias("y"), "token").where((F.col("x.component") < F.col("y.component")) & can_link(percent))
+    fit = fit.select("token", *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in alike[1:]])
+    for s in "xy":
+        members = rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in (*alike[1:], "doc_id", "key")])
+        fit = fit.join(members, ["token", *[f"{c}_{s}" for c in alike[1:]]])
+    first = F.col("doc_id_x") < F.col("doc_id_y")
+    return fit.select(F.when(first, F.col("key_x")).otherwise(F.col("key_y")).alias("a"),
+                      F.when(first, F.col("key_y")).otherwise(F.col("key_x")).alias("b")).distinct()
+
+
 def class_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) edges between ids whose components, joined over the texts of an id, are those of all links between classes."""
     columns = ["doc_id", "key", "n", "place"]
@@ -304,9 +321,7 @@ def class_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     named = stage(named, "named")
     mixed_tokens = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     rest = stage(named.join(mixed_tokens, "token", "left_semi"), "rest")
-    open_pairs = rest.alias("x").join(rest.alias("y"), "token").where(
-        (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & can_link(percent))
-    again = open_pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    again = across(rest, percent).join(tried, ["a", "b"], "left_anti")
     return stage(found.unionByName(verified(again, sets, percent)), "links")
 
 

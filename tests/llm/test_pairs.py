@@ -71,6 +71,15 @@ def test_jaccard_join_id_with_two_texts(spark):
     assert got == set(brute_components(rows).items()) == {(700, 700), (701, 700), (702, 700), (703, 700), (704, 704)}
 
 
+def test_jaccard_pairs_across_components_only(spark):
+    """One token of very many classes of one component and one outside it: as many pairs as classes, not their square."""
+    inside = spark.range(60000).selectExpr("cast(string(id) as binary) as key", "id as doc_id", "100 as n", "7L as token", "1 + id % 3 as place",
+                                           "0L as component")
+    outside = spark.sql("select cast('o' as binary) as key, 90000L as doc_id, 100 as n, 7L as token, 2L as place, 90000L as component")
+    pairs = jaccard.across(inside.unionByName(outside), 75)
+    assert pairs.count() == 60000 and pairs.where("b <> cast('o' as binary)").count() == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20), (None, 4), (3, 1), (3, 1)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
