@@ -85,6 +85,8 @@ def q_cv_test_rank_sum(spark, sf_dir):
 _OOF = {fam: [c for c in cols if c not in CATS and not c.endswith("_bin")] for fam, cols in FAMILIES.items()}
 _OOF_X = {"ind": ["f_reg_03", "f_calc_01"], "reg": ["f_car_15", "f_calc_01"], "car": ["f_reg_03", "f_calc_01"]}
 _OOF_PAIRS = {y: _OOF_X[fam] for fam, ys in _OOF.items() for y in ys}
+# Every column of each family and all feature columns outside the family.
+_OOF_ALL = {y: [c for c in O.FEATURES if c not in ys] for ys in FAMILIES.values() for y in ys}
 
 
 def _oof_targets_sql() -> str:
@@ -115,14 +117,17 @@ def q_feat_oof_targets(spark, sf_dir):
     "select fold, count(*) as n_rows, count(*) as n_ids, count(*) as n_finite, true as follows from "
     f"(select id, {O.fold_sql(None)} as fold from base) x group by fold"))
 def q_feat_oof_boosted(spark, sf_dir):
-    """The boosted form of the same feature for f_car_11 from all numeric columns outside its family:
-    rows, ids and finite scores of every fold, and whether the score follows the target."""
-    b = materialize(CF.kfold(base(spark, sf_dir)), "oof_input")
-    xs = [c for c in NUM if c not in FAMILIES["car"]] + ["f_calc_01"]
-    got = CF.oof_learned_features(b, {"f_car_11": xs}, lambda x, y: MD.gbt_regressor(x, y, max_iter=ROUNDS))
+    """The boosted form for every column of each family from all columns outside it (label codes of categoricals): rows, ids and
+    rows with all features finite of every fold, and whether the feature of f_car_11 follows its target."""
+    b = base(spark, sf_dir)
+    b = materialize(CF.kfold(EN.label_encode(b, CATS)), "oof_input")
+    got = CF.oof_learned_features(b, _OOF_ALL, lambda x, y: MD.gbt_regressor(x, y, max_iter=ROUNDS))
     j = got.join(b.select("id", "f_car_11"), "id")
+    finite = F.greatest(*[F.abs(f"oof_{y}") for y in _OOF_ALL]) < 1e9
+    for y in _OOF_ALL:
+        finite = finite & F.col(f"oof_{y}").isNotNull()
     return j.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.count(F.when(F.abs("oof_f_car_11") < 1e9, 1)).alias("n_finite"),
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.count(F.when(finite, 1)).alias("n_finite"),
         (F.corr("oof_f_car_11", "f_car_11") > 0).alias("follows"))
 
 

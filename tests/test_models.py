@@ -58,3 +58,10 @@ def test_early_stopping_keeps_the_best_prefix(rows):
     assert len(ginis) == len(model.trees) == 8 and ginis[best - 1] == max(ginis[:stop])
     score = MD.predict_prefix(model, valid, best).join(valid.select("id", "target"), "id")
     assert OR.gini(score, "target", "score").first()["gini"] == pytest.approx(ginis[best - 1])
+
+
+def test_boosted_oof_features_of_every_column():
+    from rankfold.plans import catalog_fit as C
+
+    assert sorted(C._OOF_ALL) == sorted(c for cols in C.FAMILIES.values() for c in cols)
+    assert all(set(xs) == set(C.O.FEATURES) - set(cols) for cols in C.FAMILIES.values() for y, xs in C._OOF_ALL.items() if y in cols)
