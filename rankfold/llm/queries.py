@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankfold.llm import ann, bpe_codec, jaccard, packing, quality, secrets, sharding, suffix_dedup, topk, warc
+from rankfold.llm import ann, bpe_codec, jaccard, merkle, packing, periodic_runs, quality, secrets, sharding, suffix_dedup, topk, warc, whitening
 from rankfold.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -104,3 +104,22 @@ def op6_prefix_filter_join(spark, sf_dir):
 def op8_difference_cover_dedup(spark, sf_dir):
     """Bytes of every document that belong to strings of 100 bytes which also start earlier."""
     return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_suffix_tree_runs(spark, sf_dir):
+    """Runs of repeated words of every document, a tenth of which get a planted periodic tail, and the texts without them."""
+    docs = periodic_runs.with_planted_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.summary(periodic_runs.find_runs(docs))
+
+
+@query
+def op12_polarised_whitening(spark, sf_dir):
+    """All embeddings projected on sixteen whitened principal components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_merkle_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return merkle.compare_with_next(table(spark, sf_dir, "documents"))
