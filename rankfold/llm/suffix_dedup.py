@@ -18,8 +18,8 @@ sorted that can have an equal prefix at all:
 
 An anchor with many distinct runs in one chunk or in all (the edge of a passage that many texts share)
 is split: its runs are compared by bucket of their content. A window of such a run is as long as the sort would compare,
-so it goes by its whole content instead (``earlier_copies``): the smallest id of each content is combined before the
-shuffle and joined back by content and salt. So copies of a window never meet in one task.
+so it goes by its whole content instead (``earlier_windows``): a chunk sends each distinct content once, with its smallest id, and
+gets one bit back for it. So copies of a window meet only once per chunk, and no window is a row of its own.
 
 Earlier means a smaller doc_id, or the same row and a smaller start. Defined cases: null and
 short texts keep all bytes; rows with a null id are left as they are and remove nothing
@@ -30,7 +30,6 @@ result; other columns are carried by ``deduplicate`` and ignored by ``removals``
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
 
 import numpy as np
@@ -47,8 +46,8 @@ BLOCK = 1 << 19  # bytes of text hashed at once
 HOT = 64  # runs of one anchor in a chunk, above which they are split
 SPLIT = 512  # runs of one anchor in all chunks, above which they are split
 DOC, RUNS, LISTED, COVERED, ASKED = 0, 1, 2, 3, 4
-PLAIN, WINDOW, AGAIN = 0, 1, 2  # bytes to sort, a window of a split anchor, a window that its own row holds earlier
-SALTS = 256  # parts of the copies of a window, at least
+PLAIN, WAIT, CONTENT, SPAN = 0, 1, 2, 3  # bytes to sort; of split anchors: windows, their contents, windows covered in the chunk itself
+CHUNK_WINDOWS = 1 << 18  # windows of split anchors in one chunk
 FIELDS = {"bucket": pa.int32(), "kind": pa.int32(), "chunk": pa.string(), "at": pa.int32(), "doc_id": pa.int64(), "tag": pa.int64(),
           "s": pa.int32(), "e": pa.int32(), "h": pa.int64(), "hot": pa.int32(), "body": pa.binary()}
 DDL = "bucket int, kind int, chunk string, at int, doc_id long, tag long, s int, e int, h long, hot int, body binary"
@@ -406,50 +405,134 @@ def repeated_windows(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[first[which]]), "tag": pa.array(tag[first[which]]), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
 
 
-def contexts(asked: DataFrame, buckets: int, length: int) -> DataFrame:
-    """The requested byte strings, by bucket of their anchor; of split anchors the digest of every window."""
+def pack_arrays(**arrays: np.ndarray) -> bytes:
+    """Arrays of one length as compressed byte planes; whole numbers that rise slowly are best sent as differences."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(
+        np.ascontiguousarray(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize).T).tobytes() for v in arrays.values()))
+
+
+def unpack_arrays(blob: bytes, **kinds: str) -> dict[str, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = len(raw) // sum(np.dtype(k).itemsize for k in kinds.values()), 0, {}
+    for name, kind in kinds.items():
+        width = np.dtype(kind).itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T).view(kind).ravel()
+        at += width * n
+    return out
+
+
+PENDING = {"doc": "<i8", "tag": "<i8", "s": "<i4", "group": "<u4"}  # windows of a chunk that wait for an answer, by row and place
+ASKING = {"first": "<u8", "second": "<u8", "doc": "<i8"}  # distinct contents of a chunk and the smallest id of each
+
+
+def spans_of_windows(doc: np.ndarray, tag: np.ndarray, s: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """The union of the windows of each row as spans."""
+    turn = np.lexsort((tag, doc))
+    doc, tag, s = doc[turn], tag[turn], s[turn].astype(np.int64)
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+    owner, a, e = merged(np.cumsum(new) - 1, s, s + length)
+    return {"doc_id": doc[new][owner], "tag": tag[new][owner], "s": a, "e": e}
+
+
+def asked_windows(chunk: str, rows: list[tuple[int, int, int, bytes]], buckets: int, length: int):
+    """What a chunk of windows (doc_id, tag, s, digest of the content) sends: spans that an earlier window of the same chunk
+    covers, the windows that wait, and by bucket the distinct contents with their smallest id."""
+    doc, tag, s = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    digest = np.frombuffer(b"".join(r[3] for r in rows), "<u8").reshape(-1, 2)
+    turn = np.lexsort((s, tag, doc, digest[:, 1], digest[:, 0]))
+    doc, tag, s, digest = doc[turn], tag[turn], s[turn], digest[turn]
+    new = np.ones(len(doc), bool)
+    new[1:] = (digest[1:] != digest[:-1]).any(axis=1)
+    group, least = np.cumsum(new) - 1, doc[new]
+    opens = new.copy()
+    opens[1:] |= (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    covered = (doc > least[group]) | (s > s[opens][np.cumsum(opens) - 1])
+    if covered.any():
+        found = spans_of_windows(doc[covered], tag[covered], s[covered], length)
+        yield {"what": [SPAN] * len(found["s"]), **found}
+    wait = np.flatnonzero(~covered)
+    wait = wait[np.lexsort((s[wait], tag[wait], doc[wait]))]
+    pending = {"doc": doc[wait], "tag": tag[wait], "s": np.diff(s[wait], prepend=0), "group": group[wait]}
+    yield {"what": [WAIT], "chunk": [chunk], "body": [pack_arrays(**{k: v.astype(PENDING[k]) for k, v in pending.items()})]}
+    first, second = digest[new].T
+    place = ((first >> U64(32)).astype(np.int64) * buckets) >> 32  # rises with the digests' order
+    cuts = np.searchsorted(place, np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(cuts))
+    body = [pack_arrays(first=first[a:b], second=second[a:b], doc=least[a:b]) for a, b in zip(cuts[used], cuts[used + 1])]
+    yield {"what": [CONTENT] * len(used), "chunk": [chunk] * len(used), "bucket": used.tolist(), "body": body}
+
+
+def contexts(asked: DataFrame, buckets: int, window_buckets: int, length: int) -> DataFrame:
+    """The requested byte strings, by bucket of their anchor; of split anchors the contents of all windows, by chunk."""
     def cut(batches):
+        out, windows, number = {c: [] for c in KINDS}, [], 0
         for batch in batches:
-            out = {c: [] for c in KINDS}
             for doc, text, tag, asks in zip(*batch.columns):
                 if not asks.is_valid or asks.as_py() is None:
                     continue
-                raw, seen = text.as_py().encode(), set()
-                for r in sorted(asks.as_py(), key=lambda r: r["s"]):
+                raw, doc, tag = text.as_py().encode(), doc.as_py(), tag.as_py()
+                for r in asks.as_py():
                     if r["hot"]:
-                        for s in range(r["s"], r["s"] + r["e"]):
-                            content = hashlib.blake2b(raw[s: s + length], digest_size=16).digest()
-                            add(out, AGAIN if content in seen else WINDOW, None, doc, tag, s, content, None)
-                            seen.add(content)
+                        windows += [(doc, tag, s, hashlib.blake2b(raw[s: s + length], digest_size=16).digest()) for s in range(r["s"], r["s"] + r["e"])]
                     else:
                         place = ((r["h"] * GOLDEN & MASK) >> 32) * buckets >> 32
-                        add(out, PLAIN, place, doc, tag, r["s"], None, raw[r["s"]: r["s"] + r["e"] + length - 1])
+                        body = raw[r["s"]: r["s"] + r["e"] + length - 1]
+                        for c, value in (("what", PLAIN), ("bucket", place), ("doc_id", doc), ("tag", tag), ("s", r["s"]), ("body", body)):
+                            out[c].append(value)
                 if len(out["s"]) >= 20000:
                     yield made(out)
-                    out = {c: [] for c in out}
-            if out["s"]:
-                yield made(out)
-
-    def add(out, what, place, doc, tag, s, content, body):
-        for c, value in zip(out, (what, place, doc.as_py(), tag.as_py(), s, content, body)):
-            out[c].append(value)
+                    out = {c: [] for c in KINDS}
+                if len(windows) >= CHUNK_WINDOWS:
+                    yield from map(made, asked_windows(chunk_name(number), windows, window_buckets, length))
+                    windows, number = [], number + 1
+        if out["s"]:
+            yield made(out)
+        if windows:
+            yield from map(made, asked_windows(chunk_name(number), windows, window_buckets, length))
+        give_back()
 
     def made(out):
-        return pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in KINDS.items()], names=list(KINDS))
+        n = len(out["what"])
+        return pa.RecordBatch.from_arrays([pa.array(out[c], t) if len(out.get(c, ())) else pa.nulls(n, t) for c, t in KINDS.items()], names=list(KINDS))
+
+    KINDS = {"what": pa.int32(), "bucket": pa.int32(), "chunk": pa.string(), "doc_id": pa.int64(), "tag": pa.int64(), "s": pa.int32(),
+             "e": pa.int32(), "body": pa.binary()}
+    return asked.mapInArrow(cut, "what int, bucket int, chunk string, doc_id long, tag long, s int, e int, body binary")
 
-    KINDS = {"what": pa.int32(), "bucket": pa.int32(), "doc_id": pa.int64(), "tag": pa.int64(), "s": pa.int32(), "content": pa.binary(),
-             "body": pa.binary()}
-    return asked.mapInArrow(cut, "what int, bucket int, doc_id long, tag long, s int, content binary, body binary")
 
+def earlier_windows(cut: DataFrame, length: int) -> DataFrame:
+    """Spans of the waiting windows whose content a smaller id of another chunk also holds.
 
-def earlier_copies(windows: DataFrame, salts: int) -> DataFrame:
-    """(doc_id, tag, s) of the windows (doc_id, tag, s, content) whose content a smaller doc_id also holds."""
-    salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(salts)).cast("int"))
-    part = salted.groupBy("content", "salt").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    first = part.groupBy("content").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("content", "first")
-    first = part.join(first, "content").where("hi > first").select("content", "salt", "first")
-    # A left join: as many rows as windows, whatever the windows hold.
-    return salted.join(first, ["content", "salt"], "left").where("doc_id > coalesce(first, doc_id)").select("doc_id", "tag", "s")
+    A bucket sees each content once per chunk and answers every chunk with one bit per content it sent.
+    """
+    schema = "chunk string, bucket int, body binary"
+
+    def answer(table: pa.Table) -> pa.Table:
+        parts = [unpack_arrays(b.as_py(), **ASKING) for b in table.column("body")]
+        sizes = np.cumsum([len(p["doc"]) for p in parts])
+        first, second, doc = (np.concatenate([p[k] for p in parts]) for k in ASKING)
+        turn = np.lexsort((doc, second, first))
+        new = np.ones(len(turn), bool)
+        new[1:] = (first[turn][1:] != first[turn][:-1]) | (second[turn][1:] != second[turn][:-1])
+        earlier = np.empty(len(turn), bool)
+        earlier[turn] = doc[turn] > doc[turn][new][np.cumsum(new) - 1]
+        body = [np.uint32(len(x)).tobytes() + np.packbits(x).tobytes() for x in np.split(earlier, sizes[:-1])]
+        return pa.table([table.column("chunk"), table.column("bucket"), pa.array(body, pa.binary())], names=["chunk", "bucket", "body"])
+
+    def settle_chunk(table: pa.Table) -> pa.Table:
+        turn = np.argsort(np.array([-1 if b is None else b for b in table.column("bucket").to_pylist()]))
+        bodies = table.column("body").take(pa.array(turn)).to_pylist()  # the waiting windows, then the answers by bucket
+        pending = unpack_arrays(bodies[0], **PENDING)
+        bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -1, 4), count=int(np.frombuffer(b, np.uint32, 1)[0])) for b in bodies[1:]])
+        covered = bits[pending["group"]].astype(bool)
+        s = np.cumsum(pending["s"], dtype=np.int64)
+        found = spans_of_windows(pending["doc"][covered], pending["tag"][covered], s[covered], length) if covered.any() else \
+            {k: np.empty(0, np.int64) for k in ("doc_id", "tag", "s", "e")}
+        return pa.table({"doc_id": found["doc_id"], "tag": found["tag"], "s": pa.array(found["s"], pa.int32()), "e": pa.array(found["e"], pa.int32())})
+
+    answers = cut.where(F.col("what") == CONTENT).select("chunk", "bucket", "body").groupBy("bucket").applyInArrow(answer, schema)
+    waiting = cut.where(F.col("what") == WAIT).select("chunk", "bucket", "body")
+    return waiting.unionByName(answers).groupBy("chunk").applyInArrow(settle_chunk, "doc_id long, tag long, s int, e int")
 
 
 def covered_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20,
@@ -466,13 +549,10 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = 8 <<
              .groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e", "h", "hot")).alias("asks")))
     # A left join here and below, so that both use the same shuffled texts.
     cut = stage(contexts(docs.join(asked, ["doc_id", "tag"], "left").select("doc_id", "text", "tag", "asks"),
-                         buckets_for(total, sort_bytes, docs.sparkSession), length), "windows", "what")
+                         buckets_for(total, sort_bytes, docs.sparkSession), buckets, length), "windows", "what")
     plain = cut.where(F.col("what") == PLAIN).select("bucket", "doc_id", "tag", "s", "body")
     found = plain.groupBy("bucket").applyInArrow(lambda t: repeated_windows(t, length), "doc_id long, tag long, s int, e int")
-    # About the root of the number of texts, so that neither the salts of a content nor the copies of a salt are many.
-    copies = earlier_copies(cut.where(F.col("what") == WINDOW).select("doc_id", "tag", "s", "content"), max(SALTS, math.isqrt(total // 1000)))
-    copies = copies.unionByName(cut.where(F.col("what") == AGAIN).select("doc_id", "tag", "s"))
-    found = found.unionByName(copies.select("doc_id", "tag", "s", (F.col("s") + F.lit(length)).alias("e")))
+    found = found.unionByName(earlier_windows(cut, length)).unionByName(cut.where(F.col("what") == SPAN).select("doc_id", "tag", "s", "e"))
     known = settled.where(F.col("kind") == COVERED).select("chunk", "at", "s", "e").join(rows, ["chunk", "at"]).select("doc_id", "tag", "s", "e")
     spans = known.unionByName(found).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return docs.join(spans, ["doc_id", "tag"], "left")
