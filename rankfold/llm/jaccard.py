@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rankfold.llm.common import GOLDEN, U64, buckets_for, chunk_name, give_back, mixed, prefix_hash, span_hash, stage, total_bytes, utf8, words
+from rankfold.llm.common import GOLDEN, U64, buckets_for, chunk_name, give_back, mixed, stage, total_bytes, utf8, words
 from rankfold.llm.components import connected_components
 from rankfold.llm.quality import blocks
 
@@ -50,6 +50,27 @@ DOC, SHARED, LISTED, COUNT = 0, 1, 2, 3
 CHUNK_FIELDS = "bucket int, kind int, chunk string, at int, doc_id long, n int, digest binary, body binary"
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: of up to seven bytes the bytes and their number, reversibly mixed; of longer words a cryptographic digest,
+    so that no two words of a text are made to meet."""
+    n = ends - starts
+    value = np.minimum(n, 8).astype(np.uint64) << U64(56)
+    for i in range(7):
+        has = n > i
+        value[has] |= data[starts[has] + i].astype(np.uint64) << U64(8 * i)
+    value = mixed(value)
+    long = np.flatnonzero(n > 7)
+    raw, known, digests = data.tobytes(), {}, []
+    for s, e in zip(starts[long].tolist(), ends[long].tolist()):
+        w = raw[s:e]
+        d = known.get(w)
+        if d is None:
+            d = known[w] = hashlib.blake2b(w, digest_size=8).digest()
+        digests.append(d)
+    value[long] = np.frombuffer(b"".join(digests), "<u8")
+    return value
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text (one after the other) and their counts."""
     n = len(offsets) - 1
@@ -57,25 +78,24 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     starts, ends, before = words(data, offsets)
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(n, np.int64)
-    word = span_hash(prefix_hash(data), starts, ends)
+    word = word_hashes(data, starts, ends)
     per_text = np.diff(before)
     text = np.repeat(np.arange(n), per_text)
-    odd = [U64(pow(GOLDEN, 2 * j + 3, 1 << 64)) for j in range(size)]
     full = len(word) - size + 1
     owner, value = [], []
     if full > 0:
         inside = text[:full] == text[size - 1:]
         total = np.zeros(full, np.uint64)
         for j in range(size):
-            total += word[j: j + full] * odd[j]
+            total = mixed(total * U64(GOLDEN) + word[j: j + full])
         owner.append(text[:full][inside])
-        value.append(mixed(total[inside]))
+        value.append(total[inside])
     short = np.flatnonzero((per_text > 0) & (per_text < size))
     if len(short):
         total = np.zeros(len(short), np.uint64)
         for j in range(size - 1):
             has = per_text[short] > j
-            total[has] += word[before[short[has]] + j] * odd[j]
+            total[has] = mixed(total[has] * U64(GOLDEN) + word[before[short[has]] + j])
         owner.append(short)
         value.append(mixed(total + per_text[short].astype(np.uint64)))
     owner, value = np.concatenate(owner), np.concatenate(value)
