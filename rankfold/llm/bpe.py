@@ -12,6 +12,9 @@ from functools import lru_cache
 import public_tokenizers
 
 
+LONG_BLANKS = 10_000  # blanks in a row beyond which the fast encoder is not used
+
+
 def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -66,6 +69,21 @@ def library_encoder(path: str):
     return t
 
 
+def whole_text_encoder(path: str):
+    """Function from a text to its ids. The fast encoder's pattern goes back over a run of blanks with one stack entry
+    per blank and gives up on long runs, so texts with such a run are encoded by the library."""
+    import re
+
+    fast, slow, blanks = fast_encoder(path), library_encoder(path), re.compile(rf"\s{{{LONG_BLANKS}}}")
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_BLANKS and blanks.search(text):
+            return slow.encode(text, add_special_tokens=False).ids
+        return fast.encode(text, allowed_special="all")
+
+    return encode
+
+
 @lru_cache(maxsize=1)
 def word_pattern():
     import regex

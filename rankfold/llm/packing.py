@@ -43,11 +43,11 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None =
     schema = extended(docs.select("doc_id").schema, PIECE_FIELDS + (", ids array<int>" if keep_ids else ""))
 
     def cut(batches):
-        encode = bpe.fast_encoder(path)
+        encode = bpe.whole_text_encoder(path)
         for batch in batches:
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                ids = np.array([*encode.encode(text.as_py() or "", allowed_special="all"), end_id], np.uint32)
+                ids = np.array([*encode(text.as_py() or ""), end_id], np.uint32)
                 at, size = 0, len(ids) % capacity or min(capacity, len(ids))
                 number = 0
                 while at < len(ids):
