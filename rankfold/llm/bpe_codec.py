@@ -4,17 +4,18 @@ Merges never cross the words that the tokenizer's own pattern cuts, so each dist
 encoded once and its ids are joined back by position:
 
 1. Every task cuts its texts into words, numbers the distinct words of each chunk of texts and
-   writes, per chunk, the word numbers of every text by position, and per chunk and word
-   bucket the chunk's distinct words. Both are compressed; a word that every text holds is
-   one entry of the chunk.
+   writes, per chunk and word bucket, the chunk's distinct words, compressed; a word that every text
+   holds is one entry of the chunk. The word numbers of the texts, by position, are twice as large. They are
+   not written but made again by the last pass, straight into its shuffle.
 2. Per word bucket (a hash of the word) the distinct words of all chunks are encoded once by
    the tokenizers library; each chunk gets the ids of its words in the order it sent them.
 3. Per chunk the ids are joined to the word numbers by position, which gives the ids of every
    text. Decoding joins every id to its piece (a table of vocabulary size) and puts the bytes
    together.
 
-A chunk holds at most ``chunk_bytes`` of text or one longer text; a word bucket follows the
-number of distinct words, so memory is bounded for either.
+A chunk holds at most ``chunk_bytes`` of text and ``CHUNK_ROWS`` texts, or one longer text; a word bucket follows the
+number of distinct words, so memory is bounded for either. A chunk's name holds a digest of its words, so a table
+whose rows come in another order when read again is noticed and refused; tables read from files do not.
 
 Defined cases: null and empty texts have no ids; null ids and repeated rows give a row each;
 an empty table gives an empty result; other columns are ignored.
@@ -30,9 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rankfold.llm import bpe
-from rankfold.llm.common import buckets_for, chunk_name, extended, stage, total_bytes
+from rankfold.llm.common import CHUNK_ROWS, buckets_for, chunk_name, extended, stage, total_bytes
 
 
 def pack_numbers(values: np.ndarray) -> bytes:
@@ -59,14 +61,14 @@ def unpack_words(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int) -> DataFrame:
-    """Rows of two kinds: a chunk's texts as word numbers (bucket null), and its words by bucket."""
+def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int, words: bool) -> DataFrame:
+    """Per chunk its distinct words by bucket (``words``), or else its texts as word numbers (bucket null)."""
     ids = docs.select("doc_id").schema
     out = extended(ids, "chunk string, bucket int, counts binary, body binary")
+    kind = to_arrow_type(ids[0].dataType)
 
     def emit(number, doc_ids, texts):
-        """One row per text with its word numbers, then the chunk's words, one row per bucket."""
-        chunk, numbers, rows = chunk_name(number), {}, []
+        numbers, rows = {}, []
         for text in texts:
             rows.append(np.array([numbers.setdefault(w, len(numbers)) for w in bpe.split_words(text, path)], np.uint32))
         counts = np.array([len(r) for r in rows], np.uint32)
@@ -75,40 +77,42 @@ def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int)
         by_use = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
         rank = np.empty(len(numbers), np.uint32)
         rank[by_use] = np.arange(len(numbers))
-        flat, named = rank[flat], list(numbers)
+        named = [w.encode() for w in numbers]
+        chunk = f"{chunk_name(number)}-{hashlib.blake2b(b' '.join(named), digest_size=8).hexdigest()}"
+        if not words:
+            return text_rows(chunk, doc_ids, counts, rank[flat])
         by_bucket: dict[int, list[tuple[bytes, int]]] = {}
         for n, at in enumerate(by_use.tolist()):
-            raw = named[at].encode()
-            by_bucket.setdefault(zlib.crc32(raw) % word_buckets, []).append((raw, n))
-        return chunk, doc_ids, counts, flat, by_bucket
+            by_bucket.setdefault(zlib.crc32(named[at]) % word_buckets, []).append((named[at], n))
+        return word_rows(chunk, by_bucket)
 
     def cut(batches):
-        held_ids, held, size, kind, number = [], [], 0, None, 0
+        held_ids, held, size, number = [], [], 0, 0
         for batch in batches:
-            kind = batch.column(0).type
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
-                if held and size + len(text) > chunk_bytes:
-                    yield from rows_of(emit(number, held_ids, held), kind)
+                if held and (size + len(text) > chunk_bytes or len(held) >= CHUNK_ROWS):
+                    yield emit(number, held_ids, held)
                     held_ids, held, size, number = [], [], 0, number + 1
                 held_ids.append(doc_id.as_py())
                 held.append(text)
                 size += len(text)
         if held:
-            yield from rows_of(emit(number, held_ids, held), kind)
+            yield emit(number, held_ids, held)
 
-    def rows_of(made, kind):
-        chunk, doc_ids, counts, flat, by_bucket = made
+    def text_rows(chunk, doc_ids, counts, flat):
         n = len(doc_ids)
         ends = np.cumsum(counts, dtype=np.int64)
         # The first text's row carries the chunk's body, every row its place and where its words end.
         body = [pack_numbers(flat), *[None] * (n - 1)]
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(doc_ids, kind), pa.array([chunk] * n), pa.array([None] * n, pa.int32()),
              pa.array([np.array([i, e], "<i8").tobytes() for i, e in enumerate(ends)], pa.binary()),
              pa.array(body, pa.binary())], names=out.names)
+
+    def word_rows(chunk, by_bucket):
         buckets = sorted(by_bucket)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.nulls(len(buckets), kind), pa.array([chunk] * len(buckets)), pa.array(buckets, pa.int32()),
              pa.array([pack_numbers(np.diff([i for _, i in by_bucket[b]], prepend=0)) for b in buckets], pa.binary()),
              pa.array([pack_words([w for w, _ in by_bucket[b]]) for b in buckets], pa.binary())], names=out.names)
@@ -146,6 +150,8 @@ def assemble(rows: DataFrame, path: str, keep_ids: bool) -> DataFrame:
         piece = bpe.piece_list(path)
         answers = table.filter(pc.is_valid(table.column("bucket")))
         texts = table.filter(pc.is_null(table.column("bucket")))
+        if not len(texts):
+            raise ValueError("the documents came in another order when read again")
         places = np.frombuffer(b"".join(b.as_py() for b in texts.column("counts")), "<i8").reshape(-1, 2)
         order = np.argsort(places[:, 0])
         body = next(b.as_py() for b in texts.column("body") if b.is_valid)
@@ -158,6 +164,8 @@ def assemble(rows: DataFrame, path: str, keep_ids: bool) -> DataFrame:
             flat = unpack_numbers(blob[4:])
             parts.append((which, flat[:n].astype(np.int64), flat[n:]))
             total = max(total, int(which.max()) + 1) if n else total
+        if int(numbers.max(initial=0)) >= max(total, 1):
+            raise ValueError("the documents came in another order when read again")
         starts, sizes, at, pool = np.zeros(total, np.int64), np.zeros(total, np.int64), 0, []
         for which, size, flat in parts:
             sizes[which] = size
@@ -193,6 +201,6 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, keep_ids:
     """Every text's token count and the digests of its ids and of its decoded text (with ``keep_ids`` both themselves)."""
     path = vocabulary or bpe.default_vocabulary()
     word_buckets = buckets_for(total_bytes(docs, "text"), bucket_bytes, docs.sparkSession)
-    sent = stage(word_chunks(docs, path, word_buckets, chunk_bytes), "word-chunks")
-    answers = encode_words(sent.where(F.col("bucket").isNotNull()), path)
-    return assemble(sent.where(F.col("bucket").isNull()).unionByName(answers), path, keep_ids)
+    sent = stage(word_chunks(docs, path, word_buckets, chunk_bytes, words=True), "word-chunks")
+    texts = word_chunks(docs, path, word_buckets, chunk_bytes, words=False)
+    return assemble(texts.unionByName(encode_words(sent, path)), path, keep_ids)
