@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from rankfold.session import scratch_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+CHUNK_ROWS = 1 << 17  # texts of one chunk; empty ones have no bytes that would close it
 U64 = np.uint64
 GOLDEN = 0x9E3779B97F4A7C15  # odd 64-bit multiplier of the polynomial hashes
 MASK = (1 << 64) - 1

@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rankfold.llm.common import GOLDEN, U64, buckets_for, chunk_name, give_back, mixed, stage, total_bytes, utf8, words
+from rankfold.llm.common import CHUNK_ROWS, GOLDEN, U64, buckets_for, chunk_name, give_back, mixed, stage, total_bytes, utf8, words
 from rankfold.llm.components import connected_components
 from rankfold.llm.quality import blocks
 
@@ -179,7 +179,7 @@ def chunk_tokens(docs: DataFrame, bits: int, buckets: int, chunk_bytes: int, siz
                 sets += np.split(values, np.cumsum(counts)[:-1])
                 ids += batch.column(0).slice(a, b - a).to_pylist()
                 held += int(offsets[b] - offsets[a])
-                if held >= chunk_bytes:
+                if held >= chunk_bytes or len(ids) >= CHUNK_ROWS:
                     for t in close(number, ids, sets):
                         yield from t.to_batches()
                     give_back()

@@ -37,7 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rankfold.llm.common import GOLDEN, MASK, U64, buckets_for, chunk_name, give_back, mixed, prefix_hash, span_hash, stage, total_bytes, utf8
+from rankfold.llm.common import CHUNK_ROWS, GOLDEN, MASK, U64, buckets_for, chunk_name, give_back, mixed, prefix_hash, span_hash, stage, total_bytes, utf8
 from rankfold.llm.quality import blocks
 
 LENGTH = 100
@@ -171,7 +171,7 @@ def chunk_runs(docs: DataFrame, buckets: int, chunk_bytes: int, length: int) ->
                 ids += batch.column(0).slice(a, b - a).to_pylist()
                 tags += batch.column(2).slice(a, b - a).to_pylist()
                 held += int(offsets[b] - offsets[a])
-                if held >= chunk_bytes:
+                if held >= chunk_bytes or len(ids) >= CHUNK_ROWS:
                     for t in close(number, ids, tags, parts):
                         yield from t.to_batches()
                     give_back()

@@ -225,3 +225,45 @@ def test_without_secrets(spark, docs):
 def test_secret_scan_plan_has_no_python(docs):
     plan = secrets.scan(docs)._jdf.queryExecution().toString() + secrets.without_secrets(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal(spark):
+    """A Thue-Morse word of two letters and its mirror agree in every polynomial modulo 2**64."""
+    morse = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in morse) for flip in (0, 1))
+    rows = [(1, one), (2, two), (3, f"{one} x y z w"), (4, f"{two} x y z w"), (5, two), (6, "abcdefg\x01"), (7, "abcdefg")]
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2, 6: 6, 7: 7}
+
+
+def test_chunks_close_by_rows(spark, monkeypatch):
+    for module in (jaccard, suffix_dedup):
+        monkeypatch.setattr(module, "CHUNK_ROWS", 3)
+    rows = [(i, "") for i in range(40)] + [(50 + i, "a text of some words that repeats " * 9) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df).collect()}
+    assert all(got[i] == i for i in range(40)) and {got[50 + i] for i in range(4)} == {50}
+    assert {r["doc_id"] for r in suffix_dedup.removals(df).collect() if r["n_removed"] == r["n_bytes"] > 0} == {51, 52, 53}
+
+
+def test_windows_of_split_anchors_over_chunks(spark, monkeypatch):
+    """Windows of many small chunks answer each other."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 1)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_WINDOWS", 50)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    rows = [(i, "".join(rng.choice("ijklmnop ") for _ in range(150)) + passage + "".join(rng.choice("qrstuvw ") for _ in range(150))) for i in range(30)]
+    rows += [(40, passage * 3), (40, passage * 3), (41, passage[:150]), (None, passage)]
+    got = sorted(tuple(r) for r in suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).where("doc_id is not null").collect())
+    seen, want = {}, []
+    for i, text in sorted(rows[:-1]):
+        for s in range(len(text) - 99):
+            seen.setdefault(text[s: s + 100], (i, s))
+    for i, text in rows[:-1]:
+        gone = [False] * len(text)
+        for s in range(len(text) - 99):
+            if seen[text[s: s + 100]] < (i, s):
+                gone[s: s + 100] = [True] * 100
+        want.append((i, len(text), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))))
+    assert [r[:4] for r in got] == sorted(want)

@@ -153,3 +153,27 @@ def test_sparse_dot_product_equals_features(docs):
     slots, ends = quality.features(np.frombuffer(data + b"zz", np.uint8), np.array([0, len(data), len(data) + 2]), 20, 2)
     n_shape = ends[1] - ends[0] - 1
     assert ends[0] - n_shape == 3 + 3  # a b c; a b, b a, b c
+
+
+BLANKS = [" ", "\t", "\n", "\u00a0"]
+
+
+def test_long_runs_of_blanks(spark):
+    """A million blanks at the front, in the middle and at the end get the library's ids."""
+    n, ends = 1_200_000, bpe.library_encoder(PATH)
+    texts = [" " * n + "front word", "some words" + "\n" * n + "middle", "end" + "\t " * (n // 2), "\u00a0" * n, "short  text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {}
+    for r in packing.token_pieces(df, keep_ids=True).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    for i, text in enumerate(texts):
+        ids = [x for _, part in sorted(got[i]) for x in part]
+        assert ids == [*ends.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_words_come_back_in_another_order(spark, docs):
+    """The second read of the texts must give the same chunks; what does not is refused."""
+    sent = bpe_codec.word_chunks(docs, PATH, 4, 1 << 20, words=True)
+    other = bpe_codec.word_chunks(docs.where("doc_id > 300").repartition(1), PATH, 4, 1 << 20, words=False)
+    with pytest.raises(Exception, match="another order"):
+        bpe_codec.assemble(other.unionByName(bpe_codec.encode_words(sent, PATH)), PATH, False).collect()
