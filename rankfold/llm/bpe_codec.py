@@ -4,9 +4,9 @@ Merges never cross the words that the tokenizer's own pattern cuts, so each dist
 encoded once and its ids are joined back by position:
 
 1. Every task cuts its texts into words, numbers the distinct words of each chunk of texts and
-   writes, per chunk and word bucket, the chunk's distinct words, compressed; a word that every text
-   holds is one entry of the chunk. The word numbers of the texts, by position, are twice as large. They are
-   not written but made again by the last pass, straight into its shuffle.
+   sends, per chunk, the word numbers of every text by position, and per chunk and word
+   bucket the chunk's distinct words. Both are compressed; a word that every text holds is
+   one entry of the chunk. These rows are shuffled by chunk once, and both passes below read that shuffle.
 2. Per word bucket (a hash of the word) the distinct words of all chunks are encoded once by
    the tokenizers library; each chunk gets the ids of its words in the order it sent them.
 3. Per chunk the ids are joined to the word numbers by position, which gives the ids of every
@@ -14,8 +14,8 @@ encoded once and its ids are joined back by position:
    together.
 
 A chunk holds at most ``chunk_bytes`` of text and ``CHUNK_ROWS`` texts, or one longer text; a word bucket follows the
-number of distinct words, so memory is bounded for either. A chunk's name holds a digest of its words, so a table
-whose rows come in another order when read again is noticed and refused; tables read from files do not.
+number of distinct words, so memory is bounded for either. A chunk's name holds a digest of its words, so rows
+of a table that come in another order when a lost task runs again are refused; tables read from files keep theirs.
 
 Defined cases: null and empty texts have no ids; null ids and repeated rows give a row each;
 an empty table gives an empty result; other columns are ignored.
@@ -30,11 +30,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rankfold.llm import bpe
-from rankfold.llm.common import CHUNK_ROWS, buckets_for, chunk_name, extended, stage, total_bytes
+from rankfold.llm.common import CHUNK_ROWS, buckets_for, chunk_name, extended, total_bytes
 
 
 def pack_numbers(values: np.ndarray) -> bytes:
@@ -61,8 +61,8 @@ def unpack_words(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int, words: bool) -> DataFrame:
-    """Per chunk its distinct words by bucket (``words``), or else its texts as word numbers (bucket null)."""
+def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int) -> DataFrame:
+    """Rows of two kinds: a chunk's texts as word numbers (bucket null), and its words by bucket."""
     ids = docs.select("doc_id").schema
     out = extended(ids, "chunk string, bucket int, counts binary, body binary")
     kind = to_arrow_type(ids[0].dataType)
@@ -79,12 +79,11 @@ def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int,
         rank[by_use] = np.arange(len(numbers))
         named = [w.encode() for w in numbers]
         chunk = f"{chunk_name(number)}-{hashlib.blake2b(b' '.join(named), digest_size=8).hexdigest()}"
-        if not words:
-            return text_rows(chunk, doc_ids, counts, rank[flat])
+        yield text_rows(chunk, doc_ids, counts, rank[flat])
         by_bucket: dict[int, list[tuple[bytes, int]]] = {}
         for n, at in enumerate(by_use.tolist()):
             by_bucket.setdefault(zlib.crc32(named[at]) % word_buckets, []).append((named[at], n))
-        return word_rows(chunk, by_bucket)
+        yield word_rows(chunk, by_bucket)
 
     def cut(batches):
         held_ids, held, size, number = [], [], 0, 0
@@ -92,13 +91,13 @@ def word_chunks(docs: DataFrame, path: str, word_buckets: int, chunk_bytes: int,
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
                 if held and (size + len(text) > chunk_bytes or len(held) >= CHUNK_ROWS):
-                    yield emit(number, held_ids, held)
+                    yield from emit(number, held_ids, held)
                     held_ids, held, size, number = [], [], 0, number + 1
                 held_ids.append(doc_id.as_py())
                 held.append(text)
                 size += len(text)
         if held:
-            yield emit(number, held_ids, held)
+            yield from emit(number, held_ids, held)
 
     def text_rows(chunk, doc_ids, counts, flat):
         n = len(doc_ids)
@@ -124,6 +123,10 @@ def encode_words(sent: DataFrame, path: str) -> DataFrame:
     """Encode each distinct word of a bucket once; answer every chunk in the order it asked."""
     out = sent.schema
 
+    def words_only(batches):  # a filter of Spark's own would move below the shuffle, which then would be made twice
+        for batch in batches:
+            yield batch.filter(pc.is_valid(batch.column("bucket")))
+
     def encode(table: pa.Table) -> pa.Table:
         encoder, known, bodies = bpe.library_encoder(path), {}, []
         asked = [unpack_words(b.as_py()) for b in table.column("body")]
@@ -138,18 +141,17 @@ def encode_words(sent: DataFrame, path: str) -> DataFrame:
             bodies.append(np.uint32(len(ids)).tobytes() + pack_numbers(np.concatenate([sizes, np.frombuffer(b"".join(ids), "<u4")])))
         return table.set_column(out.names.index("body"), "body", pa.array(bodies, pa.binary()))
 
-    return sent.groupBy("bucket").applyInArrow(encode, out)
+    return sent.mapInArrow(words_only, out).groupBy("bucket").applyInArrow(encode, out)
 
 
-def assemble(rows: DataFrame, path: str, keep_ids: bool) -> DataFrame:
+def assemble(sent: DataFrame, answers: DataFrame, path: str, keep_ids: bool) -> DataFrame:
     """Join the words' ids to the texts by position, and the ids to their pieces."""
-    out = extended(rows.select("doc_id").schema, "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    out = extended(sent.select("doc_id").schema, "n_tokens long, ids_sha256 string, decoded_sha256 string"
                    + (", ids array<int>, decoded string" if keep_ids else ""))
 
-    def join(table: pa.Table) -> pa.Table:
+    def join(rows: pa.Table, answers: pa.Table) -> pa.Table:
         piece = bpe.piece_list(path)
-        answers = table.filter(pc.is_valid(table.column("bucket")))
-        texts = table.filter(pc.is_null(table.column("bucket")))
+        texts = rows.filter(pc.is_null(rows.column("bucket")))
         if not len(texts):
             raise ValueError("the documents came in another order when read again")
         places = np.frombuffer(b"".join(b.as_py() for b in texts.column("counts")), "<i8").reshape(-1, 2)
@@ -193,7 +195,7 @@ def assemble(rows: DataFrame, path: str, keep_ids: bool) -> DataFrame:
             cols += [pa.array(kept, pa.list_(pa.int32())), pa.array(told, pa.string())]
         return pa.table(cols, names=out.names)
 
-    return rows.groupBy("chunk").applyInArrow(join, out)
+    return sent.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join, out)
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = False, chunk_bytes: int = 48 << 20,
@@ -201,6 +203,5 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, keep_ids:
     """Every text's token count and the digests of its ids and of its decoded text (with ``keep_ids`` both themselves)."""
     path = vocabulary or bpe.default_vocabulary()
     word_buckets = buckets_for(total_bytes(docs, "text"), bucket_bytes, docs.sparkSession)
-    sent = stage(word_chunks(docs, path, word_buckets, chunk_bytes, words=True), "word-chunks")
-    texts = word_chunks(docs, path, word_buckets, chunk_bytes, words=False)
-    return assemble(texts.unionByName(encode_words(sent, path)), path, keep_ids)
+    sent = word_chunks(docs, path, word_buckets, chunk_bytes).repartition("chunk")
+    return assemble(sent, encode_words(sent, path), path, keep_ids)

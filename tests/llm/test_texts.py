@@ -172,8 +172,8 @@ def test_long_runs_of_blanks(spark):
 
 
 def test_words_come_back_in_another_order(spark, docs):
-    """The second read of the texts must give the same chunks; what does not is refused."""
-    sent = bpe_codec.word_chunks(docs, PATH, 4, 1 << 20, words=True)
-    other = bpe_codec.word_chunks(docs.where("doc_id > 300").repartition(1), PATH, 4, 1 << 20, words=False)
+    """Words and texts must be of the same chunks; others are refused."""
+    sent = bpe_codec.word_chunks(docs, PATH, 4, 1 << 20)
+    other = bpe_codec.word_chunks(docs.where("doc_id > 300").repartition(1), PATH, 4, 1 << 20)
     with pytest.raises(Exception, match="another order"):
-        bpe_codec.assemble(other.unionByName(bpe_codec.encode_words(sent, PATH)), PATH, False).collect()
+        bpe_codec.assemble(other, bpe_codec.encode_words(sent, PATH), PATH, False).collect()
