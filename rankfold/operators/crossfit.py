@@ -12,10 +12,10 @@ Scores leave every cross-fit in one long layout:
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Sequence
 
-import numpy as np
 from pyspark.ml import Estimator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -108,6 +108,43 @@ def ols_crossfit(train: DataFrame, x: str, y: str, fold: str = "fold", test: Dat
     return out.withColumn("seed", F.lit(seed))
 
 
+def ols_crossfit_seeds(train: DataFrame, x: str, y: str, seeds: Sequence[int], fold: str = "fold", test: DataFrame | None = None,
+                       subsample: float | None = None, key: str = "id") -> DataFrame:
+    """``ols_crossfit`` for many seeds at once: the sums of all (fold, seed) pairs come from one aggregate over the training rows and
+    all scores from one projection per table. Output: key, split, fold, seed, score."""
+    whole = train.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    c = whole.agg(F.avg(F.col(x).cast("double")).alias("cx"), F.avg(F.col(y).cast("double")).alias("cy")).first()
+    cx, cy = (c["cx"] or 0.0), (c["cy"] or 0.0)
+    xd, yd = F.col(x).cast("double") - F.lit(cx), F.col(y).cast("double") - F.lit(cy)
+    used = whole.select(fold, xd.alias("_x"), yd.alias("_y"), *[subsample_flag(subsample, s, key).alias(f"_u{i}") for i, s in enumerate(seeds)])
+    terms = (F.lit(1.0), F.col("_x"), F.col("_y"), F.col("_x") * F.col("_y"), F.col("_x") * F.col("_x"))
+    sums = [F.coalesce(F.sum(F.when(F.col(f"_u{i}"), t)), F.lit(0.0)).alias(f"s{i}_{j}") for i in range(len(seeds)) for j, t in enumerate(terms)]
+    own = {r[fold]: r for r in used.groupBy(fold).agg(*sums).collect()}
+    folds = sorted(r[0] for r in train.select(fold).distinct().collect())
+    models = []
+    for f in folds:
+        for i, s in enumerate(seeds):
+            n, sx, sy, sxy, sxx = (sum(r[f"s{i}_{j}"] for g, r in own.items() if g != f) for j in range(5))
+            var = sxx - sx * sx / n if n else 0.0
+            if var:
+                b = (sxy - sx * sy / n) / var
+                models.append((int(f), int(s), cy + sy / n - b * (cx + sx / n), b))
+            else:  # no line through fewer than two points
+                models.append((int(f), int(s), None, None))
+    if not models:
+        return train.select(key, F.lit("train").alias("split"), F.col(fold).cast("int").alias("fold"), F.lit(0).alias("seed"),
+                            F.lit(None).cast("double").alias("score")).limit(0)
+    shape = "array<struct<_f:int,seed:int,_a:double,_b:double>>"
+    table = F.from_json(F.lit(json.dumps([dict(zip(("_f", "seed", "_a", "_b"), m)) for m in models])), shape)
+
+    def scored(df: DataFrame, split: str, which: Column) -> DataFrame:
+        rows = df.select(key, F.col(x).cast("double").alias("_x"), F.inline(which))
+        return rows.select(key, F.lit(split).alias("split"), F.col("_f").alias("fold"), "seed", (F.col("_a") + F.col("_b") * F.col("_x")).alias("score"))
+
+    out = scored(train, "train", F.filter(table, lambda m: m["_f"] == F.col(fold)))
+    return out if test is None else out.unionByName(scored(test, "test", table))
+
+
 def _with_totals(per: DataFrame, tot: DataFrame) -> DataFrame:
     """Attach the one-row totals as literal columns (read on the driver: five numbers)."""
     r = tot.first()
@@ -164,54 +201,9 @@ def ml_crossfit(train: DataFrame, estimator: Estimator | Callable[[DataFrame], E
 
 # ---------------------------------------------------------------- out-of-fold target features
 
-def oof_target_features(df: DataFrame, predictors: dict[str, Sequence[str]], fold: str = "fold", key: str = "id",
-                        fmt: str = "oof_{}") -> DataFrame:
-    """Every target regressed on its predictors by least squares, cross-fitted; the held-out prediction is the feature.
-
-    ``predictors`` maps each target column to its predictor columns. All sums of products of all folds
-    come from one aggregation (a row per fold); the small normal equations are solved on the driver
-    from those rows, and all predictions are one projection. Rows with a missing target or
-    predictor are left out of that target's fit; a missing predictor gives NULL. Adds one column per target.
-    """
-    columns = list(dict.fromkeys([*predictors, *[x for xs in predictors.values() for x in xs]]))
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    shifted = {c: F.col(c).cast("double") - F.lit(means[c] or 0.0) for c in columns}
-    aggs = []
-    for t, (y, xs) in enumerate(predictors.items()):
-        whole = F.lit(True)
-        for c in (y, *xs):
-            whole = whole & F.col(c).isNotNull()
-        terms = [F.lit(1.0), *[shifted[x] for x in xs], shifted[y]]
-        for i in range(len(terms)):
-            aggs += [F.coalesce(F.sum(F.when(whole, terms[i] * terms[j])), F.lit(0.0)).alias(f"s{t}_{i}_{j}") for j in range(i, len(terms))]
-    per_fold = {r[fold]: r for r in df.groupBy(fold).agg(*aggs).collect()}
-    new = []
-    for t, (y, xs) in enumerate(predictors.items()):
-        size = len(xs) + 2
-
-        def products(r, t=t, size=size):
-            m = np.zeros((size, size))
-            for i in range(size):
-                for j in range(i, size):
-                    m[i, j] = m[j, i] = r[f"s{t}_{i}_{j}"]
-            return m
-
-        total = sum(products(r) for r in per_fold.values())
-        value = None
-        for f, r in per_fold.items():
-            m = total - products(r)
-            b = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=1e-12)[0]
-            guess = F.lit(float(b[0]) + (means[y] or 0.0))
-            for x, w in zip(xs, b[1:]):
-                guess = guess + F.lit(float(w)) * shifted[x]
-            value = F.when(F.col(fold) == f, guess) if value is None else value.when(F.col(fold) == f, guess)
-        new.append((value if value is not None else F.lit(None).cast("double")).alias(fmt.format(y)))
-    return df.select("*", *new)
-
-
 def oof_learned_features(df: DataFrame, predictors: dict[str, Sequence[str]], learner: Callable[[str, str], Estimator], k: int = 5,
                          fold: str = "fold", key: str = "id", fmt: str = "oof_{}") -> DataFrame:
-    """The same with any ``pyspark.ml`` regressor: ``learner(features, label)`` makes one per target."""
+    """``linear.oof_gram_features`` with any ``pyspark.ml`` regressor: ``learner(features, label)`` makes one per target."""
     out = df.select(key, fold)
     for y, xs in predictors.items():
         rows = VectorAssembler(inputCols=list(xs), outputCol="_x").transform(df.select(key, fold, y, *xs)).select(key, fold, y, "_x")

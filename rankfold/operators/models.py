@@ -1,4 +1,4 @@
-"""Member learners as ``pyspark.ml`` estimators, plus the Gini evaluator and early-stopping helpers.
+"""Member learners as ``pyspark.ml`` estimators. Boosting that stops early and its metrics are in ``boosting``.
 
 Each recipe maps one family of the reference's model zoo onto the closest Spark ML
 learner; parameters default to the reference's values where Spark has the knob.
@@ -8,13 +8,11 @@ Quality parity with the original boosting/neural libraries is not claimed.
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.operators.crossfit import positive_probability
-from rankfold.operators.order import gini
 
 
 def gbt_binary(features: str = "features", label: str = "target", max_iter: int = 100, step: float = 0.1,
@@ -74,21 +72,6 @@ def predict_positive(model, df: DataFrame, key: str = "id") -> DataFrame:
     return out.select(key, F.col("prediction").cast("double").alias("score"))
 
 
-class GiniEvaluator(Evaluator):
-    """Normalized Gini of ``scoreCol`` against ``labelCol``, computed with DataFrame operations."""
-
-    def __init__(self, labelCol: str = "target", scoreCol: str = "score"):
-        super().__init__()
-        self.labelCol = labelCol
-        self.scoreCol = scoreCol
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        return float(gini(dataset, self.labelCol, self.scoreCol).first()["gini"])
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def staged_scores(model, df: DataFrame, key: str = "id", keep=("fold",)) -> DataFrame:
     """(key, keep..., round, score): the margin of every prefix of a boosted model's trees, in one pass over ``df``."""
     columns = [c for c in keep if c in df.columns]
@@ -104,29 +87,6 @@ def staged_scores(model, df: DataFrame, key: str = "id", keep=("fold",)) -> Data
     return staged.select(key, *columns, F.inline(rounds))
 
 
-def stop_with_patience(ginis: list[float | None], patience: int) -> tuple[int, int]:
-    """(best round, round at which training would stop): stop once ``patience`` rounds bring no better Gini. 1-based."""
-    best, top = 1, None
-    for i, g in enumerate(ginis, 1):
-        if g is not None and (top is None or g > top):
-            best, top = i, g
-        elif i - best >= patience:
-            return best, i
-    return best, len(ginis)
-
-
-def early_stopped(rows: DataFrame, valid: DataFrame, estimator, label: str = "target", patience: int = 10, key: str = "id"):
-    """Fit all allowed rounds, score ``valid`` after each, keep the best prefix under the patience rule.
-
-    Returns (model, best round, stop round, Gini by round). The allowed rounds bound what reaches the driver.
-    """
-    model = estimator.fit(rows)
-    staged = staged_scores(model, valid, key, keep=()).join(valid.select(key, label), key)
-    by_round = {r["round"]: r["gini"] for r in gini(staged, label, "score", by=["round"]).collect()}
-    ginis = [by_round.get(i + 1) for i in range(len(model.trees))]
-    return (model, *stop_with_patience(ginis, patience), ginis)
-
-
 def predict_prefix(model, df: DataFrame, rounds: int, key: str = "id") -> DataFrame:
     """(key, score) of the first ``rounds`` trees: the probability of class 1 under the logistic loss."""
     staged = staged_scores(model, df, key, keep=()).where(F.col("round") == rounds)

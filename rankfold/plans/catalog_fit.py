@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.operators import blend as BL
+from rankfold.operators import boosting as BO
 from rankfold.operators import crossfit as CF
 from rankfold.operators import encode as EN
 from rankfold.operators import features as FE
+from rankfold.operators import linear as LI
 from rankfold.operators import models as MD
 from rankfold.operators import order as OR
 from rankfold.functions import rowwise as RW
 from rankfold.operators.categories import fit_categories
 from rankfold.plans import oracle as O
-from rankfold.plans.catalog import BLEND_W, CATS, FAMILIES, NUM, _bag_models_sql, _blend_sql_ctes, query, r6, train_of
+from rankfold.plans.catalog import BLEND_W, CATS, FAMILIES, NUM, _bag_models_sql, _blend_sql_ctes, _code_sql, query, r6, train_of
 from rankfold.session import materialize
 from rankfold.sources.fixtures import GRID_TARGETS, base, planted_label, pseudo_scores
 
@@ -81,36 +81,40 @@ def q_cv_test_rank_sum(spark, sf_dir):
     return rk.groupBy("id").agg(r6(F.sum("p")).alias("score"))
 
 
-# Each family's numeric columns and the two predictors outside the family that the registered job uses.
-_OOF = {fam: [c for c in cols if c not in CATS and not c.endswith("_bin")] for fam, cols in FAMILIES.items()}
-_OOF_X = {"ind": ["f_reg_03", "f_calc_01"], "reg": ["f_car_15", "f_calc_01"], "car": ["f_reg_03", "f_calc_01"]}
-_OOF_PAIRS = {y: _OOF_X[fam] for fam, ys in _OOF.items() for y in ys}
 # Every column of each family and all feature columns outside the family.
 _OOF_ALL = {y: [c for c in O.FEATURES if c not in ys] for ys in FAMILIES.values() for y in ys}
 
 
 def _oof_targets_sql() -> str:
-    ctes, sels, joins = [f"fa as (select *, {O.fold_sql(None)} as fold from base)"], [], []
-    for i, (y, (a, b)) in enumerate(_OOF_PAIRS.items()):
-        d = lambda c: f"cast(t.{c} as double)"
-        ctes.append(
-            f"q{i} as (select f.fold as k, var_pop({d(a)}) saa, var_pop({d(b)}) sbb, covar_pop({d(a)}, {d(b)}) sab, covar_pop({d(a)}, {d(y)}) say, "
-            f"covar_pop({d(b)}, {d(y)}) sby, avg({d(a)}) ma, avg({d(b)}) mb, avg({d(y)}) my from (select distinct fold from fa) f "
-            f"join fa t on t.fold <> f.fold group by f.fold)")
-        ctes.append(f"t{i} as (select k, (say * sbb - sby * sab) / (saa * sbb - sab * sab) wa, (sby * saa - say * sab) / (saa * sbb - sab * sab) wb, "
-                    f"ma, mb, my from q{i})")
-        joins.append(f"join t{i} on t{i}.k = fa.fold")
-        sels.append(O.r6(f"(t{i}.my + t{i}.wa * (fa.{a} - t{i}.ma) + t{i}.wb * (fa.{b} - t{i}.mb))", 4) + f" as oof_{y}")
-    return O.with_ctes("select fa.id, fa.split, " + ", ".join(sels) + " from fa " + " ".join(joins), *ctes)
+    """One matrix of sums per fold; per family the sweep over the columns outside it, all its columns as right sides."""
+    codes = {c: _code_sql(c) for c in CATS}
+    cols = ", ".join(f"cast({codes[c][1] if c in codes else f'b.{c}'} as double) as {c}" for c in O.FEATURES)
+    means = ", ".join(f"avg({c}) as m_{c}" for c in O.FEATURES)
+    ctes = [*[c for c, _ in codes.values()], f"cd as materialized (select b.id, b.split, {cols} from base b)", f"mu as (select {means} from cd)",
+            f"fa as materialized (select cd.id, cd.split, {O.fold_sql(None)} as fold, " + ", ".join(f"cd.{c} - mu.m_{c} as {c}" for c in O.FEATURES) + " from cd, mu)"]
+    sels, joins = [], []
+    for fam, ys in FAMILIES.items():
+        xs = _OOF_ALL[ys[0]]
+        p = len(xs) + 1
+        terms = ["1.0", *[f"t.{c}" for c in [*xs, *ys]]]
+        ctes.append(f"g_{fam} as materialized (select f.fold as k, {O.products_sql(terms, p)} from (select distinct fold from fa) f "
+                    f"join fa t on t.fold <> f.fold group by f.fold)")
+        ctes += O.sweep_ctes(f"w_{fam}", f"g_{fam}", p, len(ys))
+        joins.append(f"join w_{fam} on w_{fam}.k = fa.fold")
+        for n, y in enumerate(ys):
+            guess = " + ".join([f"w_{fam}.a_0_{p + n} + mu.m_{y}", *[f"w_{fam}.a_{i}_{p + n} * fa.{x}" for i, x in enumerate(xs, 1)]])
+            sels.append(f"{guess} as oof_{y}")
+    ctes.append("pr as materialized (select fa.id, fa.split, " + ", ".join(sels) + " from fa " + " ".join(joins) + ", mu)")
+    return O.with_ctes("select id, split, " + ", ".join(O.r6(f"oof_{y}", 4) + f" as oof_{y}" for y in _OOF_ALL) + " from pr", *ctes)
 
 
 @query("feat_oof_targets", _oof_targets_sql)
 def q_feat_oof_targets(spark, sf_dir):
-    """OOF features: every numeric column of each family regressed on two columns outside it with
+    """OOF features: every column of each family (label codes of categoricals) regressed on all columns outside the family with
     5-fold cross-fitting over train+test; the held-out prediction becomes the feature."""
-    b = materialize(CF.kfold(base(spark, sf_dir)), "oof_input")
-    out = CF.oof_target_features(b, _OOF_PAIRS)
-    return out.select("id", "split", *[r6(f"oof_{y}", 4).alias(f"oof_{y}") for y in _OOF_PAIRS])
+    b = materialize(CF.kfold(EN.label_encode(base(spark, sf_dir), CATS)), "oof_input")
+    out = LI.oof_gram_features(b, _OOF_ALL)
+    return out.select("id", "split", *[r6(f"oof_{y}", 4).alias(f"oof_{y}") for y in _OOF_ALL])
 
 
 @query("feat_oof_boosted", O.with_ctes(
@@ -135,11 +139,7 @@ _SEEDS = list(range(16))
 
 
 def _bag_scores(tr: DataFrame, te: DataFrame) -> DataFrame:
-    parts = [CF.ols_crossfit(tr, "f_reg_03", "target", test=te, subsample=0.9, seed=s) for s in _SEEDS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return CF.ols_crossfit_seeds(tr, "f_reg_03", "target", _SEEDS, subsample=0.9, test=te)
 
 
 _BAG_SQL_SCORES = " union all ".join(
@@ -225,7 +225,6 @@ def q_eval_gini_by_fold(spark, sf_dir):
 FOLDS = 5
 ROUNDS = 10      # boosting rounds, epochs and solver steps of the registered jobs; the recipes' defaults are the reference's
 FIT_SEEDS = (0, 1, 2, 3)
-PATIENCE = 3     # rounds without a better Gini before a fit stops
 
 # Blocks of every member's input and whether it is standard-scaled.
 RECIPES = {
@@ -288,27 +287,11 @@ def member_scores(spark, sf_dir, member: str, make, score=None, ranked: bool = F
     return materialize(sc.select("id", "split", "fold", "seed", "score"), "member_scores"), tr
 
 
-def score_properties(sc: DataFrame, tr: DataFrame, high: float = 1.0) -> DataFrame:
-    """Per (split, fold): rows, ids, scores within [0, high], and for out-of-fold rows whether their Gini is above 0.2."""
-    counts = sc.groupBy("split", "fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"),
-                                             F.count(F.when(F.col("score").between(0.0, high), 1)).alias("n_in_range"))
-    oof = sc.where(F.col("split") == "train").join(tr.select("id", "target"), "id")
-    g = OR.gini(oof, "target", "score", by=["fold"]).select(F.lit("train").alias("split"), "fold", (F.col("gini") > 0.2).alias("ranks_label"))
-    return counts.join(g, ["split", "fold"], "left")
-
-
-def _properties_sql() -> str:
-    rows = "count(*) as n_rows, count(*) as n_ids, count(*) as n_in_range"
-    return O.with_ctes(f"select 'train' as split, fold, {rows}, true as ranks_label from fo group by fold union all "
-                       f"select 'test' as split, f.fold, {rows}, null as ranks_label from planted t, (select distinct fold from fo) f "
-                       f"where t.split = 'test' group by f.fold", *_OLS_CTES)
-
-
-def _member(name: str, make, doc: str, score=None, ranked: bool = False, high: float = 1.0) -> None:
+def _member(name: str, make, doc: str, score=None, ranked: bool = False, suffix: str = "") -> None:
     def run(spark, sf_dir):
-        return score_properties(*member_scores(spark, sf_dir, name, make, score, ranked), high)
-    run.__doc__ = doc + " Returns the properties of its five-fold out-of-fold and test scores over all rows."
-    query(f"mdl_{name}", _properties_sql)(run)
+        return member_scores(spark, sf_dir, name, make, score, ranked)[0].select("id", "split", "fold", "score")
+    run.__doc__ = doc + " Five-fold out-of-fold scores and every fold model's test scores."
+    query(f"mdl_{name}{suffix}")(run)
 
 
 def _raw():
@@ -322,13 +305,13 @@ def _clipped():
 _member("gbt_binary", lambda rows: MD.gbt_binary(max_iter=ROUNDS), "Boosted trees, logistic loss, 60 % features, 90 % rows, 256 bins.")
 _member("gbt_regressor", lambda rows: MD.gbt_regressor(label="target", max_iter=ROUNDS), "Squared-error boosted trees (depth 6, 90 % rows, 85 % features), clipped to [0, 1].",
         score=_clipped)
-_member("count_loss", lambda rows: MD.count_loss(max_iter=ROUNDS), "Poisson GLM (log link) on the 0/1 label, ranked.", score=_raw, ranked=True)
+_member("count_loss", lambda rows: MD.count_loss(max_iter=ROUNDS), "Poisson GLM (log link) on all the member's blocks, ranked.", score=_raw, ranked=True, suffix="_wide")
 _member("robust_loss", lambda rows: MD.gbt_regressor(label="target", loss="absolute", max_iter=ROUNDS), "Absolute-loss boosted trees, ranked.", score=_raw,
-        ranked=True)
+        ranked=True, suffix="_trees")
 _member("gbt_sampled", lambda rows: MD.gbt_sampled(max_iter=ROUNDS), "Boosted trees with 70 % row sampling per round, ranked.", ranked=True)
 _member("gbt_scaled", lambda rows: MD.gbt_scaled(max_iter=ROUNDS), "Boosted trees on the wide standard-scaled matrix.")
 _member("logistic", lambda rows: MD.logistic(C=25.0, n_rows=rows.count(), max_iter=50),
-        "L2 logistic regression, C = 25 for each fold's own row count, on the selected and scaled features.")
+        "L2 logistic regression, C = 25 for each fold's own row count, on the selected and scaled features of all blocks.", suffix="_wide")
 _member("mlp", lambda rows: MD.mlp(_width(rows), max_iter=ROUNDS), "Two-hidden-layer perceptron 512 -> 64 on the scaled dense features.")
 _member("mlp_categorical", lambda rows: MD.mlp(_width(rows), hidden=(64, 16), max_iter=ROUNDS),
         "Perceptron 64 -> 16 on the numeric block with the categoricals as one-hot blocks.")
@@ -339,84 +322,155 @@ def _width(tr: DataFrame) -> int:
     return len(tr.first()["features"])
 
 
-def _test_properties(scores: DataFrame) -> DataFrame:
-    return scores.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"),
-                      F.count(F.when(F.col("score").between(0.0, 1.0), 1)).alias("n_in_range"), (F.stddev_pop("score") > 0).alias("varies"))
+# Linear members: exact at a stated number of steps, on the standardised numeric block, so that SQL can follow them.
+LINEAR = {"logistic": dict(family="binomial", steps=6, l2=1.0 / 25.0), "count_loss": dict(family="poisson", steps=6), "robust_loss": dict(family="fair", steps=8, c=1.0)}
 
 
-_TEST_SQL = O.with_ctes("select count(*) as n_rows, count(distinct id) as n_ids, count(*) as n_in_range, true as varies from base where split = 'test'")
+def _linear_sql(name: str, ranked: bool) -> str:
+    how, p = LINEAR[name], len(NUM) + 1
+    ctes = [O.PLANTED_CTE, "pl as (select * from planted where split = 'train')", f"fo as materialized (select *, {O.fold_sql('target')} as fold from pl)",
+            *O.scaled_ctes("select id, fold, target, " + ", ".join(NUM) + " from fo union all select id, null, null, " + ", ".join(NUM)
+                           + " from planted where split = 'test'", NUM),
+            "tr as materialized (select * from zx where fold is not null)", *O.glm_ctes("m", "tr", p, **how),
+            f"sc as materialized (select t.id, case when t.fold is null then 'test' else 'train' end as split, m.k as fold, {O.glm_score(p, how['family'])} as s "
+            f"from zx t join m on t.fold is null or t.fold = m.k)"]
+    value = O.pct_rank_sql("s", ["split", "fold"]) if ranked else O.r6("s")
+    return O.with_ctes(f"select id, split, fold, {value} as score from sc", *ctes)
+
+
+def _linear_scores(spark, sf_dir, name: str) -> DataFrame:
+    tr, te = _planted_folds(spark, sf_dir)
+    return LI.glm_crossfit(tr, NUM, "target", test=te, **LINEAR[name])
+
+
+def _linear(name: str, doc: str, ranked: bool = False) -> None:
+    def run(spark, sf_dir):
+        sc = _linear_scores(spark, sf_dir, name)
+        if ranked:
+            sc = OR.pct_rank(materialize(sc, "raw_scores"), "score", by=["split", "fold"], out="rank").drop("score").withColumnRenamed("rank", "score")
+        return sc.select("id", "split", "fold", (F.col("score") if ranked else r6("score")).alias("score"))
+    run.__doc__ = doc + " All folds are fitted together, one aggregate per step; out-of-fold scores and every fold model's test scores."
+    query(f"mdl_{name}", _linear_sql(name, ranked))(run)
+
 
+_linear("logistic", "L2 logistic regression (C = 25) on the scaled numeric block by Newton steps.")
+_linear("count_loss", "Poisson loss (log link) on the 0/1 label, ranked.", ranked=True)
+_linear("robust_loss", "Fair loss by reweighted least squares, ranked.", ranked=True)
 
-@query("mdl_predict", _TEST_SQL)
+
+@query("mdl_predict")
 def q_mdl_predict(spark, sf_dir):
-    """Probability of class 1 for the test rows from a boosted model fitted on all train rows (properties of the scores)."""
+    """Probability of class 1 for the test rows from a boosted model fitted on all train rows."""
     tr, te = member_frame(spark, sf_dir, "gbt_regressor")
-    return _test_properties(MD.predict_positive(MD.gbt_binary(max_iter=ROUNDS).fit(tr), te))
+    return MD.predict_positive(MD.gbt_binary(max_iter=ROUNDS).fit(tr), te)
+
 
+def _full_sql() -> str:
+    p = len(NUM) + 1
+    ctes = [O.PLANTED_CTE, "fo as materialized (select *, 0 as fold from planted where split = 'train')",
+            *O.scaled_ctes("select id, fold, target, " + ", ".join(NUM) + " from fo union all select id, null, null, " + ", ".join(NUM)
+                           + " from planted where split = 'test'", NUM),
+            "tr as materialized (select * from zx where fold is not null)",
+            *O.glm_ctes("m", "tr", p, **LINEAR["logistic"], models="select -1 as k")]
+    return O.with_ctes(f"select t.id, {O.r6(O.glm_score(p, 'binomial'))} as score from zx t, m where t.fold is null", *ctes)
 
-@query("fit_full_single", _TEST_SQL)
+
+@query("fit_full_single", _full_sql)
 def q_fit_full_single(spark, sf_dir):
-    """Logistic member fitted once on all train rows, test rows scored (properties of the scores)."""
-    tr, te = member_frame(spark, sf_dir, "logistic")
-    return _test_properties(MD.predict_positive(MD.logistic(C=25.0, n_rows=tr.count(), max_iter=50).fit(tr), te))
+    """Logistic member fitted once on all train rows, test rows scored."""
+    b = materialize(planted_label(base(spark, sf_dir)), "full_rows")
+    sc = LI.glm_crossfit(train_of(b).withColumn("fold", F.lit(0)), NUM, "target", test=b.where(F.col("split") == "test"), models=[-1], **LINEAR["logistic"])
+    return sc.where(F.col("split") == "test").select("id", r6("score").alias("score"))
 
 
-@query("fit_full_bagged", _TEST_SQL)
+@query("fit_full_bagged")
 def q_fit_full_bagged(spark, sf_dir):
-    """No CV: boosted trees fitted on all train rows with several seeds, test scores averaged (properties of the scores)."""
+    """No CV: boosted trees fitted on all train rows with several seeds, test scores averaged."""
     tr, te = member_frame(spark, sf_dir, "gbt_binary")
     parts = [MD.predict_positive(MD.gbt_binary(max_iter=ROUNDS, seed=s).fit(tr), te) for s in FIT_SEEDS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return _test_properties(out.groupBy("id").agg(F.avg("score").alias("score")))
+    return out.groupBy("id").agg(F.avg("score").alias("score"))
 
 
-def _early_fits(spark, sf_dir, seeds) -> list[tuple[int, int, int, int, list]]:
-    """(seed, fold, best round, stop round, Gini by round) of boosted fits that stop on the held-out fold's Gini."""
-    tr, _ = member_frame(spark, sf_dir, "gbt_regressor")
-    tr = materialize(tr, "early_rows")
+# ============================================================ boosting that stops
 
-    def one(job):
-        s, f = job
-        _, best, stop, ginis = MD.early_stopped(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f),
-                                                MD.gbt_binary(max_iter=ROUNDS, seed=s), patience=PATIENCE)
-        return s, f, best, stop, ginis
+# Rounds that are allowed, step, rounds without a better value before a fold's fit stops, cuts per column in deviations.
+STOP = dict(rounds=16, rate=0.5, patience=3)
+STOP_AT = (-1.0, -0.5, 0.0, 0.5, 1.0)
+STOP_SEEDS = (0, 1, 2)
 
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        return list(pool.map(one, [(s, f) for s in seeds for f in range(FOLDS)]))
 
+def _stopped(spark, sf_dir, seed: int = 0, metric=None, rows: DataFrame | None = None) -> BO.Boosted:
+    """Stump boosting of every fold: validation rows are carved out of the training folds, the fold itself is only scored."""
+    tr = rows if rows is not None else _planted_folds(spark, sf_dir, test=False)[0]
+    return BO.boost(BO.with_roles(tr.select("id", "target", "fold", *NUM), FOLDS, seed=seed), BO.BestStump(NUM, STOP_AT), metric=metric, **STOP)
+
+
+def _stop_sql(tag: str, seed: int, loss: bool = False) -> list[str]:
+    """CTEs {tag}_v (model, round, value) and {tag} (model, best, stop)."""
+    n = STOP["rounds"]
+    rows = " union all ".join(f"select {r} as round, model, target, margin from {tag}_m{r} where role = 'valid'" for r in range(1, n + 1))
+    ctes = [*O.boost_ctes(tag, NUM, STOP_AT, n, STOP["rate"], seed), f"{tag}_rows as materialized ({rows})"]
+    if loss:
+        ctes.append(f"{tag}_v as materialized (select model, round, round(avg(abs(target - 1.0 / (1.0 + exp(-margin)))), 6) as value from {tag}_rows group by model, round)")
+    else:
+        ctes += [*O.gini_ctes(f"{tag}_gi", f"{tag}_rows", "target", "margin", ["model", "round"]),
+                 f"{tag}_v as materialized (select model, round, round(gini, 6) as value from {tag}_gi)"]
+    return ctes + O.stop_ctes(tag, f"{tag}_v", n, STOP["patience"], -1 if loss else 1)
 
-@query("eval_early_stop", O.with_ctes("select distinct fold, true as best_is_top, true as patience_kept, true as within from fo", *_OLS_CTES))
-def q_eval_early_stop(spark, sf_dir):
-    """Boosting that stops when the validation Gini has not improved for PATIENCE rounds; per fold whether the
-    best round has the highest Gini up to the stop, the patience was kept and the stop is within the allowed rounds."""
-    rows = []
-    for _, f, best, stop, ginis in _early_fits(spark, sf_dir, [0]):
-        seen = ginis[:stop]
-        kept = stop == len(ginis) or stop - best >= PATIENCE
-        rows.append((f, seen[best - 1] == max(g for g in seen if g is not None), kept, 1 <= best <= stop <= ROUNDS))
-    return spark.createDataFrame(rows, "fold int, best_is_top boolean, patience_kept boolean, within boolean")
-
-
-@query("eval_best_rounds", O.with_ctes(f"select cast({len(FIT_SEEDS) * FOLDS} as bigint) as n_fits, true as mean_in_range, true as median_in_range, "
-                                       "true as std_in_range from (select count(*) n from base) x"))
-def q_eval_best_rounds(spark, sf_dir):
-    """Best rounds of all folds and seeds, summarised by mean, median and population std (whether they lie in their ranges)."""
-    best = spark.createDataFrame([(s, f, b) for s, f, b, _, _ in _early_fits(spark, sf_dir, FIT_SEEDS)], "seed int, fold int, best_round int")
-    return best.agg(F.count(F.lit(1)).alias("n_fits"), F.avg("best_round").between(1, ROUNDS).alias("mean_in_range"),
-                    F.median("best_round").between(1, ROUNDS).alias("median_in_range"),
-                    F.stddev_pop("best_round").between(0, ROUNDS).alias("std_in_range"))
 
+_FOLDED = [O.PLANTED_CTE, "pl as (select * from planted where split = 'train')", f"fo as materialized (select *, {O.fold_sql('target')} as fold from pl)"]
+_HISTORY = "fold int, round int, value double, best_round int, stop_round int"
 
-@query("udf_metric_hook", O.with_ctes("select fold, true as agrees, true as steers from fo group by fold", *_OLS_CTES))
+
+def _history(spark, boosted: BO.Boosted) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in boosted.history], _HISTORY)
+
+
+@query("eval_early_stop", lambda: O.with_ctes(
+    "select cast(v.model as int) as fold, cast(v.round as int) as round, v.value as gini, cast(e.best as int) as best_round, cast(e.stop as int) as stop_round "
+    "from e_v v join e on e.model = v.model where v.round <= e.stop", *_FOLDED, *_stop_sql("e", 0)))
+def q_eval_early_stop(spark, sf_dir):
+    """Boosting round by round until the validation Gini has not improved for some rounds: per fold and fitted round the Gini, and the
+    best and the last round. Later rounds are not fitted."""
+    return _history(spark, _stopped(spark, sf_dir)).withColumnRenamed("value", "gini")
+
+
+@query("eval_early_stop_scores", lambda: O.with_ctes(
+    "select id, fold, " + O.r6("1.0 / (1.0 + exp(-margin))") + " as score from (" + " union all ".join(
+        f"select m.id, cast(m.model as int) as fold, m.margin from e_m{r} m join e on e.model = m.model and e.best = {r} where m.role = 'score'"
+        for r in range(1, STOP["rounds"] + 1)) + ") x", *_FOLDED, *_stop_sql("e", 0)))
+def q_eval_early_stop_scores(spark, sf_dir):
+    """Out-of-fold probabilities of the best round of every fold's fit."""
+    sc = _stopped(spark, sf_dir).scores.where(F.col("role") == BO.SCORE)
+    return sc.select("id", F.col("model").cast("int").alias("fold"), r6(BO.probability(F.col("score"))).alias("score"))
+
+
+@query("eval_best_rounds", lambda: O.with_ctes(
+    "select seed, cast(model as int) as fold, cast(best as int) as best_round, " + O.r6("avg(best) over ()") + " as mean_round, "
+    "median(best) over () as median_round, " + O.r6("stddev_pop(best) over ()") + " as std_round from ("
+    + " union all ".join(f"select cast({s} as int) as seed, model, best from e{s}" for s in STOP_SEEDS) + ") x",
+    *_FOLDED, *[c for s in STOP_SEEDS for c in _stop_sql(f"e{s}", s)]))
+def q_eval_best_rounds(spark, sf_dir):
+    """Best rounds of all folds and seeds (each carves out other validation rows), with their mean, median and population std."""
+    tr, _ = _planted_folds(spark, sf_dir, test=False)
+    found = [(s, m, best) for s in STOP_SEEDS for m, i, _, best, _ in _stopped(spark, sf_dir, s, rows=tr).history if i == 1]
+    best = spark.createDataFrame(found, "seed int, fold int, best_round int")
+    # A row per fit: folds times seeds.
+    whole = best.agg(r6(F.avg("best_round")).alias("mean_round"), F.median("best_round").alias("median_round"),
+                     r6(F.stddev_pop("best_round")).alias("std_round"))
+    return best.crossJoin(F.broadcast(whole))
+
+
+@query("udf_metric_hook", lambda: O.with_ctes(
+    " union all ".join(f"select '{name}' as metric, cast(v.model as int) as fold, cast(v.round as int) as round, v.value, cast(e.best as int) as best_round, "
+                       f"cast(e.stop as int) as stop_round from {tag}_v v join {tag} e on e.model = v.model where v.round <= e.stop"
+                       for name, tag in (("gini", "e"), ("loss", "h"))), *_FOLDED, *_stop_sql("e", 0), *_stop_sql("h", 0, loss=True)))
 def q_udf_metric_hook(spark, sf_dir):
-    """The Gini evaluator as a metric hook: per fold, its value agrees with the one-job Gini by fold, and early stopping
-    on it never ends with a worse round than the first."""
-    sc, tr = member_scores(spark, sf_dir, "gbt_regressor", MD.gbt_binary(max_iter=ROUNDS))
-    oof = materialize(sc.where(F.col("split") == "train").join(tr.select("id", "target"), "id"), "oof")
-    by_fold = {r["fold"]: r["gini"] for r in OR.gini(oof, "target", "score", by=["fold"]).collect()}
-    hook = MD.GiniEvaluator("target", "score")
-    early = {f: ginis[best - 1] >= ginis[0] for _, f, best, _, ginis in _early_fits(spark, sf_dir, [0])}
-    rows = [(int(f), abs(hook.evaluate(oof.where(F.col("fold") == f)) - g) < 1e-9, early[f]) for f, g in by_fold.items()]
-    return spark.createDataFrame(rows, "fold int, agrees boolean, steers boolean")
+    """The same boosting steered by two metrics through the hook: the Gini and the mean absolute error of the probability."""
+    tr, _ = _planted_folds(spark, sf_dir, test=False)
+    parts = [_history(spark, _stopped(spark, sf_dir, metric=metric, rows=tr)).select(F.lit(name).alias("metric"), "*")
+             for name, metric in (("gini", BO.GiniEvaluator("target", "margin")), ("loss", BO.LossEvaluator("target", "margin")))]
+    return parts[0].unionByName(parts[1])

@@ -88,9 +88,6 @@ def planted_label(df: DataFrame, name: str = "target") -> DataFrame:
 def pseudo_scores(df: DataFrame, models: dict[str, str] | None = None) -> DataFrame:
     """Long score table (id, model, split, score) taking existing columns as member scores."""
     models = models or PSEUDO_MODELS
-    parts = [df.select("id", F.lit(m).alias("model"), "split", F.col(c).cast("double").alias("score"))
-             for m, c in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # One scan of the sources for all members.
+    members = [F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("score")) for m, c in models.items()]
+    return df.select("id", "split", F.inline(F.array(*members))).select("id", "model", "split", "score")

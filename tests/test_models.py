@@ -46,20 +46,6 @@ def test_staged_margin_ends_at_the_models_own_score(rows):
     assert last["score"].tolist() == pytest.approx(last["own"].tolist())
 
 
-@pytest.mark.parametrize("ginis, patience, want", [
-    ([.1, .2, .3], 2, (3, 3)), ([.3, .2, .1, .9], 2, (1, 3)), ([.1, .3, .2, .25, .4], 3, (5, 5)), ([None, None], 5, (1, 2)), ([.2, .2, .2], 2, (1, 3))])
-def test_patience_rule(ginis, patience, want):
-    assert MD.stop_with_patience(ginis, patience) == want
-
-
-def test_early_stopping_keeps_the_best_prefix(rows):
-    fit, valid = rows.where("fold <> 0"), rows.where("fold = 0")
-    model, best, stop, ginis = MD.early_stopped(fit, valid, MD.gbt_binary(max_iter=8), patience=2)
-    assert len(ginis) == len(model.trees) == 8 and ginis[best - 1] == max(ginis[:stop])
-    score = MD.predict_prefix(model, valid, best).join(valid.select("id", "target"), "id")
-    assert OR.gini(score, "target", "score").first()["gini"] == pytest.approx(ginis[best - 1])
-
-
 def test_boosted_oof_features_of_every_column():
     from rankfold.plans import catalog_fit as C
 

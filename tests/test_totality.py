@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankfold.operators import blend as BL
 from rankfold.operators import categories as CA
 from rankfold.operators import crossfit as CF
+from rankfold.operators import linear as LI
 from rankfold.operators import encode as EN
 from rankfold.operators import features as FE
 from rankfold.operators import order as OR
@@ -128,7 +129,7 @@ def test_oof_target_features_match_least_squares(spark):
     pdf = pd.DataFrame({"id": range(200), "a": rng.normal(size=200) + 1e4, "b": rng.normal(size=200), "c": rng.normal(size=200)})
     pdf["y"] = 2 * pdf.a - pdf.b + rng.normal(size=200)
     df = materialize(CF.kfold(spark.createDataFrame(pdf)), "rows")
-    got = CF.oof_target_features(df, {"y": ["a", "b", "c"], "c": ["a"]}).toPandas()
+    got = LI.oof_gram_features(df, {"y": ["a", "b", "c"], "c": ["a"]}).toPandas()
     for f, part in got.groupby("fold"):
         rest = got[got.fold != f]
         for y, xs in (("y", ["a", "b", "c"]), ("c", ["a"])):
