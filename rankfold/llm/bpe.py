@@ -74,11 +74,11 @@ def whole_text_encoder(path: str):
     per blank and gives up on long runs, so texts with such a run are encoded by the library."""
     import re
 
-    fast, slow, blanks = fast_encoder(path), library_encoder(path), re.compile(rf"\s{{{LONG_BLANKS}}}")
+    fast, blanks = fast_encoder(path), re.compile(rf"\s{{{LONG_BLANKS}}}")
 
     def encode(text: str) -> list[int]:
         if len(text) >= LONG_BLANKS and blanks.search(text):
-            return slow.encode(text, add_special_tokens=False).ids
+            return library_encoder(path).encode(text, add_special_tokens=False).ids  # loaded only where such a text is met
         return fast.encode(text, allowed_special="all")
 
     return encode
