@@ -43,18 +43,42 @@ def _sort_form(df: DataFrame, c: str) -> tuple[Column, Column]:
     raise TypeError(f"{c}: categories are text, whole numbers, booleans or dates, not {kind.simpleString()}")
 
 
+def long_values(df: DataFrame, cols: Sequence[str]) -> Column:
+    """Generator of one (column, number, text) row per column of ``cols``; ``text`` is NULL where the value is."""
+    forms = []
+    for c in cols:
+        number, text = _sort_form(df, c)
+        forms.append(F.struct(F.lit(c).alias("column"), number.alias("number"), text.alias("text")))
+    return F.inline(F.array(*forms))
+
+
 @dataclass
-class Categories:
-    """Fitted categories: ``table`` (column, number, text, n, code) and the value count ``k`` of every column."""
+class Counts:
+    """Fitted frequencies: ``table`` (column, text, n, ...) and the number of values of every column."""
 
     table: DataFrame
     sizes: dict[str, int]
     kinds: dict[str, T.DataType]
 
+    def entries(self, c: str, *what: Column) -> DataFrame:
+        """The rows of one column: its value in its own type, and ``what``."""
+        return self.table.where(F.col("column") == c).select(F.col("text").cast(self.kinds[c]).alias(c), *what)
+
+    def count(self, df: DataFrame, cols: Sequence[str] | None = None, fmt: str = "{}_count", default: int | None = 0) -> DataFrame:
+        """Add every value's fitted frequency; ``default`` for NULL and unseen values."""
+        for c in cols or list(self.sizes):
+            n = F.col("__n") if default is None else F.coalesce("__n", F.lit(default))
+            df = lookup(df, self.entries(c, F.col("n").alias("__n")), c, self.sizes[c]).withColumn(fmt.format(c), n).drop("__n")
+        return df
+
+
+@dataclass
+class Categories(Counts):
+    """Fitted categories: ``table`` (column, number, text, n, code) and the value count ``k`` of every column."""
+
     def values(self, c: str) -> DataFrame:
         """(value, code, n) of one column, the value in its own type."""
-        return self.table.where(F.col("column") == c).select(F.col("text").cast(self.kinds[c]).alias(c), F.col("code").alias("__code"),
-                                                             F.col("n").alias("__n"))
+        return self.entries(c, F.col("code").alias("__code"), F.col("n").alias("__n"))
 
     def _joined(self, df: DataFrame, c: str) -> DataFrame:
         return lookup(df, self.values(c), c, self.sizes[c])
@@ -75,13 +99,6 @@ class Categories:
             df = df.drop(c).withColumnRenamed("__code", c) if not suffix else df.withColumnRenamed("__code", f"{c}{suffix}")
         return df
 
-    def count(self, df: DataFrame, cols: Sequence[str] | None = None, fmt: str = "{}_count", default: int | None = 0) -> DataFrame:
-        """Add every value's fitted frequency; ``default`` for NULL and unseen values."""
-        for c in cols or list(self.sizes):
-            n = F.col("__n") if default is None else F.coalesce("__n", F.lit(default))
-            df = self._joined(df, c).withColumn(fmt.format(c), n).drop("__code", "__n")
-        return df
-
     def describe(self, df: DataFrame, cols: Sequence[str] | None = None, code: str = "{}__code", count: str = "{}_count") -> DataFrame:
         """Add code and frequency of every column with one join per column; k and 0 for NULL and unseen values."""
         for c in cols or list(self.sizes):
@@ -108,14 +125,19 @@ class Categories:
         return self.table.agg(*[F.max(F.when(F.col("column") == c, F.col("code"))).alias(f"{c}_max") for c in self.sizes])
 
 
+def fit_counts(df: DataFrame, cols: Sequence[str]) -> Counts:
+    """Frequencies of all columns from one unpivoted aggregate, written once: no order, no codes. NULL is no value."""
+    cols = list(cols)
+    counts = df.select(long_values(df, cols)).where("text is not null").groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"))
+    table = materialize(counts, "counts")
+    sizes = {r[0]: int(r[1]) for r in table.groupBy("column").count().collect()}
+    return Counts(table, {c: sizes.get(c, 0) for c in cols}, {c: df.schema[c].dataType for c in cols})
+
+
 def fit_categories(df: DataFrame, cols: Sequence[str]) -> Categories:
     """Fit on all rows of ``df``; NULL is no category."""
     cols, spark = list(cols), df.sparkSession
-    forms = []
-    for c in cols:
-        number, text = _sort_form(df, c)
-        forms.append(F.struct(F.lit(c).alias("column"), number.alias("number"), text.alias("text")))
-    counts = df.select(F.inline(F.array(*forms))).where("text is not null").groupBy("column", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select(long_values(df, cols)).where("text is not null").groupBy("column", "number", "text").agg(F.count(F.lit(1)).alias("n"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = counts.repartitionByRange(width, "column", "number", "text").withColumn("part", F.spark_partition_id())
     # Written with its partition number: the order of the ranges is the order of the values.

@@ -1,6 +1,6 @@
 """Frequency and group-statistic features, joined back to every row.
 
-Counts come from ``operators.categories`` (one fit for all columns). Group statistics are
+Counts come from ``operators.categories`` (one aggregate for all columns, no codes). Group statistics are
 fitted once for a whole grid of (target, group) pairs and applied with one join per group column:
 
 * one grouping-sets aggregation over all group columns yields size, mean, sample std, max
@@ -19,7 +19,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.operators.categories import distinct_counts, fit_categories, lookup
+from rankfold.operators.categories import distinct_counts, fit_counts, lookup
 from rankfold.operators.order import as_double
 from rankfold.session import materialize
 
@@ -40,7 +40,7 @@ def value_counts(df: DataFrame, cols: Sequence[str], fmt: str = "{}_count", fit_
 
     A NULL or unseen value finds no entry and gets 0, like a dictionary lookup with default 0.
     """
-    counted = fit_categories(fit_df if fit_df is not None else df, cols).count(df, cols, fmt)
+    counted = fit_counts(fit_df if fit_df is not None else df, cols).count(df, cols, fmt)
     return counted.select(*df.columns, *[fmt.format(c) for c in cols])
 
 
@@ -64,7 +64,7 @@ def composite_counts(df: DataFrame, cols: Sequence[str], name: str, fit_df: Data
 
 def cat_size(df: DataFrame, cats: Sequence[str]) -> DataFrame:
     """``{cat}_size``: group size per value, joined back (NULL key -> NULL size)."""
-    sized = fit_categories(df, cats).count(df, cats, "{}_size", default=None)
+    sized = fit_counts(df, cats).count(df, cats, "{}_size", default=None)
     return sized.select(*df.columns, *[f"{c}_size" for c in cats])
 
 
