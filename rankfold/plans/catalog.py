@@ -22,11 +22,13 @@ from rankfold.operators import crossfit as CF
 from rankfold.operators import encode as EN
 from rankfold.operators import features as FE
 from rankfold.operators import order as OR
+from rankfold.operators import slots as SL
 from rankfold.operators.categories import distinct_counts, fit_categories
 from rankfold.plans import oracle as O
 from rankfold.roles import FeatureRoles
 from rankfold.session import materialize, scratch_dir
 from rankfold.sources import files as IO
+from rankfold.sources.seed_run import SeedRun
 from rankfold.sources.fixtures import GRID_GROUPS, GRID_TARGETS, PSEUDO_MODELS, base, planted_label, pseudo_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,16 +235,14 @@ def q_snk_checkpoint_pred(spark, sf_dir):
     b = planted_label(base(spark, sf_dir))
     tr = materialize(CF.stratified_folds(train_of(b)), "cv_train")
     te = materialize(b.where(F.col("split") == "test"), "cv_test")
-    paths = {split: scratch_dir(spark, f"interim_{split}") for split in ("train", "test")}
-    totals: dict[str, DataFrame] = {}
-    for s in CHECKPOINT_SEEDS:
-        sc = CF.ols_crossfit(tr, "f_reg_03", "target", test=te, subsample=0.9, seed=s)
-        parts = {"train": sc.where(F.col("split") == "train").select("id", "score"), "test": CF.test_average(sc).select("id", "score")}
-        for split, path in paths.items():
-            totals[split] = CF.add_scores(totals.get(split), parts[split])
-            mean = totals[split].select("id", r6(F.col("score") / F.lit(float(s + 1))).alias("mean"))
-            ranked = OR.pct_rank(mean, "mean", out="score").select("id", "score")
-            IO.write_checkpoint_scores(ranked, path, s)
+    run = SeedRun(spark, scratch_dir(spark, "interim"))
+
+    def scores(s: int) -> dict[str, DataFrame]:
+        sc = CF.ols_crossfit_seeds(tr, "f_reg_03", "target", [s], subsample=0.9, test=te)
+        return {"train": sc.where(F.col("split") == "train").select("id", "score"), "test": CF.test_average(sc).select("id", "score")}
+
+    paths = run.through(CHECKPOINT_SEEDS, scores, lambda total, n: OR.pct_rank(
+        total.select("id", r6(F.col("score") / F.lit(float(n))).alias("mean")), "mean", out="score").select("id", "score"))
     both = [spark.read.parquet(path).select("id", F.lit(split).alias("split"), "seed", "score") for split, path in paths.items()]
     return both[0].unionByName(both[1])
 
@@ -502,7 +502,7 @@ def q_join_predictions(spark, sf_dir):
              for i, c in enumerate(CATS))))
 def q_agg_value_counts(spark, sf_dir):
     """Frequency of each categorical value over train+test, mapped back to every row."""
-    b = base(spark, sf_dir)
+    b = materialize(base(spark, sf_dir).select("id", *CATS), "wide")
     return FE.value_counts(b, CATS).select("id", *[f"{c}_count" for c in CATS])
 
 
@@ -756,6 +756,54 @@ def q_sel_f_classif(spark, sf_dir):
     return sc.select("feature", r6("f_value", 4).alias("f_value"), "keep")
 
 
+def _slot_ctes() -> list[str]:
+    """sl (slot, feature, column, value, n) of every one-hot slot, cls (rows of each class), st (slot, f_value, ...) of the whole block."""
+    sizes = [f"(select count(distinct {c}) from base)" for c in CATS]
+    slots = [f"select {len(NUM)} + " + "".join(f"{k} + " for k in sizes[:i]) + f"row_number() over (order by v) - 1 as slot, '{c}=' || cast(v as varchar) as feature, "
+             f"'{c}' as col, cast(v as varchar) as v, n from (select {c} v, count(*) n from base where {c} is not null group by {c}) d" for i, c in enumerate(CATS)]
+    held = [f"select '{c}' as col, cast({c} as varchar) as v, target, count(*) c from base where split = 'train' group by {c}, target" for c in CATS]
+    return ["sl as (" + " union all ".join(slots) + ")", "held as (" + " union all ".join(held) + ")",
+            "cls as (select target, cast(count(*) as double) nk from base where split = 'train' group by target)",
+            "tot as (select sum(nk) n, count(*) k from cls)",
+            "mk as (select sl.slot, sl.feature, cls.nk, coalesce(h.c, 0) / cls.nk as m from sl cross join cls "
+            "left join held h on h.col = sl.col and h.v = sl.v and h.target = cls.target)",
+            "mt as (select slot, sum(nk * m) / sum(nk) as mean from mk group by slot)",
+            "sf as (select mk.slot, mk.feature, sum(nk * (m - mean) * (m - mean)) sb, sum(nk * m * (1 - m)) sw from mk join mt on mt.slot = mk.slot group by mk.slot, mk.feature)"]
+
+
+@query("sel_f_classif_slots", O.with_ctes(
+    "select cast(slot as bigint) as slot, feature, case when not isinf(f) then " + O.r6("f", 4) + " end as f_value, coalesce(isinf(f), false) as separates, "
+    "row_number() over (order by case when f is null then 1 else 0 end, f desc, slot) <= floor((select count(*) from al) * 0.75) as keep from al",
+    *_slot_ctes(),
+    "de as (" + " union all ".join(
+        f"select {i} as slot, '{c}' as feature, sum(nk * (a - t) * (a - t)) sb, sum(nk * w) sw from (select target, cast(count(*) as double) nk, avg(cast({c} as double)) a, "
+        f"var_pop(cast({c} as double)) w from base where split = 'train' group by target) g, (select avg(cast({c} as double)) t from base where split = 'train') m"
+        for i, c in enumerate(NUM)) + ")",
+    "al as (select slot, feature, case when sw = 0 and sb = 0 then null when sw = 0 then cast('infinity' as double) else (sb / (k - 1)) / (sw / (n - k)) end as f "
+    "from (select * from de union all select * from sf) x, tot)"))
+def q_sel_f_classif_slots(spark, sf_dir):
+    """ANOVA F of every numeric column and every one-hot slot against the label (train rows), and the best 75 % of them all."""
+    table = SL.fit_slots(base(spark, sf_dir), NUM, CATS, "target", 75.0).table
+    infinite = F.col("f_value") == F.lit(float("inf"))
+    return table.select("slot", "feature", F.when(~infinite, r6("f_value", 4)).alias("f_value"), F.coalesce(infinite, F.lit(False)).alias("separates"), "keep")
+
+
+@query("scl_standard_slots", O.with_ctes(
+    "select id, cast(slot as bigint) as slot, " + O.r6("value") + " as value, " + O.r6("shift") + " as shift from (" + " union all ".join(
+        [f"select b.id, {i} as slot, (cast(b.{c} as double) - s.m) / (case when s.s = 0 then 1 else s.s end) as value, 0.0::double as shift from base b, "
+         f"(select avg(cast({c} as double)) m, stddev_pop(cast({c} as double)) s from base) s" for i, c in enumerate(NUM)] +
+        [f"select b.id, w.slot, w.scale as value, w.shift from base b join w on w.col = '{c}' and w.v = cast(b.{c} as varchar)" for c in CATS]) + ") x",
+    *_slot_ctes(),
+    "p as (select col, v, slot, n / cast((select count(*) from base) as double) as p from sl)",
+    "w as (select col, v, slot, case when p < 1 then 1 / sqrt(p * (1 - p)) else 1 end as scale, "
+    "case when p < 1 then -p / sqrt(p * (1 - p)) else -1 end as shift from p)"))
+def q_scl_standard_slots(spark, sf_dir):
+    """Numeric columns and one-hot slots scaled to mean 0 and population std 1 (train+test) as sparse rows: scaled value = value + shift,
+    and slots that a row does not hold have their shift alone."""
+    b = materialize(base(spark, sf_dir), "wide")
+    return round_doubles(SL.fit_slots(b, NUM, CATS, "target").entries(b, selected=False))
+
+
 _SPEARMAN = [f"{c}_count" for c in CATS] + ["new_ind_count"]
 
 

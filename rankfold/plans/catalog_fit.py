@@ -14,6 +14,7 @@ from rankfold.operators import features as FE
 from rankfold.operators import linear as LI
 from rankfold.operators import models as MD
 from rankfold.operators import order as OR
+from rankfold.operators import slots as SL
 from rankfold.functions import rowwise as RW
 from rankfold.operators.categories import fit_categories
 from rankfold.plans import oracle as O
@@ -265,15 +266,15 @@ def member_frame(spark, sf_dir, member: str) -> tuple[DataFrame, DataFrame]:
         x = stats.transform(x)
         dense += [c for t in stats.tables.values() for c in t.columns if "__by__" in c]
     if member == "logistic":
-        # The best 75 % of the dense columns by ANOVA F, fitted on the train rows.
-        kept = EN.select_percentile(EN.f_classif(train_of(x), "target", dense), 75.0).where("keep").collect()
-        dense = [c for c in dense if c in {r["feature"] for r in kept}]
-    if scale:
-        x = EN.fit_scaler(x, dense).transform(x)
-    if "onehot" in blocks:
-        x = fitted.onehot(x, unseen="error")
-    va = VectorAssembler(inputCols=dense + (["onehot"] if "onehot" in blocks else []), outputCol="features")
-    x = materialize(va.transform(x).select("id", "split", "target", "features"), "member_frame")
+        # The best 75 % of all dense columns and one-hot slots by ANOVA F (train rows), scaled; the learner's free intercept takes up the shifts.
+        x, _ = SL.fit_slots(x, dense, CATS, "target", 75.0).vector(x)
+    else:
+        if scale:
+            x = EN.fit_scaler(x, dense).transform(x)
+        if "onehot" in blocks:
+            x = fitted.onehot(x, unseen="error")
+        x = VectorAssembler(inputCols=dense + (["onehot"] if "onehot" in blocks else []), outputCol="features").transform(x)
+    x = materialize(x.select("id", "split", "target", "features"), "member_frame")
     return CF.stratified_folds(x.where(F.col("split") == "train"), k=FOLDS), x.where(F.col("split") == "test")
 
 
