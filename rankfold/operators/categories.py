@@ -22,6 +22,7 @@ from rankfold.operators.order import N_BEFORE, N_TOTAL, running_totals
 from rankfold.session import materialize
 
 BROADCAST_ROWS = 20_000
+SALTS = 32
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, rows: int) -> DataFrame:
@@ -29,6 +30,20 @@ def lookup(df: DataFrame, table: DataFrame, key: str, rows: int) -> DataFrame:
     return df.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, key, "left")
 
 
+def salted_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: int, salt: Column, how: str = "left") -> DataFrame:
+    """``lookup`` for results that are aggregated next: a shuffled join is dealt by ``keys`` and a salt made from ``salt``.
+
+    Every key's rows go to up to ``SALTS`` tasks, and an aggregate on ``keys`` after it combines before its own shuffle; after a join
+    dealt by ``keys`` alone it would count a key that a third of all rows hold in one task.
+    """
+    keys = list(keys)
+    if rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), keys, how)
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
 def _sort_form(df: DataFrame, c: str) -> tuple[Column, Column]:
     """(number, text) pair that orders the values of ``c`` and from which they are restored."""
     kind = df.schema[c].dataType

@@ -6,8 +6,11 @@ fitted once for a whole grid of (target, group) pairs and applied with one join
 * one grouping-sets aggregation over all group columns yields size, mean, sample std, max
   and min of all targets, with map-side combining and every key in its own type;
 * the same pass brackets every median with two approximate percentiles; a second pass counts
-  the values below the bracket and collapses the few inside it, from which the exact
-  interpolated median is picked. No group's values are gathered, whatever its size.
+  the values below the bracket and collapses those inside it, from which the exact
+  interpolated median is picked. Where a bracket can hold more than ``MIDDLE_ROWS`` distinct values
+  (a thousandth of a very large group), it is narrowed first: the values are counted in cells
+  between split points, and only the cell of the middle is kept, until few are left. So no
+  task orders more than ``MIDDLE_ROWS`` values of a group, whatever the group's size.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.operators.categories import distinct_counts, fit_counts, lookup
+from rankfold.operators.categories import distinct_counts, fit_counts, lookup, salted_lookup
 from rankfold.operators.order import as_double
 from rankfold.session import materialize
 
@@ -27,6 +30,9 @@ STATS = ("size", "mean", "std", "median", "max", "min")
 # The sketch's rank error is n / ACCURACY; the bracket reaches five times as far around the middle.
 ACCURACY = 10_000
 BRACKET = 5 / ACCURACY
+# Distinct values of one (group, target) that a single task may order; cells a narrowing pass counts.
+MIDDLE_ROWS = 65_536
+CELLS = 64
 
 
 def stat_name(t: str, g: str, stat: str) -> str:
@@ -104,13 +110,55 @@ class GroupStats:
         return out.select(*df.columns, *new)
 
 
-def _median_table(src: DataFrame, fitted: DataFrame, g: str, targets: Sequence[str], rows: int) -> DataFrame:
+def narrowed_middles(values: DataFrame, below: DataFrame, keys: Sequence[str], middle_rows: int = MIDDLE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``values`` and ``below`` cut down until no group has more than ``middle_rows`` distinct values.
+
+    ``values`` (keys, _v, _n, _c) holds distinct values, how often each occurs, and the count ``_c`` of all the group's
+    values; ``below`` (keys, _b) how many of these are smaller than the values listed. Each pass counts a large group's values in
+    ``CELLS`` cells of about equally many distinct values and keeps the cell with both middle places, or the two
+    values next to the border that parts them; its distinct values shrink about ``CELLS`` times.
+    """
+    if middle_rows < 2:
+        raise ValueError("a middle may need two values")
+    keys = list(keys)
+    values, below = materialize(values, "middle_values"), materialize(below, "middle_below")
+    shares = F.array(*[F.lit(j / CELLS) for j in range(1, CELLS)])
+    lo, hi = F.floor((F.col("_c") - 1) / 2), F.ceil((F.col("_c") - 1) / 2)
+    while True:
+        large = materialize(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > middle_rows), "middle_large")
+        groups = large.count()
+        if not groups:
+            return values, below
+        cuts = salted_lookup(values, large, keys, groups, F.col("_v"), "inner").groupBy(*keys).agg(
+            F.percentile_approx("_v", shares, F.lit(ACCURACY)).alias("_cuts"))
+        cuts = materialize(cuts, "middle_cuts")
+        cell = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+        cells = salted_lookup(values, cuts, keys, groups, F.col("_v"), "inner").withColumn("_cell", cell).groupBy(*keys, "_cell").agg(
+            F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.max_by("_n", "_v").alias("_top"), F.first("_c").alias("_c"))
+        # At most CELLS rows per group from here on.
+        before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        placed = cells.join(below, keys).withColumn("_first", F.col("_b") + F.coalesce(F.sum("_n").over(before), F.lit(0))) \
+                      .withColumn("_last", F.col("_first") + F.col("_n") - 1)
+        at_lo, at_hi = lo.between(F.col("_first"), F.col("_last")), hi.between(F.col("_first"), F.col("_last"))
+        both = F.struct("_cell", "_low", "_high", "_first", "_last", "_top")
+        held = placed.groupBy(*keys).agg(F.max(F.when(at_lo, both)).alias("_l"), F.max(F.when(at_hi, both)).alias("_h"))
+        one = F.col("_l._cell") == F.col("_h._cell")
+        kept = materialize(held.select(*keys, F.when(one, F.col("_l._low")).otherwise(F.col("_l._high")).alias("_from"),
+                                       F.when(one, F.col("_h._high")).otherwise(F.col("_h._low")).alias("_to"),
+                                       F.when(one, F.col("_l._first")).otherwise(F.col("_l._last") + 1 - F.col("_l._top")).alias("_nb")), "middle_kept")
+        inside = F.col("_nb").isNull() | F.col("_v").between(F.col("_from"), F.col("_to"))
+        values = materialize(salted_lookup(values, kept, keys, groups, F.col("_v")).where(inside).select(*values.columns), "middle_values")
+        below = materialize(below.join(kept, keys, "left").select(*keys, F.coalesce("_nb", "_b").alias("_b")), "middle_below")
+
+
+def _median_table(src: DataFrame, fitted: DataFrame, g: str, targets: Sequence[str], rows: int, narrow: bool, middle_rows: int) -> DataFrame:
     """Exact interpolated medians of every target per value of ``g``.
 
-    ``fitted`` has, per value, each target's count ``_c<i>`` and bracket ``_lo<i>``, ``_hi<i>``.
+    ``fitted`` has, per value, each target's count ``_c<i>`` and bracket ``_lo<i>``, ``_hi<i>``. ``narrow`` says that
+    some bracket may hold more than ``middle_rows`` values. A bracket that misses the middle fails the job.
     """
-    joined = lookup(src, fitted, g, rows)
     x = [F.col(f"_v{i}") for i in range(len(targets))]
+    joined = salted_lookup(src, fitted, [g], rows, F.hash(*x))
     below = joined.groupBy(g).agg(*[F.sum((x[i] < F.col(f"_lo{i}")).cast("long")).alias(f"_b{i}") for i in range(len(targets))])
     inside = joined.select(g, F.inline(F.array(*[
         F.struct(F.lit(i).alias("_t"), F.when(x[i].between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), x[i]).alias("_v"), F.col(f"_c{i}").alias("_c"))
@@ -119,6 +167,8 @@ def _median_table(src: DataFrame, fitted: DataFrame, g: str, targets: Sequence[s
     values = inside.groupBy(g, "_t", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_c").alias("_c"))
     start = below.select(g, F.inline(F.array(*[F.struct(F.lit(i).alias("_t"), F.coalesce(f"_b{i}", F.lit(0)).alias("_b"))
                                                for i in range(len(targets))])))
+    if narrow:
+        values, start = narrowed_middles(values, start, [g, "_t"], middle_rows)
     before = Window.partitionBy(g, "_t").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_b") + F.coalesce(F.sum("_n").over(before), F.lit(0))
     placed = values.join(start, [g, "_t"]).withColumn("_first", first).withColumn("_last", F.col("_first") + F.col("_n") - 1)
@@ -128,15 +178,17 @@ def _median_table(src: DataFrame, fitted: DataFrame, g: str, targets: Sequence[s
     half = F.col("_l") + (F.col("_h") - F.col("_l")) * F.lit(0.5)
     # Two equal infinities have no difference; their middle is they themselves.
     half = F.when(F.col("_l") == F.col("_h"), F.col("_l")).otherwise(half)
+    missed = F.raise_error(F.lit("a percentile bracket missed the median of a group")).cast("double")
+    half = F.when(F.col("_l").isNull() | F.col("_h").isNull(), missed).otherwise(half)
     return picked.groupBy(g).agg(*[F.max(F.when(F.col("_t") == i, half)).alias(stat_name(t, g, "median")) for i, t in enumerate(targets)])
 
 
-def fit_group_stats(df: DataFrame, pairs: dict[str, Sequence[str]], median: str = "exact") -> GroupStats:
+def fit_group_stats(df: DataFrame, pairs: dict[str, Sequence[str]], median: str = "exact", middle_rows: int = MIDDLE_ROWS) -> GroupStats:
     """Statistics of every (group column, targets) pair over all rows of ``df``.
 
     NULL and NaN target values are missing in all statistics but ``size``; a group without values has
     NULL statistics and std 0; the std of one value is 0. ``median='approx'`` keeps
-    the sketch's value and saves the second pass.
+    the sketch's value and saves the second pass. ``middle_rows`` bounds the values of a group that one task orders.
     """
     if median not in ("exact", "approx"):
         raise ValueError(f"unknown median {median!r}")
@@ -155,7 +207,11 @@ def fit_group_stats(df: DataFrame, pairs: dict[str, Sequence[str]], median: str
     # grouping_id has a bit per key, the first key highest, set where the key is not grouped.
     full = (1 << len(keys)) - 1
     sets = {full ^ (1 << (len(keys) - 1 - j)): j for j in range(len(keys))}
-    rows = {sets[r[0]]: int(r[1]) for r in every.groupBy("_set").count().collect()}
+    largest = F.max(F.greatest(F.lit(0), *[F.col(f"_c{i}") for i in range(len(targets))]))
+    met = every.groupBy("_set").agg(F.count(F.lit(1)), largest).collect()
+    rows = {sets[r[0]]: int(r[1]) for r in met}
+    # A bracket holds its share of the group's values and the sketch's error at both ends.
+    wide = {sets[r[0]]: r[2] * (2 * BRACKET + 2 / ACCURACY) + 2 > middle_rows for r in met}
 
     def table(j: int) -> DataFrame:
         g = groups[j]
@@ -165,7 +221,7 @@ def fit_group_stats(df: DataFrame, pairs: dict[str, Sequence[str]], median: str
             bracket = own.select(g, *[c for n, i in enumerate(mine) for c in (
                 F.col(f"_c{i}").alias(f"_c{n}"), F.col(f"_q{i}")[0].alias(f"_lo{n}"), F.col(f"_q{i}")[2].alias(f"_hi{n}"))])
             values = src.select(F.col(keys[j]).alias(g), *[F.col(f"_v{i}").alias(f"_v{n}") for n, i in enumerate(mine)]).where(F.col(g).isNotNull())
-            own = own.join(_median_table(values, bracket, g, pairs[g], rows.get(j, 0)), g, "left")
+            own = own.join(_median_table(values, bracket, g, pairs[g], rows.get(j, 0), wide.get(j, False), middle_rows), g, "left")
         else:
             own = own.select("*", *[F.col(f"_q{i}")[1].alias(stat_name(targets[i], g, "median")) for i in mine])
         columns = []

@@ -62,3 +62,38 @@ def test_grid_skips_target_equal_to_group(spark):
     out = FE.group_stats_grid(df, ["x", "y"], ["x", "y"])
     assert FE.stat_name("x", "x", "mean") not in out.columns
     assert FE.stat_name("y", "x", "mean") in out.columns and FE.stat_name("x", "y", "mean") in out.columns
+
+
+@pytest.mark.parametrize("middle_rows", [2, 16])
+def test_medians_of_hot_groups_are_narrowed_by_counts(spark, middle_rows):
+    """A group of a third of all rows with continuous values, ties at the middle, an even split, infinities."""
+    rng = np.random.default_rng(8)
+    n = 30_000
+    pdf = pd.DataFrame({"g": np.where(rng.random(n) < 1 / 3, 0, rng.integers(1, 5, n)), "v": rng.normal(size=n)})
+    pdf.loc[pdf.g == 1, "v"] = np.round(pdf.v[pdf.g == 1], 1)
+    pdf.loc[pdf.g == 2, "v"] = np.where(np.arange((pdf.g == 2).sum()) % 2, -1.0, 1.0) * (1 + rng.integers(0, 3, (pdf.g == 2).sum()))
+    pdf.loc[pdf.g == 3, "v"] = np.where(rng.random((pdf.g == 3).sum()) < 0.6, np.inf, pdf.v[pdf.g == 3])
+    pdf = pd.concat([pdf, pd.DataFrame({"g": [7, 8, 8], "v": [4.0, 1.0, 2.0]})])
+    values = spark.createDataFrame(pdf).groupBy("g", "v").agg(F.count("*").alias("_n")).withColumnRenamed("v", "_v")
+    sizes = spark.createDataFrame(pdf).groupBy("g").agg(F.count("*").alias("_c"))
+    left, below = FE.narrowed_middles(values.join(sizes, "g"), sizes.select("g", F.lit(0).cast("long").alias("_b")), ["g"], middle_rows)
+    left, below = left.toPandas(), below.toPandas().set_index("g")["_b"]
+    assert left.groupby("g").size().max() <= middle_rows
+    for g, own in pdf.groupby("g"):
+        order, kept = np.sort(own.v.to_numpy()), left[left.g == g].sort_values("_v")
+        listed, c = np.repeat(kept["_v"].to_numpy(), kept["_n"].to_numpy()), len(order)
+        for place in {(c - 1) // 2, c // 2}:
+            assert listed[place - below[g]] == order[place]
+
+
+def test_narrowed_group_statistics_equal_those_of_pandas(spark, monkeypatch):
+    from rankfold.operators import categories
+    rng = np.random.default_rng(9)
+    n = 24_000
+    pdf = pd.DataFrame({"g": np.where(rng.random(n) < 0.4, 0, rng.integers(1, 4, n)), "t": rng.normal(size=n), "u": rng.integers(0, 9, n) * 1.0})
+    # Few values a task and no broadcast: every pass and the salted joins are taken.
+    monkeypatch.setattr(categories, "BROADCAST_ROWS", 0)
+    table = FE.fit_group_stats(spark.createDataFrame(pdf), {"g": ["t", "u"]}, middle_rows=4).tables["g"].toPandas().sort_values("g")
+    ref = pdf.groupby("g").median()
+    for t in ("t", "u"):
+        assert table[FE.stat_name(t, "g", "median")].to_numpy() == pytest.approx(ref[t].to_numpy(), abs=1e-12)
