@@ -130,17 +130,20 @@ def without_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` without the documents that hold a base finding or a linked credential.
 
     Only texts with no base finding but both a weak identifier and a weak value need the join; all
-    others are decided where they are read.
+    others are decided where they are read. Every text is searched once: what is kept or open is written with its
+    verdict, and both branches read that table.
     """
     names = docs.columns
-    m = docs.withColumn("__m", all_matches(F.col("text")))
+    seen = docs.select(F.struct(*names).alias("row"), all_matches(F.col("text")).alias("m"))
 
     def holds(*kinds):
-        return F.exists("__m", lambda r: r["counts"] & r["kind"].isin(*kinds))
-
-    m = m.withColumn("__base", holds(0, 1, 2)).withColumn("__weak", holds(3) & holds(4))
-    clean = m.where("not __base and not __weak").select(*names)
-    open_ = m.where("not __base and __weak").select(F.struct(*names).alias("row"), "__m", F.monotonically_increasing_id().alias("uid"))
-    open_ = stage(open_, "undecided")
-    bad = linked(spans(open_.select("uid", F.explode("__m").alias("m"))), scope).select("uid").distinct()
+        return F.exists("m", lambda r: r["counts"] & r["kind"].isin(*kinds))
+
+    state = F.when(holds(0, 1, 2), "found").when(holds(3) & holds(4), "open").otherwise("clean")
+    ruled = seen.select("row", "m", state.alias("state"))
+    # A document that goes leaves no text behind; matches are kept where the join needs them.
+    ruled = stage(ruled.select("state", F.when(F.col("state") != "found", F.col("row")).alias("row"), F.when(F.col("state") == "open", F.col("m")).alias("m"),
+                               F.when(F.col("state") == "open", F.monotonically_increasing_id()).alias("uid")), "ruled")
+    clean, open_ = ruled.where("state = 'clean'").select("row.*"), ruled.where("state = 'open'")
+    bad = linked(spans(open_.select("uid", F.explode("m").alias("m"))), scope).select("uid").distinct()
     return clean.unionByName(open_.join(bad, "uid", "left_anti").select("row.*"))
