@@ -8,11 +8,14 @@ request, response (or revisit) and metadata records are adjacent in one archive;
 plain WARC/1.1 text parts, closed after ``archive_bytes``, written by Spark into shared storage.
 
 Reading: every archive is one bounded file, split into records by Content-Length; a file of
-several gzip members reads as well.
+several gzip members reads as well. Header names are matched in any case; a record may hold
+several WARC-Concurrent-To headers, read as an array. A record without a usable Content-Length ends before the next
+record's first line, or with the file.
 
 Assembly: ``assemble`` joins request, response and metadata records through their
 WARC-Concurrent-To identifiers into one nested row per capture. A response or revisit
-is a capture's centre; the others name it, are named by it, or name a record that does. With several
+is a capture's centre; the others name it, are named by it, or reach it over other requests and metadata records,
+however many stand between; rings that reach no centre stay unassembled. With several
 requests (metadata records) for one centre the one with the smallest record id is nested and ``n_requests``
 (``n_metadata``) tells their number; ``unassembled`` returns all records that are in no nested row.
 
@@ -30,7 +33,7 @@ import zlib
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rankfold.llm.common import extended, stage
 from rankfold.session import scratch_dir
@@ -41,7 +44,8 @@ RECORD_END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 HEADER_FIELDS = ("WARC-Type", "WARC-Record-ID", "WARC-Concurrent-To", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To",
                  "WARC-Payload-Digest")
-RECORDS = ("warc_type string, record_id string, concurrent_to string, target_uri string, warc_date string, refers_to_id string, "
+REPEATED = "WARC-Concurrent-To"
+RECORDS = ("warc_type string, record_id string, concurrent_to array<string>, target_uri string, warc_date string, refers_to_id string, "
            "header_digest string, block_bytes long, payload_bytes long, payload_digest string, fields map<string,string>, archive string")
 
 
@@ -123,6 +127,22 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 16 << 20, c
      .option("lineSep", RECORD_END).option("compression", compression).text(path))
 
 
+class Headers(dict):
+    """Header values by lower-case name, found by a name in any case; ``every`` has the values of a repeated one."""
+
+    def add(self, name: str, value: str) -> None:
+        self.setdefault(name.lower(), []).append(value)
+
+    def every(self, name: str) -> list[str]:
+        return super().get(name.lower(), [])
+
+    def get(self, name: str, default=None):
+        return next(iter(self.every(name)), default)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())[0]
+
+
 def split_records(content: bytes):
     """(header fields, block) of every record of an archive; gzip members are read one after the other."""
     if content[:2] == b"\x1f\x8b":
@@ -135,12 +155,20 @@ def split_records(content: bytes):
     at, view = 0, memoryview(content)
     while at < len(content):
         head = content.index(b"\r\n\r\n", at)
-        fields = {}
+        fields = Headers()
         for line in content[at:head].split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
-            fields[name.decode().strip()] = value.decode().strip()
+            fields.add(name.decode().strip(), value.decode().strip())
         start = head + 4
-        end = start + int(fields["Content-Length"])
+        told = fields.get("Content-Length", "")
+        if told.isascii() and told.isdigit():
+            end = start + int(told)
+        else:
+            # The empty line that ends the header may also be the first half of the record's end.
+            end = content.find(b"\r\n\r\nWARC/1.", start)
+            if end < 0:
+                end = len(content) - 4 * content.endswith(b"\r\n\r\n")
+            end = max(end, start)
         yield fields, view[start:end]
         at = end + 4
 
@@ -164,7 +192,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                         payload = block[raw.index(b"\r\n\r\n") + 4:]
                     elif content_type == "application/warc-fields":
                         told = [tuple(p.strip() for p in line.split(":", 1)) for line in bytes(block).decode().split(CRLF) if ":" in line]
-                    row = [fields.get(k) for k in HEADER_FIELDS] + [len(block), len(payload), hashlib.sha256(payload).hexdigest(),
+                    row = [fields.every(k) or None if k == REPEATED else fields.get(k) for k in HEADER_FIELDS] + [len(block), len(payload), hashlib.sha256(payload).hexdigest(),
                                                                     told, name.as_py()]
                     rows.append(row + [bytes(payload)] if with_payload else row)
                     if len(rows) == 2000:
@@ -174,7 +202,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                     yield batch_of(rows)
 
     def batch_of(rows):
-        kinds = [*[pa.string()] * 7, pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
+        kinds = [*[pa.list_(pa.string()) if k == REPEATED else pa.string() for k in HEADER_FIELDS], pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), kinds)], names=names)
 
     return files.mapInArrow(parse, ddl)
@@ -185,31 +213,44 @@ def _centres(records: DataFrame) -> DataFrame:
 
 
 def _links(records: DataFrame) -> DataFrame:
-    """(record_id, capture_id) of every request and metadata record that belongs to a capture."""
+    """(record_id, capture_id) of every request and metadata record that belongs to a capture.
+
+    ``concurrent_to`` is one identifier or an array of them. Records that name a centre, or are named by one, come first; each pass then
+    adds those that name a record found by the pass before, until nothing is added.
+    """
+    told = F.col("concurrent_to")
+    told = told if isinstance(records.schema["concurrent_to"].dataType, T.ArrayType) else F.array(told)
+    named = records.select("warc_type", "record_id", F.explode(told).alias("to")).where("to is not null")
     centres = _centres(records)
     ids = centres.select(F.col("record_id").alias("capture_id")).distinct()
-    others = records.where(F.col("warc_type").isin("request", "metadata"))
-    named = others.select("record_id", F.col("concurrent_to").alias("to")).where("to is not null")
-    back = centres.where("concurrent_to is not null").select(F.col("concurrent_to").alias("record_id"), F.col("record_id").alias("to"))
-    direct = named.unionByName(back).join(ids, F.col("to") == F.col("capture_id")).select("record_id", "capture_id")
-    rest = named.join(ids, F.col("to") == F.col("capture_id"), "left_anti")
-    via = rest.join(direct.withColumnRenamed("record_id", "via"), F.col("to") == F.col("via")).select("record_id", "capture_id")
-    return direct.unionByName(via).distinct()
-
-
-def _satellites(records: DataFrame, kind: str) -> DataFrame:
+    others = named.where(F.col("warc_type").isin("request", "metadata")).select("record_id", "to")
+    back = _centres(named).select(F.col("to").alias("record_id"), F.col("record_id").alias("to"))
+    # Joins are written before repeats go, so that a record named by very many is joined by many tasks.
+    direct = stage(others.unionByName(back).join(ids, F.col("to") == F.col("capture_id")).select("record_id", "capture_id"), "links").distinct()
+    rest = stage(others.join(ids, F.col("to") == F.col("capture_id"), "left_anti"), "unlinked")
+    found, last = direct, direct
+    while not rest.isEmpty() and not last.isEmpty():
+        via = last.select(F.col("record_id").alias("via"), "capture_id")
+        more = stage(rest.join(via, F.col("to") == F.col("via")).select("record_id", "capture_id"), "links").distinct()
+        last = stage(more.join(found, ["record_id", "capture_id"], "left_anti"), "links")
+        found = found.unionByName(last)
+    return found
+
+
+def _satellites(records: DataFrame, links: DataFrame, kind: str) -> DataFrame:
     """Per capture: the request (metadata) record with the smallest id, and how many there are."""
     body = F.struct("record_id", *[c for c in records.columns if c != "record_id"])
     found = records.where(F.col("warc_type") == kind).withColumn("__body", body).select("record_id", "__body")
     # min_by keeps one record per capture from the map side on, however many there are.
-    return (found.join(_links(records), "record_id").groupBy("capture_id")
+    return (found.join(links, "record_id").groupBy("capture_id")
             .agg(F.min_by("__body", "record_id").alias(kind), F.count("*").alias("n_requests" if kind == "request" else "n_metadata")))
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, response, request, metadata, n_requests, n_metadata."""
     centre = _centres(records).select(F.col("record_id").alias("capture_id"), F.struct(*records.columns).alias("response"))
-    out = centre.join(_satellites(records, "request"), "capture_id", "left").join(_satellites(records, "metadata"), "capture_id", "left")
+    links = _links(records)
+    out = centre.join(_satellites(records, links, "request"), "capture_id", "left").join(_satellites(records, links, "metadata"), "capture_id", "left")
     return out.fillna(0, ["n_requests", "n_metadata"])
 
 

@@ -132,3 +132,33 @@ def test_split_records_reads_gzip_members():
     plain = [(f["WARC-Type"], bytes(b)) for f, b in warc.split_records(record * 3)]
     assert plain == [("response", b"a\r\n\r\nb\r\n\r")] * 3
     assert [(f["WARC-Type"], bytes(b)) for f, b in warc.split_records(gzip.compress(record) * 3)] == plain
+
+
+def test_chains_repeated_headers_and_rings(spark):
+    schema = "warc_type string, record_id string, concurrent_to array<string>"
+    chain = [("metadata", f"c{i}", [f"c{i - 1}"] if i else ["r1"]) for i in range(6)]
+    records = spark.createDataFrame([
+        ("response", "r1", None), ("response", "r2", ["q3"]), *chain, ("request", "q1", ["gone", "r1"]), ("request", "q2", ["q1", "q2", None]),
+        ("request", "q3", []), ("request", "q4", ["q5"]), ("request", "q5", ["q4"]), ("metadata", "both", ["r1", "r2"])], schema)
+    got = {r["capture_id"]: r for r in warc.assemble(records).collect()}
+    assert set(got) == {"r1", "r2"}
+    assert (got["r1"]["n_requests"], got["r1"]["n_metadata"], got["r1"]["request"]["record_id"]) == (2, 7, "q1")
+    assert (got["r2"]["n_requests"], got["r2"]["n_metadata"], got["r2"]["metadata"]["record_id"]) == (1, 1, "both")
+    left = {r["record_id"] for r in warc.unassembled(records).collect()}
+    assert {"q4", "q5"} <= left and not {"r1", "r2", "q1", "q3", "both"} & left
+
+
+def test_headers_in_any_case_and_without_length(spark):
+    def record(kind, i, more, body, length=True):
+        size = f"content-LENGTH: {len(body)}\r\n" if length else ""
+        return f"WARC/1.1\r\nwarc-type: {kind}\r\nWarc-Record-Id: {i}\r\n{more}{size}\r\n{body}\r\n\r\n".encode()
+
+    content = (record("response", "r1", "", "first") + record("response", "r2", "", "a\r\n\r\nb", length=False)
+               + record("request", "q1", "warc-concurrent-to: x\r\nWARC-CONCURRENT-TO: r2\r\n", "", length=False) + record("metadata", "m1", "", "end", length=False))
+    found = [(f["WARC-Record-ID"], f.every("WARC-Concurrent-To"), bytes(b)) for f, b in warc.split_records(content)]
+    assert [(i, b) for i, _, b in found] == [("r1", b"first"), ("r2", b"a\r\n\r\nb"), ("q1", b""), ("m1", b"end")]
+    assert found[2][1] == ["x", "r2"]
+    path = scratch_dir(spark, "warc-headers")
+    spark.createDataFrame([(content.decode(),)], "value string").coalesce(1).write.option("lineSep", "\r\n").text(path)
+    rows = {r["capture_id"]: r for r in warc.assemble(warc.read_archives(spark, path)).collect()}
+    assert rows["r2"]["request"]["record_id"] == "q1" and rows["r1"]["request"] is None
