@@ -34,7 +34,8 @@ from rankfold.llm.common import stage
 
 LEAST_SAMPLE = 8  # sample rows in a leaf
 DIRECTIONS = 8  # random directions tried per node
-QUERY_BLOCK = 20_000  # queries that meet a leaf in one task
+QUERY_BLOCK = 20_000  # queries that meet a leaf's slice in one task
+LEAF_SLICE = 20_000  # rows of a leaf that one task scores
 FIRST_SHARE = 8  # the first round asks the leaves that hold this part of search_k
 ENTRY = "h binary, vec binary, ids array<long>, asks boolean"
 
@@ -163,14 +164,17 @@ def calibrated(index: DataFrame, forest: Forest, sizes: np.ndarray, k: int, targ
     asked = index.where("asks").orderBy("h").limit(queries).select("h", "vec").collect()
     if not asked:
         return 1
-    names, shared = [bytes(r[0]) for r in asked], spark.sparkContext.broadcast(vectors(pa.array([bytes(r[1]) for r in asked], pa.binary())))
+    names, shared = {bytes(r[0]): i for i, r in enumerate(asked)}, spark.sparkContext.broadcast(vectors(pa.array([bytes(r[1]) for r in asked], pa.binary())))
 
     def brute(batches):
         for batch in batches:
             c, hs = vectors(batch.column("vec")), batch.column("h").to_pylist()
             at, out_h, out_s = [], [], []
-            for i, scores in enumerate(shared.value @ c.T):
-                scores = np.where([h == names[i] for h in hs], -np.inf, scores)
+            products = shared.value @ c.T
+            for j, h in enumerate(hs):
+                if h in names:
+                    products[names[h], j] = -np.inf
+            for i, scores in enumerate(products):
                 for j in top_rows(scores, np.arange(len(scores)), k):
                     at.append(i)
                     out_h.append(j)
@@ -234,21 +238,21 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", qu
     search_k = calibrated(index, forest.value, sizes, k, target_recall, calibration_queries)
 
     def asker(first: bool):
-        """(tree, leaf) pairs of every query: its first round, or all after it."""
+        """The leaves that every query asks in its first round, or in all after it; a leaf's number counts over all trees."""
         def ask(batches):
             for batch in batches:
-                at, tree, leaf = [], [], []
-                for i, found in enumerate(forest.value.walk(vectors(batch.column("vec")), sizes)):
-                    before = 0
+                lists = []
+                for found in forest.value.walk(vectors(batch.column("vec")), sizes):
+                    before, own = 0, []
                     for t, x, held in found:
                         if before >= (search_k / FIRST_SHARE if first else search_k):
                             break
                         if first or before >= search_k / FIRST_SHARE:
-                            at.append(i)
-                            tree.append(t)
-                            leaf.append(x)
+                            own.append((t << depth) + x)
                         before = held
-                yield rows_in(batch, at, tree, leaf, ("h", "vec", "floor"))
+                    lists.append(own)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("h", "vec", "floor")], pa.array(lists, pa.list_(pa.int32()))],
+                                                 names=["h", "vec", "floor", "leaves"])
         return ask
 
     def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -269,15 +273,24 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", qu
                          "ids": pa.array(out["ids"], pa.list_(pa.int64())), "score": pa.array(out["score"], pa.float64())})
 
     asking = index.where("asks").select("h", "vec")
-    # A leaf meets its queries in blocks, as any share of all queries may ask the same leaf.
-    parts = -(-asking.count() // QUERY_BLOCK) or 1
-    cell = ["tree", "leaf", "part"]
-    blocks = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    cell = ["leaf", "slice", "block"]
+
+    def dealt(rows: DataFrame, own: str, parts: str, other: str, copies: str) -> DataFrame:
+        """Every row in its own part of its leaf, once for each part of the other side."""
+        return (rows.withColumn(own, F.pmod(F.xxhash64("h"), F.col(parts)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop(parts, copies))
 
     def answers(queries: DataFrame, first: bool) -> DataFrame:
-        asked = queries.mapInArrow(asker(first), "tree int, leaf int, h binary, vec binary, floor double")
-        asked = asked.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
-        return asked.groupBy(*cell).cogroup(blocks.groupBy(*cell)).applyInArrow(rerank, "qh binary, ch binary, ids array<long>, score double")
+        # One row per query is written; its leaves are listed apart only on their way to the tasks.
+        asked = stage(queries.mapInArrow(asker(first), "h binary, vec binary, floor double, leaves array<int>"), "asked")
+        # At most trees * 2**depth leaves, bounded by the sample.
+        counts = asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()
+        plan = [(r[0], -(-int(sizes[r[0] >> depth, r[0] & ((1 << depth) - 1)]) // LEAF_SLICE), -(-r[1] // QUERY_BLOCK)) for r in counts]
+        plan = F.broadcast(spark.createDataFrame(plan, "leaf int, slices int, blocks int"))
+        want = dealt(asked.select("h", "vec", "floor", F.explode("leaves").alias("leaf")).join(plan, "leaf"), "block", "blocks", "slice", "slices")
+        held = placed.withColumn("leaf", F.shiftleft("tree", depth) + F.col("leaf")).drop("tree").join(plan, "leaf")
+        held = dealt(held, "slice", "slices", "block", "blocks")
+        return want.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(rerank, "qh binary, ch binary, ids array<long>, score double")
 
     early = stage(answers(asking.withColumn("floor", F.lit(float("-inf"))), True), "early")
     kth = Window.partitionBy("qh").orderBy(F.col("score").desc(), "ch")

@@ -74,6 +74,15 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert [t[1] for t in found[1520]] == [0, *range(1500, 1509)]
 
 
+def test_leaf_slices_and_query_blocks_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(1500, 8)))], "vec_id long, embedding array<double>")
+    want = {tuple(r) for r in ann.search(df, k=5, trees=4, leaf_rows=300).collect()}
+    monkeypatch.setattr(ann, "LEAF_SLICE", 37)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 11)
+    assert {tuple(r) for r in ann.search(df, k=5, trees=4, leaf_rows=300).collect()} == want and len(want) == 75 * 5
+
+
 def test_nearest_neighbours_edges(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(none).count() == 0
