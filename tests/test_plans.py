@@ -2,8 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from rankfold.operators import crossfit as CF
 from rankfold.operators import order as OR
+from rankfold.sources.fixtures import base
 
 
 def _plan(spark, df) -> str:
@@ -30,3 +33,27 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     plan = _plan(spark, OR.pct_rank(df, "a", num_buckets=4))
     assert "PushedFilters: [IsNotNull(a), GreaterThan(a,10)]" in plan
     assert "ReadSchema: struct<id:bigint,a:bigint>" in plan
+
+
+def test_labels_of_the_running_gini_are_not_broadcast(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(CF, "gini", lambda df, *a, **kw: seen.append(df) or df.withColumn("gini", F.lit(0.0)))
+    oof = spark.createDataFrame([(i, s, float(i)) for i in range(5) for s in (0, 1)], "id long, seed int, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "id long, target int")
+    CF.running_seed_gini(oof, labels)
+    plan = _plan(spark, seen[0])
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert seen[0].count() == 10
+
+
+def test_customers_are_not_broadcast(spark, tmp_path):
+    for name, row in {
+        "orders": "1L o_orderkey, 2L o_custkey, 'F' o_orderstatus, 5.0D o_totalprice, timestamp'1995-01-02' o_orderdate, '1-URGENT' o_orderpriority",
+        "customer": "2L c_custkey, 3 c_nationkey, 7.0D c_acctbal, 'AUTO' c_mktsegment",
+        "nation": "3 n_nationkey, 1 n_regionkey",
+        "lineitem": "1L l_orderkey, 4.0D l_quantity, 0.1D l_discount, 0.2D l_tax, 'R' l_returnflag, 'O' l_linestatus, 9.0D l_extendedprice",
+    }.items():
+        spark.sql(f"select {row}").write.parquet(str(tmp_path / f"{name}.parquet"))
+    wide = base(spark, str(tmp_path))
+    assert re.search(r"SortMergeJoin[^\n]*\nLeft keys \[1\]: \[o_custkey", _plan(spark, wide))
+    assert [(r["id"], r["f_reg_03"], r["f_ind_01"]) for r in wide.collect()] == [(1, 7.0, 1)]
