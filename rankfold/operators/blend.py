@@ -42,9 +42,15 @@ def _covered(wide: DataFrame, models: list[str], missing: str) -> DataFrame:
     return wide.where(F.when(lacks, F.raise_error(F.lit("a member has no score for some id")).cast("boolean")).otherwise(F.lit(True)))
 
 
+def _side_by_side(long: DataFrame, models: list[str], value: str, key: str) -> DataFrame:
+    """One row per (key, split) with a column per member. One aggregate on (key, split): a row per id in a task's table
+    where a pivot keeps one per id and member."""
+    return long.groupBy(key, "split").agg(*[F.first(F.when(F.col("model") == m, F.col(value)), ignorenulls=True).alias(m) for m in models])
+
+
 def join_members(scores: DataFrame, models: list[str], key: str = "id", missing: str = "error") -> DataFrame:
     """Wide (key, split, <model>...) table of member scores under a coverage policy (``_covered``)."""
-    return _covered(scores.groupBy(key, "split").pivot("model", models).agg(F.first("score")), models, missing)
+    return _covered(_side_by_side(scores, models, "score", key), models, missing)
 
 
 def blend(scores: DataFrame, weights: Mapping[str, float] = REFERENCE_WEIGHTS, key: str = "id", rerank: bool = False,

@@ -1,5 +1,7 @@
 """Folds, cross-fitting, bagging and blending properties."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -69,3 +71,16 @@ def test_seed_average_and_running_gini(labelled):
     assert avg.sort_index().to_numpy() == pytest.approx(p.mean(axis=1).sort_index().to_numpy())
     g = CF.running_seed_gini(both.where(F.col("split") == "train"), f).orderBy("seed").toPandas()
     assert list(g["seed"]) == [0, 1] and (g["gini"] > 0.3).all()
+
+
+def test_members_side_by_side_in_one_aggregate(spark):
+    rows = [(i, m, "test", float(i) if m == "a" else None if i == 1 else -float(i)) for i in range(4) for m in ("a", "b")]
+    df = spark.createDataFrame(rows, "id long, model string, split string, score double")
+    df.createOrReplaceTempView("_members")
+    wide = BL.join_members(df, ["b", "a"], missing="null")
+    got = [tuple(r) for r in wide.orderBy("id").collect()]
+    assert wide.columns == ["id", "split", "b", "a"]
+    assert got == [(0, "test", 0.0, 0.0), (1, "test", None, 1.0), (2, "test", -2.0, 2.0), (3, "test", -3.0, 3.0)]
+    # No aggregate on (id, split, member), which would hold a row per id and member.
+    keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\]", wide._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any("model" in k for k in keys)
