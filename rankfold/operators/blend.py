@@ -57,14 +57,16 @@ def blend(scores: DataFrame, weights: Mapping[str, float] = REFERENCE_WEIGHTS, k
           missing: str = "error") -> DataFrame:
     """Weighted sum of member percentile ranks per (key, split); ``rerank`` ranks the blend again.
 
-    Ranks are pivoted to one column per member (one shuffle on (key, split)) and summed
+    Ranks are set side by side, one column per member (one shuffle on (key, split)), and summed
     in the fixed member order of ``weights``, so every row's blend is the same
     floating-point expression and tied rank tuples give bit-identical scores. ``missing`` is the
     coverage policy for ids that a member lacks.
     """
     models = list(weights)
     ranked = rank_members(scores.where(F.col("model").isin(models)), key)
-    wide = _covered(ranked.groupBy(key, "split").pivot("model", models).agg(F.first("pct")), models, missing)
+    # After the rank join an id's rows lie apart: brought together first, nothing to combine before that.
+    met = ranked.select(key, "split", "model", "pct").repartition(key, "split")
+    wide = _covered(_side_by_side(met, models, "pct", key), models, missing)
     total = None
     for m in models:
         term = F.lit(float(weights[m])) * F.col(f"`{m}`")

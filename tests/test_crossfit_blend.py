@@ -84,3 +84,10 @@ def test_members_side_by_side_in_one_aggregate(spark):
     # No aggregate on (id, split, member), which would hold a row per id and member.
     keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\]", wide._jdf.queryExecution().executedPlan().toString())
     assert keys and not any("model" in k for k in keys)
+
+
+def test_blend_brings_ids_together_before_the_aggregate(spark):
+    rows = [(i, m, "test", float((i * 7) % 11)) for i in range(30) for m in ("a", "b")]
+    df = spark.createDataFrame(rows, "id long, model string, split string, score double")
+    plan = BL.blend(df, {"a": 0.5, "b": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Aggregate[^\n]*\n[^\n]*Aggregate[^\n]*\n[^\n]*Exchange hashpartitioning\(id", plan), plan

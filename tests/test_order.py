@@ -94,3 +94,17 @@ def test_row_number_is_dense_and_ordered(spark):
     df = spark.createDataFrame([(i,) for i in ids], "id long")
     out = OR.row_number_by(df, "id", num_buckets=3).orderBy("id").toPandas()
     assert out["row_id"].tolist() == list(range(len(ids)))
+
+
+def test_rows_of_a_hot_value_are_dealt_to_parts(spark):
+    s = [0.0] * 300 + [1.0] * 40 + [float(i) for i in range(2, 60)] + [None, float("nan"), -0.0]
+    g = ["a" if i % 3 else "b" for i in range(len(s))]
+    df = spark.createDataFrame(list(zip(range(len(s)), s, g)), "id long, s double, g string")
+    got = OR.pct_rank(df, "s", by=["g"], hot_rows=16)
+    plan = got._jdf.queryExecution().toString()
+    want = {r["id"]: r["pct_rank"] for r in OR.pct_rank(df, "s", by=["g"]).collect()}
+    rows = got.collect()
+    assert got.columns == ["g", "s", "id", "pct_rank"] and len(rows) == len(s)
+    assert {r["id"]: r["pct_rank"] for r in rows} == want
+    # The join is dealt by the value and its part: 200 rows of group a's zero go to 13 parts.
+    assert "_hot_part" in plan
