@@ -9,6 +9,7 @@ goes on with the next; a seed that broke off in the middle left no marker and is
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,13 +47,19 @@ class SeedRun:
             raise ValueError(f"{self.folder} holds seeds {done}, which do not start {seeds}")
         for place in range(len(done), len(seeds)):
             seed = seeds[place]
-            for split, part in scores(seed).items():
+
+            def step(split: str, part: DataFrame) -> None:
                 if place:
                     before = self.spark.read.parquet(self._at("running", split, f"seed={seeds[place - 1]}"))
                     part = before.unionByName(part.select(*before.columns)).groupBy(key).agg(F.sum("score").alias("score"))
                 running = self._at("running", split, f"seed={seed}")
                 part.write.mode("overwrite").parquet(running)
                 write_checkpoint_scores(interim(self.spark.read.parquet(running), place + 1), self._at("scores", split), seed)
+
+            # The splits' jobs do not depend on each other; the pool only submits them. All are done before the marker.
+            parts = scores(seed)
+            with ThreadPoolExecutor(max_workers=len(parts) or 1) as pool:
+                list(pool.map(step, parts.keys(), parts.values()))
             self._fs.create(self._path(self._at("commits", f"{place}-{seed}")), True).close()
             if place:  # the sum of the seed before is not needed any more
                 for split in self.splits():

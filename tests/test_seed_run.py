@@ -1,5 +1,7 @@
 """A seed loop that stops and starts again ends with the files of one that never stopped."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +59,15 @@ def test_more_seeds_go_on_and_another_run_is_refused(spark):
     assert calls == [2]
     with pytest.raises(ValueError):
         SeedRun(spark, folder).through([1, 0], _scores(spark, []), _mean)
+
+
+def test_splits_of_a_seed_run_side_by_side(spark):
+    met = threading.Barrier(2)
+
+    def interim(total, n):
+        met.wait(timeout=60)  # broken where one split's step ends before the other's begins
+        return _mean(total, n)
+
+    paths = SeedRun(spark, scratch_dir(spark, "side")).through([0, 1], _scores(spark, []), interim)
+    whole = SeedRun(spark, scratch_dir(spark, "plain")).through([0, 1], _scores(spark, []), _mean)
+    assert _table(spark, paths) == _table(spark, whole)
