@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import crossfit as CF
 from rankfold.operators import order as OR
+from rankfold.plans import catalog  # noqa: F401  (before its second part)
+from rankfold.plans.catalog_fit import member_frame
 from rankfold.sources.fixtures import base
 
 
@@ -46,14 +48,25 @@ def test_labels_of_the_running_gini_are_not_broadcast(spark, monkeypatch):
     assert seen[0].count() == 10
 
 
-def test_customers_are_not_broadcast(spark, tmp_path):
+def _tables(spark, tmp_path, orders: int) -> str:
     for name, row in {
-        "orders": "1L o_orderkey, 2L o_custkey, 'F' o_orderstatus, 5.0D o_totalprice, timestamp'1995-01-02' o_orderdate, '1-URGENT' o_orderpriority",
+        "orders": "id + 1 o_orderkey, 2L o_custkey, 'F' o_orderstatus, 5.0D o_totalprice, timestamp'1995-01-02' o_orderdate, '1-URGENT' o_orderpriority",
         "customer": "2L c_custkey, 3 c_nationkey, 7.0D c_acctbal, 'AUTO' c_mktsegment",
         "nation": "3 n_nationkey, 1 n_regionkey",
         "lineitem": "1L l_orderkey, 4.0D l_quantity, 0.1D l_discount, 0.2D l_tax, 'R' l_returnflag, 'O' l_linestatus, 9.0D l_extendedprice",
     }.items():
-        spark.sql(f"select {row}").write.parquet(str(tmp_path / f"{name}.parquet"))
-    wide = base(spark, str(tmp_path))
+        spark.sql(f"select {row} from range({orders if name == 'orders' else 1})").write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_customers_are_not_broadcast(spark, tmp_path):
+    wide = base(spark, _tables(spark, tmp_path, 1))
     assert re.search(r"SortMergeJoin[^\n]*\nLeft keys \[1\]: \[o_custkey", _plan(spark, wide))
     assert [(r["id"], r["f_reg_03"], r["f_ind_01"]) for r in wide.collect()] == [(1, 7.0, 1)]
+
+
+def test_members_folds_are_dealt_once(spark, tmp_path):
+    train, test = member_frame(spark, _tables(spark, tmp_path, 40), "gbt_regressor")
+    plan = _plan(spark, train.where("fold <> 1"))
+    assert "Exchange" not in plan and "Window" not in plan
+    assert train.count() == 16 and test.count() == 24 and {r[0] for r in train.select("fold").collect()} == set(range(5))
