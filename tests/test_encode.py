@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rankfold.operators import encode as EN
 
@@ -36,6 +37,22 @@ def test_standard_scale_population_std_and_constant_column(spark):
     assert out["c"].tolist() == [0.0] * 4
 
 
+def test_scaler_of_many_columns_is_one_short_aggregate(spark, monkeypatch):
+    asked, real = [], F.stddev_pop
+    monkeypatch.setattr(EN.F, "stddev_pop", lambda c: asked.append(c) or real(c))
+    x = np.random.default_rng(2).normal(size=(50, 120))
+    x[:, 7] = 3.0
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(120)])
+    df = spark.createDataFrame(pdf).withColumn("c9", F.when(F.col("c8") > 0, F.col("c9"))).withColumn("c5", F.lit(None).cast("double"))
+    got = EN.fit_scaler(df, pdf.columns)
+    assert len(asked) == 1
+    pdf.loc[~(pdf.c8 > 0), "c9"] = np.nan
+    assert (got.means["c5"], got.stds["c5"], got.stds["c7"]) == (0.0, 1.0, 1.0)
+    for c in set(pdf.columns) - {"c5", "c7"}:
+        assert (got.means[c], got.stds[c]) == pytest.approx((pdf[c].mean(), pdf[c].std(ddof=0)))
+    assert EN.fit_scaler(df.limit(0), ["c1"]).stds == {"c1": 1.0} and EN.fit_scaler(df, []).means == {}
+
+
 def test_f_classif_matches_anova_and_constant_ranks_last(spark):
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 200)

@@ -70,3 +70,13 @@ def test_members_folds_are_dealt_once(spark, tmp_path):
     plan = _plan(spark, train.where("fold <> 1"))
     assert "Exchange" not in plan and "Window" not in plan
     assert train.count() == 16 and test.count() == 24 and {r[0] for r in train.select("fold").collect()} == set(range(5))
+
+
+def test_members_scaler_reads_the_written_wide_table(spark, tmp_path, monkeypatch):
+    from rankfold.operators import encode as EN
+
+    seen, real = [], EN.fit_scaler
+    monkeypatch.setattr(EN, "fit_scaler", lambda df, cols: seen.append(df) or real(df, cols))
+    train, test = member_frame(spark, _tables(spark, tmp_path, 40), "mlp")
+    assert "Join" not in _plan(spark, seen[0])
+    assert train.count() == 16 and test.count() == 24
