@@ -1,5 +1,7 @@
 """Learners: score range, one score per id, repeatability, planted label, early stopping."""
 
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -51,3 +53,25 @@ def test_boosted_oof_features_of_every_column():
 
     assert sorted(C._OOF_ALL) == sorted(c for cols in C.FAMILIES.values() for c in cols)
     assert all(set(xs) == set(C.O.FEATURES) - set(cols) for cols in C.FAMILIES.values() for y, xs in C._OOF_ALL.items() if y in cols)
+
+
+def test_all_folds_are_fitted_side_by_side(rows):
+    meet = threading.Barrier(5, timeout=60)
+    five = materialize(rows.withColumn("fold", (F.col("id") % 5).cast("int")), "five_folds")
+
+    def make(r):
+        meet.wait()
+        return MD.gbt_binary(max_iter=1)
+    assert CF.ml_crossfit(five, make, k=5).count() == 600
+
+
+def test_bagged_seeds_are_fitted_side_by_side_and_averaged(rows):
+    meet = threading.Barrier(3, timeout=60)
+
+    def make(seed):
+        meet.wait()
+        return MD.gbt_binary(max_iter=2, seed=seed)
+    test = rows.where("id < 40")
+    got = MD.bagged_scores(make, (0, 1, 2), rows, test.unionByName(test.where("id = 3"))).toPandas().set_index("id")["score"]
+    own = [MD.predict_positive(MD.gbt_binary(max_iter=2, seed=s).fit(rows), test).toPandas().set_index("id")["score"] for s in (0, 1, 2)]
+    assert got.index.is_unique and got.sort_index().tolist() == pytest.approx((sum(own) / 3).sort_index().tolist())
