@@ -44,7 +44,7 @@ def test_scaler_of_many_columns_is_one_short_aggregate(spark, monkeypatch):
     x[:, 7] = 3.0
     pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(120)])
     df = spark.createDataFrame(pdf).withColumn("c9", F.when(F.col("c8") > 0, F.col("c9"))).withColumn("c5", F.lit(None).cast("double"))
-    got = EN.fit_scaler(df, pdf.columns)
+    got = EN.fit_scaler(df, list(pdf.columns))
     assert len(asked) == 1
     pdf.loc[~(pdf.c8 > 0), "c9"] = np.nan
     assert (got.means["c5"], got.stds["c5"], got.stds["c7"]) == (0.0, 1.0, 1.0)
