@@ -97,3 +97,18 @@ def test_narrowed_group_statistics_equal_those_of_pandas(spark, monkeypatch):
     ref = pdf.groupby("g").median()
     for t in ("t", "u"):
         assert table[FE.stat_name(t, "g", "median")].to_numpy() == pytest.approx(ref[t].to_numpy(), abs=1e-12)
+
+
+def _initial_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_table_with_small_files_is_never_collected_by_the_driver(spark):
+    from rankfold.operators import categories
+    from rankfold.session import materialize
+    rows = categories.BROADCAST_ROWS + 1
+    table = materialize(spark.range(rows).select(F.col("id").alias("g"), F.lit(1.5).alias("x")), "small_files")
+    df = spark.createDataFrame([(0, 7), (1, rows - 1), (2, rows), (3, None)], "id long, g long")
+    for out in (categories.lookup(df, table, "g", rows), categories.salted_lookup(df, table, ["g"], rows, F.col("id"))):
+        assert "BroadcastHashJoin" not in _initial_plan(out)
+        assert {r.id: r.x for r in out.collect()} == {0: 1.5, 1: 1.5, 2: None, 3: None}
