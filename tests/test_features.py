@@ -112,3 +112,15 @@ def test_a_large_table_with_small_files_is_never_collected_by_the_driver(spark):
     for out in (categories.lookup(df, table, "g", rows), categories.salted_lookup(df, table, ["g"], rows, F.col("id"))):
         assert "BroadcastHashJoin" not in _initial_plan(out)
         assert {r.id: r.x for r in out.collect()} == {0: 1.5, 1: 1.5, 2: None, 3: None}
+
+
+def test_composite_counts_broadcast_only_a_known_small_table(spark, monkeypatch):
+    from rankfold.operators import categories
+    df = spark.createDataFrame([(0, 1, "a"), (1, 1, "a"), (2, None, "a"), (3, None, "a"), (4, 2, None)], "id long, p int, q string")
+    small = FE.composite_counts(df, ["p", "q"], "n")
+    assert "BroadcastHashJoin" in _initial_plan(small)
+    monkeypatch.setattr(categories, "BROADCAST_ROWS", 2)
+    large = FE.composite_counts(df, ["p", "q"], "n")
+    assert "BroadcastHashJoin" not in _initial_plan(large)
+    for out in (small, large):
+        assert {r.id: r.n for r in out.collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1}
