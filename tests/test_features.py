@@ -124,3 +124,34 @@ def test_composite_counts_broadcast_only_a_known_small_table(spark, monkeypatch)
     assert "BroadcastHashJoin" not in _initial_plan(large)
     for out in (small, large):
         assert {r.id: r.n for r in out.collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1}
+
+
+def test_large_tables_are_joined_before_the_statistics_of_small_ones(spark, monkeypatch):
+    from rankfold.operators import categories
+    monkeypatch.setattr(categories, "BROADCAST_ROWS", 3)
+    pdf = pd.DataFrame({"id": range(40), "s": [i % 2 for i in range(40)], "l": [i % 10 for i in range(39)] + [None], "t": np.arange(40) / 3})
+    df = spark.createDataFrame(pdf).withColumn("l", F.when(F.col("id") < 39, F.col("l").cast("int")))
+    fitted = FE.fit_group_stats(df, {"s": ["t"], "l": ["t"]})
+    out = fitted.transform(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Read from the top: the broadcast join is the last one.
+    assert 0 < plan.index("BroadcastHashJoin") < plan.index("SortMergeJoin")
+    assert out.columns == [*df.columns, *[FE.stat_name("t", g, s) for g in ("s", "l") for s in FE.STATS]]
+    got = out.orderBy("id").toPandas()
+    for g in ("s", "l"):
+        ref = pdf.groupby(g)["t"]
+        assert got[FE.stat_name("t", g, "mean")][:39].tolist() == pytest.approx(ref.transform("mean")[:39].tolist())
+        assert got[FE.stat_name("t", g, "median")][:39].tolist() == pytest.approx(ref.transform("median")[:39].tolist())
+    assert got[FE.stat_name("t", "l", "mean")].isna().tolist() == [False] * 39 + [True]
+
+
+def test_statistics_rounded_once_a_group_are_those_rounded_on_every_row(spark):
+    from rankfold.plans.catalog import _rounded_stats, round_doubles
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": range(300), "g": rng.integers(0, 40, 300) / 7, "h": rng.integers(0, 3, 300), "t": rng.normal(size=300) * 1e4})
+    pdf.loc[:5, ["g", "t"]] = None
+    df = spark.createDataFrame(pdf)
+    stats = lambda out: out.select("id", *[c for c in out.columns if "__by__" in c])
+    got = stats(FE.group_stats_grid(df, ["t", "g"], ["g", "h"], each=_rounded_stats)).orderBy("id").toPandas()
+    want = round_doubles(stats(FE.group_stats_grid(df, ["t", "g"], ["g", "h"]))).orderBy("id").toPandas()
+    pd.testing.assert_frame_equal(got, want)
