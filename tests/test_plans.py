@@ -80,3 +80,17 @@ def test_members_scaler_reads_the_written_wide_table(spark, tmp_path, monkeypatc
     train, test = member_frame(spark, _tables(spark, tmp_path, 40), "mlp")
     assert "Join" not in _plan(spark, seen[0])
     assert train.count() == 16 and test.count() == 24
+
+
+def test_row_features_of_the_flagship_are_not_shuffled(spark, tmp_path, monkeypatch):
+    from rankfold.operators import categories
+    from rankfold.plans.flagship import feature_matrix
+
+    monkeypatch.setattr(categories, "BROADCAST_ROWS", 0)
+    out = feature_matrix(spark, _tables(spark, tmp_path, 40))
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", _plan(spark, out))
+    assert dealt and not any("inter_" in columns or "missing" in columns for columns in dealt)
+    assert out.count() == 40 and len(set(out.columns)) == len(out.columns)
+    new = [c for c in out.columns if "__by__" not in c]
+    assert [new.index(c) for c in ("f_calc_01", "missing", "inter_0_mul", "f_ind_02_cat__code", "new_ind_count")] == sorted(
+        new.index(c) for c in ("f_calc_01", "missing", "inter_0_mul", "f_ind_02_cat__code", "new_ind_count"))
