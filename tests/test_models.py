@@ -75,3 +75,79 @@ def test_bagged_seeds_are_fitted_side_by_side_and_averaged(rows):
     got = MD.bagged_scores(make, (0, 1, 2), rows, test.unionByName(test.where("id = 3"))).toPandas().set_index("id")["score"]
     own = [MD.predict_positive(MD.gbt_binary(max_iter=2, seed=s).fit(rows), test).toPandas().set_index("id")["score"] for s in (0, 1, 2)]
     assert got.index.is_unique and got.sort_index().tolist() == pytest.approx((sum(own) / 3).sort_index().tolist())
+
+
+@pytest.mark.parametrize("name, rounds", [("mdl_gbt_regressor", 500), ("mdl_gbt_scaled", 100), ("mdl_mlp", 35)])
+def test_members_are_fitted_for_all_rounds_of_their_recipe(spark, monkeypatch, name, rounds):
+    from rankfold.plans import catalog_fit as C
+
+    met = []
+
+    def crossfit(train, make, **kw):
+        met.append(make(train).getMaxIter())
+        raise InterruptedError
+    monkeypatch.setattr(C, "member_frame", lambda *a: (None, None))
+    monkeypatch.setattr(C, "_width", lambda rows: 3)
+    monkeypatch.setattr(C.CF, "ml_crossfit", crossfit)
+    with pytest.raises(InterruptedError):
+        catalog_queries()[name](spark, "")
+    assert met == [rounds]
+
+
+def catalog_queries():
+    from rankfold.plans import catalog
+
+    return catalog.QUERIES
+
+
+def test_the_bag_has_all_seeds_and_rounds(spark, monkeypatch):
+    from rankfold.plans import catalog_fit as C
+
+    monkeypatch.setattr(C, "member_frame", lambda *a: (None, None))
+    monkeypatch.setattr(C.MD, "bagged_scores", lambda make, seeds, tr, te: [(make(s).getSeed(), make(s).getMaxIter()) for s in seeds])
+    assert catalog_queries()["fit_full_bagged"](spark, "") == [(s, 100) for s in range(32)]
+
+
+def test_bagged_fits_at_a_time_are_bounded(rows):
+    running, most, lock = [], [], threading.Lock()
+
+    class Fit:
+        def fit(self, df):
+            with lock:
+                running.append(1)
+                most.append(len(running))
+            model = MD.gbt_binary(max_iter=1).fit(df)
+            with lock:
+                running.pop()
+            return model
+    assert MD.bagged_scores(lambda s: Fit(), range(4), rows, rows, parallelism=2).count() == 600
+    assert max(most) <= 2
+
+
+def test_learned_features_of_all_targets_without_joins(spark, rows):
+    """As from one cross-fit per target; ids that come twice keep one row each; all fits are submitted side by side."""
+    pdf = rows.select("id", "fold").toPandas().sort_values("id").reset_index(drop=True)
+    rng = np.random.default_rng(4)
+    for c in "abcd":
+        pdf[c] = np.round(rng.normal(size=len(pdf)), 2)
+    pdf["c"] += pdf["a"]
+    pdf.loc[1, "id"] = pdf.loc[0, "id"]
+    df = materialize(spark.createDataFrame(pdf).coalesce(1), "learned_rows")
+    meet = threading.Barrier(6, timeout=60)
+
+    class Learner:
+        def __init__(self, x, y):
+            self.own = MD.gbt_regressor(x, y, max_iter=2, subsample=1.0, feature_fraction=1.0)
+
+        def fit(self, part):
+            meet.wait()
+            return self.own.fit(part)
+    got = CF.oof_learned_features(df, {"c": ["a", "b"], "d": ["a", "b"]}, Learner, k=3)
+    assert got.columns == ["id", "fold", "oof_c", "oof_d"] and got.count() == len(pdf)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    for y in "cd":
+        one = VectorAssembler(inputCols=["a", "b"], outputCol="_x").transform(df)
+        own = CF.ml_crossfit(one, MD.gbt_regressor("_x", y, max_iter=2, subsample=1.0, feature_fraction=1.0), k=3, score=lambda: F.col("prediction").cast("double"))
+        order = ["id", "fold"]
+        want = own.toPandas().sort_values([*order, "score"])["score"].tolist()
+        assert got.toPandas().sort_values([*order, f"oof_{y}"])[f"oof_{y}"].tolist() == pytest.approx(want)
